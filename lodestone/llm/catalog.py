@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, mixing, neardup, quality, rules, toxicity, urls, warc
+from lodestone.llm import decontam, licenses, mixing, neardup, pii, quality, rules, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules)}
 
 
 #: The SQL twins; the other queries learn, iterate or search and are tested by brute force.
