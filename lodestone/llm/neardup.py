@@ -9,9 +9,9 @@ Documents of equal fingerprints form a class, and only one of each class goes on
 groups of copies cost nothing. 32 bands of four registers propose pairs: first each member
 of a band's bucket with the bucket's smallest id, which joins most groups at a cost that is linear
 in their size. What is compared afterwards are only members of one bucket that are still in
-different components: in chunks of about 32, and then, for larger buckets, everyone outside
-a bucket's largest component with all its members. No pair within a component is made, none
-across is left out. Two sets of similarity 0.85 (0.8) share no band with a
+different components: pair by pair in buckets of up to 32, and in blocks of documents, whose
+common shingles are counted by matrix products, in larger ones. No pair within a component is
+looked for, none across is left out. Two sets of similarity 0.85 (0.8) share no band with a
 probability of about 6e-11 (5e-8).
 
 A pair's register agreement, corrected for the chance that different hashes give equal
@@ -40,7 +40,7 @@ from lodestone.llm.words import Words, mix, shingles, slices
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 WIDTH = REGISTERS // BANDS
-CHUNK = 32
+SMALL, BLOCK, COLUMNS = 32, 512, 4096
 SIGMAS = 5.0
 #: Ids sent to every executor at most; beyond, ids and texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -146,31 +146,86 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return both.mapInArrow(checked, "a long, b long")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("rep"), "component")
+
+
 def _apart(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their components so far, and the buckets that hold several of them."""
-    label = components(links).select(F.col("node").alias("rep"), "component")
+    label = _labels(links)
     labelled = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high")
     rows = stored(labelled.join(several.select("key", "size"), "key").select("key", "rep", "component", "size"), "neardup-apart")
     return label, rows
 
 
-def _in_chunks(rows: DataFrame) -> DataFrame:
-    """Pairs of different components inside chunks of a bucket of about CHUNK members, the
-    whole bucket if it isn't larger; rows grow as the members do."""
-    chunk = F.when(F.col("size") <= CHUNK, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / CHUNK)))
-    groups = rows.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("component", "rep")).alias("g"))
+def _of_small(rows: DataFrame) -> DataFrame:
+    """Pairs of different components inside buckets of at most SMALL members."""
+    groups = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("component", "rep")).alias("g"))
     pair = lambda x: F.transform(F.filter("g", lambda y: x["component"] < y["component"]), lambda y: F.struct(F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b")))
     return groups.select(F.explode(F.flatten(F.transform("g", pair))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _of_large(rows: DataFrame) -> DataFrame:
-    """All pairs across components of the buckets that _in_chunks had to cut."""
-    large = rows.where(F.col("size") > CHUNK)
-    largest = large.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("most"))
-    few = large.join(largest, "key").where("component != most").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    pairs = few.join(large.select("key", F.col("rep").alias("y"), F.col("component").alias("cy")), "key").where("cx != cy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _links_between(table: pa.Table, words: int, percent: int) -> pa.Table:
+    """Links that join the components of a table(rep, component, text), no more than needed.
+
+    Common shingles of all its texts are counted by products of 0/1 matrices.
+    """
+    found = Words(table.column("text").combine_chunks())
+    n = table.num_rows
+    row, h = shingles(found, words)
+    size = np.bincount(row, minlength=n).astype(np.float64)
+    _, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    common = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[row[part], column[part] - low] = 1
+        common += held @ held.T
+    component = table.column("component").to_numpy()
+    met = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (common > 0) & (component[:, None] < component[None, :])
+    rep, parent, links = table.column("rep").to_pylist(), {}, []
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in np.argwhere(met).tolist():
+        x, y = root(int(component[i])), root(int(component[j]))
+        if x != y:
+            parent[x] = y
+            links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _of_large(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components of buckets of more than SMALL members.
+
+    Buckets that share members form families. A family's largest component and the rest of it are
+    dealt at random into blocks of about BLOCK documents; every block of the rest meets every
+    block of the family in one group, so each pair across components is looked at and
+    no pair is made a row. A group holds two blocks, however large its family is.
+    """
+    large = rows.where(F.col("size") > SMALL)
+    first = large.groupBy("key").agg(F.min("rep").alias("a"))
+    family = components(large.join(first, "key").select("a", F.col("rep").alias("b"))).toDF("rep", "family")
+    docs = stored(large.select("rep", "component").distinct().join(family, "rep"), "neardup-families")
+    sizes = docs.groupBy("family", "component").count()
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.where(F.col("all") > F.col("most.count")).select("family", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.count")).alias("n_rest"), blocks(F.col("most.count")).alias("n_most"))
+    dealt = docs.join(sizes, "family").withColumn("in_most", F.col("component") == F.col("most"))
+    dealt = dealt.withColumn("block", F.when(F.col("in_most"), F.col("n_rest") + F.pmod(F.xxhash64("rep"), F.col("n_most"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("n_rest"))))
+    others = F.sequence(F.lit(0), F.when(F.col("in_most"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_most")) - 1)
+    dealt = dealt.select("rep", "component", "family", "block", F.explode(others).alias("other")).select("rep", "component", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    groups = dealt.join(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "rep").groupBy("family", "low", "high")
+    return groups.applyInArrow(lambda table: _links_between(table, words, percent), "a long, b long")
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -198,14 +253,13 @@ def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) ->
 
     links = confirmed(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     label, rows = _apart(members, links)
-    for further in (_in_chunks, _of_large):
-        rows = rows.where(F.col("size") > CHUNK) if further is _of_large else rows
-        if rows.isEmpty():
-            break
-        found = confirmed(further(rows))
-        if not found.isEmpty():
-            links = links.union(found)
-            label, rows = _apart(members, links)
+    found = confirmed(_of_small(rows))
+    if not found.isEmpty():
+        links = links.union(found)
+        label, rows = _apart(members, links)
+    if not rows.where(F.col("size") > SMALL).isEmpty():
+        links = links.union(stored(_of_large(rows, texts, words, percent), "neardup-links"))
+        label = _labels(links)
 
     joined = classes.join(label, "rep", "left").where("copies > 1 or component is not null")
     joined = joined.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
