@@ -1,18 +1,51 @@
-"""The corpus pipeline: documents in, a deduplicated and mixed training corpus out."""
+"""The corpus pipeline: documents in, a clean, deduplicated and mixed training corpus out.
+
+Each stage works on all rows that the one before it kept, is written as Parquet to the
+session's shared folder and read back. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import toxicity
+from lodestone.llm import decontam, mixing, neardup, pii, toxicity
 from lodestone.llm.shared import stored
 
 
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("toxicity", toxicity_stage)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one stays."""
+    return neardup.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with their words (``size``) and those taken (``taken``)."""
+    return mixing.mixture(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal-data", mask_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: Learned and iterative stages have no SQL twin; tests/llm checks run() by brute force.
 ORACLE_SQL = None
 
 

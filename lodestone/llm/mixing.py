@@ -36,7 +36,7 @@ WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MOST = 3  # times its size that a source or document is taken at most
 SLOTS_PER_SOURCE = 2000  # slots that the schedule has for each source at least, if its words suffice
 BLOCK_WORDS = 2048  # words of a block at most
-PART = 4096  # rows of a part in running sums
+PART = 1024  # rows of a part in running sums
 PHI = 0.6180339887498949
 LEAP = 1 << 20  # slots numbers are split here, so that late points keep their digits
 LEAP_PHI = float(Decimal(LEAP) * ((Decimal(5).sqrt() - 1) / 2) % 1)
@@ -50,11 +50,11 @@ def sized(documents: DataFrame) -> DataFrame:
 
 
 def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, target, place) of each source of docs(source, size)."""
+    """(source, source_size, n_docs, target, place) of each source of docs(source, size)."""
     by_name = W.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     place = F.row_number().over(by_name) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")
-    table = docs.groupBy("source").agg(F.sum("size").alias("source_size")).select("source", "source_size", place.alias("place"), weight.alias("weight"))
+    table = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).select("source", "source_size", "n_docs", place.alias("place"), weight.alias("weight"))
     # Sources reach their limit in the order of limit / weight; the level is what a unit of
     # weight gets once those before are full.
     limit = F.col("source_size") * F.lit(float(most))
@@ -64,7 +64,7 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     table = table.withColumn("level", level)
     open_ = F.min(F.when(limit > F.col("weight") * F.col("level"), F.struct(limit / F.col("weight"), "place", "level"))).over(every)["level"]
-    return table.select("source", "source_size", F.least(limit, F.col("weight") * F.coalesce(open_, F.lit(0.0))).alias("target"), "place")
+    return table.select("source", "source_size", "n_docs", F.least(limit, F.col("weight") * F.coalesce(open_, F.lit(0.0))).alias("target"), "place")
 
 
 def _running(rows: DataFrame, key: str, part: str, order: list, value: str, name: str) -> DataFrame:
@@ -81,10 +81,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     spark = documents.sparkSession
     docs = stored(sized(documents), "mix-sizes")
     sources = stored(targets(docs, weights, most), "mix-sources")
-    total, n_sources, n_docs = sources.select(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*"), F.lit(docs.count())).first()
+    total, n_sources = sources.select(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     block = max(1, min(BLOCK_WORDS, total // max(1, n_sources * SLOTS_PER_SOURCE)))
     n_slots = -(-total // block)
-    parts = max(1, -(-n_docs // PART))
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
 
     # Blocks of each source: n_blocks equal runs of its shuffled words, cut at whole words.
@@ -104,8 +103,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     uses = ranked.where(F.col("rank") < most * F.col("n_blocks")).groupBy("place", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("uses"))
 
     # Words of each document on its source's line; the first ``longer`` blocks have a word more.
-    named = docs.where("size > 0").join(small(cut.select("source", "source_size", "place", "n_blocks")), docs["source"].eqNullSafe(cut["source"])).drop(cut["source"])
-    hashed = named.withColumn("mark", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("part", F.pmod("mark", F.lit(parts)))
+    named = docs.where("size > 0").join(small(cut.select("source", "source_size", "n_docs", "place", "n_blocks")), docs["source"].eqNullSafe(cut["source"])).drop(cut["source"])
+    hashed = named.withColumn("mark", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("part", F.pmod("mark", F.ceil(F.col("n_docs") / PART)))
     line = _running(hashed, "place", "part", ["mark", "doc_id", "size"], "size", "start").withColumn("end", F.expr("start + size"))
     line = line.withColumns({"words": F.expr("source_size div n_blocks"), "longer": F.expr("source_size % n_blocks")})
     of = lambda at: f"if({at} < longer * (words + 1), {at} div (words + 1), longer + ({at} - longer * (words + 1)) div words)"
