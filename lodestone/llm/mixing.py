@@ -108,11 +108,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     line = _running(hashed, "place", "part", ["mark", "doc_id", "size"], "size", "start").withColumn("end", F.expr("start + size"))
     line = line.withColumns({"words": F.expr("source_size div n_blocks"), "longer": F.expr("source_size % n_blocks")})
     of = lambda at: f"if({at} < longer * (words + 1), {at} div (words + 1), longer + ({at} - longer * (words + 1)) div words)"
-    spans = line.select("doc_id", "place", "start", "end", "words", "longer", F.explode(F.expr(f"sequence({of('start')}, {of('(end - 1)')})")).alias("block"))
+    spans = line.select("place", "start", "end", "words", "longer", F.explode(F.expr(f"sequence({of('start')}, {of('(end - 1)')})")).alias("block"))
     low, high = (F.expr(f"(block + {k}) * words + least(block + {k}, longer)") for k in (0, 1))
-    spans = spans.select("doc_id", "place", "start", "block", (F.least("end", high) - F.greatest("start", low)).alias("overlap"))
-    taken = spans.join(uses, ["place", "block"]).groupBy("place", "doc_id", "start").agg(F.sum(F.col("overlap") * F.col("uses")).alias("taken"))
-    laid = line.select("doc_id", "place", "start", "size").join(taken, ["place", "doc_id", "start"], "left").select("doc_id", "place", "size", "taken")
+    spans = spans.select("place", "start", "block", (F.least("end", high) - F.greatest("start", low)).alias("overlap"))
+    taken = spans.join(uses, ["place", "block"]).groupBy("place", "start").agg(F.sum(F.col("overlap") * F.col("uses")).alias("taken"))
+    laid = line.select("doc_id", "place", "start", "size").join(taken, ["place", "start"], "left").select("doc_id", "place", "size", "taken")
     info = small(sources.select("source", "place", "source_size", "target"))
     without = docs.where("size = 0").join(info, docs["source"].eqNullSafe(info["source"])).select("doc_id", "size", "source_size", "target", F.lit(None).alias("taken"))
     return laid.join(info.drop("source"), "place").select("doc_id", "size", "source_size", "target", "taken").union(without).withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))

@@ -10,7 +10,8 @@ if their belief in it is at least CONFIDENCE and they don't touch a base span.
 
 Potentials are fitted by pseudo-likelihood (so each token is predicted from its own shape and its
 neighbours' labels) on the base spans of at most MAX_TRAIN_ROWS documents, those of smallest hash. There
-the shape is hidden for some tokens, so that skip potentials are learned from agreement itself.
+the shape, and the chain neighbours, are hidden for some tokens, so that skip potentials are
+learned from agreement itself.
 
 Everything is a map over texts; the model has a fixed size. Links are linear in the tokens.
 
@@ -36,11 +37,13 @@ from lodestone.llm.words import Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0 is O
+#: Tokens of one kind in a row are one span up to so many digits; by label.
+MOST_DIGITS = (0, 0, 0, 19, 15)
 MAX_TRAIN_ROWS = 4000
 HASHED = 1 << 12
 CONFIDENCE = 0.9
 ROUNDS, DAMPING = 12, 0.3
-STEPS, RATE, DECAY, HIDDEN = 300, 0.1, 1e-3, 0.35
+STEPS, RATE, DECAY, HIDDEN = 300, 0.1, 0.2, 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -97,7 +100,7 @@ def _shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Za-z\x80-\U0010ffff]", "a", re.sub(r"[0-9]", "9", word)))[:24]
 
 
-def _features(word: str, before: str, after: str) -> list[int]:
+def _features(word: str) -> list[int]:
     """Hashed shape features of a token; the first three tell its validity."""
     core = _EDGE.sub("", word)
     digits = re.sub(r"[^0-9]", "", core)
@@ -110,14 +113,12 @@ def _features(word: str, before: str, after: str) -> list[int]:
         ("letters", min(sum(c.isalpha() for c in core), 6)),
         ("shape", _shape(core)),
         ("plus", core[:1] == "+"),
-        ("before", _shape(_EDGE.sub("", before))),
-        ("after", _shape(_EDGE.sub("", after))),
         ("bias", 1),
     )
     return [zlib.crc32(f"{k}={v}".encode()) % HASHED for k, v in told]
 
 
-N_FEATURES = 10
+N_FEATURES = 8
 
 
 def _keys(word: str) -> list[str]:
@@ -137,6 +138,7 @@ class Tokens:
     start: np.ndarray
     end: np.ndarray
     feature: np.ndarray
+    digits: np.ndarray  # how many
     label: np.ndarray  # by the base spans
     chain: np.ndarray  # pairs of token indices
     skip: np.ndarray
@@ -144,7 +146,7 @@ class Tokens:
 
 def tokens_of(texts: list[tuple[int, str, list[Span]]]) -> Tokens:
     """texts: (row, text, base spans)."""
-    row, start, end, feature, label, chain, skip = [], [], [], [], [], [], []
+    row, start, end, digits, feature, label, chain, skip = [], [], [], [], [], [], [], []
     for r, text, spans in texts:
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
         last: dict[str, int] = {}
@@ -158,12 +160,14 @@ def tokens_of(texts: list[tuple[int, str, list[Span]]]) -> Tokens:
             while first < len(spans) and spans[first][2] <= a and all(s[2] <= a for s in spans[first:]):
                 first += 1
             kind = next((s[1] + 1 for s in spans[first:] if s[0] < b and s[2] > a), 0)
-            around = [text[slice(*words[j])] if 0 <= j < len(words) else "" for j in (k - 1, k + 1)]
             row.append(r)
-            start.append(a)
-            end.append(b)
+            core = _EDGE.sub("", word)
+            lead = word.find(core) if core else 0
+            start.append(a + lead)
+            end.append(a + lead + len(core) if core else b)
+            digits.append(sum(c in "0123456789" for c in core))
             label.append(kind)
-            feature.append(_features(word, *around))
+            feature.append(_features(word))
             if before == k - 1:
                 chain.append((here - 1, here))
             before = k
@@ -172,7 +176,7 @@ def tokens_of(texts: list[tuple[int, str, list[Span]]]) -> Tokens:
                     skip.append((last[key], here))
                 last[key] = here
     pair = lambda x: np.array(sorted(set(x)), np.int64).reshape(-1, 2)
-    return Tokens(*(np.array(x, np.int64) for x in (row, start, end)), np.array(feature, np.int64).reshape(-1, N_FEATURES), np.array(label, np.int64), pair(chain), pair(skip))
+    return Tokens(*(np.array(x, np.int64) for x in (row, start, end)), np.array(feature, np.int64).reshape(-1, N_FEATURES), np.array(digits, np.int64), np.array(label, np.int64), pair(chain), pair(skip))
 
 
 @dataclass
@@ -206,18 +210,21 @@ class Field:
         return np.exp(own - np.logaddexp.reduce(own, axis=1)[:, None]) if n else own
 
     def spans(self, t: Tokens) -> dict[int, list[Span]]:
-        """Added spans by row: runs of adjacent tokens of one confident kind."""
+        """Added spans by row: adjacent tokens of one confident kind, as far as their digits fit."""
         out: dict[int, list[Span]] = {}
         if not len(t.row):
             return out
         p = self.beliefs(t)
         kind = np.where((p.max(axis=1) >= CONFIDENCE) & (t.label == 0), p.argmax(axis=1), 0)
+        held = 0
         joined = set(map(tuple, t.chain.tolist()))
         for k in np.flatnonzero(kind).tolist():
             rows = out.setdefault(int(t.row[k]), [])
-            if rows and (k - 1, k) in joined and kind[k - 1] == kind[k]:
+            held = held + int(t.digits[k]) if rows and (k - 1, k) in joined and kind[k - 1] == kind[k] else MOST_DIGITS[kind[k]] + 1
+            if held <= MOST_DIGITS[kind[k]]:
                 rows[-1] = (rows[-1][0], rows[-1][1], int(t.end[k]))
             else:
+                held = int(t.digits[k])
                 rows.append((int(t.start[k]), int(kind[k]) - 1, int(t.end[k])))
         return out
 
@@ -245,10 +252,11 @@ def fit_field(t: Tokens, seed: int = 3) -> Field:
     for step in range(1, STEPS + 1):
         shown = (draw.random((n, 1)) >= HIDDEN).astype(float) * np.ones((1, N_FEATURES))
         shown[:, bias] = 1
-        logit = (small[where] * shown[:, :, None]).sum(axis=1) + counts[0] @ chain + counts[1] @ skip
+        near = counts[0] * (draw.random((n, 1)) >= HIDDEN)
+        logit = (small[where] * shown[:, :, None]).sum(axis=1) + near @ chain + counts[1] @ skip
         p = np.exp(logit - np.logaddexp.reduce(logit, axis=1)[:, None])
         g = (p - truth) / n
-        grads = [np.zeros_like(small), counts[0].T @ g, counts[1].T @ g]
+        grads = [np.zeros_like(small), near.T @ g, counts[1].T @ g]
         for f in range(N_FEATURES):
             np.add.at(grads[0], where[:, f], g * shown[:, f : f + 1])
         for k in (1, 2):
@@ -294,7 +302,7 @@ def fit(documents: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Field:
     whole = {f: np.concatenate(x) if x else np.zeros((0, N_FEATURES if f == "feature" else 2), np.int64) for f, x in parts.items()}
     label = whole["label"].reshape(-1)
     blank = np.zeros(len(label), np.int64)
-    return fit_field(Tokens(blank, blank, blank, whole["feature"], label, whole["chain"], whole["skip"]))
+    return fit_field(Tokens(blank, blank, blank, whole["feature"], blank, label, whole["chain"], whole["skip"]))
 
 
 def _found(part: pa.RecordBatch, words: Words, field: Field) -> dict[int, tuple[str, list[Span], list[Span]]]:
