@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import retrieval
+from lodestone.plans import analytics, graph, retrieval
 
-_PLANS = (retrieval,)
+_PLANS = (retrieval, graph, analytics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,10 +138,10 @@ _PATTERNS["javascript"] = [x for x in _PATTERNS["typescript"] if x[0] != "interf
 def declared_names(files: DataFrame, language: str) -> DataFrame:
     """(path, node_type, owner, name) of Go, TypeScript and JavaScript declarations by pattern: the
     top level, and Go methods with their receiver."""
-    found = [
-        F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(2 if kind == "method" else 1)), lambda n, kind=kind: F.struct(F.lit(kind).alias("node_type"), n.alias("name")))
-        for kind, p in _PATTERNS[language]
-    ]
+    def named(kind: str) -> Callable[[Column], Column]:
+        return lambda n: F.struct(F.lit(kind).alias("node_type"), n.alias("name"))
+
+    found = [F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(2 if kind == "method" else 1)), named(kind)) for kind, p in _PATTERNS[language]]
     owners = F.regexp_extract_all("content", F.lit(dict(_PATTERNS[language])["method"]), F.lit(1)) if language == "go" else F.array().cast("array<string>")
     rows = files.select("path", owners.alias("owners"), *(x.alias(f"f{k}") for k, x in enumerate(found)))
     out = None

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodestone.sources.shared import stored
+
 ARCHITECTURE = ("module", "class", "struct", "interface")
 
 
@@ -137,7 +139,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callee
         else:
             kept = first.orderBy("o.from_position", "o.way", "id").limit(left)
             frontier = kept.select("id", F.lit(hop).cast("long").alias("distance"), F.row_number().over(W.orderBy("o.from_position", "o.way", "id")).cast("long").alias("position"))
-            frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier.cache()
+            frontier = stored(frontier, "bfs")
             left -= frontier.count()
         visited = visited.unionByName(frontier)
         if left is not None and left <= 0:
@@ -145,38 +147,35 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callee
     return visited.select("id", "distance")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, checkpoint_every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank): dangling mass spread evenly, loops and edges to unknown nodes ignored, sum 1.
 
-    A round is one join and one aggregation that combines before its shuffle; the number of
-    nodes and the dangling mass are scalars. Stops once the ranks move less than ``tolerance``.
+    A round is one join and one aggregation that combines before its shuffle. Its ranks are
+    written to the shared folder, so plans don't grow; the number of nodes, the dangling mass and
+    the movement are the only scalars. Stops once the ranks move less than ``tolerance`` in all.
     Repeated edges count as often as they occur.
     """
-    spark = nodes.sparkSession
     ids = nodes.select("id").distinct()
     known = edges.where("src != dst").select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count("*").alias("degree"))
-    links = known.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")).cache()
-    n = ids.count()
+    links = stored(known.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "pagerank-links")
+    outs = links.select(F.col("src").alias("id")).distinct().withColumn("dangling", F.lit(False))
+    ids = stored(ids.join(outs, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), "pagerank-nodes")
+    n, loose = ids.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    ids = ids.join(degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")).cache()
+    loose /= n
     ranks = ids.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
-    keep = bool(spark.sparkContext.getCheckpointDir())
-    for k in range(rounds):
-        loose = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+    for _ in range(rounds):
         moved = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        new = ids.join(moved, "id", "left").join(F.broadcast(loose))  # one row
-        new = new.select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        check = k % checkpoint_every == checkpoint_every - 1
-        if check and keep:
-            new = new.checkpoint()
-        if check and tolerance and new.join(ranks.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-            ranks = new
+        new = ranks.join(moved, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("rank"), F.col("rank").alias("old"))
+        ranks = stored(new, "pagerank-ranks")
+        loose, moved_by = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
+        ranks = ranks.drop("old")
+        if moved_by < tolerance:
             break
-        ranks = new
-    total = ranks.agg(F.sum("rank").alias("total"))
-    return ranks.join(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))
+    total = ranks.agg(F.sum("rank")).first()[0]
+    return ranks.select("id", (F.col("rank") / total).alias("rank"))
 
 
 def subgraph_members(edges: DataFrame, roots: DataFrame, importance: DataFrame, most: int = 20) -> DataFrame:
@@ -201,7 +200,7 @@ def cluster_members(vectors: DataFrame, cluster: str, id: str, vector: str) -> D
 def cluster_links(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, fan_in, containment): distinct outside sources, share of own edges that stay."""
     src, dst = (members.select(F.col("id").alias(x), F.col("cluster").alias(f"c_{x}")) for x in ("src", "dst"))
-    both = edges.select("src", "dst").distinct().join(src, "src", "left").join(dst, "dst", "left").cache()
+    both = edges.select("src", "dst").distinct().join(src, "src", "left").join(dst, "dst", "left")
     fan = both.where("c_dst is not null and not (c_src <=> c_dst)").groupBy(F.col("c_dst").alias("cluster")).agg(F.count_distinct("src").alias("fan_in"))
     stay = both.where("c_src is not null").groupBy(F.col("c_src").alias("cluster")).agg(F.avg((F.col("c_src").eqNullSafe(F.col("c_dst"))).cast("double")).alias("containment"))
     out = members.select("cluster").distinct().join(fan, "cluster", "left").join(stay, "cluster", "left")

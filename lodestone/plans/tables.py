@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def instants(df: DataFrame) -> DataFrame:
+    """df with zoneless timestamps as instants of the session's zone."""
+    return df.withColumns({n: F.col(n).cast("timestamp") for n, t in df.dtypes if t == "timestamp_ntz"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def parts_as_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ ROOT_CONFIG = ("compose.yaml", "compose.yml", "docker-compose.yaml", "docker-com
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, content) of a directory's files, paths relative to it."""
+    """(path, size, content) of a directory's files that are not empty, paths relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + root.rstrip("/").replace("file://", "") + "/", "")
     return files.select(relative.alias("path"), F.col("length").alias("size"), "content")

@@ -14,10 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A growing Parquet table as a stream."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).options(**options).parquet(folder)
+    """A growing Parquet table, or one file, as a stream."""
+    table = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(table.schema).options(**options)
+    if any(f.endswith(f"/{name}") for f in table.inputFiles()[:1]):  # streams read folders
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def windowed(events: DataFrame, at: str, width: str, keys: list[str], aggregates: list[Column], late: str = "1 day", slide: str | None = None) -> DataFrame:
