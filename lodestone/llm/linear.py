@@ -49,7 +49,7 @@ class Model:
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, *, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int = 7) -> Model:
-    """rows: (label, buckets, values). FTRL-proximal: a learning rate for each coordinate from
+    """rows: (label, buckets, counts). FTRL-proximal: a learning rate for each coordinate from
     its own squared gradients, weights recovered lazily with L1 soft thresholding. The bias is
     a coordinate without L1. Rows are visited in an order drawn from the seed.
     """
@@ -66,8 +66,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, *, alpha: f
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for r in order.permutation(len(rows)):
-            label, bucket, value = rows[r]
-            i, x = np.append(bucket, size), np.append(value, 1.0)
+            label, bucket, count = rows[r]
+            i, x = np.append(bucket, size), np.append(damped(count), 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
@@ -100,8 +100,21 @@ def sample(texts: DataFrame, labels: DataFrame, label: str, features: Features,
             )
 
     found = rows.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, bucket binary, count binary")
-    got = found.toArrow().sort_by("doc_id").to_pydict()
-    return [(y, np.frombuffer(b, np.int32), damped(np.frombuffer(c, np.uint16))) for y, b, c in zip(got["label"], got["bucket"], got["count"], strict=True)]
+    out = []
+    for batch in found.toArrow().to_batches():
+        ids, y = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
+        # Views of Arrow's own memory: the sample is held once.
+        buckets, counts = (_views(batch.column(c), t) for c, t in (("bucket", np.int32), ("count", np.uint16)))
+        out += zip(ids, y, buckets, counts, strict=True)
+    out.sort(key=lambda r: (r[0] is not None, r[0]))
+    return [r[1:] for r in out]
+
+
+def _views(column: pa.Array, kind: type) -> list[np.ndarray]:
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [whole[a:b].view(kind) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def append_score(texts: DataFrame, model: Model, features: Features, inside: np.ndarray = SPACED, name: str = "score", without: tuple[str, ...] = ()) -> DataFrame:

@@ -1,35 +1,5 @@
-"""Tables that several jobs of one query read, kept where every executor can see them."""
+"""Shared tables, as the rest of the library keeps them."""
 
-from __future__ import annotations
+from lodestone.sources.shared import new_path, remove, shared_dir, stored
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, else one that is set here."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(at := LOCAL_DIR)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and losing an
-    executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["new_path", "remove", "shared_dir", "stored"]
