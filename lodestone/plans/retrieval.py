@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import hybrid as H
 from lodestone.operators import pages as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import routing
@@ -194,6 +195,21 @@ def domain_rerank(spark, sf_dir):
     return out.select("id", F.round("reranked", 6).alias("reranked"))
 
 
+@query(f"""SELECT doc_id, len(list_filter(list_transform(list_filter({_TOKENS}, lambda t: t NOT IN ({", ".join(f"'{w}'" for w in T.ENGLISH_STOPWORDS)})), lambda t: CASE WHEN length(t) > 3 AND length(regexp_replace(t, '(ingly|edly|ings|ing|ies|ed|es|ly|s)$', '')) >= 3 THEN regexp_replace(t, '(ingly|edly|ings|ing|ies|ed|es|ly|s)$', '') ELSE t END), lambda t: t = 'licens'))::BIGINT AS n
+    FROM documents WHERE contains(lower(text), 'licens')""")
+def lexical_english(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.lower("text").contains("licens"))
+    return docs.select("doc_id", F.size(F.filter(T.english_tokens(F.col("text")), lambda t: t == "licens")).cast("long").alias("n"))
+
+
+@query()
+def hybrid_stores(spark, sf_dir):
+    """Parts as code and documents as documentation, ordered together."""
+    docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "text"}, table(spark, sf_dir, "embeddings"), "vec_id")
+    parts = H.Store(table(spark, sf_dir, "part"), "p_partkey", {"A": "p_name", "D": "p_type"}, symbol="p_name")
+    return H.hybrid({"code": parts, "repo_docs": docs}, "red widget", _probe(spark, sf_dir), 20)
+
+
 _ROUTE = """WITH s AS (SELECT source AS label, string_agg(substring(text, 1, 40), ' ' ORDER BY doc_id) AS body FROM documents WHERE doc_id < 200 GROUP BY source),
     q AS (SELECT unnest(['src1', 'license', 'apache', 'und', 'der']) AS t), N AS (SELECT count(*) AS n FROM s),
     m AS (SELECT label, t, contains(lower(label), t) AS in_label FROM s, q WHERE contains(lower(label || chr(10) || substring(body, 1, 2000)), t)),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,5 +93,42 @@ def changes_of(text: DataFrame) -> DataFrame:
     return kept.select(mapped.alias("kind"), F.element_at(p, -1).alias("path"), F.when(kind == "R", F.get(p, F.lit(1))).alias("old_path"))
 
 
+MOST_ENTRIES, MOST_UNPACKED, MOST_RATIO = 20_000, 1 << 30, 100
+
+
+def zip_entries(raw: bytes) -> Iterator[tuple[str, int, bytes | None, str | None]]:
+    """(path, size, content, error) of an archive's files. Entries that leave the archive's folder, are
+    links, unpack to over MOST_RATIO times their size, or come after a limit are refused with an error."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(raw))
+    except zipfile.BadZipFile as e:
+        yield "", 0, None, str(e)
+        return
+    total = 0
+    for n, entry in enumerate(i for i in archive.infolist() if not i.is_dir()):
+        path = entry.filename.replace("\\", "/")
+        total += entry.file_size
+        error = (
+            "too many entries" if n >= MOST_ENTRIES
+            else "leaves its folder" if path.startswith("/") or ".." in path.split("/") or ":" in path.split("/")[0]
+            else "is a link" if (entry.external_attr >> 16) & 0o170000 == 0o120000
+            else "unpacks too large" if total > MOST_UNPACKED or entry.file_size > MOST_RATIO * max(entry.compress_size, 1) and entry.file_size > MOST_BYTES
+            else None
+        )
+        yield path, entry.file_size, None if error else archive.read(entry), error
+
+
+def read_zips(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, path, size, content, error) of all files in zip archives."""
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for archive, raw in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame([(archive, *e) for e in zip_entries(raw)], columns=["archive", "path", "size", "content", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(unpacked, "archive string, path string, size long, content binary, error string")
+
+
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)

@@ -113,3 +113,38 @@ def test_text_functions(spark):
     assert one(text.query_terms(lit("How does the auth.Token_v2 work? auth.token_v2 /path/ x"))) == (["auth.token_v2", "work", "path"],)
     assert one(keys.neighbour_hash(F.array(lit("b"), lit("a")), F.array(lit("c")))) == one(keys.neighbour_hash(F.array(lit("a"), lit("b")), F.array(lit("c"))))
     assert one(vector.cosine(F.array(lit(1.0)), F.array(lit(1.0), lit(2.0))), vector.cosine(F.array(lit(0.0)), F.array(lit(1.0)))) == (0.0, 0.0)
+
+
+def test_hybrid_orders_stores_and_leaves_out_broken_streams(spark):
+    from lodestone.operators import hybrid as H
+
+    rows = spark.createDataFrame([(1, "load config"), (2, "save"), (3, "load")], "id long, name string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    code = H.Store(rows, "id", {"A": "name"}, vectors, symbol="name")
+    docs = H.Store(rows, "id", {"D": "name"})
+    got = [(r["store"], r["id"]) for r in H.hybrid({"code": code, "repo_docs": docs}, "load", [1.0, 0.0], 10).collect()]
+    assert got[0] == ("code", "1") and ("repo_docs", "3") in got and len(got) == len(set(got)) <= 10
+    blank = H.hybrid({"code": code}, "  ", [1.0, 0.0], 10).collect()
+    assert [r["id"] for r in blank] == ["1", "2"]
+    broken = H.Store(rows, "id", {"A": "no_such_column"}, vectors)
+    assert [r["id"] for r in H.hybrid({"code": broken}, "load", [1.0, 0.0], 5).collect()] == ["1", "2"]
+    with pytest.raises(ValueError, match="nothing"):
+        H.hybrid({"code": docs}, " ", None, 5)
+
+
+def test_modes_and_windows(spark):
+    import datetime as dt
+
+    from lodestone.operators import hybrid as H
+
+    assert H.stores_of(H.layers_of("wiki")) == {"repo_docs"} and "ast" not in H.layers_of("mixed")
+    a, b = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    with pytest.raises(ValueError, match="until"):
+        H.check_window(b, a, None)
+    rows = spark.createDataFrame([(1, None, a), (2, b, a), (3, a, b)], "id int, changed timestamp, created timestamp")
+    assert sorted(r["id"] for r in H.in_window(rows, "changed", "created", until=a).collect()) == [1, 3]
+
+
+def test_english_tokens(spark):
+    got = spark.range(1).select(text.english_tokens(F.lit("The licenses of running jobs were indexed nightly is bed"))).first()[0]
+    assert got == ["licens", "runn", "job", "index", "night", "bed"]

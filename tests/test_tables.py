@@ -141,3 +141,18 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
 def test_next_sync(spark, kind, now, due):
     got = spark.range(1).select(F.date_format(usage.next_sync(F.lit(kind), F.lit(now).cast("timestamp"), 6), "yyyy-MM-dd HH:mm:ss")).first()[0]
     assert got == due
+
+
+def test_zip_source_refuses_what_is_unsafe(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("src/a.py", "x = 1")
+        z.writestr("../evil.py", "no")
+        z.writestr("bomb.txt", "0" * (2 << 20))
+        link = zipfile.ZipInfo("link")
+        link.external_attr = 0o120777 << 16
+        z.writestr(link, "/etc/passwd")
+    (tmp_path / "b.zip").write_text("not a zip")
+    got = {r["path"]: (bytes(r["content"]) if r["content"] is not None else None, r["error"]) for r in files.read_zips(spark, f"file://{tmp_path}").collect()}
+    assert got["src/a.py"] == (b"x = 1", None) and got["../evil.py"] == (None, "leaves its folder") and got["link"][1] == "is a link" and got["bomb.txt"][1] == "unpacks too large" and got[""][0] is None
