@@ -124,7 +124,8 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callee
     """(id, distance) of nodes within ``depth`` hops of roots(id), first distance kept.
 
     With max_nodes, hops add nodes in the order of the position of the node that they are found
-    from, callers before callees, then id, until so many were found besides the roots.
+    from, callers before callees, then id, until so many were found besides the roots. Each hop is
+    written to the shared folder, as the next ones read it several times.
     """
     out = edges.select(F.col("src").alias("at"), F.col("dst").alias("id"), F.lit(1).alias("way"))
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("id"), F.lit(0).alias("way"))
@@ -135,7 +136,7 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callee
         found = frontier.select(F.col("id").alias("at"), F.col("position").alias("from_position")).join(steps, "at").join(visited.select("id"), "id", "left_anti")
         first = found.groupBy("id").agg(F.min(F.struct("from_position", "way")).alias("o"))
         if left is None:
-            frontier = first.select("id", F.lit(hop).cast("long").alias("distance"), F.lit(0).cast("long").alias("position"))
+            frontier = stored(first.select("id", F.lit(hop).cast("long").alias("distance"), F.lit(0).cast("long").alias("position")), "bfs")
         else:
             kept = first.orderBy("o.from_position", "o.way", "id").limit(left)
             frontier = kept.select("id", F.lit(hop).cast("long").alias("distance"), F.row_number().over(W.orderBy("o.from_position", "o.way", "id")).cast("long").alias("position"))

@@ -153,12 +153,21 @@ def ungrounded(citations: DataFrame, verified: DataFrame, keys: list[str]) -> Da
 
 
 def overlapping_pairs(pages: DataFrame, id: str, tokens: str, vector: str, jaccard: float = 0.5, cosine: float = 0.82) -> DataFrame:
-    """(a, b, jaccard, cosine) of pages that share at least half of their tokens and point the same way.
-    Pairs come from shared tokens, so pages without one never meet."""
+    """(a, b, jaccard, cosine) of pages that share at least ``jaccard`` of their tokens and point the same way.
+
+    Pairs come from the rarest tokens of each page, as many as two such pages can't both do without;
+    tokens that most pages have join nothing.
+    """
     from lodestone.functions.vector import cosine as near
 
-    side = lambda x: pages.select(F.col(id).alias(x), F.explode(F.array_distinct(tokens)).alias("t"), F.size(F.array_distinct(tokens)).alias(f"n{x}"))
-    shared = side("a").join(side("b"), "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    pairs = shared.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= jaccard)
-    v = lambda x: pages.select(F.col(id).alias(x), F.col(vector).alias(f"v{x}"))
-    return pairs.join(v("a"), "a").join(v("b"), "b").withColumn("cosine", near(F.col("va"), F.col("vb"))).where(F.col("cosine") >= cosine).select("a", "b", "jaccard", "cosine")
+    own = pages.select(F.col(id).alias("page"), F.array_distinct(tokens).alias("own"))
+    each = own.select("page", F.size("own").alias("n"), F.explode("own").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("often"))
+    place = F.row_number().over(W.partitionBy("page").orderBy("often", "t"))
+    rare = each.join(often, "t").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * jaccard) + 1)
+    pairs = rare.select(F.col("page").alias("a"), "t").join(rare.select(F.col("page").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
+    side = lambda x: pages.select(F.col(id).alias(x), F.array_distinct(tokens).alias(f"t{x}"), F.col(vector).alias(f"v{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    share = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
+    out = both.select("a", "b", share.alias("jaccard"), "va", "vb").where(F.col("jaccard") >= jaccard)
+    return out.withColumn("cosine", near(F.col("va"), F.col("vb"))).where(F.col("cosine") >= cosine).select("a", "b", "jaccard", "cosine")

@@ -51,20 +51,25 @@ def retained(logs: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame
 def rate_limited(events: DataFrame, key: str, at: str, limit: int, seconds: int) -> DataFrame:
     """Batch replay of a fixed window that starts at a key's first hit: (key, at, window_start, hit, allowed).
 
-    One pass over a key's sorted times inside the JVM.
+    Keys are hashed to partitions and sorted there, and one pass goes over each, so a key of many hits
+    needs no more memory than another.
     """
-    times = F.array_sort(F.collect_list(F.unix_micros(at)))
-    empty = F.array().cast("array<struct<t:bigint,s:bigint,n:bigint>>")
-    last = lambda a: F.element_at(a, -1)
-
-    def step(acc: Column, t: Column) -> Column:
-        fresh = (F.size(acc) == 0) | (t >= F.coalesce(F.try_element_at(acc, F.lit(-1))["s"], F.lit(0)) + seconds * 1_000_000)
-        start = F.when(fresh, t).otherwise(F.try_element_at(acc, F.lit(-1))["s"])
-        n = F.when(fresh, F.lit(1).cast("long")).otherwise(F.try_element_at(acc, F.lit(-1))["n"] + 1)
-        return F.array_append(acc, F.struct(t.alias("t"), start.alias("s"), n.alias("n")))
-
-    rows = events.groupBy(key).agg(F.aggregate(times, empty, step).alias("hits")).select(key, F.explode("hits").alias("h"))
-    return rows.select(key, F.timestamp_micros("h.t").alias("at"), F.timestamp_micros("h.s").alias("window_start"), F.col("h.n").alias("hit"), (F.col("h.n") <= limit).alias("allowed"))
+    kind = events.schema[key].dataType.simpleString()
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, start, n = None, 0, 0
+        for b in batches:
+            out = []
+            for k, t in zip(b["key"].tolist(), b["t"].tolist(), strict=True):
+                if current is None or k != current[0] or t >= start + seconds * 1_000_000:
+                    current, start, n = (k,), t, 0
+                n += 1
+                out.append((k, t, start, n, n <= limit))
+            yield pd.DataFrame(out, columns=["key", "t", "s", "hit", "allowed"])
+
+    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(at).alias("t"))
+    found = rows.repartition("key").sortWithinPartitions("key", "t").mapInPandas(replay, f"key {kind}, t long, s long, hit long, allowed boolean")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("t").alias("at"), F.timestamp_micros("s").alias("window_start"), "hit", "allowed")
 
 
 def rate_limited_stream(events: DataFrame, key: str, at: str, limit: int, seconds: int, late: str = "1 minute") -> DataFrame:
