@@ -67,6 +67,18 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM w""",
+    "op7_neardup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w)::BIGINT - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]))
+                                  WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END AS s FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id
+              WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+        l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+        m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)""",
 }
 
 
