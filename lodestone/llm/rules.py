@@ -46,7 +46,7 @@ _UPPER[65:91] = 1
 
 
 def _marks(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """For each (row, hash): does it occur twice or more? Also usable on sorted rows only."""
+    """For each (row, hash): does it occur twice or more?"""
     key = mix(h ^ mix(rows.astype(np.uint64) + np.uint64(1)))
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
     return count[back] > 1
@@ -64,11 +64,11 @@ def count_words(words: Words) -> dict[str, np.ndarray]:
     repeated = np.cumsum(edge)[:-1] > 0
 
     # Lines: between line feeds and the ends of texts.
-    feed = np.append(np.flatnonzero(words.data == 10), len(words.data))
-    start = np.sort(np.concatenate([words.at[:-1], feed[:-1] + 1]))
-    owner = np.searchsorted(words.at[1:], start, "right")
-    start, owner = start[owner < n], owner[owner < n]
-    end = np.minimum(feed[np.searchsorted(feed, start)], words.at[owner + 1])
+    feed = np.flatnonzero(words.data == 10)
+    start = np.concatenate([words.at[:-1], feed + 1])
+    owner = np.concatenate([np.arange(n), np.searchsorted(words.at[1:], feed, "right")])
+    following = np.append(feed, len(words.data))
+    end = np.minimum(following[np.searchsorted(following, start)], words.at[owner + 1]) if n else start
     has = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, owner = start[has], end[has], owner[has]
     line = mix(words.span_hashes(start, end, fold=False) ^ mix(owner.astype(np.uint64) + np.uint64(1)))
