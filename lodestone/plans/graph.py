@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import extract
 from lodestone.operators import graph as G
 from lodestone.plans.tables import EDGES_SQL, NODES_SQL, calls, parts_as_nodes, table
+from lodestone.sources.shared import stored
 
 QUERIES, SQL = {}, {}
 
@@ -53,17 +54,17 @@ def node_members_and_parent(spark, sf_dir):
 
 @query("x AS (SELECT 7::BIGINT AS id, 0::BIGINT AS distance UNION SELECT e.dst, x.distance + 1 FROM x JOIN edges e ON e.src = x.id WHERE x.distance < 2) SELECT id, min(distance) AS distance FROM x GROUP BY id")
 def bfs_callees(spark, sf_dir):
-    return G.bfs(calls(spark, sf_dir), spark.createDataFrame([(7,)], "id long"), 2)
+    return G.bfs(stored(calls(spark, sf_dir), "calls"), spark.createDataFrame([(7,)], "id long"), 2)
 
 
 @query("x AS (SELECT 9::BIGINT AS id, 0::BIGINT AS distance UNION SELECT e.b, x.distance + 1 FROM x JOIN (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) e ON e.a = x.id WHERE x.distance < 2) SELECT id, min(distance) AS distance FROM x GROUP BY id")
 def bfs_both(spark, sf_dir):
-    return G.bfs(calls(spark, sf_dir), spark.createDataFrame([(9,)], "id long"), 2, "both")
+    return G.bfs(stored(calls(spark, sf_dir), "calls"), spark.createDataFrame([(9,)], "id long"), 2, "both")
 
 
 @query()
 def bfs_both_capped(spark, sf_dir):
-    return G.bfs(calls(spark, sf_dir), spark.createDataFrame([(9,)], "id long"), 3, "both", max_nodes=40)
+    return G.bfs(stored(calls(spark, sf_dir), "calls"), spark.createDataFrame([(9,)], "id long"), 3, "both", max_nodes=40)
 
 
 def _ranks(rounds: int) -> str:

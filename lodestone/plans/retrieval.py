@@ -10,6 +10,7 @@ from lodestone.operators import pages as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import routing
 from lodestone.plans.tables import table
+from lodestone.sources.shared import stored
 
 QUERIES, SQL = {}, {}
 
@@ -130,7 +131,7 @@ def hybrid_search(spark, sf_dir):
         "lexical": R.lexical_stream(docs, "license", 300),
         "symbol": R.symbol_stream(docs.select("doc_id", F.substring("text", 1, 60).alias("head")), "license", 300, "doc_id", "head", 0.05),
     }
-    best = _best(R.fuse(streams), 10)
+    best = stored(_best(R.fuse(streams), 10), "hybrid-hits")  # ten rows, read twice below
     heads = docs.select(F.col("doc_id").cast("string").alias("id"), "text").join(F.broadcast(best.select("id")), "id", "left_semi")
     return best.join(heads.select("id", F.substring(T.collapse(F.col("text")), 1, 80).alias("head")), "id", "left")
 
