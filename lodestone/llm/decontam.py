@@ -29,26 +29,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from lodestone.llm.shared import stored
-from lodestone.llm.words import Words, slices
+from lodestone.llm.words import Words, mix, powers_to, slices
 
 SEED = 5
 COVERAGE = 0.5
 BROADCAST_WORDS = 2_000_000
-RESULT = [StructField("item_id", LongType()), StructField("coverage", DoubleType()), StructField("n_tiles", IntegerType()), StructField("n_items", IntegerType())]
+NAMES = ("item_id", "coverage", "n_tiles", "n_items")
+#: Verdicts have an underscore while they stand beside the columns of documents.
+RESULT = [StructField(f"_{n}", t) for n, t in zip(NAMES, (LongType(), DoubleType(), IntegerType(), IntegerType()), strict=True)]
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Rolling Karp-Rabin values of all runs of n word hashes (modulo 2**64)."""
+    """Karp-Rabin values of all runs of n word hashes (modulo 2**64), from one running sum."""
     m = len(hashes) - n + 1
-    out = np.zeros(max(m, 0), np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + m] if m > 0 else out
-    return out
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers_to(len(hashes))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[n:] - total[:m]) * down[:m])
+
+
+def _free(marks: np.ndarray, n: int) -> np.ndarray:
+    """Where runs of n unmarked words begin."""
+    total = np.concatenate([[0], np.cumsum(marks)])
+    return np.flatnonzero(total[n:] - total[:-n] == n)
 
 
 def _matches(text: np.ndarray, item: np.ndarray, n: int, free_t: np.ndarray, free_i: np.ndarray) -> list[tuple[int, int]]:
     """Positions (text, item) of equal, wholly unmarked runs of n words."""
-    open_t, open_i = (np.flatnonzero(np.convolve(f.astype(np.int64), np.ones(n, np.int64), "valid") == n) if len(f) >= n else np.zeros(0, np.int64) for f in (free_t, free_i))
+    open_t, open_i = _free(free_t, n), _free(free_i, n)
     if not len(open_t) or not len(open_i):
         return []
     of_item = defaultdict(list)
@@ -131,7 +141,7 @@ def judge(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BRO
     item_id: the item covered most, null if no seed is shared; n_items: items covered enough.
     """
     judged = _with_verdict(documents.select("doc_id", "text"), benchmark, broadcast_words, ("text",))
-    return judged.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "item_id", "coverage", "n_tiles", "n_items")
+    return judged.select("doc_id", (F.col("_n_items") > 0).alias("contaminated"), *(F.col(f"_{n}").alias(n) for n in NAMES))
 
 
 def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: int, without: tuple[str, ...]) -> DataFrame:
@@ -153,45 +163,60 @@ def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: i
                 coverage, n, item = max(scores, key=lambda s: (s[0], -s[2]))
                 best[r] = (item, coverage, n, sum(s[0] >= COVERAGE for s in scores))
             columns = [pa.array(x, t) for x, t in zip(zip(*best, strict=True), (pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), *columns], [*kept, "item_id", "coverage", "n_tiles", "n_items"])
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), *columns], [*kept, *(f"_{n}" for n in NAMES)])
 
     return documents.mapInArrow(judged, StructType([*(documents.schema[x] for x in kept), *RESULT]))
 
 
-def _seeds(texts: DataFrame, key: str) -> DataFrame:
-    """(key, seed) of each distinct run of SEED words."""
+def _seeds(texts: DataFrame, key: str, lengths: list[int] | None = None) -> DataFrame:
+    """(key, length, seed) of each distinct run of so many words; without lengths, of each
+    text's own: SEED words, or all that it has."""
+    kind = texts.schema[key]
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in slices(batches):
-            at, value = words.windows(words.hashes(), SEED)
-            ids = part.column(key).take(pa.array(words.row[at]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(value.view(np.int64))], [key, "seed"])
+            h = words.hashes()
+            for n in lengths or range(1, SEED + 1):
+                at, value = words.windows(h, n)
+                if not lengths and n < SEED:
+                    own = words.counts[words.row[at]] == n
+                    at, value = at[own], value[own]
+                ids = part.column(key).take(pa.array(words.row[at]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), n, np.int32)), pa.array(value.view(np.int64))], [key, "length", "seed"])
 
-    return texts.select(key, "text").mapInArrow(seeded, f"{key} long, seed long").distinct()
+    return texts.select(key, "text").mapInArrow(seeded, StructType([kind, StructField("length", IntegerType()), StructField("seed", LongType())])).distinct()
 
 
 def _by_shuffle(documents: DataFrame, items: DataFrame, without: tuple[str, ...]) -> DataFrame:
-    """The same verdicts for a benchmark of any size: (doc, item) pairs that share a seed are
-    joined on it, then tiled with both texts. Items of fewer than SEED words need the broadcast
-    form and are not covered here."""
-    pairs = stored(_seeds(documents, "doc_id").join(_seeds(items, "item_id"), "seed").select("doc_id", "item_id").distinct(), "decontam-pairs")
+    """The same verdicts for a benchmark of any size: (text, item) pairs that share a seed are
+    joined on it, then tiled. Texts go by their digest, so copies are tiled once."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    texts = stored(documents.select(digest("text").alias("digest"), "text").where("text is not null").dropDuplicates(["digest"]), "decontam-texts")
+    items = stored(items.distinct().withColumn("item", digest("text")), "decontam-items")
+    wording = items.select("item", "text").dropDuplicates(["item"])
+    of_items = stored(_seeds(wording, "item"), "decontam-seeds")
+    lengths = sorted(r[0] for r in of_items.select("length").distinct().collect())  # SEED of them at most
+    if not lengths:
+        lengths = [SEED]
+    pairs = stored(_seeds(texts, "digest", lengths).join(of_items, ["length", "seed"]).select("digest", "item").distinct(), "decontam-pairs")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in slices(batches):
-            other = Words(part.column("item"))
+            other = Words(part.column("wording"))
             h, g = words.hashes(), other.hashes()
             scores = [_judge_pair(h[words.first[r] : words.first[r + 1]], g[other.first[r] : other.first[r + 1]]) for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), pa.array([s[0] for s in scores], pa.float64()), pa.array([s[1] for s in scores], pa.int32())], ["doc_id", "item_id", "coverage", "n_tiles"])
+            yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("item"), pa.array([s[0] for s in scores], pa.float64()), pa.array([s[1] for s in scores], pa.int32())], ["digest", "item", "coverage", "n_tiles"])
 
-    both = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(documents.select("doc_id", "text"), "doc_id")
-    scored = both.select("doc_id", "item_id", "text", "item").mapInArrow(tiled, "doc_id long, item_id long, coverage double, n_tiles int")
-    best = scored.groupBy("doc_id").agg(F.max(F.struct("coverage", -F.col("item_id"), "n_tiles", "item_id")).alias("b"), F.sum((F.col("coverage") >= COVERAGE).cast("int")).cast("int").alias("n_items"))
-    best = best.select("doc_id", "b.item_id", "b.coverage", "b.n_tiles", "n_items")
-    out = documents.drop(*without).join(best, "doc_id", "left")
-    return out.withColumns({"coverage": F.coalesce("coverage", F.lit(0.0)), "n_tiles": F.coalesce("n_tiles", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0))})
+    both = pairs.join(wording.withColumnRenamed("text", "wording"), "item").join(texts, "digest")
+    scored = both.select("digest", "item", "text", "wording").mapInArrow(tiled, "digest string, item string, coverage double, n_tiles int")
+    scored = scored.join(items.select("item", "item_id"), "item")
+    best = scored.groupBy("digest").agg(F.max(F.struct("coverage", -F.col("item_id"), "n_tiles", "item_id")).alias("b"), F.sum((F.col("coverage") >= COVERAGE).cast("int")).cast("int").alias("_n_items"))
+    best = best.select(F.col("digest").alias("_digest"), F.col("b.item_id").alias("_item_id"), F.col("b.coverage").alias("_coverage"), F.col("b.n_tiles").alias("_n_tiles"), "_n_items")
+    out = documents.withColumn("_text", digest("text")).drop(*without).join(best, F.col("_text") == F.col("_digest"), "left").drop("_text", "_digest")
+    return out.withColumns({"_coverage": F.coalesce("_coverage", F.lit(0.0)), "_n_tiles": F.coalesce("_n_tiles", F.lit(0)), "_n_items": F.coalesce("_n_items", F.lit(0))})
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents that no benchmark item covers enough, with their own columns."""
     judged = _with_verdict(documents, benchmark, BROADCAST_WORDS, ())
-    return judged.where("n_items = 0").select(*documents.columns)
+    return judged.where("_n_items = 0").select(*documents.columns)

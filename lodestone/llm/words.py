@@ -30,7 +30,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     global _powers
     if len(_powers[0]) < n:
@@ -86,7 +86,7 @@ class Words:
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
         """64-bit hashes of byte ranges; equal bytes give equal hashes anywhere."""
-        up, down = _powers_to(len(self.data) + 1)
+        up, down = powers_to(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((_FOLDED if fold else _EXACT)[self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[end] - total[start]) * down[start])

@@ -53,7 +53,7 @@ def cases():
 def test_reordered_passages_are_caught_and_clean_ones_stay(spark, documents):
     items, rows = cases()
     bench = spark.createDataFrame(items + [(50, None), (51, ""), (None, "x y z a b c")], ITEMS)
-    docs = documents([(d, t) for d, t, _ in rows], extra=True)
+    docs = documents([(d, t) for d, t, _ in rows], extra=True).selectExpr("*", "1 as item_id", "2 as n_items", "3 as coverage", "'x' as item")
     for limit in (decontam.BROADCAST_WORDS, 10):  # both forms give the same
         got = sorted(decontam.judge(docs, bench, limit).collect(), key=lambda r: r["doc_id"])
         assert [r["contaminated"] for r in got] == [i is not None for _, _, i in rows]
@@ -64,8 +64,11 @@ def test_reordered_passages_are_caught_and_clean_ones_stay(spark, documents):
 
 
 def test_short_items_and_empty_tables(spark, documents):
-    bench = spark.createDataFrame([(1, "Short item")], ITEMS)
-    got = {r["doc_id"]: r["contaminated"] for r in decontam.judge(documents([(1, "a short ITEM b"), (2, "short b item")]), bench).collect()}
-    assert got == {1: True, 2: False}
+    bench = spark.createDataFrame([(1, "Short item"), (2, "Short item"), (3, "one")], ITEMS)
+    docs = documents([(1, "a short ITEM b"), (2, "short b item"), (2, "ONE"), (3, None)])
+    for limit in (decontam.BROADCAST_WORDS, 1):
+        got = sorted((r["doc_id"], r["contaminated"], r["item_id"], r["n_items"]) for r in decontam.judge(docs, bench, limit).collect() if r["item_id"])
+        assert got == [(1, True, 1, 2), (2, True, 3, 1)]
+        assert decontam.judge(docs, bench, limit).count() == 4
     assert not decontam.judge(documents([(1, "a b c d e f")]), spark.createDataFrame([], ITEMS)).first()["contaminated"]
     assert decontam.judge(documents([]), bench).count() == 0
