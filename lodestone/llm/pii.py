@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,22 +152,25 @@ def tokens_of(texts: list[tuple[int, str, list[Span]]]) -> Tokens:
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
         last: dict[str, int] = {}
         before = -2
-        first = 0
+        kinds: dict[int, int] = {}  # by word; the first span that touches it counts
+        ends = [b for _, b in words]
+        for a, kind, b in spans:
+            k = bisect_right(ends, a)
+            while k < len(words) and words[k][0] < b:
+                kinds.setdefault(k, kind + 1)
+                k += 1
         for k, (a, b) in enumerate(words):
             word = text[a:b]
             if "@" not in word and not any(c in "0123456789" for c in word):
                 continue
             here = len(row)
-            while first < len(spans) and spans[first][2] <= a and all(s[2] <= a for s in spans[first:]):
-                first += 1
-            kind = next((s[1] + 1 for s in spans[first:] if s[0] < b and s[2] > a), 0)
             row.append(r)
             core = _EDGE.sub("", word)
             lead = word.find(core) if core else 0
             start.append(a + lead)
             end.append(a + lead + len(core) if core else b)
             digits.append(sum(c in "0123456789" for c in core))
-            label.append(kind)
+            label.append(kinds.get(k, 0))
             feature.append(_features(word))
             if before == k - 1:
                 chain.append((here - 1, here))
