@@ -119,6 +119,6 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mixture(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """documents that the mix takes, with ``size`` and ``taken`` words."""
+    """documents that the mix takes, with ``size`` and ``taken`` words in place of columns so named."""
     plan = mix(documents, weights, most).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).where("taken > 0")
-    return documents.join(plan, "doc_id")
+    return documents.drop("size", "taken").join(plan, "doc_id")

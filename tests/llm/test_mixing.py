@@ -76,3 +76,4 @@ def test_mixture_keeps_rows_and_columns(documents):
     assert out.columns == [*docs.columns, "size", "taken"]
     plan = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]}
     assert {r["doc_id"]: r["taken"] for r in out.collect()} == plan
+    assert mixing.mixture(documents(make(4, 200, ["a", "b", "c"]), extra=True)).columns.count("size") == 1
