@@ -1,24 +1,31 @@
 """License scans by conditional compression.
 
-Lines with license vocabulary, merged over gaps of up to GAP lines, are the candidate blocks.
-A block is compressed alone and with each template as zstandard raw-content dictionary; the
-share of bytes that a template saves ranks the templates. The TOP best are compared word by
-word: a template is confirmed if at least MATCH of its words occur in the block in order
-(a longest common subsequence), years and holders left out of the template; what the block has more or
-less is the wording difference. Of confirmed templates the one of most matched words wins, then
-the one of most saving.
+Lines with license vocabulary, merged over gaps of up to GAP lines, are the candidate blocks. They
+only say where to look: the words around them, as far as a notice can reach, are searched too, so
+notices may be wrapped in any way. A template is confirmed where at least MATCH of its words occur
+in order (a longest common subsequence) in a span of at most ``reach`` words, years and holders left
+out of the template; the tightest such span is the notice, and what it has more or less is the
+wording difference. Templates that can't have enough of their words there are skipped, which changes nothing.
+
+A span is compressed alone and with the template as zstandard raw-content dictionary; the share
+of bytes that the template saves ranks notices of equally many matched words, then the name. In that order a
+notice is reported if its span does not overlap one reported before.
+
+A block is also compared as a whole, for notices with much text in between: the template of most
+words is reported with the block's span if it has more of them than every notice found there.
 
 Everything is a narrow map over the texts; templates are fixed and small.
 
 Edge cases: null and empty texts have no blocks. A block that no template explains is reported as
-``unknown``. Repeated blocks are each reported; equal winners go by template name. A block longer
-than BLOCK_WORDS words is compared in overlapping windows of that many words, all of them. Extra columns are
-ignored.
+``unknown``. Repeated notices are each reported. A block longer than BLOCK_WORDS words is compared
+in overlapping windows of that many words, all of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +34,10 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-GAP, TOP, MATCH, LEVEL, BLOCK_WORDS = 2, 3, 0.9, 3, 1024
-VOCABULARY = r"(?i)licen[sc]e|copyright|warrant|redistribut|permission (is|notice|to use)|public domain|all rights reserved|spdx"
-_LINE = re.compile(VOCABULARY)
-_WORD = re.compile(r"[a-z0-9.+]*[a-z0-9]")
+GAP, MATCH, LEVEL, BLOCK_WORDS = 2, 0.9, 3, 1024
+VOCABULARY = r"(?i)licen[sc]e|copyright|warrant|redistribut|permission\W+(is|notice|to\W+use)|public\W+domain|all\W+rights\W+reserved|spdx"
+_HIT = re.compile(VOCABULARY, re.ASCII)
+_WORD = re.compile(r"[A-Za-z0-9.+]+")
 
 # The wording that the licenses themselves or their stewards give.
 TEMPLATES = {
@@ -63,78 +70,197 @@ TEMPLATES = {
 }
 
 
+def placed(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words, and where each starts and ends in the text."""
+    words, start, end = [], [], []
+    for m in _WORD.finditer(text):
+        word = m[0].rstrip(".+")
+        if word:
+            words.append(word.lower())
+            start.append(m.start())
+            end.append(m.start() + len(word))
+    return words, start, end
+
+
 def wording(text: str) -> list[str]:
-    return _WORD.findall(text.lower().replace("-", " "))
+    return placed(text)[0]
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the candidate blocks of a text, in characters."""
     out: list[list[int]] = []
-    at, gap = 0, GAP + 1
-    for line in text.split("\n"):
-        if _LINE.search(line):
-            if out and gap <= GAP:
-                out[-1][1] = at + len(line)
-            else:
-                out.append([at, at + len(line)])
-            gap = 0
+    for m in _HIT.finditer(text):
+        if out and m.end() <= out[-1][1]:
+            continue
+        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        end = end if end >= 0 else len(text)
+        if out and (start <= out[-1][1] or text.count("\n", out[-1][1], start) <= GAP + 1):
+            out[-1][1] = end
         else:
-            gap += 1
-        at += len(line) + 1
+            out.append([start, end])
     return [(a, b) for a, b in out]
 
 
-def common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
+def reach(n: int) -> int:
+    """Words that a notice of n template words spans at most."""
+    return 2 * n + 8
+
+
+class Wording:
+    """A template's words, to be compared with others."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.back = words, words[::-1]
+        self.need = -int(-MATCH * len(words) // 1)
+        self.count = Counter(words)
+        self.where, self.where_back = _where(self.words), _where(self.back)
+
+    def possible(self, count: Counter) -> bool:
+        return sum(min(n, count[w]) for w, n in self.count.items()) >= self.need
+
+    def spans(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(start, end, words matched) of the notices, which don't overlap, in order."""
+        most, tight = reach(len(self.words)), set()
+        for k in range(0, max(1, len(words) - most), most):
+            part = words[k : k + 2 * most]
+            if not self.possible(Counter(part)):
+                continue
+            at = 0
+            while True:  # spans with enough words that have no smaller one inside
+                end = _reached(self.where, part[at:], self.need)
+                if end is None:
+                    break
+                start = at + end - _reached(self.where_back, part[at : at + end][::-1], self.need)
+                if at + end - start <= most:
+                    tight.add((k + start, k + at + end))
+                at = start + 1
+        left, out = sorted(tight), []
+        while left:
+            near = [x for x in left if x[0] < left[0][1]]
+            low, high = sorted({a for a, _ in near}), {b for _, b in near}
+            best = None
+            for a in low:
+                for b, n in _lengths(self.where, words[a : max(high)], a):
+                    if b in high and n >= self.need and b - a <= most and (best is None or (2 * n - (b - a), n) > best[0]):
+                        best = (2 * n - (b - a), n), a, b
+            (_, n), a, b = best
+            out.append((a, b, n))
+            left = [x for x in left if x[0] >= b]
+        return out
+
+
+def _where(words: list[str]) -> dict[str, int]:
     where: dict[str, int] = {}
-    for k, w in enumerate(b):
+    for k, w in enumerate(words):
         where[w] = where.get(w, 0) | (1 << k)
+    return where
+
+
+def _next(row: int, here: int) -> int:
+    m = row | here
+    return m & ~(m - ((row << 1) | 1))
+
+
+def _lengths(where: dict[str, int], words: list[str], at: int = 0) -> Iterator[tuple[int, int]]:
+    """(end, length of the longest common subsequence up to it), counted from at."""
     row = 0
-    for w in a:
-        m = row | where.get(w, 0)
-        row = m & ~(m - ((row << 1) | 1))
-    return row.bit_count()
+    for k, w in enumerate(words, at + 1):
+        if w in where:
+            row = _next(row, where[w])
+        yield k, row.bit_count()
+
+
+def _reached(where: dict[str, int], words: list[str], need: int) -> int | None:
+    return next((k for k, n in _lengths(where, words) if n >= need), None)
+
+
+def common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    n, where = 0, _where(b)
+    for _, n in _lengths(where, a):
+        pass
+    return n
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.words = {k: wording(v) for k, v in templates.items()}
+        self.words = {k: Wording(wording(v)) for k, v in templates.items()}
+        self.reach = max(reach(len(w.words)) for w in self.words.values())
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.given = {k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
 
-    def _window(self, words: list[str]) -> list[tuple]:
+    def _saved(self, name: str, words: list[str]) -> float:
         data = " ".join(words).encode()
-        size = len(self.alone.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / size, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        out = []
-        for saved, name in ranked[:TOP]:
-            own = self.words[name]
-            n = common(own, words)
-            if n >= MATCH * len(own):
-                out.append((n, saved, name, len(own) - n, len(words) - n))
-        return out
+        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
 
-    def identify(self, block: str) -> tuple[str, float, int, int]:
-        """(license, share of bytes saved, template words missing, block words more)."""
-        words = wording(block)
-        step = BLOCK_WORDS // 2
-        found = []
+    def whole(self, words: list[str]) -> tuple[int, float, str] | None:
+        """(words matched, share of bytes saved, license) of a block as a whole."""
+        step, found = BLOCK_WORDS // 2, []
         for k in range(0, max(1, len(words) - step), step) if len(words) > BLOCK_WORDS else (0,):
-            found += self._window(words[k : k + BLOCK_WORDS])
-        if not found:
-            return "unknown", 0.0, 0, len(words)
-        n, saved, name, missing, more = min(found, key=lambda x: (-x[0], -x[1], x[2]))
-        return name, saved, missing, more
+            part = words[k : k + BLOCK_WORDS]
+            count = Counter(part)
+            for name, own in self.words.items():
+                n = common(part, own.words) if own.possible(count) else 0
+                if n >= own.need:
+                    found.append((n, self._saved(name, part), name))
+        return min(found, key=lambda x: (-x[0], -x[1], x[2]), default=None)
+
+    def notices(self, words: list[str], low: int, high: int) -> list[tuple[int, int, int, float, str]]:
+        """(start, end, words matched, share of bytes saved, license) in words[low:high]."""
+        near = words[low:high]
+        count, found, claimed = Counter(near), [], set()
+        for name, own in self.words.items():
+            for a, b, n in own.spans(near) if own.possible(count) else ():
+                found.append((low + a, low + b, n, self._saved(name, near[a:b]), name))
+        out = []
+        for x in sorted(found, key=lambda x: (-x[2], -x[3], x[4], x[0])):
+            a, b, *_ = x
+            if claimed.isdisjoint(range(a, b)):
+                out.append(x)
+                claimed.update(range(a, b))
+        return sorted(out)
+
+    def scan(self, text: str) -> list[tuple[str, int, int, float, int, int]]:
+        """(license, start, end, share of bytes saved, template words missing, words more)."""
+        found = blocks(text)
+        words, start, end = placed(text)
+        inside = [(bisect_left(start, a), bisect_right(end, b)) for a, b in found]
+        near: list[list[int]] = []
+        for low, high in inside:
+            low, high = max(0, low - self.reach), min(len(words), high + self.reach)
+            if near and low <= near[-1][1]:
+                near[-1][1] = high
+            else:
+                near.append([low, high])
+        notices = [x for low, high in near for x in self.notices(words, low, high)]
+        out = [(name, start[a], end[b - 1], saved, len(self.words[name].words) - n, b - a - n) for a, b, n, saved, name in notices]
+        touched = 0
+        for (a, b), (low, high) in zip(found, inside, strict=True):
+            while touched < len(notices) and notices[touched][1] <= low - self.reach:
+                touched += 1
+            here = []
+            for x in notices[touched:]:
+                if x[0] >= high:
+                    break
+                if x[1] > low:
+                    here.append(x)
+            best = self.whole(words[low:high])
+            if best and best[0] > max((x[2] for x in here), default=0) and best[2] not in {x[4] for x in here}:
+                n, saved, name = best
+                out.append((name, a, b, saved, len(self.words[name].words) - n, high - low - n))
+            elif not here:
+                out.append(("unknown", a, b, 0.0, 0, high - low))
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, license, start, end, saved, n_missing, n_more) of each block of each document."""
+    """(doc_id, license, start, end, saved, n_missing, n_more) of each notice, or block without one, of each document."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for batch in batches:
             hit = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), VOCABULARY), False))
-            rows = [(i, found[0], a, b, *found[1:]) for i, text in zip(hit.column("doc_id").to_pylist(), hit.column("text").to_pylist(), strict=True) for a, b in blocks(text) for found in (scanner.identify(text[a:b]),)]
+            rows = [(i, *found) for i, text in zip(hit.column("doc_id").to_pylist(), hit.column("text").to_pylist(), strict=True) for found in scanner.scan(text)]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x) if t == pa.float64() else x, t) for x, t in zip(columns, kinds, strict=True)], names)

@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 
 from lodestone.llm import licenses, rules
@@ -72,3 +74,19 @@ def test_variants_unknown_and_edges(documents):
     got = [(r["doc_id"], r["license"]) for r in licenses.scan(documents(rows)).collect()]
     assert sorted(got) == [(1, "MIT"), (2, "unknown"), (7, "CC-BY-4.0"), (7, "CC-BY-NC-4.0"), (8, "Reserved")]
     assert licenses.scan(documents([])).count() == 0
+
+
+def test_wrapped_notices_are_found_whole(documents):
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense", "Reserved"]
+    rows = []
+    for name in names:
+        text = licenses.TEMPLATES[name].replace("conditions: The", "conditions:\n\nThe").replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. ")
+        for mark, width in (("", 72), ("# ", 76), (" * ", 80), ("", 50)):
+            lines = [mark + x for part in text.split("\n") for x in textwrap.wrap(part, width) or [""]]
+            rows.append((len(rows), f"Some text before.\n\n\n\n{'\n'.join(lines)}\n\n\n\nAnd after.", name))
+    got = {}
+    for r in licenses.scan(documents([r[:2] for r in rows])).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["n_missing"], rows[r["doc_id"]][1][r["start"] : r["end"]]))
+    for k, text, name in rows:
+        found = licenses.wording(text)[3:-2]
+        assert [(n, m, licenses.wording(t)) for n, m, t in got[k]] == [(name, 0, found)], (name, got[k])
