@@ -9,7 +9,8 @@ wording difference. Templates that can't have enough of their words there are sk
 
 A span is compressed alone and with the template as zstandard raw-content dictionary; the share
 of bytes that the template saves ranks notices of equally many matched words, then the name. In that order a
-notice is reported if its span does not overlap one reported before.
+notice is reported if it has a word that no notice reported before accounts for; so a notice inside
+a longer one or a near variant of it is left out.
 
 A block is also compared as a whole, for notices with much text in between: the template of most
 words is reported with the block's span if it has more of them than every notice found there.
@@ -148,6 +149,23 @@ class Wording:
             left = [x for x in left if x[0] >= b]
         return out
 
+    def matched(self, words: list[str]) -> list[int]:
+        """Positions in words of a longest common subsequence."""
+        rows = [0]
+        for w in words:
+            rows.append(_next(rows[-1], self.where.get(w, 0)))
+        held = lambda i, j: (rows[j] & ((1 << i) - 1)).bit_count()
+        i, j, out = len(self.words), len(words), []
+        while i and j:
+            if held(i, j - 1) == held(i, j):
+                j -= 1
+            elif held(i - 1, j) == held(i, j):
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append(j)
+        return out[::-1]
+
 
 def _where(words: list[str]) -> dict[str, int]:
     where: dict[str, int] = {}
@@ -214,10 +232,10 @@ class Scanner:
                 found.append((low + a, low + b, n, self._saved(name, near[a:b]), name))
         out = []
         for x in sorted(found, key=lambda x: (-x[2], -x[3], x[4], x[0])):
-            a, b, *_ = x
-            if claimed.isdisjoint(range(a, b)):
+            a, b, n, _, name = x
+            if common([words[p] for p in range(a, b) if p in claimed], self.words[name].words) < n:
                 out.append(x)
-                claimed.update(range(a, b))
+                claimed.update(a + p for p in self.words[name].matched(words[a:b]))
         return sorted(out)
 
     def scan(self, text: str) -> list[tuple[str, int, int, float, int, int]]:

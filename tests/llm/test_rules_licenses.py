@@ -90,3 +90,23 @@ def test_wrapped_notices_are_found_whole(documents):
     for k, text, name in rows:
         found = licenses.wording(text)[3:-2]
         assert [(n, m, licenses.wording(t)) for n, m, t in got[k]] == [(name, 0, found)], (name, got[k])
+
+
+def test_every_notice_of_a_block_is_reported(documents):
+    t = licenses.TEMPLATES
+    short = ["MIT-licensed", "Apache-2.0-notice", "BSD-notice", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-2.0-notice", "GPL-3.0-notice", "BSL-1.0", "Reserved"]
+    cases = [
+        ("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", ["Apache-2.0-notice", "MIT-notice"]),
+        ("Licensed under the MIT or the Apache License, Version 2.0.", ["Apache-2.0-notice", "MIT-licensed"]),
+        ("\n".join(t[k] for k in short), short),
+        ("\n".join(f"Copyright of part {k}: {t['MIT']}\n{t['BSD-3-Clause']}" for k in range(3)) + "\n" + t["Reserved"], ["MIT", "BSD-3-Clause"] * 3 + ["Reserved"]),
+        ("license text " * 700 + t["CC-BY-4.0"] + " license text" * 700, ["CC-BY-4.0"]),
+        (t["MIT"].replace("conditions:", "conditions: " + "license of no one " * 60), ["MIT"]),
+    ]
+    got = {k: [] for k in range(len(cases))}
+    for r in licenses.scan(documents([c[0] for c in cases])).collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["license"]))
+    for k, (text, names) in enumerate(cases):
+        assert sorted(x[2] for x in got[k]) == sorted(names), (names, got[k])
+        if len(names) > 2:
+            assert [licenses.wording(text[a:b]) for a, b, _ in sorted(got[k])] == [licenses.wording(t[n]) for n in names]
