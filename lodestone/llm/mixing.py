@@ -3,9 +3,11 @@
 Sizes are words. Targets share all words by weight, no source above ``most`` times its own
 size, the excess shared again by weight until none is above.
 
-The schedule is a sequence of slots, one block of words each. Slot t has the golden-ratio point
-frac((t + 1/2) * phi), which falls into one source's interval of the cumulative target shares;
-in any stretch of slots every source gets its share to within a few slots. Within a source the
+The schedule is a sequence of slots, one block of words each. Blocks are as long as the table's size
+suggests, but shorter in a source whose target would else be fewer than SLOTS_PER_SOURCE of them. A source
+needs target / own block words slots. Slot t has the golden-ratio point frac((t + 1/2) * phi), which
+falls into one source's interval of the cumulative shares of slots; in any stretch of slots
+every source gets its share to within a few slots, and the few that it lacks after the last follow at the end. Within a source the
 documents are shuffled by a seeded hash, laid end to end and cut into equal blocks; the source's
 r-th slot takes block r mod K, so it goes round all its K blocks before it repeats one. A
 document's ``taken`` is its overlap with the blocks taken, repeats counted.
@@ -83,14 +85,17 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     sources = stored(targets(docs, weights, most), "mix-sources")
     total, n_sources = sources.select(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     block = max(1, min(BLOCK_WORDS, total // max(1, n_sources * SLOTS_PER_SOURCE)))
-    n_slots = -(-total // block)
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
 
     # Blocks of each source: n_blocks equal runs of its shuffled words, cut at whole words.
-    share = F.sum("target").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)) / F.greatest(F.sum("target").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(1e-300))
-    cut = sources.where("target > 0").select("*", F.ceil(F.col("source_size") / F.lit(block)).alias("n_blocks"), share.alias("high"))
+    length = F.least(F.lit(float(block)), F.col("target") / SLOTS_PER_SOURCE)
+    cut = sources.where("target > 0").withColumn("n_blocks", F.least("source_size", F.ceil(F.col("source_size") / length)))
+    cut = cut.withColumn("need", F.col("target") * F.col("n_blocks") / F.col("source_size"))
+    share = F.sum("need").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)) / F.greatest(F.sum("need").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(1e-300))
+    cut = cut.withColumn("high", share)
     cut = cut.withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("place")), F.lit(0.0))).withColumn("high", F.when(F.lead("place").over(W.orderBy("place")).isNull(), F.lit(2.0)).otherwise(F.col("high")))
     cut = stored(cut, "mix-cuts")
+    n_slots = cut.select(F.ceil(F.coalesce(F.sum("need"), F.lit(0.0)))).first()[0]
 
     # Slots find their source by the cell of the unit interval that their point lies in.
     cells = max(1, min(1 << 16, n_sources * 64))
@@ -99,17 +104,22 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     point = F.expr(f"pmod(pmod((id div {LEAP}) * {LEAP_PHI}D, 1D) + (id % {LEAP} + 0.5D) * {PHI}D, 1D)")
     slots = spark.range(n_slots).select("id", point.alias("point"), F.floor(point * cells).alias("cell"))
     slots = slots.join(small(places), "cell").where("point >= low and point < high").select("id", "place", "n_blocks", F.floor(F.col("id") / PART).alias("part"), F.lit(1).alias("one"))
-    ranked = _running(slots, "place", "part", ["id"], "one", "rank")
+    slots = stored(slots, "mix-slots")
+    ranked = _running(slots, "place", "part", ["id"], "one", "rank").select("place", "n_blocks", "rank")
+    had = slots.groupBy("place").agg(F.count("*").alias("had"))
+    short = cut.select("place", "n_blocks", F.round("need").cast("long").alias("need")).join(had, "place", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    ranked = ranked.union(short.where("had < need").select("place", "n_blocks", F.explode(F.expr("sequence(had, need - 1)")).alias("rank")))
     uses = ranked.where(F.col("rank") < most * F.col("n_blocks")).groupBy("place", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("uses"))
 
-    # Words of each document on its source's line; the first ``longer`` blocks have a word more.
+    # Words of each document on its source's line; block k begins at word k * source_size div n_blocks, so
+    # that the first blocks, which are taken once more than the others, are no longer than those.
     named = docs.where("size > 0").join(small(cut.select("source", "source_size", "n_docs", "place", "n_blocks")), docs["source"].eqNullSafe(cut["source"])).drop(cut["source"])
     hashed = named.withColumn("mark", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("part", F.pmod("mark", F.ceil(F.col("n_docs") / PART)))
     line = _running(hashed, "place", "part", ["mark", "doc_id", "size"], "size", "start").withColumn("end", F.expr("start + size"))
     line = line.withColumns({"words": F.expr("source_size div n_blocks"), "longer": F.expr("source_size % n_blocks")})
-    of = lambda at: f"if({at} < longer * (words + 1), {at} div (words + 1), longer + ({at} - longer * (words + 1)) div words)"
-    spans = line.select("place", "start", "end", "words", "longer", F.explode(F.expr(f"sequence({of('start')}, {of('(end - 1)')})")).alias("block"))
-    low, high = (F.expr(f"(block + {k}) * words + least(block + {k}, longer)") for k in (0, 1))
+    of = lambda at: f"(cast({at} + 1 as decimal(19)) * cast(n_blocks as decimal(18)) - 1) div source_size"
+    spans = line.select("place", "start", "end", "words", "longer", "n_blocks", F.explode(F.expr(f"sequence({of('start')}, {of('(end - 1)')})")).alias("block"))
+    low, high = (F.expr(f"(block + {k}) * words + (block + {k}) * longer div n_blocks") for k in (0, 1))
     spans = spans.select("place", "start", "block", (F.least("end", high) - F.greatest("start", low)).alias("overlap"))
     taken = spans.join(uses, ["place", "block"]).groupBy("place", "start").agg(F.sum(F.col("overlap") * F.col("uses")).alias("taken"))
     laid = line.select("doc_id", "place", "start", "size").join(taken, ["place", "start"], "left").select("doc_id", "place", "size", "taken")

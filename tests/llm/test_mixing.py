@@ -77,3 +77,11 @@ def test_mixture_keeps_rows_and_columns(documents):
     plan = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]}
     assert {r["doc_id"]: r["taken"] for r in out.collect()} == plan
     assert mixing.mixture(documents(make(4, 200, ["a", "b", "c"]), extra=True)).columns.count("size") == 1
+
+
+def test_small_sources_beside_a_huge_one_reach_their_targets(documents):
+    rows = [(k, "w " * 100_000, "huge") for k in range(60)]
+    rows += [(1000 + k, "w " * n, s) for k, (n, s) in enumerate([(100, "a"), (200, "a"), (1500, "b"), (1500, "b"), (1, "c"), (7, "zz")])]
+    got = mixing.mix(documents(rows)).collect()
+    check(rows, got, 0.02)
+    assert all(r["taken"] for r in got if r["doc_id"] >= 1000)
