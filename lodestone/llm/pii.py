@@ -4,8 +4,10 @@ Base spans (email, ip, card, phone) come from the patterns of ``base_spans``. Th
 labels the text's tokens that hold a digit or ``@`` with O or one of the four kinds. Neighbouring
 tokens share chain potentials; the occurrences of one key (the same word without its edge
 punctuation, the same digits, or the same last seven digits) are joined, each to the next, by skip
-potentials, so that distant mentions agree. Loopy sum-product message passing runs over all
-texts of a batch at once. Tokens in base spans are observed; other tokens become spans of a kind
+potentials. For the labelling each is also joined to the key's first token in a base span of each kind, so that
+evidence reaches all mentions in one step, however many lie between. Loopy sum-product message passing
+runs over all texts of a batch at once, for each until its messages stop changing (by SETTLED or
+less; ROUNDS only ends loops that never settle). Tokens in base spans are observed; other tokens become spans of a kind
 if their belief in it is at least CONFIDENCE and they don't touch a base span.
 
 Potentials are fitted by pseudo-likelihood (so each token is predicted from its own shape and its
@@ -43,7 +45,7 @@ MOST_DIGITS = (0, 0, 0, 19, 15)
 MAX_TRAIN_ROWS = 4000
 HASHED = 1 << 12
 CONFIDENCE = 0.9
-ROUNDS, DAMPING = 12, 0.3
+ROUNDS, SETTLED, DAMPING = 1000, 1e-4, 0.3
 STEPS, RATE, DECAY, HIDDEN = 300, 0.1, 0.2, 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -143,14 +145,15 @@ class Tokens:
     label: np.ndarray  # by the base spans
     chain: np.ndarray  # pairs of token indices
     skip: np.ndarray
+    told: np.ndarray  # links to base spans that skip lacks; not used for fitting
 
 
 def tokens_of(texts: list[tuple[int, str, list[Span]]]) -> Tokens:
     """texts: (row, text, base spans)."""
-    row, start, end, digits, feature, label, chain, skip = [], [], [], [], [], [], [], []
+    row, start, end, digits, feature, label, chain, skip, told = [], [], [], [], [], [], [], [], []
     for r, text, spans in texts:
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-        last: dict[str, int] = {}
+        held: dict[str, list[int]] = {}
         before = -2
         kinds: dict[int, int] = {}  # by word; the first span that touches it counts
         ends = [b for _, b in words]
@@ -176,11 +179,18 @@ def tokens_of(texts: list[tuple[int, str, list[Span]]]) -> Tokens:
                 chain.append((here - 1, here))
             before = k
             for key in _keys(word):
-                if key in last:
-                    skip.append((last[key], here))
-                last[key] = here
+                if key in held:
+                    skip.append((held[key][-1], here))
+                held.setdefault(key, []).append(here)
+        for at in held.values():
+            first: dict[int, int] = {}
+            for k in at if len(at) > 2 else ():
+                if label[k]:
+                    first.setdefault(label[k], k)
+            told += [(min(k, f), max(k, f)) for f in first.values() for k in at if not label[k]]
     pair = lambda x: np.array(sorted(set(x)), np.int64).reshape(-1, 2)
-    return Tokens(*(np.array(x, np.int64) for x in (row, start, end)), np.array(feature, np.int64).reshape(-1, N_FEATURES), np.array(digits, np.int64), np.array(label, np.int64), pair(chain), pair(skip))
+    told = set(told).difference(skip)
+    return Tokens(*(np.array(x, np.int64) for x in (row, start, end)), np.array(feature, np.int64).reshape(-1, N_FEATURES), np.array(digits, np.int64), np.array(label, np.int64), pair(chain), pair(skip), pair(told))
 
 
 @dataclass
@@ -195,20 +205,26 @@ class Field:
         own = self.own[t.feature].sum(axis=1)
         seen = t.label > 0
         own[seen] = np.where(np.arange(LABELS) == t.label[seen, None], 0.0, -50.0)
-        edge = np.concatenate([t.chain, t.skip])
+        edge = np.concatenate([t.chain, t.skip, t.told])
         if len(edge):
-            potential = np.concatenate([np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(t.skip), 0)])
+            potential = np.concatenate([np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(t.skip) + len(t.told), 0)])
             source, target = np.concatenate([edge[:, 0], edge[:, 1]]), np.concatenate([edge[:, 1], edge[:, 0]])
             potential = np.concatenate([potential, potential])
             back = np.concatenate([np.arange(len(edge)) + len(edge), np.arange(len(edge))])
             message = np.zeros((len(source), LABELS))
+            live = np.arange(len(source))  # the links of texts that have not settled
             for _ in range(ROUNDS):
+                before = message[live]
                 total = own.copy()
-                np.add.at(total, target, message)
-                at = (total[source] - message[back])[:, :, None] + potential
+                np.add.at(total, target[live], before)
+                at = (total[source[live]] - message[back[live]])[:, :, None] + potential[live]
                 new = np.logaddexp.reduce(at, axis=1)
                 new -= np.logaddexp.reduce(new, axis=1)[:, None]
-                message = DAMPING * message + (1 - DAMPING) * new
+                message[live] = DAMPING * before + (1 - DAMPING) * new
+                rows = t.row[source[live]]
+                live = live[np.isin(rows, rows[np.abs(message[live] - before).max(axis=1) > SETTLED])]
+                if not len(live):
+                    break
             own = own.copy()
             np.add.at(own, target, message)
         return np.exp(own - np.logaddexp.reduce(own, axis=1)[:, None]) if n else own
@@ -306,7 +322,7 @@ def fit(documents: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Field:
     whole = {f: np.concatenate(x) if x else np.zeros((0, N_FEATURES if f == "feature" else 2), np.int64) for f, x in parts.items()}
     label = whole["label"].reshape(-1)
     blank = np.zeros(len(label), np.int64)
-    return fit_field(Tokens(blank, blank, blank, whole["feature"], blank, label, whole["chain"], whole["skip"]))
+    return fit_field(Tokens(blank, blank, blank, whole["feature"], blank, label, whole["chain"], whole["skip"], np.zeros((0, 2), np.int64)))
 
 
 def _found(part: pa.RecordBatch, words: Words, field: Field) -> dict[int, tuple[str, list[Span], list[Span]]]:

@@ -86,3 +86,20 @@ def test_overlapping_spans_mask_once():
     text = "+1 234567890@a.bc x"
     spans = pii.base_spans(text)
     assert pii.masked(text, spans).count("[") < len(spans) and pii.masked(text, spans).endswith(" x")
+
+
+def test_evidence_reaches_every_mention(documents):
+    bare = " and then 7654321 again" * 50
+    rows = [(2000, f"call +49 170 7654321 now{bare}"), (2001, f"so{bare} call +49 170 7654321 now"), (2002, f"so{bare}")]
+    found = {r["doc_id"]: set(r["spans"].split(",")) for r in pii.find(documents(corpus() + rows)).collect()}
+    for doc, text in rows[:2]:
+        missed = [m.start() for m in re.finditer("then 7654321", text) if f"phone:{m.start() + 5}:{m.end()}" not in found[doc]]
+        assert not missed, (doc, missed)
+    assert found[2002] == {""}
+
+
+def test_a_text_is_labelled_the_same_alone_and_in_a_batch():
+    texts = [t for _, t in corpus()[:40]] + ["call +49 170 7654321 now" + " and 7654321" * 30]
+    tokens = lambda x: pii.tokens_of([(k, t, pii.base_spans(t)) for k, t in enumerate(x)])
+    field = pii.fit_field(tokens(texts))
+    assert field.spans(tokens(texts)).get(40) == field.spans(tokens(texts[40:])).get(0)
