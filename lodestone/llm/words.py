@@ -7,6 +7,7 @@ ASCII, so bytes and code points give the same words. Work runs in slices of abou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,12 @@ SPACED = ~_SPACE
 #: Letters, digits and everything beyond ASCII: words without their punctuation.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
-_SEED = np.random.default_rng(20240607)
-_EXACT = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _FOLDED[97:123]  # A-Z hash as a-z
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z read as a-z
+#: Masks of the first k bytes of a little-endian 64-bit value.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Ranges of more bytes are hashed one by one; a text has few of them.
+LONG_BYTES = 4096
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -85,11 +88,26 @@ class Words:
         return np.repeat(np.arange(len(self.at) - 1), self.counts)
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-        """64-bit hashes of byte ranges; equal bytes give equal hashes anywhere."""
-        up, down = powers_to(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_FOLDED if fold else _EXACT)[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start])
+        """64-bit hashes of byte ranges; equal bytes give equal hashes anywhere.
+
+        Each step takes eight bytes of all ranges that have so many left and mixes them in, so no
+        pattern inside a range cancels out, as it does in sums of powers.
+        """
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _FOLD[self.data] if fold else self.data
+        eight = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, strides=(1,))
+        length = (end - start).astype(np.int64)
+        h = mix(length.astype(np.uint64) + np.uint64(_BASE))
+        for k in np.flatnonzero(length > LONG_BYTES).tolist():
+            digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest()
+            h[k] ^= np.frombuffer(digest, np.uint64)[0]
+        live = np.flatnonzero((length > 0) & (length <= LONG_BYTES))
+        at, left = start[live].astype(np.int64), length[live]
+        while len(live):
+            h[live] = mix((h[live] ^ (eight[at] & _FIRST[np.minimum(left, 8)])) * np.uint64(_BASE))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        return h
 
     def hashes(self, fold: bool = True) -> np.ndarray:
         return self.span_hashes(self.start, self.end, fold)

@@ -1,10 +1,14 @@
 import random
 import re
+from math import comb
 
+import numpy as np
 import pytest
 
+from lodestone.llm import components as module
 from lodestone.llm import neardup
 from lodestone.llm.components import components
+from lodestone.llm.shared import stored
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -68,6 +72,54 @@ def test_kept_rows_null_ids_and_empty_table(documents):
     assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(documents(rows[:2] + rows[4:])).collect()) == [1, 3]
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_text(documents):
+    t, u = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(3, t), (5, t), (5, u), (7, u), (7, u), (5, "v w x y z v x")]
+    got = neardup.near_duplicates(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (7, 5, False)]
+    kept = neardup.drop_near_duplicates(documents(rows, extra=True)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, t), (5, u), (5, "v w x y z v x")]
+
+
+def test_versions_of_one_id_never_meet_in_a_node(documents):
+    """(5, t) and (5, u) are unlike; each has near-copies of its own."""
+    t, u = [" ".join(f"{x}{k}" for k in range(40)) for x in "tu"]
+    rows = [(5, t), (5, u), (6, t + " more"), (8, u + " more"), (9, "more or less " + u)]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == {(5, 38): 5, (6, 39): 5, (8, 39): 5, (9, 41): 5}
+    kept = neardup.drop_near_duplicates(documents(rows), 3, 85).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(5, t), (5, u)]
+
+
+def test_hot_buckets_are_joined_apart(documents, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_LEAST", 2)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 0.0)
+    rows = variants(8, 5, 9, 60, 4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_estimate_drops_a_pair_at_the_threshold_with_less_than_its_bound():
+    for level in (0.8, 0.85):
+        cut = neardup.most_apart(np.array([128.0, 4.0]), level)
+        below = sum(comb(128, k) * level**k * (1 - level) ** (128 - k) for k in range(int(cut[0] * 128) + 1))
+        assert 0.3 < cut[0] < level and below < neardup.LOSS and cut[1] == -1
+
+
+def test_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+
+    def counted(df, name):
+        rounds.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(module, "stored", counted)
+    links = spark.range(1000).selectExpr("id a", "id + 1 b")
+    got = components(links.coalesce(1)).collect()
+    assert rounds.count("components-map") <= 12
+    assert dict(got) == {k: 0 for k in range(1001)}
+
+
 def test_components_of_chain_star_and_loops(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (140, 139), (200, 201), (201, 200)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
