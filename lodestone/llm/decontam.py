@@ -7,13 +7,15 @@ have (Karp-Rabin over word hashes, the length searched downwards), mark it, unti
 SEED words is left. Tiles don't overlap and come in any order, so reordered passages count. A
 document is contaminated if tiles cover at least COVERAGE of an item's words.
 
-The benchmark is broadcast if its words are at most BROADCAST_WORDS (counted first); a larger
-one is joined on shuffled seeds. Documents stay where they are.
+The benchmark is broadcast as sorted arrays if it has at most BROADCAST_WORDS words and
+BROADCAST_BYTES bytes (counted first; some 30 bytes of memory a word); a larger one is joined on shuffled seeds. Documents
+stay where they are. Both forms give the same rows.
 
 Edge cases: null or short texts have no seeds and are clean; items of fewer than SEED words
 are matched as a whole if a document holds their exact words in a row. An empty benchmark
-leaves every document clean. Repeated items count once each, and the best is the one of most
-coverage, then the smallest item_id. Rows that repeat are each judged. Extra columns are
+leaves every document clean. Rows that repeat an item_id and its text are one item; an item_id with
+several texts is an item for each. An item without an item_id counts like any other, with a null item_id.
+The best item is the one of most coverage, then the smallest item_id (null last), then the most tiles. Rows that repeat are each judged. Extra columns are
 ignored by judge and kept by drop_contaminated.
 """
 
@@ -33,7 +35,7 @@ from lodestone.llm.words import Words, mix, powers_to, slices
 
 SEED = 5
 COVERAGE = 0.5
-BROADCAST_WORDS = 2_000_000
+BROADCAST_WORDS, BROADCAST_BYTES = 2_000_000, 20_000_000
 NAMES = ("item_id", "coverage", "n_tiles", "n_items")
 #: Verdicts have an underscore while they stand beside the columns of documents.
 RESULT = [StructField(f"_{n}", t) for n, t in zip(NAMES, (LongType(), DoubleType(), IntegerType(), IntegerType()), strict=True)]
@@ -56,17 +58,42 @@ def _free(marks: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(total[n:] - total[:-n] == n)
 
 
-def _matches(text: np.ndarray, item: np.ndarray, n: int, free_t: np.ndarray, free_i: np.ndarray) -> list[tuple[int, int]]:
-    """Positions (text, item) of equal, wholly unmarked runs of n words."""
+def _share_run(text: np.ndarray, item: np.ndarray, n: int, free_t: np.ndarray, free_i: np.ndarray) -> bool:
+    """Whether both have a wholly unmarked run of the same n words."""
     open_t, open_i = _free(free_t, n), _free(free_i, n)
-    if not len(open_t) or not len(open_i):
-        return []
-    of_item = defaultdict(list)
-    for at, h in zip(open_i.tolist(), runs(item, n)[open_i].tolist(), strict=True):
-        of_item[h].append(at)
-    values = runs(text, n)[open_t]
-    hit = np.isin(values, np.fromiter(of_item, np.uint64, len(of_item)))
-    return [(t, i) for t, h in zip(open_t[hit].tolist(), values[hit].tolist(), strict=True) for i in of_item[h] if (text[t : t + n] == item[i : i + n]).all()]
+    return bool(len(open_t) and len(open_i) and np.isin(runs(text, n)[open_t], runs(item, n)[open_i]).any())
+
+
+def _mark(text: np.ndarray, item: np.ndarray, n: int, free_t: np.ndarray, free_i: np.ndarray) -> list[tuple[int, int, int]]:
+    """Mark the equal runs of n unmarked words, in text order, then item order.
+
+    Each run of the text goes to the first run of the item that is still free, so only that one is
+    looked at: runs of equal value wait in the item's order, and those that a mark touched leave it.
+    """
+    open_t, open_i = _free(free_t, n), _free(free_i, n)
+    value_t, value_i = runs(text, n)[open_t], runs(item, n)[open_i]
+    hit = np.isin(value_t, value_i)
+    order = np.argsort(value_i, kind="stable")
+    value_i, open_i = value_i[order], open_i[order]
+    low = np.searchsorted(value_i, value_t[hit]).tolist()
+    waiting: dict[int, int] = {}  # first place of a value -> the next one to try
+    found, after = [], 0
+    for t, first in zip(open_t[hit].tolist(), low, strict=True):
+        if t < after:  # a mark set in this call covers its start
+            continue
+        k = waiting.get(first, first)
+        while k < len(open_i) and value_i[k] == value_i[first]:
+            i = int(open_i[k])
+            if not (free_i[i] and free_i[i + n - 1]):  # marks are n words or more, so they touch an end
+                k += 1
+                continue
+            if (text[t : t + n] == item[i : i + n]).all():
+                free_t[t : t + n] = free_i[i : i + n] = False
+                found.append((t, i, n))
+                after, k = t + n, k + 1
+            break
+        waiting[first] = k
+    return found
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
@@ -80,17 +107,14 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[i
         low, best = least, 0
         while low <= high:
             n = (low + high) // 2
-            if _matches(text, item, n, free_t, free_i):
+            if _share_run(text, item, n, free_t, free_i):
                 best, low = n, n + 1
             else:
                 high = n - 1
         if not best:
             break
-        for t, i in _matches(text, item, best, free_t, free_i):
-            if free_t[t : t + best].all() and free_i[i : i + best].all():
-                free_t[t : t + best] = free_i[i : i + best] = False
-                found.append((t, i, best))
-        high = best
+        found += _mark(text, item, best, free_t, free_i)
+        high = best - 1  # all runs of that length are used up
     return found
 
 
@@ -100,39 +124,52 @@ def _judge_pair(text: np.ndarray, item: np.ndarray) -> tuple[float, int]:
 
 
 class _Index:
-    """Benchmark items by their seeds."""
+    """Benchmark items by their seeds: word hashes of all items in a row, and for each seed length
+    the sorted seeds with the item of each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         words = Words(pa.array([t for _, t in items], pa.string()))
-        h = words.hashes()
-        self.items = {}
-        seeds = defaultdict(set)
-        for k, (item_id, _) in enumerate(items):
-            own = h[words.first[k] : words.first[k + 1]]
-            if len(own):
-                self.items[k] = (item_id, own)
-                for s in runs(own, min(SEED, len(own))).tolist():
-                    seeds[min(SEED, len(own)), s].add(k)
-        self.lengths = sorted({n for n, _ in seeds})
-        self.seeds = dict(seeds)
-        self.sorted = {n: np.sort(np.array([s for m, s in seeds if m == n], np.uint64)) for n in self.lengths}
-        self.gate = {}
-        for n, values in self.sorted.items():
+        self.ids = [i for i, _ in items]
+        self.hashes, self.first = words.hashes(), words.first
+        self.seeds, self.gate = {}, {}
+        for n in range(1, SEED + 1):
+            at, value = _own_runs(words, self.hashes, n)
+            if not len(at):
+                continue
+            item = words.row[at].astype(np.int32)
+            order = np.lexsort((item, value))
+            value, item = value[order], item[order]
+            once = np.ones(len(value), bool)
+            once[1:] = (value[1:] != value[:-1]) | (item[1:] != item[:-1])
+            self.seeds[n] = value[once], item[once]
             self.gate[n] = np.zeros(1 << 20, bool)
-            self.gate[n][(values >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, words: Words) -> dict[int, set[int]]:
-        """Items that share a seed with each text, by text index."""
-        out = defaultdict(set)
-        h, row = words.hashes(), words.row
-        for n in self.lengths:
-            values = runs(h, n)
-            at = np.flatnonzero(self.gate[n][(values >> np.uint64(44)).astype(np.int64)])
-            at = at[np.isin(values[at], self.sorted[n]) & (row[at] == row[at + n - 1])]
-            for r, s in zip(row[at].tolist(), values[at].tolist(), strict=True):
-                out[r] |= self.seeds[n, s]
-        self.last = h
-        return out
+            self.gate[n][(value >> np.uint64(44)).astype(np.int64)] = True
+
+    def item(self, k: int) -> np.ndarray:
+        return self.hashes[self.first[k] : self.first[k + 1]]
+
+    def hits(self, words: Words, h: np.ndarray) -> list[tuple[int, int]]:
+        """(text index, item) of all that share a seed, in order."""
+        pairs = [np.zeros(0, np.int64)]
+        for n, (seeds, item) in self.seeds.items():
+            at, value = words.windows(h, n)
+            near = self.gate[n][(value >> np.uint64(44)).astype(np.int64)]
+            key, value = words.row[at[near]], value[near]
+            low, high = np.searchsorted(seeds, value, "left"), np.searchsorted(seeds, value, "right")
+            count = high - low
+            place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            pairs.append(np.unique(np.repeat(key, count) * len(self.ids) + item[place]))
+        both = np.unique(np.concatenate(pairs))
+        return list(zip((both // len(self.ids)).tolist(), (both % len(self.ids)).tolist(), strict=True)) if self.ids else []
+
+
+def _own_runs(words: Words, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of an item's seeds of n words: all runs of SEED, or a shorter item as a whole."""
+    at, value = words.windows(h, n)
+    if n < SEED:
+        whole = words.counts[words.row[at]] == n
+        at, value = at[whole], value[whole]
+    return at, value
 
 
 def judge(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -146,9 +183,9 @@ def judge(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BRO
 
 def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: int, without: tuple[str, ...]) -> DataFrame:
     spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    n_words = items.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    if n_words > broadcast_words:
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
+    n_words, n_bytes = items.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.sum(F.octet_length("text"))).first()
+    if (n_words or 0) > broadcast_words or (n_bytes or 0) > BROADCAST_BYTES:
         return _by_shuffle(documents, items, without)
     index_of = spark.sparkContext.broadcast(_Index([tuple(r) for r in items.orderBy("item_id", "text").collect()]))
     kept = [x for x in documents.columns if x not in without]
@@ -156,12 +193,16 @@ def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: i
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of.value
         for part, words in slices(batches):
+            h = words.hashes()
+            scores = defaultdict(list)
+            for r, k in index.hits(words, h):
+                coverage, n = _judge_pair(h[words.first[r] : words.first[r + 1]], index.item(k))
+                item = index.ids[k]
+                scores[r].append((coverage, item is not None, -(item or 0), n, item))
             best = [(None, 0.0, 0, 0)] * part.num_rows
-            for r, ks in index.hits(words).items():
-                text = index.last[words.first[r] : words.first[r + 1]]
-                scores = [(*_judge_pair(text, index.items[k][1]), index.items[k][0]) for k in ks]
-                coverage, n, item = max(scores, key=lambda s: (s[0], -s[2]))
-                best[r] = (item, coverage, n, sum(s[0] >= COVERAGE for s in scores))
+            for r, found in scores.items():
+                coverage, _, _, n, item = max(found, key=lambda x: x[:4])
+                best[r] = (item, coverage, n, sum(x[0] >= COVERAGE for x in found))
             columns = [pa.array(x, t) for x, t in zip(zip(*best, strict=True), (pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), *columns], [*kept, *(f"_{n}" for n in NAMES)])
 
@@ -177,10 +218,7 @@ def _seeds(texts: DataFrame, key: str, lengths: list[int] | None = None) -> Data
         for part, words in slices(batches):
             h = words.hashes()
             for n in lengths or range(1, SEED + 1):
-                at, value = words.windows(h, n)
-                if not lengths and n < SEED:
-                    own = words.counts[words.row[at]] == n
-                    at, value = at[own], value[own]
+                at, value = words.windows(h, n) if lengths else _own_runs(words, h, n)
                 ids = part.column(key).take(pa.array(words.row[at]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), n, np.int32)), pa.array(value.view(np.int64))], [key, "length", "seed"])
 
@@ -192,7 +230,7 @@ def _by_shuffle(documents: DataFrame, items: DataFrame, without: tuple[str, ...]
     joined on it, then tiled. Texts go by their digest, so copies are tiled once."""
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     texts = stored(documents.select(digest("text").alias("digest"), "text").where("text is not null").dropDuplicates(["digest"]), "decontam-texts")
-    items = stored(items.distinct().withColumn("item", digest("text")), "decontam-items")
+    items = stored(items.withColumn("item", digest("text")), "decontam-items")
     wording = items.select("item", "text").dropDuplicates(["item"])
     of_items = stored(_seeds(wording, "item"), "decontam-seeds")
     lengths = sorted(r[0] for r in of_items.select("length").distinct().collect())  # SEED of them at most
@@ -210,7 +248,7 @@ def _by_shuffle(documents: DataFrame, items: DataFrame, without: tuple[str, ...]
     both = pairs.join(wording.withColumnRenamed("text", "wording"), "item").join(texts, "digest")
     scored = both.select("digest", "item", "text", "wording").mapInArrow(tiled, "digest string, item string, coverage double, n_tiles int")
     scored = scored.join(items.select("item", "item_id"), "item")
-    best = scored.groupBy("digest").agg(F.max(F.struct("coverage", -F.col("item_id"), "n_tiles", "item_id")).alias("b"), F.sum((F.col("coverage") >= COVERAGE).cast("int")).cast("int").alias("_n_items"))
+    best = scored.groupBy("digest").agg(F.max(F.struct("coverage", F.col("item_id").isNotNull(), -F.col("item_id"), "n_tiles", "item_id")).alias("b"), F.sum((F.col("coverage") >= COVERAGE).cast("int")).cast("int").alias("_n_items"))
     best = best.select(F.col("digest").alias("_digest"), F.col("b.item_id").alias("_item_id"), F.col("b.coverage").alias("_coverage"), F.col("b.n_tiles").alias("_n_tiles"), "_n_items")
     out = documents.withColumn("_text", digest("text")).drop(*without).join(best, F.col("_text") == F.col("_digest"), "left").drop("_text", "_digest")
     return out.withColumns({"_coverage": F.coalesce("_coverage", F.lit(0.0)), "_n_tiles": F.coalesce("_n_tiles", F.lit(0)), "_n_items": F.coalesce("_n_items", F.lit(0))})

@@ -1,4 +1,6 @@
+import pickle
 import random
+import time
 
 import numpy as np
 
@@ -63,6 +65,36 @@ def test_reordered_passages_are_caught_and_clean_ones_stay(spark, documents):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5, 8, 8]
 
 
+def test_repeated_items_count_once_in_both_forms(spark, documents):
+    text = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(1, text), (1, text), (2, text), (2, text + " nine"), (None, text), (None, text), (3, "a b c d e f")], ITEMS)
+    docs = documents([(1, text), (1, text), (2, "x " + text + " nine"), (3, "a b c d e f")])
+    both = [sorted(tuple(r) for r in decontam.judge(docs, bench, limit).collect()) for limit in (decontam.BROADCAST_WORDS, 0)]
+    assert both[0] == both[1] == [(1, True, 1, 1.0, 1, 4), (1, True, 1, 1.0, 1, 4), (2, True, 1, 1.0, 1, 4), (3, True, 3, 1.0, 1, 1)]
+    nameless = spark.createDataFrame([(None, text)], ITEMS)
+    for limit in (decontam.BROADCAST_WORDS, 0):
+        assert [(r["contaminated"], r["item_id"], r["n_items"]) for r in decontam.judge(docs.where("doc_id = 2"), nameless, limit).collect()] == [(True, None, 1)]
+
+
+def test_bytes_bound_the_broadcast(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(decontam, "_Index", None)  # the index must not be built
+    assert decontam.judge(documents(["q" * 100]), spark.createDataFrame([(1, "q" * 100)], ITEMS)).first()["contaminated"]
+
+
+def test_repetitive_texts_take_linear_work():
+    began = time.perf_counter()
+    got = decontam.tiles(np.full(8000, 7, np.uint64), np.full(800, 7, np.uint64))
+    turns = decontam.tiles(np.arange(8000, dtype=np.uint64) % 3, np.arange(800, dtype=np.uint64)[::-1] % 3)
+    assert got == [(0, 0, 800)] and turns == [] and time.perf_counter() - began < 5
+
+
+def test_index_is_small():
+    draw = np.random.default_rng(1)
+    items = [(k, " ".join(map(str, draw.integers(0, 10**6, 200)))) for k in range(500)]
+    assert len(pickle.dumps(decontam._Index(items), 5)) < 40 * 100_000
+
+
 def test_short_items_and_empty_tables(spark, documents):
     bench = spark.createDataFrame([(1, "Short item"), (2, "Short item"), (3, "one")], ITEMS)
     docs = documents([(1, "a short ITEM b"), (2, "short b item"), (2, "ONE"), (3, None)])
