@@ -2,24 +2,22 @@
 
 Lines with license vocabulary, merged over gaps of up to GAP lines, are the candidate blocks. They
 only say where to look: the words around them, as far as a notice can reach, are searched too, so
-notices may be wrapped in any way. A template is confirmed where at least MATCH of its words occur
-in order (a longest common subsequence) in a span of at most ``reach`` words, years and holders left
-out of the template; the tightest such span is the notice, and what it has more or less is the
-wording difference. Templates that can't have enough of their words there are skipped, which changes nothing.
+notices may be wrapped in any way. Every template is compared with every candidate; one that can't have enough of its words
+there is skipped, which changes nothing.
 
-A span is compressed alone and with the template as zstandard raw-content dictionary; the share
-of bytes that the template saves ranks notices of equally many matched words, then the name. In that order a
-notice is reported if it has a word that no notice reported before accounts for; so a notice inside
-a longer one or a near variant of it is left out.
-
-A block is also compared as a whole, for notices with much text in between: the template of most
-words is reported with the block's span if it has more of them than every notice found there.
+A candidate span is compressed alone and with the template as zstandard raw-content dictionary; the share
+of bytes that the template saves ranks candidates of equally many matched words, then the name. In that order a
+candidate is confirmed by its wording: template and span are aligned word by word (a longest common
+subsequence), at least MATCH of the template's words are there, no more words stand between them than
+``most_more`` (none for a template of under five words), and every version number of the template is there. The
+words that are missing or more are returned. A notice is reported if it has a word that no notice reported before accounts
+for; so a notice inside a longer one or a near variant of it is left out, and all others of a block are reported.
 
 Everything is a narrow map over the texts; templates are fixed and small.
 
 Edge cases: null and empty texts have no blocks. A block that no template explains is reported as
-``unknown``. Repeated notices are each reported. A block longer than BLOCK_WORDS words is compared
-in overlapping windows of that many words, all of them. Extra columns are ignored.
+``unknown``. Repeated notices and repeated rows are each reported. Blocks may have any length: windows that
+overlap by a whole notice go over all of it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +33,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-GAP, MATCH, LEVEL, BLOCK_WORDS = 2, 0.9, 3, 1024
+GAP, MATCH, LEVEL = 2, 0.9, 3
 VOCABULARY = r"(?i)licen[sc]e|copyright|warrant|redistribut|permission\W+(is|notice|to\W+use)|public\W+domain|all\W+rights\W+reserved|spdx"
 _HIT = re.compile(VOCABULARY, re.ASCII)
 _WORD = re.compile(r"[A-Za-z0-9.+]+")
@@ -68,7 +66,13 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "Reserved": "All rights reserved.",
+    "MIT-name": "MIT License",
+    "Apache-2.0-name": "Apache License 2.0",
+    "Apache-2.0-version": "Apache License, Version 2.0",
 }
+#: Identifiers that follow ``SPDX-License-Identifier:``.
+SPDX = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense", "BSL-1.0")
+TEMPLATES |= {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 
 
 def placed(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -102,9 +106,19 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def most_more(n: int) -> int:
+    """Words that a notice of n template words has more at most."""
+    return max(3, n // 4) if n >= 5 else 0
+
+
 def reach(n: int) -> int:
     """Words that a notice of n template words spans at most."""
-    return 2 * n + 8
+    return n + most_more(n)
+
+
+def versions(words: list[str]) -> set[str]:
+    """Version numbers: numbers with a point or after the word ``version``."""
+    return {w for before, w in zip(["", *words], words, strict=False) if w[0].isdigit() and ("." in w or before == "version")}
 
 
 class Wording:
@@ -115,6 +129,7 @@ class Wording:
         self.need = -int(-MATCH * len(words) // 1)
         self.count = Counter(words)
         self.where, self.where_back = _where(self.words), _where(self.back)
+        self.more, self.versions = most_more(len(words)), versions(words)
 
     def possible(self, count: Counter) -> bool:
         return sum(min(n, count[w]) for w, n in self.count.items()) >= self.need
@@ -142,15 +157,18 @@ class Wording:
             best = None
             for a in low:
                 for b, n in _lengths(self.where, words[a : max(high)], a):
-                    if b in high and n >= self.need and b - a <= most and (best is None or (2 * n - (b - a), n) > best[0]):
+                    if b in high and n >= self.need and b - a - n <= self.more and (best is None or (2 * n - (b - a), n) > best[0]) and self.versions.issubset(words[a:b]):
                         best = (2 * n - (b - a), n), a, b
+            if best is None:
+                left = left[1:]
+                continue
             (_, n), a, b = best
             out.append((a, b, n))
             left = [x for x in left if x[0] >= b]
         return out
 
-    def matched(self, words: list[str]) -> list[int]:
-        """Positions in words of a longest common subsequence."""
+    def matched(self, words: list[str]) -> list[tuple[int, int]]:
+        """Positions (template, words) of a longest common subsequence."""
         rows = [0]
         for w in words:
             rows.append(_next(rows[-1], self.where.get(w, 0)))
@@ -163,9 +181,15 @@ class Wording:
                 i -= 1
             else:
                 i, j = i - 1, j - 1
-                out.append(j)
+                out.append((i, j))
         return out[::-1]
 
+    def differences(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """The template's words that are missing in words, and those that words has more."""
+        pairs = self.matched(words)
+        own, other = {i for i, _ in pairs}, {j for _, j in pairs}
+        return [w for k, w in enumerate(self.words) if k not in own], [w for k, w in enumerate(words) if k not in other]
+
 
 def _where(words: list[str]) -> dict[str, int]:
     where: dict[str, int] = {}
@@ -211,18 +235,6 @@ class Scanner:
         data = " ".join(words).encode()
         return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
 
-    def whole(self, words: list[str]) -> tuple[int, float, str] | None:
-        """(words matched, share of bytes saved, license) of a block as a whole."""
-        step, found = BLOCK_WORDS // 2, []
-        for k in range(0, max(1, len(words) - step), step) if len(words) > BLOCK_WORDS else (0,):
-            part = words[k : k + BLOCK_WORDS]
-            count = Counter(part)
-            for name, own in self.words.items():
-                n = common(part, own.words) if own.possible(count) else 0
-                if n >= own.need:
-                    found.append((n, self._saved(name, part), name))
-        return min(found, key=lambda x: (-x[0], -x[1], x[2]), default=None)
-
     def notices(self, words: list[str], low: int, high: int) -> list[tuple[int, int, int, float, str]]:
         """(start, end, words matched, share of bytes saved, license) in words[low:high]."""
         near = words[low:high]
@@ -235,11 +247,11 @@ class Scanner:
             a, b, n, _, name = x
             if common([words[p] for p in range(a, b) if p in claimed], self.words[name].words) < n:
                 out.append(x)
-                claimed.update(a + p for p in self.words[name].matched(words[a:b]))
+                claimed.update(a + p for _, p in self.words[name].matched(words[a:b]))
         return sorted(out)
 
-    def scan(self, text: str) -> list[tuple[str, int, int, float, int, int]]:
-        """(license, start, end, share of bytes saved, template words missing, words more)."""
+    def scan(self, text: str) -> list[tuple[str, int, int, float, int, int, str, str]]:
+        """(license, start, end, share of bytes saved, number of template words missing and of words more, these words)."""
         found = blocks(text)
         words, start, end = placed(text)
         inside = [(bisect_left(start, a), bisect_right(end, b)) for a, b in found]
@@ -251,37 +263,33 @@ class Scanner:
             else:
                 near.append([low, high])
         notices = [x for low, high in near for x in self.notices(words, low, high)]
-        out = [(name, start[a], end[b - 1], saved, len(self.words[name].words) - n, b - a - n) for a, b, n, saved, name in notices]
+        out = []
+        for a, b, _, saved, name in notices:
+            missing, more = self.words[name].differences(words[a:b])
+            out.append((name, start[a], end[b - 1], saved, len(missing), len(more), " ".join(missing), " ".join(more)))
         touched = 0
         for (a, b), (low, high) in zip(found, inside, strict=True):
             while touched < len(notices) and notices[touched][1] <= low - self.reach:
                 touched += 1
-            here = []
-            for x in notices[touched:]:
-                if x[0] >= high:
-                    break
-                if x[1] > low:
-                    here.append(x)
-            best = self.whole(words[low:high])
-            if best and best[0] > max((x[2] for x in here), default=0) and best[2] not in {x[4] for x in here}:
-                n, saved, name = best
-                out.append((name, a, b, saved, len(self.words[name].words) - n, high - low - n))
-            elif not here:
-                out.append(("unknown", a, b, 0.0, 0, high - low))
+            ahead = touched
+            while ahead < len(notices) and notices[ahead][0] < high and notices[ahead][1] <= low:
+                ahead += 1
+            if ahead == len(notices) or notices[ahead][0] >= high:
+                out.append(("unknown", a, b, 0.0, 0, high - low, "", ""))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, license, start, end, saved, n_missing, n_more) of each notice, or block without one, of each document."""
+    """(doc_id, license, start, end, saved, n_missing, n_more, missing, more) of each notice, or block without one, of each document."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for batch in batches:
             hit = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), VOCABULARY), False))
             rows = [(i, *found) for i, text in zip(hit.column("doc_id").to_pylist(), hit.column("text").to_pylist(), strict=True) for found in scanner.scan(text)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x) if t == pa.float64() else x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
-    names = ["doc_id", "license", "start", "end", "saved", "n_missing", "n_more"]
-    return documents.select("doc_id", "text").mapInArrow(scanned, "doc_id long, license string, start long, end long, saved double, n_missing long, n_more long")
+    names = ["doc_id", "license", "start", "end", "saved", "n_missing", "n_more", "missing", "more"]
+    return documents.select("doc_id", "text").mapInArrow(scanned, "doc_id long, license string, start long, end long, saved double, n_missing long, n_more long, missing string, more string")

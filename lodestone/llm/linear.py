@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lodestone.llm.sampling import MAX_BYTES, bounded, one_text
 from lodestone.llm.words import SPACED, Words, mix, slices
 
 Features = Callable[[Words], list[tuple[np.ndarray, np.ndarray]]]
@@ -79,15 +80,16 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, *, alpha: f
     return Model(used, w[used], float(w[size]), bits)
 
 
-def sample(texts: DataFrame, labels: DataFrame, label: str, features: Features, bits: int, max_rows: int, inside: np.ndarray = SPACED) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Features of at most max_rows labelled texts: those with the smallest hash of their id.
+def sample(texts: DataFrame, labels: DataFrame, label: str, features: Features, bits: int, max_rows: int, inside: np.ndarray = SPACED, max_bytes: int = MAX_BYTES) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Features of at most max_rows labelled texts: those with the smallest hash of their id, as far
+    as their features fit into max_bytes.
 
     The drawn ids are the only broadcast, at most max_rows of them. Rows of null label or
-    without a text row are left out.
+    without a text row are left out; of a doc_id with several texts one is learnt from.
     """
     drawn = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = one_text(texts.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in slices(batches, inside=inside):
@@ -100,6 +102,7 @@ def sample(texts: DataFrame, labels: DataFrame, label: str, features: Features,
             )
 
     found = rows.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, bucket binary, count binary")
+    found = bounded(found, F.octet_length("bucket") + F.octet_length("count"), max_bytes)
     out = []
     for batch in found.toArrow().to_batches():
         ids, y = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.sampling import MAX_BYTES, bounded, one_text
 from lodestone.llm.words import Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -298,8 +299,9 @@ def _with_candidates(words: Words) -> np.ndarray:
     return words.sums(_MARKED[words.data]) > 0
 
 
-def fit(documents: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Field:
-    """A field fitted on the base spans of at most max_rows documents that have candidates."""
+def fit(documents: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_BYTES) -> Field:
+    """A field fitted on the base spans of at most max_rows documents that have candidates, as far as
+    their tokens fit into max_bytes; of a doc_id with several texts one is learnt from."""
     drawn = documents.where(F.col("text").rlike("[0-9@]")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +311,10 @@ def fit(documents: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Field:
             arrays = [pa.array([np.ascontiguousarray(getattr(x, f)).astype(np.int32).tobytes() for x in t], pa.binary()) for f in ("feature", "label", "chain", "skip")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "feature", "label", "chain", "skip"])
 
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
-    got = rows.mapInArrow(extract, "doc_id long, feature binary, label binary, chain binary, skip binary").toArrow().sort_by("doc_id").to_pydict()
+    rows = one_text(documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    found = rows.mapInArrow(extract, "doc_id long, feature binary, label binary, chain binary, skip binary")
+    size = sum((F.octet_length(x) for x in ("feature", "label", "chain", "skip")), F.lit(0))
+    got = bounded(found, size, max_bytes).toArrow().sort_by("doc_id").to_pydict()
     parts, ahead = {"feature": [], "label": [], "chain": [], "skip": []}, 0
     for k in range(len(got["doc_id"])):
         read = {f: np.frombuffer(got[f][k], np.int32).astype(np.int64) for f in parts}

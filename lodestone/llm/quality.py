@@ -55,7 +55,7 @@ def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def held_out(doc_id="doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> linear.Model:

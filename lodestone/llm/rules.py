@@ -191,7 +191,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS)
     """Learn from at most max_rows of labels(doc_id, quality); 0 is bad."""
     drawn = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     counted = statistics(documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), ("doc_id", "quality"))
-    rows = counted.select("doc_id", "quality", *(F.expr(v).alias(k) for k, v in RATIOS.items())).toArrow().sort_by("doc_id")
+    rows = counted.select("doc_id", "quality", *(F.expr(v).alias(k) for k, v in RATIOS.items()))
+    # A doc_id with several texts is one row; the groups combine before the shuffle.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *RATIOS)).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return []
     x = np.stack([rows[k].to_numpy() for k in RATIOS], axis=1)

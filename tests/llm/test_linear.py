@@ -1,9 +1,13 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import quality, toxicity
+from lodestone.llm import linear, quality, toxicity
+from lodestone.llm.words import ALNUM
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -67,3 +71,54 @@ def test_weights_are_sparse(spark, documents):
     rows, labels = corpus(300)
     model = toxicity.fit(documents(rows), spark.createDataFrame(labels, LABELS))
     assert 0 < len(model.bucket) < 2000
+
+
+def test_updates_match_a_plain_loop():
+    """FTRL-proximal written out for one coordinate at a time, in the same order of rows."""
+    draw = np.random.default_rng(2)
+    rows = [(int(draw.integers(0, 2)), np.unique(draw.integers(0, 16, 5)).astype(np.int32), None) for _ in range(60)]
+    rows = [(y, b, draw.integers(1, 4, len(b))) for y, b, _ in rows]
+    alpha, beta, l1, l2, epochs, seed = 0.2, 1.0, 0.3, 0.1, 2, 7
+    z, n = {}, {}
+
+    def weight(i):
+        own = 0.0 if i == "bias" else l1
+        if abs(z.get(i, 0.0)) <= own:
+            return 0.0
+        return -(z[i] - math.copysign(own, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            y, bucket, count = rows[r]
+            x = {int(b): math.log1p(c) for b, c in zip(bucket, count)} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, before = (p - y) * v, n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / alpha * w[i]
+    model = linear.train(rows, 4, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs, seed=seed)
+    full = model.dense()
+    assert [pytest.approx(weight(i), abs=1e-12) for i in range(16)] == full.tolist() and model.bias == pytest.approx(weight("bias"))
+    assert 0 < len(model.bucket) < 16
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, documents):
+    rows, labels = corpus(60)
+    labels = spark.createDataFrame(labels, LABELS)
+    once = documents(rows)
+    often = once.union(once.where("doc_id = 3").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(100_000))).alias("k"), "text", "lang", "source", "n_chars").drop("k"))
+    draw = lambda docs, **k: linear.sample(docs, labels, "toxic", toxicity.features, toxicity.BITS, 50, ALNUM, **k)
+    few, same = draw(once), draw(often)
+    assert len(few) == len(same) == 50 and all((a[1] == b[1]).all() and a[0] == b[0] for a, b in zip(few, same))
+    size = sum(b.nbytes + c.nbytes for _, b, c in few)
+    part = draw(once, max_bytes=size // 2)
+    assert 0 < len(part) < 50 and sum(b.nbytes + c.nbytes for _, b, c in part) <= size // 2
+
+
+def test_a_null_id_is_not_held_out(spark, documents):
+    rows, labels = corpus(30)
+    for module in (toxicity, quality):
+        got = module.judge(documents(rows + [(None, "abcd")]), spark.createDataFrame(labels, LABELS)).where("doc_id is null").collect()
+        assert [r["held_out"] for r in got] == [False]

@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestone.llm import pii
@@ -103,3 +105,45 @@ def test_a_text_is_labelled_the_same_alone_and_in_a_batch():
     tokens = lambda x: pii.tokens_of([(k, t, pii.base_spans(t)) for k, t in enumerate(x)])
     field = pii.fit_field(tokens(texts))
     assert field.spans(tokens(texts)).get(40) == field.spans(tokens(texts[40:])).get(0)
+
+
+def enumerated(field, t):
+    """Exact marginals: every labelling of the tokens, weighed by its potentials."""
+    n = len(t.row)
+    own = field.own[t.feature].sum(axis=1)
+    out = np.zeros((n, pii.LABELS))
+    for labels in itertools.product(range(pii.LABELS), repeat=n):
+        if any(t.label[k] and labels[k] != t.label[k] for k in range(n)):
+            continue
+        score = sum(own[k, labels[k]] for k in range(n) if not t.label[k])
+        score += sum(field.chain[labels[a], labels[b]] for a, b in t.chain.tolist()) + sum(field.skip[labels[a], labels[b]] for a, b in np.concatenate([t.skip, t.told]).tolist())
+        out[np.arange(n), labels] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_marginals_match_enumeration():
+    """Exact on trees, clamped tokens included; close on a loop of weak potentials."""
+    draw = np.random.default_rng(12)
+    pairs = lambda *x: np.array(x, np.int64).reshape(-1, 2)
+    graphs = [
+        (pairs((0, 1), (1, 2), (2, 3)), pairs(), pairs(), 1.0, 1e-4),
+        (pairs((0, 1), (2, 3)), pairs((0, 2), (2, 4)), pairs(), 1.0, 1e-4),
+        (pairs((0, 1)), pairs((1, 2)), pairs((0, 3), (0, 4)), 1.0, 1e-4),
+        (pairs((0, 1), (1, 2)), pairs((0, 2)), pairs(), 0.3, 0.02),
+    ]
+    for chain, skip, told, strength, error in graphs:
+        for clamped in (0, 2):
+            symmetric = lambda: (lambda m: m + m.T)(draw.normal(0, strength, (pii.LABELS, pii.LABELS)))
+            field = pii.Field(draw.normal(0, 1, (pii.HASHED, pii.LABELS)), symmetric(), symmetric())
+            n = 5
+            label = np.zeros(n, np.int64)
+            label[0] = clamped
+            blank = np.zeros(n, np.int64)
+            t = pii.Tokens(blank, blank, blank, draw.integers(0, pii.HASHED, (n, pii.N_FEATURES)), blank, label, chain, skip, told)
+            assert np.abs(field.beliefs(t) - enumerated(field, t)).max() < error
+
+
+def test_sample_is_bounded(documents, spark):
+    rows = corpus()
+    assert (pii.fit(documents(rows)).own == pii.fit(documents(rows + [rows[0]] * 500)).own).all()
+    assert (pii.fit(documents(rows), max_bytes=0).own[:, 0] == 1).all()

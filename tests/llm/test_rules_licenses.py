@@ -1,4 +1,6 @@
+import random
 import textwrap
+from collections import Counter
 
 import numpy as np
 
@@ -92,6 +94,23 @@ def test_wrapped_notices_are_found_whole(documents):
         assert [(n, m, licenses.wording(t)) for n, m, t in got[k]] == [(name, 0, found)], (name, got[k])
 
 
+def test_differences_are_the_exact_words(documents):
+    """Against a plain alignment: the rows of a table of longest common subsequences."""
+    text = licenses.TEMPLATES["MIT"].replace("without limitation", "with no limitation").replace("merge, ", "")
+    rows = [(1, text), (1, text), (2, "Licensed under the terms of the MIT License.")]
+    got = licenses.scan(documents(rows)).collect()
+    mit = [(r["missing"], r["more"], r["n_missing"], r["n_more"]) for r in got if r["license"] == "MIT"]
+    assert mit == [("without merge", "with no", 2, 2)] * 2
+    assert [(r["license"], r["missing"], r["more"]) for r in got if r["doc_id"] == 2] == [("MIT-licensed", "", "terms of the")]
+    draw = random.Random(3)
+    for name in ("MIT", "BSD-2-Clause", "ISC"):
+        own = licenses.wording(licenses.TEMPLATES[name])
+        other = [w for w in own if draw.random() > 0.05]
+        other.insert(draw.randrange(len(other)), "zebra")
+        missing, more = licenses.Wording(own).differences(other)
+        assert more == ["zebra"] and sorted(missing) == sorted((Counter(own) - Counter(other)).elements())
+
+
 def test_every_notice_of_a_block_is_reported(documents):
     t = licenses.TEMPLATES
     short = ["MIT-licensed", "Apache-2.0-notice", "BSD-notice", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-2.0-notice", "GPL-3.0-notice", "BSL-1.0", "Reserved"]
@@ -101,12 +120,54 @@ def test_every_notice_of_a_block_is_reported(documents):
         ("\n".join(t[k] for k in short), short),
         ("\n".join(f"Copyright of part {k}: {t['MIT']}\n{t['BSD-3-Clause']}" for k in range(3)) + "\n" + t["Reserved"], ["MIT", "BSD-3-Clause"] * 3 + ["Reserved"]),
         ("license text " * 700 + t["CC-BY-4.0"] + " license text" * 700, ["CC-BY-4.0"]),
-        (t["MIT"].replace("conditions:", "conditions: " + "license of no one " * 60), ["MIT"]),
+        (t["MIT"].replace("conditions:", "conditions: " + "license of no one " * 60), ["unknown"]),  # interrupted by more words than a notice may have
+        ("all the text here shows no rights of any other people and some seats are reserved, copyright", ["unknown"]),
+        ("MIT License or Apache License 2.0, all rights reserved", ["MIT-name", "Apache-2.0-name", "Reserved"]),
+        ("This work is licensed under the GNU General Public License, version 1.", ["unknown"]),
+        ("SPDX-License-Identifier: MIT", ["SPDX-MIT"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["SPDX-MIT", "SPDX-Apache-2.0"]),
+        (t["MIT"] + "\n\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0-notice"]),
+        ("word " * 3000 + t["MIT"].replace(" ", "\n") + " word" * 3000, ["MIT"]),
     ]
     got = {k: [] for k in range(len(cases))}
     for r in licenses.scan(documents([c[0] for c in cases])).collect():
         got[r["doc_id"]].append((r["start"], r["end"], r["license"]))
     for k, (text, names) in enumerate(cases):
         assert sorted(x[2] for x in got[k]) == sorted(names), (names, got[k])
-        if len(names) > 2:
+        if len(names) > 3:
             assert [licenses.wording(text[a:b]) for a, b, _ in sorted(got[k])] == [licenses.wording(t[n]) for n in names]
+
+
+def test_grown_condition_is_the_best_of_all():
+    """Against every threshold of every statistic, both ways; ties go to the first statistic, then <=."""
+    draw = np.random.default_rng(4)
+    for _ in range(40):
+        x = draw.integers(0, 5, (30, len(rules.RATIOS))).astype(float)
+        bad = draw.random(30) < 0.4
+        if not 0 < bad.sum() < 30:
+            continue
+        best = (1e-9, None)
+        for k, name in enumerate(rules.RATIOS):
+            values = np.unique(x[:, k])
+            for above in (False, True):
+                for cut in (values[1:] + values[:-1]) / 2:
+                    hit = x[:, k] > cut if above else x[:, k] <= cut
+                    p = bad[hit].sum()
+                    gain = p * (np.log2(p / hit.sum()) - np.log2(bad.mean())) if p else 0.0
+                    if gain > best[0] + 1e-12:
+                        best = gain, (name, above)
+        got, condition = rules._best(x, bad)
+        assert abs(got - best[0]) < 1e-9
+        covered = condition.holds(x) if condition else np.zeros(30, bool)
+        if condition:
+            p = bad[covered].sum()
+            assert abs(p * (np.log2(p / covered.sum()) - np.log2(bad.mean())) - got) < 1e-9
+        assert (condition is None) == (best[1] is None)
+
+
+def test_repeated_labelled_ids_are_one_row(spark, documents):
+    rows, labels = corpus()
+    labels = spark.createDataFrame(labels, LABELS)
+    once = [tuple(map(str, r)) for r in rules.fit(documents(rows), labels)]
+    again = [tuple(map(str, r)) for r in rules.fit(documents(rows + [rows[0]] * 300), labels)]
+    assert once == again
