@@ -50,9 +50,9 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, else nulls; equal lengths: the first given."""
+    """(rule, verdict) of the longest rule (host and path) that fits, else nulls; equal lengths: the first given."""
     name = verdict = F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for h, p, v in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, v).otherwise(verdict)
     return name, verdict
@@ -75,33 +75,39 @@ def host_edges(pages: DataFrame, parents: bool = True) -> DataFrame:
 
 
 def flow(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) of personalised PageRank over edges(src, dst, weight) from seeds(host, seed),
-    whose values add up to 1. What reaches a host without links goes no further."""
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("base")).where("base > 0")
-    ranks = start.select("host", F.col("base").alias("rank"))
+    """(kind, host, rank) of personalised PageRank over edges(kind, src, dst, weight) from seeds(kind, host, seed).
+
+    Every kind is a graph of its own with seeds that add up to 1, and all take the same rounds. Rank
+    that reaches a host without links returns to the seeds: that only scales the ranks, so it is done
+    once, at the end, by making those of each kind add up to 1.
+    """
+    start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("base")).where("base > 0")
+    ranks = start.select("kind", "host", F.col("base").alias("rank"))
     for k in range(rounds):
-        moved = ranks.join(edges, ranks["host"] == edges["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("weight") * damping).alias("rank"))
-        ranks = moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % STORE_EVERY == STORE_EVERY - 1 and k + 1 < rounds:
+        at = ranks.select("kind", F.col("host").alias("src"), "rank")
+        moved = at.join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("weight") * damping).alias("rank"))
+        ranks = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        if k % STORE_EVERY == STORE_EVERY - 1 or k + 1 == rounds:
             ranks = stored(ranks, "urls-ranks")
-    return ranks
+    total = F.broadcast(ranks.groupBy("kind").agg(F.sum("rank").alias("total")))
+    return ranks.join(total, "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
 def host_standing(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, parents: bool = True) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches."""
-    edges = stored(host_edges(pages, parents), "urls-edges")
+    forward = stored(host_edges(pages, parents), "urls-edges")
     host, path = parts(F.col("url"))
     ruled = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("v")).where("host != ''")
     sure = lambda v: F.avg(F.col("v").eqNullSafe(v).cast("double"))
-    votes = stored(ruled.groupBy("host").agg(*(F.when(sure(v) > SEED_SHARE, sure(v)).otherwise(0.0).alias(x) for x, v in (("a", "allow"), ("b", "block")))), "urls-votes")
-    sums = votes.agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    into = against.groupBy("src").agg(F.sum("weight").alias("all"))
-    against = stored(against.join(into, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("weight")), "urls-reversed")
-    trust = flow(edges, votes.select("host", (F.col("a") / max(sums[0], 1e-300)).alias("seed")), damping, rounds)
-    distrust = flow(against, votes.select("host", (F.col("b") / max(sums[1], 1e-300)).alias("seed")), damping, rounds)
-    both = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host", "full")
-    return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    votes = stored(ruled.groupBy("host").agg(*(F.when(sure(v) > SEED_SHARE, sure(v)).otherwise(0.0).alias(v) for v in ("allow", "block"))), "urls-votes")
+    sums = votes.agg(*(F.coalesce(F.sum(v), F.lit(0.0)) for v in ("allow", "block"))).first()
+    into = forward.groupBy("dst").agg(F.sum("weight").alias("all"))
+    against = forward.join(into, "dst").select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("weight"))
+    edges = stored(forward.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(against), "urls-both")
+    seeds = [votes.select(F.lit(v).alias("kind"), "host", (F.col(v) / max(sums[k], 1e-300)).alias("seed")) for k, v in enumerate(("allow", "block"))]
+    ranks = flow(edges, seeds[0].union(seeds[1]), damping, rounds)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+    return ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
