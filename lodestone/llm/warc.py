@@ -1,29 +1,31 @@
 """WARC archives: writing, reading, and resolving records of equal payload to revisits.
 
-Archives are WARC/1.0 files written by Spark's text sink: a record ends with two CRLF, which is
-the sink's line separator, so files are byte for byte what the standard asks for (gzipped
-as a whole). Reading goes by Content-Length and never looks for separators in payloads.
-Files hold at most RECORDS_PER_FILE records, so a reader's memory is bounded by that many pages.
+Archives are WARC/1.0 files of gzip members, written by Spark's text sink: each record is a member of its
+own, and the two CRLF that end it are the next one, of fixed bytes, which serve as the sink's line
+separator. ``zcat`` gives byte for byte what the standard asks for, and a reader can begin at any record. Spark's
+text source reads an archive by that separator, so files are split among tasks and a task holds
+one record at a time, whatever the size of a file. The separator is no valid UTF-8, so neither
+text nor what deflate keeps of it literally can hold it. Inside a record, reading goes by Content-Length.
 
 deduplicate(): headers alone are shuffled by payload digest and length; of equal payloads of
 at least ``least`` bytes the record of the largest page_id stays a response, the others become
 revisits; records are joined to that decision and written anew with fresh headers. Of a group
 with a third of all records only (digest, page_id) meet, and those are combined before the
-shuffle. The join sides that list revisits or their originals are broadcast up to BROADCAST_ROWS
-counted rows and shuffled beyond, where adaptive execution splits hot ones.
+shuffle. The join sides that list revisits or their originals are broadcast up to BROADCAST_ROWS rows
+and BROADCAST_BYTES of text, counted first, and shuffled beyond, where adaptive execution splits hot ones.
 
 Edge cases: null html is an empty payload; a null url is written as ``urn:page:<page_id>``; blanks
 and control characters in an url are percent-encoded in the header, so none can end it. Rows that
-repeat a page_id are records of their own; with equal payloads the last one written is the
-response and the others refer to its page_id. A null page_id is written as an empty field
+repeat a page_id are records of their own (a record's id is drawn at random when it is written);
+with equal payloads one of them is the response and the others refer to its page_id. A null page_id is written as an empty field
 and read back as null; it is never preferred as the response. An empty table gives an empty
 archive and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,12 +35,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import new_path, remove, stored
 
 LEAST_BYTES = 1000
-RECORDS_PER_FILE = 2000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 50_000_000
+BATCH_BYTES = 8 << 20
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-HEADER = "file string, offset long, record_id string, page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to_id string"
+HEADER = "record_id string, page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to_id string"
 
 
 def _record(kind: Column, record_id: Column, fields: list[Column], payload: Column) -> Column:
@@ -51,9 +54,40 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
+def _member(data: bytes, level: int = LEVEL) -> bytes:
+    """data as one gzip member without name and time."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return deflate.compress(data) + deflate.flush()
+
+
+#: The end of every record as a member of its own: stored without compression, the same bytes everywhere.
+_HEAD = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
+END = _HEAD + b"\x01\x04\x00\xfb\xff\r\n\r\n" + zlib.crc32(b"\r\n\r\n").to_bytes(4, "little") + (4).to_bytes(4, "little")
+_BY_END = {"lineSep": END.decode("latin-1"), "encoding": "ISO-8859-1"}
+
+
+def _in_batches(rows: Iterator[tuple[int, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows, each with its bytes, as batches of about BATCH_BYTES."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def _write(records: DataFrame, path: str) -> None:
-    writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.text(path)
+    """records(value), whole records without the end."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = (_member(memoryview(x.as_buffer())) for batch in batches for x in batch.column(0))
+        yield from _in_batches(((len(m), {"value": m}) for m in members), pa.schema([("value", pa.binary())]))
+
+    members = records.select(F.col("value").cast("binary")).mapInArrow(packed, "value binary")
+    members.select(F.col("value").cast("string")).write.options(**_BY_END, compression="none").text(path)
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -62,7 +96,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     payload = F.coalesce("html", F.lit(""))
     encoded = F.expr(r"regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20')")
     fields = [_field("WARC-Target-URI", F.coalesce(encoded, F.concat(F.lit("urn:page:"), page))), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1(payload.cast("binary")))), _field("Page-ID", page)]
-    _write(pages.select(_record(F.lit("response"), F.concat(F.lit("urn:crawl:"), page), fields, payload).alias("value")), path)
+    _write(pages.select(_record(F.lit("response"), F.concat(F.lit("urn:uuid:"), F.uuid()), fields, payload).alias("value")), path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
@@ -82,27 +116,31 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
 def _read(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
     """A row for each record; digest and length of responses are taken from the payload itself."""
 
+    def row(data: bytes) -> tuple[int, dict]:
+        ((_, fields, block),) = parse(data)
+        payload = block[bytes(block).index(b"\r\n\r\n") + 4 :]
+        full = fields["WARC-Type"] == "response"
+        digest, told = hashlib.sha1(payload).hexdigest(), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if full and digest != told:
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} differs from its digest")
+        return len(payload) + 500, {
+            "record_id": fields["WARC-Record-ID"][1:-1],
+            "page_id": int(fields["Page-ID"]) if fields["Page-ID"] else None,
+            "uri": fields["WARC-Target-URI"],
+            "record_type": fields["WARC-Type"],
+            "payload_digest": told,
+            "payload_bytes": len(payload) if full else None,
+            "refers_to_id": None if full else fields["WARC-Refers-To"][1:-1],
+            "payload": bytes(payload) if with_payload else None,
+        }
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
-                for offset, fields, block in parse(gzip.decompress(content.as_buffer())):
-                    payload = block[bytes(block).index(b"\r\n\r\n") + 4 :]
-                    kind = fields["WARC-Type"]
-                    full = kind == "response"
-                    digest = hashlib.sha1(payload).hexdigest()
-                    if full and f"sha1:{digest}" != fields["WARC-Payload-Digest"]:
-                        raise ValueError(f"{file}: the payload at byte {offset} differs from its digest")
-                    row = [file, offset, fields["WARC-Record-ID"][1:-1], int(fields["Page-ID"]) if fields["Page-ID"] else None, fields["WARC-Target-URI"], kind]
-                    row += [digest if full else fields["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload) if full else None, fields["WARC-Refers-To"][1:-1] if not full else None]
-                    rows.append(row + [payload if with_payload else None])
-                columns = zip(*rows, strict=True) if rows else [[]] * 10
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
-
-    names = [x.split()[0] for x in HEADER.split(", ")] + ["payload"]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(records, HEADER + ", payload binary")
+        rows = (row(zlib.decompress(x.as_buffer(), 31)) for batch in batches for x in batch.column(0))
+        yield from _in_batches(rows, pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in names]))
+
+    names = [tuple(x.split()) for x in (HEADER + ", payload binary").split(", ")]
+    members = spark.read.options(**_BY_END).text(path)
+    return members.select(F.col("value").cast("binary")).mapInArrow(records, HEADER + ", payload binary")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -110,31 +148,37 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, False).drop("payload")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, text: str) -> DataFrame:
+    """df, stored, for broadcast if its rows and the bytes of its longest column, text, allow it."""
+    df = stored(df, "warc-side")
+    n, size = df.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, least: int = LEAST_BYTES) -> None:
     """Write the archive at source anew at target, with revisits for repeated payloads."""
     headers = stored(read_headers(spark, source), "warc-headers")
-    first = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "file", "offset", "uri")).alias("o")
+    first = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "record_id", "uri")).alias("o")
     originals = headers.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(first, F.count("*").alias("n")).where("n > 1")
-    repeated = headers.join(_sized(originals.select("payload_digest", "payload_bytes", "o")), ["payload_digest", "payload_bytes"])
-    revisits = repeated.where("file != o.file or offset != o.offset").select("file", "offset", "o.page_id", "o.file", "o.offset", "o.uri").toDF("file", "offset", "o_page", "o_file", "o_offset", "o_uri")
-    revisits = stored(revisits, "warc-revisits")
+    originals = originals.select("payload_digest", "payload_bytes", F.col("o.record_id").alias("o_id"), F.col("o.uri").alias("o_uri"))
+    revisits = headers.join(_sized(originals, "o_uri"), ["payload_digest", "payload_bytes"]).where("record_id != o_id").select("record_id", "o_id", "o_uri")
+
+    def fresh(record_id: Column) -> Column:
+        """The id that a record gets in the new archive, from its old one."""
+        h = F.md5(record_id.cast("binary"))
+        return F.concat_ws("-", F.concat(F.lit("urn:uuid:"), h.substr(1, 8)), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
 
-    fresh = lambda file, offset, page: F.concat(F.lit("urn:dedup:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.md5(F.concat(file, F.lit("#"), offset.cast("string")).cast("binary")))
-    records = _read(spark, source, True).join(_sized(revisits), ["file", "offset"], "left")
-    again = F.col("o_file").isNotNull()
+    records = _read(spark, source, True).join(_sized(revisits, "o_uri"), "record_id", "left")
+    again = F.col("o_id").isNotNull()
     fields = [
         _field("WARC-Target-URI", F.col("uri")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _field("Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        F.when(again, F.concat(_field("WARC-Refers-To", F.concat(F.lit("<"), fresh(F.col("o_file"), F.col("o_offset"), F.col("o_page")), F.lit(">"))), _field("WARC-Refers-To-Target-URI", F.col("o_uri")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
+        F.when(again, F.concat(_field("WARC-Refers-To", F.concat(F.lit("<"), fresh(F.col("o_id")), F.lit(">"))), _field("WARC-Refers-To-Target-URI", F.col("o_uri")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
     ]
     payload = F.when(again, F.lit("")).otherwise(F.col("payload").cast("string"))
     kind = F.when(again, "revisit").otherwise("response")
-    _write(records.select(_record(kind, fresh(F.col("file"), F.col("offset"), F.col("page_id")), fields, payload).alias("value")), target)
+    _write(records.select(_record(kind, fresh(F.col("record_id")), fields, payload).alias("value")), target)
 
 
 def resolve(headers: DataFrame) -> DataFrame:
@@ -142,9 +186,9 @@ def resolve(headers: DataFrame) -> DataFrame:
     a revisit gets length and page of the response that it refers to."""
     revisits = headers.where("record_type = 'revisit'")
     wanted = revisits.select(F.col("refers_to_id").alias("record_id")).distinct()
-    originals = headers.where("record_type = 'response'").join(_sized(wanted), "record_id", "left_semi")
+    originals = headers.where("record_type = 'response'").join(_sized(wanted, "record_id"), "record_id", "left_semi")
     originals = originals.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"))
-    found = revisits.join(_sized(originals), "refers_to_id", "left").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    found = revisits.join(_sized(originals, "refers_to_id"), "refers_to_id", "left").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     own = headers.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(found)
 
