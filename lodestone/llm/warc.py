@@ -6,6 +6,7 @@ separator. ``zcat`` gives byte for byte what the standard asks for, and a reader
 text source reads an archive by that separator, so files are split among tasks and a task holds
 one record at a time, whatever the size of a file. The separator is no valid UTF-8, so neither
 text nor what deflate keeps of it literally can hold it. Inside a record, reading goes by Content-Length.
+Payloads stay compressed wherever rows are shuffled or joined; each step unpacks them in one pass at most.
 
 deduplicate(): headers alone are shuffled by payload digest and length; of equal payloads of
 at least ``least`` bytes the record of the largest page_id stays a response, the others become
@@ -25,11 +26,12 @@ archive and no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import new_path, remove, stored
@@ -44,14 +46,14 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HEADER = "record_id string, page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to_id string"
 
 
-def _record(kind: Column, record_id: Column, fields: list[Column], payload: Column) -> Column:
-    length = (F.octet_length(payload) + F.lit(len(HTTP_HEAD))).cast("string")
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: <"), record_id, F.lit(f">\r\nWARC-Date: {DATE}\r\n"), *fields, F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), length, F.lit("\r\n\r\n" + HTTP_HEAD))
-    return F.concat(head, payload)
-
-
-def _field(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+def record(kind: str, record_id: str, page_id: int | None, uri: str, digest: str, payload: bytes | memoryview, original: tuple[str, str] | None = None) -> bytes:
+    """A whole record but for its end; original: (record id, uri) of what a revisit refers to."""
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-ID", "" if page_id is None else page_id)]
+    if original:
+        fields += [("WARC-Refers-To", f"<{original[0]}>"), ("WARC-Refers-To-Target-URI", original[1]), ("WARC-Profile", PROFILE)]
+    fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(HTTP_HEAD) + len(payload))]
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + HTTP_HEAD
+    return head.encode() + bytes(payload)
 
 
 def _member(data: bytes, level: int = LEVEL) -> bytes:
@@ -79,24 +81,30 @@ def _in_batches(rows: Iterator[tuple[int, list]], schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _write(records: DataFrame, path: str) -> None:
-    """records(value), whole records without the end."""
+def _write(members: DataFrame, path: str) -> None:
+    """members(value), binary."""
+    members.select(F.col("value").cast("string")).write.options(**_BY_END, compression="none").text(path)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = (_member(memoryview(x.as_buffer())) for batch in batches for x in batch.column(0))
-        yield from _in_batches(((len(m), {"value": m}) for m in members), pa.schema([("value", pa.binary())]))
 
-    members = records.select(F.col("value").cast("binary")).mapInArrow(packed, "value binary")
-    members.select(F.col("value").cast("string")).write.options(**_BY_END, compression="none").text(path)
+_PACKED = pa.schema([("value", pa.binary())])
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
     """A response record for each row of pages(page_id, url, html)."""
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    payload = F.coalesce("html", F.lit(""))
-    encoded = F.expr(r"regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20')")
-    fields = [_field("WARC-Target-URI", F.coalesce(encoded, F.concat(F.lit("urn:page:"), page))), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1(payload.cast("binary")))), _field("Page-ID", page)]
-    _write(pages.select(_record(F.lit("response"), F.concat(F.lit("urn:uuid:"), F.uuid()), fields, payload).alias("value")), path)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple[int, dict]]:
+            for b in batches:
+                for page, url, html, uuid in zip(*(b.column(n) for n in ("page_id", "url", "html", "uuid")), strict=True):
+                    page, url, payload = page.as_py(), url.as_py(), html.as_buffer() if html.is_valid else b""
+                    uri = f"urn:page:{'' if page is None else page}" if url is None else re.sub(r"[\x00-\x20\x7f]", "%20", url)
+                    member = _member(record("response", f"urn:uuid:{uuid}", page, uri, hashlib.sha1(payload).hexdigest(), memoryview(payload)))
+                    yield len(member), {"value": member}
+
+        yield from _in_batches(members(), _PACKED)
+
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.uuid().alias("uuid"))
+    _write(rows.mapInArrow(packed, "value binary"), path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
@@ -113,39 +121,43 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
         at = end + 4 + length + 4
 
 
-def _read(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
-    """A row for each record; digest and length of responses are taken from the payload itself."""
-
-    def row(data: bytes) -> tuple[int, dict]:
-        ((_, fields, block),) = parse(data)
-        payload = block[bytes(block).index(b"\r\n\r\n") + 4 :]
-        full = fields["WARC-Type"] == "response"
-        digest, told = hashlib.sha1(payload).hexdigest(), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        if full and digest != told:
-            raise ValueError(f"the payload of {fields['WARC-Record-ID']} differs from its digest")
-        return len(payload) + 500, {
-            "record_id": fields["WARC-Record-ID"][1:-1],
-            "page_id": int(fields["Page-ID"]) if fields["Page-ID"] else None,
-            "uri": fields["WARC-Target-URI"],
-            "record_type": fields["WARC-Type"],
-            "payload_digest": told,
-            "payload_bytes": len(payload) if full else None,
-            "refers_to_id": None if full else fields["WARC-Refers-To"][1:-1],
-            "payload": bytes(payload) if with_payload else None,
-        }
+def _members(spark: SparkSession, path: str) -> DataFrame:
+    """(value, key): packed records, known by the digest of their bytes, as no two have the same record id."""
+    value = F.col("value").cast("binary")
+    return spark.read.options(**_BY_END).text(path).select(value.alias("value"), F.sha1(value).alias("key"))
 
+
+def _unpacked(member: pa.Scalar) -> tuple[dict[str, str], memoryview]:
+    """(header fields, payload) of a packed record; a payload that differs from its digest is an error."""
+    ((_, fields, block),) = parse(zlib.decompress(member.as_buffer(), 31))
+    payload = block[bytes(block[:4096]).index(b"\r\n\r\n") + 4 :]
+    if fields["WARC-Type"] == "response" and f"sha1:{hashlib.sha1(payload).hexdigest()}" != fields["WARC-Payload-Digest"]:
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} differs from its digest")
+    return fields, payload
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row(zlib.decompress(x.as_buffer(), 31)) for batch in batches for x in batch.column(0))
-        yield from _in_batches(rows, pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in names]))
+        def rows() -> Iterator[tuple[int, dict]]:
+            for b in batches:
+                for member, key in zip(b.column("value"), b.column("key"), strict=True):
+                    fields, payload = _unpacked(member)
+                    full = fields["WARC-Type"] == "response"
+                    yield 500, {
+                        "record_id": fields["WARC-Record-ID"][1:-1], "page_id": int(fields["Page-ID"]) if fields["Page-ID"] else None, "uri": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
+                        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": len(payload) if full else None, "refers_to_id": None if full else fields["WARC-Refers-To"][1:-1], "key": key.as_py(),
+                    }
 
-    names = [tuple(x.split()) for x in (HEADER + ", payload binary").split(", ")]
-    members = spark.read.options(**_BY_END).text(path)
-    return members.select(F.col("value").cast("binary")).mapInArrow(records, HEADER + ", payload binary")
+        yield from _in_batches(rows(), pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in names]))
+
+    names = [tuple(x.split()) for x in (HEADER + ", key string").split(", ")]
+    return _members(spark, path).mapInArrow(records, HEADER + ", key string")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of HEADER for each record of an archive, without payloads."""
-    return _read(spark, path, False).drop("payload")
+    """The columns of HEADER for each record of an archive, without payloads. Digest and length of
+    responses are taken from the payload itself."""
+    return _headers(spark, path).drop("key")
 
 
 def _sized(df: DataFrame, text: str) -> DataFrame:
@@ -157,28 +169,33 @@ def _sized(df: DataFrame, text: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, source: str, target: str, least: int = LEAST_BYTES) -> None:
     """Write the archive at source anew at target, with revisits for repeated payloads."""
-    headers = stored(read_headers(spark, source), "warc-headers")
+    headers = stored(_headers(spark, source), "warc-headers")
     first = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "record_id", "uri")).alias("o")
     originals = headers.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(first, F.count("*").alias("n")).where("n > 1")
     originals = originals.select("payload_digest", "payload_bytes", F.col("o.record_id").alias("o_id"), F.col("o.uri").alias("o_uri"))
-    revisits = headers.join(_sized(originals, "o_uri"), ["payload_digest", "payload_bytes"]).where("record_id != o_id").select("record_id", "o_id", "o_uri")
-
-    def fresh(record_id: Column) -> Column:
-        """The id that a record gets in the new archive, from its old one."""
-        h = F.md5(record_id.cast("binary"))
-        return F.concat_ws("-", F.concat(F.lit("urn:uuid:"), h.substr(1, 8)), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
-
-    records = _read(spark, source, True).join(_sized(revisits, "o_uri"), "record_id", "left")
-    again = F.col("o_id").isNotNull()
-    fields = [
-        _field("WARC-Target-URI", F.col("uri")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        _field("Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        F.when(again, F.concat(_field("WARC-Refers-To", F.concat(F.lit("<"), fresh(F.col("o_id")), F.lit(">"))), _field("WARC-Refers-To-Target-URI", F.col("o_uri")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(""),
-    ]
-    payload = F.when(again, F.lit("")).otherwise(F.col("payload").cast("string"))
-    kind = F.when(again, "revisit").otherwise("response")
-    _write(records.select(_record(kind, fresh(F.col("record_id")), fields, payload).alias("value")), target)
+    revisits = headers.join(_sized(originals, "o_uri"), ["payload_digest", "payload_bytes"]).where("record_id != o_id").select("key", "o_id", "o_uri")
+
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members() -> Iterator[tuple[int, dict]]:
+            for b in batches:
+                for member, o_id, o_uri in zip(b.column("value"), b.column("o_id").to_pylist(), b.column("o_uri").to_pylist(), strict=True):
+                    fields, payload = _unpacked(member)
+                    page = int(fields["Page-ID"]) if fields["Page-ID"] else None
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    told = fresh_id(fields["WARC-Record-ID"][1:-1]), page, fields["WARC-Target-URI"], digest
+                    packed = _member(record("revisit", *told, b"", (fresh_id(o_id), o_uri)) if o_id else record("response", *told, payload))
+                    yield len(packed), {"value": packed}
+
+        yield from _in_batches(members(), _PACKED)
+
+    marked = _members(spark, source).join(_sized(revisits, "o_uri"), "key", "left").select("value", "o_id", "o_uri")
+    _write(marked.mapInArrow(rewritten, "value binary"), target)
+
+
+def fresh_id(record_id: str) -> str:
+    """The id that a record gets in the new archive, from its old one."""
+    h = hashlib.md5(record_id.encode()).hexdigest()
+    return f"urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
 
 
 def resolve(headers: DataFrame) -> DataFrame:
