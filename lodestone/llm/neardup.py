@@ -51,7 +51,7 @@ BLOCK_SHINGLES = 1_000_000
 LOSS = 1e-12
 #: A bucket with more than this share of all band rows is hot; there can't be more than its inverse.
 HOT_SHARE, HOT_LEAST = 1e-4, 256
-#: Ids sent to every executor at most; beyond, ids and texts are joined by a shuffle.
+#: Narrow rows (ids, buckets) sent to every executor at most; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _NONE = np.uint64(2**64 - 1)
@@ -181,7 +181,7 @@ def _apart(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = _labels(links)
     labelled = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high")
-    rows = stored(labelled.join(several.select("key", "size"), "key").select("key", "rep", "component", "size"), "neardup-apart")
+    rows = stored(labelled.join(_sized(several.select("key", "size")), "key").select("key", "rep", "component", "size"), "neardup-apart")
     return label, rows
 
 
@@ -240,13 +240,13 @@ def _of_large(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
     """
     large = rows.where(F.col("size") > SMALL)
     alike = large.groupBy("key").agg(F.sum(F.xxhash64("rep").cast("decimal(20)")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20)")).alias("y"), F.count("*").alias("n"))
-    large = large.join(alike.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    large = large.join(_sized(alike.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")), "key", "left_semi")
     docs = stored(large.join(classes.select("rep", "n_shingles"), "rep").select("key", "rep", "component", "n_shingles"), "neardup-large")
     sizes = docs.groupBy("key", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("count", "shingles", "component")).alias("most"), F.sum("count").alias("all"), F.sum("shingles").alias("volume"))
     blocks = lambda n, volume: F.ceil(F.greatest(n / BLOCK, volume / BLOCK_SHINGLES)).cast("int")
     sizes = sizes.where(F.col("all") > F.col("most.count")).select("key", F.col("most.component").alias("most"), blocks(F.col("all") - F.col("most.count"), F.col("volume") - F.col("most.shingles")).alias("n_rest"), blocks(F.col("most.count"), F.col("most.shingles")).alias("n_most"))
-    dealt = docs.join(sizes, "key").withColumn("in_most", F.col("component") == F.col("most"))
+    dealt = docs.join(_sized(sizes), "key").withColumn("in_most", F.col("component") == F.col("most"))
     dealt = dealt.withColumn("block", F.when(F.col("in_most"), F.col("n_rest") + F.pmod(F.xxhash64("rep"), F.col("n_most"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("n_rest"))))
     others = F.sequence(F.lit(0), F.when(F.col("in_most"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_most")) - 1)
     dealt = dealt.select("rep", "component", "key", "block", F.explode(others).alias("other")).select("rep", "component", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -255,7 +255,8 @@ def _of_large(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
 
 
 def _sized(ids: DataFrame) -> DataFrame:
-    """ids, counted, and marked for broadcast if they are BROADCAST_IDS at most."""
+    """Narrow rows, counted, and marked for broadcast if they are BROADCAST_IDS at most, so that the
+    rows of one hot bucket are joined where they are."""
     ids = stored(ids, "neardup-ids")
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
