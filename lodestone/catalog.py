@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, documents, graph, retrieval
+from lodestone.plans import analytics, documents, graph, library, retrieval
 
-_PLANS = (retrieval, graph, analytics, documents)
+_PLANS = (retrieval, graph, library, analytics, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestone.sources.shared import stored
+from lodestone.functions.values import metadata_list
+from lodestone.sources.shared import stored, stored_by
 
 ARCHITECTURE = ("module", "class", "struct", "interface")
+DISPLAYED = ("function", "class", "method", "interface", "struct", "module")
+HIDDEN_EDGES = ("declares",)
+LEAST_IMPORTANT, MOST_IMPORTANT, IMPORTANT_SHARE = 10, 500, 0.2
 
 
 def matching(nodes: DataFrame, view: str | None = None, node_type: str | None = None, language: str | None = None, module: str | None = None, name: str | None = None) -> DataFrame:
@@ -30,6 +34,36 @@ def listed(nodes: DataFrame, limit: int, **filters) -> DataFrame:
     return matching(nodes, **filters).orderBy("file_path", "start_line", "name", "id").limit(limit)
 
 
+def listing_stats(nodes: DataFrame, limit: int, **filters) -> DataFrame:
+    """(total, matched, returned, languages) of a listing; languages are those of all nodes."""
+    languages = F.array_sort(F.collect_set("language"))
+    matched = matching(nodes, **filters).agg(F.count("*").alias("matched"))
+    both = nodes.agg(F.count("*").alias("total"), languages.alias("languages")).join(F.broadcast(matched))  # one row each
+    return both.select("total", "matched", F.least("matched", F.lit(limit)).alias("returned"), "languages")
+
+
+def by_qualified_name(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.where(F.col("qualified_name") == name)
+
+
+def displayable(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the kinds that are shown, and the edges between them that are no declarations."""
+    shown = nodes.where(F.col("node_type").isin(*DISPLAYED))
+    return shown, edges_among(edges.where(~F.col("type").isin(*HIDDEN_EDGES)), shown)
+
+
+def synthesised(nodes: DataFrame) -> DataFrame:
+    """(src, dst, type) of edges that nodes(id, parent_id, callees, metadata, name, qualified_name) hold in themselves:
+    a parent declares, callees are called, and the names under ``inherits`` and ``imports`` are looked up like edge targets of
+    inheritance. What isn't among the nodes gives no edge."""
+    known = nodes.select(F.col("id").alias("dst"))
+    declares = nodes.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.lit("declares").alias("type")).join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    calls = nodes.select(F.col("id").alias("src"), F.explode("callees").alias("dst"), F.lit("calls").alias("type")).join(known, "dst", "left_semi")
+    named = lambda kind: nodes.select(F.col("id").alias("src"), F.lit(kind).alias("type"), F.explode(metadata_list(F.col("metadata"), kind)).alias("target"))
+    told = resolve(named("inherits").union(named("imports")), nodes, by_suffix=("inherits", "imports")).where("dst is not null")
+    return declares.select("src", "dst", "type").union(calls.select("src", "dst", "type")).union(told.select("src", "dst", "type")).distinct()
+
+
 def edges_among(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """Edges whose two ends are both selected."""
     ids = selected.select("id")
@@ -96,8 +130,8 @@ def canonical_calls(calls: DataFrame, nodes: DataFrame, modules: DataFrame) -> D
     return full.select("src", "raw", target.alias("target"))
 
 
-def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges(src, type, target) with ``dst``: the node of that qualified name; for inherits also the
+def resolve(edges: DataFrame, nodes: DataFrame, by_suffix: tuple[str, ...] = ("inherits",)) -> DataFrame:
+    """edges(src, type, target) with ``dst``: the node of that qualified name; for the types by_suffix also the
     only node whose name, or last name parts, it is. Repeated edges count once.
 
     The suffix rule is an equality join on every suffix of a qualified name, not a scan of all pairs.
@@ -109,7 +143,41 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     named = nodes.select("id", F.explode(F.array_distinct(F.array_append(suffixes, F.col("name")))).alias("target"))
     only = named.where("target != ''").groupBy("target").agg(F.min("id").alias("only"), F.count("*").alias("n")).where("n = 1").select("target", "only")
     out = distinct.join(exact, "target", "left").join(only, "target", "left")
-    return out.select("src", "type", "target", F.coalesce("exact", F.when(F.col("type") == "inherits", F.col("only"))).alias("dst"))
+    return out.select("src", "type", "target", F.coalesce("exact", F.when(F.col("type").isin(*by_suffix), F.col("only"))).alias("dst"))
+
+
+def reresolved(edges: DataFrame, nodes: DataFrame, affected: DataFrame) -> DataFrame:
+    """edges(src, type, target, dst) after a change of nodes: dangling ones whose target is among affected(qualified_name)
+    are resolved again; all others stay."""
+    names = affected.select(F.col("qualified_name").alias("target")).distinct().withColumn("_again", F.lit(True))
+    marked = edges.join(names, "target", "left").withColumn("_again", F.coalesce("_again", F.lit(False)) & F.col("dst").isNull())
+    again = resolve(marked.where("_again").select("src", "type", "target"), nodes)
+    return marked.where("not _again").select("src", "type", "target", "dst").unionByName(again)
+
+
+def call_counts(edges: DataFrame) -> DataFrame:
+    """(src, resolved, unresolved, unresolved_calls) of each caller: targets without a node, sorted."""
+    missing = F.col("dst").isNull()
+    calls = edges.where("type = 'calls'").groupBy("src")
+    return calls.agg(F.count_if(~missing).alias("resolved"), F.count_if(missing).alias("unresolved"), F.array_sort(F.collect_set(F.when(missing, F.col("target")))).alias("unresolved_calls"))
+
+
+def neighbourhoods(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, name, callers, callees, members, parent) of ids(id) that exist; ids in the lists are sorted."""
+    wanted = ids.select("id").distinct()
+    near = lambda rows, at, other, name: rows.join(wanted.withColumnRenamed("id", at), at, "left_semi").groupBy(F.col(at).alias("id")).agg(F.array_sort(F.collect_set(other)).alias(name))
+    calls = edges.where("type = 'calls'")
+    out = nodes.join(wanted, "id", "left_semi").select("id", "name", F.col("parent_id").alias("parent"))
+    for rows, at, other, name in ((calls, "dst", "src", "callers"), (calls, "src", "dst", "callees"), (nodes.select("parent_id", F.col("id").alias("member")), "parent_id", "member", "members")):
+        out = out.join(near(rows, at, other, name), "id", "left")
+    none = F.array().cast(f"array<{dict(nodes.dtypes)['id']}>")
+    return out.select("id", "name", *(F.coalesce(c, none).alias(c) for c in ("callers", "callees", "members")), "parent")
+
+
+def most_important(ranks: DataFrame) -> DataFrame:
+    """(id, rank) of the first nodes by rank: a fifth of them, LEAST_IMPORTANT at least and MOST_IMPORTANT at most."""
+    n = ranks.count()
+    return ranks.orderBy(F.desc("rank"), "id").limit(max(LEAST_IMPORTANT, min(MOST_IMPORTANT, int(IMPORTANT_SHARE * n))))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, id) -> DataFrame:
@@ -124,12 +192,13 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callee
     """(id, distance) of nodes within ``depth`` hops of roots(id), first distance kept.
 
     With max_nodes, hops add nodes in the order of the position of the node that they are found
-    from, callers before callees, then id, until so many were found besides the roots. Each hop is
-    written to the shared folder, as the next ones read it several times.
+    from, callers before callees, then id, until so many were found besides the roots. Steps are
+    bucketed by where they begin, so a hop moves only its frontier, which is written to the shared folder,
+    as the next ones read it several times.
     """
     out = edges.select(F.col("src").alias("at"), F.col("dst").alias("id"), F.lit(1).alias("way"))
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("id"), F.lit(0).alias("way"))
-    steps = {"callees": out, "callers": back, "both": out.union(back)}[direction].distinct()
+    steps = stored_by({"callees": out, "callers": back, "both": out.union(back)}[direction].distinct(), "bfs-steps", "at")
     visited = roots.select("id", F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("position")).distinct()
     frontier, left = visited, max_nodes
     for hop in range(1, depth + 1):
@@ -151,31 +220,31 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callee
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank): dangling mass spread evenly, loops and edges to unknown nodes ignored, sum 1.
 
-    A round is one join and one aggregation that combines before its shuffle. Its ranks are
-    written to the shared folder, so plans don't grow; the number of nodes, the dangling mass and
-    the movement are the only scalars. Stops once the ranks move less than ``tolerance`` in all.
+    Links are bucketed by their source once, so a round moves the ranks, not the links: one join and one
+    aggregation that combines before its shuffle. Its ranks are written to the shared folder, so plans don't
+    grow; their sum, the dangling mass and the movement, the only scalars, are observed on the way. Stops once the ranks move less than ``tolerance`` in all.
     Repeated edges count as often as they occur.
     """
     ids = nodes.select("id").distinct()
     known = edges.where("src != dst").select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count("*").alias("degree"))
-    links = stored(known.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "pagerank-links")
+    links = stored_by(known.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "pagerank-links", "src")
     outs = links.select(F.col("src").alias("id")).distinct().withColumn("dangling", F.lit(False))
     ids = stored(ids.join(outs, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), "pagerank-nodes")
     n, loose = ids.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
     loose /= n
-    ranks = ids.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    ranks, total = ids.select("id", "dangling", F.lit(1.0 / n).alias("rank")), 1.0
     for _ in range(rounds):
         moved = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         new = ranks.join(moved, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("rank"), F.col("rank").alias("old"))
-        ranks = stored(new, "pagerank-ranks")
-        loose, moved_by = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
-        ranks = ranks.drop("old")
+        seen = Observation()  # sums of the round, taken while it is written
+        new = new.observe(seen, F.sum("rank").alias("total"), F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"))
+        ranks = stored(new.drop("old"), "pagerank-ranks")
+        total, loose, moved_by = (seen.get[k] for k in ("total", "loose", "moved"))
         if moved_by < tolerance:
             break
-    total = ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("id", (F.col("rank") / total).alias("rank"))
 
 
@@ -194,7 +263,7 @@ def cluster_members(vectors: DataFrame, cluster: str, id: str, vector: str) -> D
     centre = at.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mean"))), lambda s: s["mean"]).alias("centre"))
     from lodestone.functions.vector import cosine
 
-    scored = vectors.join(F.broadcast(centre), cluster).select(cluster, id, F.round(cosine(F.col(vector), F.col("centre")), 9).alias("near"))
+    scored = vectors.join(centre, cluster).select(cluster, id, F.round(cosine(F.col(vector), F.col("centre")), 9).alias("near"))
     return scored.groupBy(cluster).agg(F.count("*").alias("size"), F.max(F.struct("near", -F.col(id)))["col2"].alias("member")).select(cluster, "size", (-F.col("member")).alias("member"))
 
 

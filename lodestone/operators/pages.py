@@ -42,14 +42,56 @@ def sections(docs: DataFrame, id: str = "doc_id", text: str = "text", least_leve
     heads = markdown_lines(docs, id, text).where(~F.col("fenced") & F.col("content").rlike(r"^#{1,6}\s+\S"))
     heads = heads.select(id, "line", F.length(F.regexp_extract("content", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("content", r"^#+\s+|\s+#*\s*$", "")).alias("heading"))
     after = W.partitionBy(id).orderBy("line").rowsBetween(1, W.unboundedFollowing)
-    following = F.collect_list(F.struct("line", "level")).over(after)
-    end = F.array_min(F.transform(F.filter(following, lambda x: x["level"] <= F.col("level")), lambda x: x["line"])) - 1
-    heads = heads.withColumn("end_line", end).where(F.col("level") >= least_level)
+    # The next heading of each depth: six windows of one number each, not the list of all that follow.
+    heads = heads.withColumns({f"_{n}": F.min(F.when(F.col("level") <= n, F.col("line"))).over(after) for n in range(1, 7)})
+    end = F.element_at(F.array(*(F.col(f"_{n}") for n in range(1, 7))), F.col("level")) - 1
+    heads = heads.select(id, "line", "level", "heading", end.alias("end_line"))
+    heads = heads.where(F.col("level") >= least_level)
     first = heads.withColumn("_n", F.row_number().over(W.partitionBy(id, "heading").orderBy("line"))).where("_n = 1")
     place = F.row_number().over(W.partitionBy(id).orderBy("line"))
     return first.withColumn("section", place).where(F.col("section") <= most).select(id, "section", "level", "heading", F.col("line").alias("first_line"), "end_line")
 
 
+def section_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, section, heading, content): the text before the first heading outside fences (section 0, no heading), and from each heading to the next of any level."""
+    lines = markdown_lines(docs, id, text)
+    head = ~F.col("fenced") & F.col("content").rlike(r"^#{1,6}\s+\S")
+    counted = lines.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("long")).over(W.partitionBy(id).orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    heading = F.max(F.when(F.col("head"), F.trim(F.regexp_replace("content", r"^#+\s+|\s+#*\s*$", ""))))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
+    return counted.groupBy(id, "section").agg(heading.alias("heading"), body.alias("content"))
+
+
+def sectioned_windows(docs: DataFrame, id: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(id, chunk_index, heading, content, n_words): word windows that never cross a heading, in reading order."""
+    parts = section_texts(docs, id, text).withColumn("_key", F.struct(id, "section", "heading"))
+    out = word_windows(parts, "_key", "content", size, overlap).select(F.col(f"_key.{id}").alias(id), F.col("_key.section").alias("_s"), F.col("_key.heading").alias("heading"), F.col("chunk_index").alias("_c"), "content", "n_words")
+    place = F.row_number().over(W.partitionBy(id).orderBy("_s", "_c")) - 1
+    return out.select(id, place.cast("long").alias("chunk_index"), "heading", "content", "n_words")
+
+
+def frontmatter(text: Column) -> tuple[Column, Column]:
+    """(map of the ``key: value`` lines between leading ``---`` lines, the text after them)."""
+    head = F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
+    pairs = F.transform(F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[A-Za-z0-9_-]+:")), lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    last = F.map_from_entries(F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["k"] == p["k"]) & (F.array_position(pairs, q) > F.array_position(pairs, p)))))
+    return last, F.regexp_replace(text, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", "")
+
+
+def markdown_facts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, title, n_lines, n_words, n_headings, n_code_blocks, n_tables, n_links): what a document holds; headings, tables and links outside fences."""
+    meta, body = frontmatter(F.col(text))
+    lines = markdown_lines(docs.select(id, body.alias("_body")), id, "_body")
+    fence, open_ = F.col("content").rlike(r"^\s*(```|~~~)"), ~F.col("fenced")
+    counts = lines.groupBy(id).agg(
+        F.count("*").alias("n_lines"), F.sum(F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))).alias("n_words"), F.count_if(open_ & F.col("content").rlike(r"^#{1,6}\s+\S")).alias("n_headings"),
+        F.ceil(F.count_if(fence) / 2).alias("n_code_blocks"), F.count_if(open_ & F.col("content").rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$")).alias("n_tables"),
+        F.sum(F.when(open_, F.regexp_count("content", F.lit(r"\[[^\]]*\]\([^)]+\)"))).otherwise(0)).cast("long").alias("n_links"),
+    )
+    title = F.coalesce(meta["title"], F.nullif(F.trim(F.regexp_extract(body, r"(?m)^\s*# (.*)$", 1)), F.lit("")))
+    return docs.select(id, title.alias("title")).join(counts, id, "left")
+
+
 def budgeted(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
     """Rows of each key in order while their characters together stay within the budget."""
     used = F.sum(F.length(text).cast("long")).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))

@@ -6,6 +6,8 @@ a top-k per partition. Order ties always go to the id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from lodestone.functions import vector as V
 
 RRF_K, CANDIDATE_CAP, RERANK_LEAST, RERANK_TOP = 60, 300, 50, 3
 SIMILARITY, FALLBACK_SCORE = 0.3, 0.01
+MOST_CONCEPTS = 1000
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
@@ -69,24 +72,23 @@ def _cover_score(found: list[tuple[int, int, float]], n_words: int) -> float:
 
 
 def cover_density(fields: dict[str, Column], words: list[str]) -> Column:
-    """Cover-density rank of weighted fields, laid end to end in the order of their weights."""
+    """Cover-density rank of weighted fields, laid end to end in the order of their weights.
 
-    weights = [WEIGHTS[w] for w in fields]
+    Positions of the query's words are found in the JVM; only they are sent to Python.
+    """
 
     @F.pandas_udf("double")
-    def ranked(*columns: pd.Series) -> pd.Series:
-        order = {w: k for k, w in enumerate(words)}
-        out = []
-        for row in zip(*columns, strict=True):
-            found, ahead = [], 0
-            for weight, tokens in zip(weights, row, strict=True):
-                tokens = tokens if tokens is not None else []
-                found += [(ahead + k, order[t], weight) for k, t in enumerate(tokens) if t in order]
-                ahead += len(tokens)
-            out.append(_cover_score(found, len(words)))
-        return pd.Series(out)
+    def ranked(rows: pd.Series) -> pd.Series:
+        return pd.Series([_cover_score([(int(p), int(w), f) for p, w, f in zip(*r, strict=True)], len(words)) for r in zip(rows["at"], rows["word"], rows["weight"], strict=True)])
 
-    return ranked(*(T.tokens(c) for c in fields.values()))
+    order = F.array(*map(F.lit, words))
+    found, ahead = F.array().cast("array<struct<at:int,word:int,weight:double>>"), F.lit(0)
+    for weight, column in fields.items():
+        tokens = F.coalesce(T.tokens(column), F.array().cast("array<string>"))
+        hits = F.filter(F.transform(tokens, lambda t, k: F.struct((k + ahead).alias("at"), (F.array_position(order, t) - 1).cast("int").alias("word"), F.lit(WEIGHTS[weight]).alias("weight"))), lambda x: x["word"] >= 0)  # noqa: B023
+        found, ahead = F.concat(found, hits), ahead + F.size(tokens)
+    one = lambda n: F.transform(found, lambda x: x[n]).alias(n)
+    return ranked(F.struct(one("at"), one("word"), one("weight")))
 
 
 def lexical_stream(docs: DataFrame, query: str, k: int, id: str = "doc_id", fields: dict[str, str] | None = None) -> DataFrame:
@@ -122,15 +124,27 @@ def ranked(stream: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
     return top(stream, cap).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")).cast("long"))
 
 
+def fuse_scored(scored: DataFrame, names: tuple[str, ...], k: int = RRF_K, cap: int = CANDIDATE_CAP) -> DataFrame:
+    """fuse() of streams that come as one table(stream, id, score), as when one scan scores several of them. Spark keeps
+    ``cap`` rows a stream in each task before they meet."""
+    rank = F.row_number().over(W.partitionBy("stream").orderBy(F.desc("score"), "id")).cast("long")
+    placed = scored.select("stream", "id", "score").withColumn("rank", rank).where(F.col("rank") <= cap)
+    return _fused(placed.select(F.col("id").cast("string").alias("id"), "stream", "rank"), names, k)
+
+
 def fuse(streams: dict[str, DataFrame], k: int = RRF_K, cap: int = CANDIDATE_CAP) -> DataFrame:
     """Reciprocal rank fusion: (id, score, and a <name>_rank for each stream, 0 if not in it)."""
-    if k <= 0:
-        raise ValueError("k must be positive")
     parts = [ranked(s, cap).select(F.col("id").cast("string").alias("id"), F.lit(n).alias("stream"), "rank") for n, s in streams.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    ranks = [F.coalesce(F.min(F.when(F.col("stream") == n, F.col("rank"))), F.lit(0)).cast("long").alias(f"{n}_rank") for n in streams]
+    return _fused(every, tuple(streams), k)
+
+
+def _fused(every: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
+    if k <= 0:
+        raise ValueError("k must be positive")
+    ranks = [F.coalesce(F.min(F.when(F.col("stream") == n, F.col("rank"))), F.lit(0)).cast("long").alias(f"{n}_rank") for n in names]
     # Summed in rank order, so that equal sets of ranks give equal doubles.
     score = F.aggregate(F.array_sort(F.collect_list(F.col("rank"))), F.lit(0.0), lambda s, r: s + F.lit(1.0) / (r + k))
     return every.groupBy("id").agg(score.alias("score"), *ranks)
@@ -144,12 +158,30 @@ def rerank_wanted(candidates: DataFrame, query: str, name: str = "name", enabled
     return candidates.agg(wanted.alias("wanted"))
 
 
+def reranked(candidates: DataFrame, query: str, k: int, scorer: Callable[[Column, Column], Column] | None = None, content: str = "content") -> DataFrame:
+    """The first ``k`` of candidates(id, score, content). Without a scorer they keep their order; with one, a function of
+    the query and the content to a number such as a pandas UDF around a model, its value replaces the score and is kept
+    as ``rerank_score``."""
+    if scorer is None:
+        return top(candidates, k).withColumn("rerank_score", F.lit(None).cast("double"))
+    value = scorer(F.lit(query), F.col(content)).cast("double")
+    return top(candidates.withColumn("rerank_score", value).withColumn("score", F.col("rerank_score")), k)
+
+
+def symbol_exact(nodes: DataFrame, query: str, k: int, id: str, name: str, fields: dict[str, str]) -> DataFrame:
+    """Names and words together: the lexical and the fuzzy stream, ``k`` of each, fused."""
+    streams = {"lexical": lexical_stream(nodes, query, k, id, fields), "symbol": symbol_stream(nodes, query, k, id, name)}
+    return fuse(streams, cap=k).orderBy(F.desc("score"), "id").limit(k)
+
+
 def domain_rerank(hits: DataFrame, concepts: DataFrame, text: Column, gamma: float = 0.1) -> DataFrame:
     """score / max + gamma * min(1, highest importance of a concept that the text names).
 
-    hits(id, score, ...), concepts(name, importance). Concepts are a short list; each hit is met
-    by every alias in one pass over a literal-sized table.
+    hits(id, score, ...), concepts(name, importance). Concepts are a short list, MOST_CONCEPTS at most (else this
+    raises); each hit is met by every alias in one pass over a literal-sized table.
     """
+    if concepts.limit(MOST_CONCEPTS + 1).count() > MOST_CONCEPTS:
+        raise ValueError(f"more than {MOST_CONCEPTS} concepts")
     named = concepts.select(T.aliases(F.col("name")).alias("aliases"), "importance").agg(F.collect_list(F.struct("aliases", "importance")).alias("concepts"))
     low = F.lower(text)
     best = F.aggregate("concepts", F.lit(0.0), lambda m, c: F.greatest(m, F.when(F.exists(c["aliases"], lambda a: low.contains(a)), c["importance"]).otherwise(0.0)))

@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+CHUNK = 100_000  # rows of one key that are given out at once
+
+
 def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     """A growing Parquet table, or one file, as a stream."""
     table = spark.read.parquet(path)
@@ -38,10 +42,29 @@ def sessions(events: DataFrame, at: str, gap: str, key: str, late: str = "1 day"
 
 
 def first_seen(events: DataFrame, at: str, keys: list[str], ttl: str = "24 hours") -> DataFrame:
-    """One row for each key inside the time to live."""
+    """Rows whose key wasn't taken at their time: a row that is taken holds its key for the time to live, and
+    the next row after that is taken again.
+
+    Batches are hashed by key, sorted by time and passed once, so a key of many rows needs no more memory than another.
+    Rows of a null key are one key; columns beside keys and time are dropped in both forms.
+    """
+    rows = events.select(*keys, at)
     if events.isStreaming:
-        return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+        return rows.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
+    seconds = events.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP'2000-01-01' + INTERVAL {ttl}) - unix_micros(TIMESTAMP'2000-01-01')").first()[0]
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, free = None, 0
+        for b in batches:
+            keep = []
+            for k, t in zip(b["_key"].tolist(), b["_t"].tolist(), strict=True):
+                keep.append(k != current or t >= free)
+                if keep[-1]:
+                    current, free = k, t + seconds
+            yield b[keep]
+
+    marked = rows.where(F.col(at).isNotNull()).withColumns({"_key": F.to_json(F.struct(*keys)), "_t": F.unix_micros(at)})
+    return marked.repartition("_key").sortWithinPartitions("_key", "_t").mapInPandas(taken, marked.schema).drop("_key", "_t")
 
 
 def retained(logs: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame:
@@ -80,14 +103,15 @@ def rate_limited_stream(events: DataFrame, key: str, at: str, limit: int, second
             state.remove()
             return
         start, n = state.get if state.exists else (0, 0)
-        rows = pd.concat(batches).sort_values("t")
-        out = []
-        for t in rows["t"].tolist():
-            start, n = (t, 1) if n == 0 or t >= start + seconds * 1_000_000 else (start, n + 1)
-            out.append((k[0], t, start, n, n <= limit))
+        times = np.sort(np.concatenate([b["t"].to_numpy() for b in batches]))  # eight bytes a hit of the micro-batch
+        for low in range(0, len(times), CHUNK):
+            out = []
+            for t in times[low : low + CHUNK].tolist():
+                start, n = (t, 1) if n == 0 or t >= start + seconds * 1_000_000 else (start, n + 1)
+                out.append((k[0], t, start, n, n <= limit))
+            yield pd.DataFrame(out, columns=["key", "t", "s", "hit", "allowed"])
         state.update((start, n))
         state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "t", "s", "hit", "allowed"])
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.withWatermark(at, late).select(F.col(key).alias("key"), F.unix_micros(at).alias("t"), at)
