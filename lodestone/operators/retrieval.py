@@ -22,7 +22,10 @@ MOST_CONCEPTS = 1000
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
+def top(scored: DataFrame, k: int | None) -> DataFrame:
+    """The k best rows; all of them, in no order, for None."""
+    if k is None:
+        return scored
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -91,7 +94,7 @@ def cover_density(fields: dict[str, Column], words: list[str]) -> Column:
     return ranked(F.struct(one("at"), one("word"), one("weight")))
 
 
-def lexical_stream(docs: DataFrame, query: str, k: int, id: str = "doc_id", fields: dict[str, str] | None = None) -> DataFrame:
+def lexical_stream(docs: DataFrame, query: str, k: int | None, id: str = "doc_id", fields: dict[str, str] | None = None) -> DataFrame:
     """Rows that hold every word of the query, by cover density. One word needs no covers: each
     occurrence is one, so the rank is a weighted count and stays in generated code."""
     words, fields = lexemes(query), fields or {"D": "text"}

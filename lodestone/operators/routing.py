@@ -58,3 +58,9 @@ def explained(routed: DataFrame) -> DataFrame:
     most = F.array_max(F.transform("matched", lambda t: F.col("idf")[t]))
     mark = lambda t: F.when((F.col("idf")[t] > 0) & (F.col("idf")[t] >= RARE * most), F.concat(t, F.lit(" (rare)"))).otherwise(t)
     return routed.withColumn("why", F.array_join(F.transform(F.slice(F.array_sort("matched"), 1, 4), mark), ", "))
+
+
+def pools(repositories: DataFrame, collections: DataFrame, query: str, k_repositories: int, k_collections: int, **columns: str) -> DataFrame:
+    """(pool, label, score): both pools ranked by themselves, one after the other; columns as for route_repositories."""
+    first = route_repositories(repositories, query, k_repositories, **columns).select(F.lit("repository").alias("pool"), F.col(columns.get("label", "label")).alias("label"), "score")
+    return first.unionByName(route_collections(collections, query, k_collections).select(F.lit("collection").alias("pool"), "label", "score"))

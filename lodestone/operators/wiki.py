@@ -200,9 +200,9 @@ def types_of_page(types: DataFrame, wanted: DataFrame, index_pages: DataFrame, m
     parts = F.split("qualified_name", r"\.")
     owners = wanted.where("source = 'chunk'").select("page", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).alias("qualified_name"))
     every = exact.unionByName(owners.join(types, "qualified_name").select("page", "qualified_name", "pos", F.lit(2).alias("way")))
-    bare = index_pages.join(every.select("page").distinct(), "page", "left_anti")
-    head = types.orderBy("pos").limit(most)
-    every = every.unionByName(bare.join(F.broadcast(head), how="cross").select("page", "qualified_name", "pos", F.lit(3).alias("way"))) if index_pages is not None else every
+    bare = index_pages.join(every.select("page").distinct(), "page", "left_anti").withColumn("way", F.lit(3))
+    head = types.orderBy("pos").limit(most).withColumn("way", F.lit(3))
+    every = every.unionByName(bare.join(F.broadcast(head), "way").select("page", "qualified_name", "pos", "way"))
     best = every.groupBy("page", "qualified_name").agg(F.min(F.struct("way", "pos")).alias("b"))
     place = F.row_number().over(W.partitionBy("page").orderBy("b.way", "b.pos")).cast("long")
     return best.select("page", place.alias("place"), "qualified_name").where(F.col("place") <= most)

@@ -52,11 +52,11 @@ def top_queries(spark, sf_dir):
 
 
 @query("""WITH logs AS (""" + LOGS_SQL + """), u AS (SELECT user_id, count(*) AS queries, count_if(source = 'mcp')::BIGINT AS mcp, count_if(source = 'rest')::BIGINT AS rest, count_if(status = 'error')::BIGINT AS errors, sum(tokens)::BIGINT AS tokens FROM logs GROUP BY user_id),
-    c AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey <= 400)
+    c AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0)
     SELECT user_id, coalesce(queries, 0) AS queries, coalesce(mcp, 0) AS mcp, coalesce(rest, 0) AS rest, coalesce(errors, 0) AS errors, coalesce(tokens, 0) AS tokens, c.user_id IS NOT NULL AS known FROM c FULL JOIN u USING (user_id)""")
 def usage_by_user_incl_silent(spark, sf_dir):
     usage = logs(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("queries"), F.count_if(F.col("source") == "mcp").alias("mcp"), F.count_if(F.col("source") == "rest").alias("rest"), F.count_if(F.col("status") == "error").alias("errors"), F.sum("tokens").alias("tokens"))
-    users = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0 and c_custkey <= 400").select(F.col("c_custkey").alias("user_id"))
+    users = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
     return M.per_user(users, usage, "user_id")
 
 
@@ -152,7 +152,8 @@ def page_headings(spark, sf_dir):
     return P.html_headings(table(spark, sf_dir, "pages")).drop("anchor")
 
 
-@query()
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>')) AS raw, generate_subscripts(regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>'), 1) - 1 AS pos FROM pages)
+    SELECT page_id, pos::BIGINT AS pos, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(raw, '<[^>]*>', '', 'g'))), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s-]', '', 'g'), '\s+', '-', 'g'), '-') AS anchor FROM h""")
 def page_heading_anchors(spark, sf_dir):
     return P.html_headings(table(spark, sf_dir, "pages")).select("page_id", "pos", "anchor")
 
@@ -174,17 +175,30 @@ def link_resolution(spark, sf_dir):
     return P.resolve_links(good.union(bad).distinct(), docs).select("slot", "href", F.coalesce("target", F.lit(-1)).alias("target"))
 
 
-@query("SELECT source, doc_id, sum(least(n_chars, 3000)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents QUALIFY used <= 20000")
+@query("SELECT source, doc_id, sum(coalesce(length(text), 0)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents QUALIFY used <= 20000")
 def section_outline_budget(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 3000).alias("head"))
-    return P.budgeted(rows, "source", "doc_id", "head", 20000).select("source", "doc_id", "used")
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return P.budgeted(rows, "source", "doc_id", "text", 20000).select("source", "doc_id", "used")
 
 
-@query()
+#: A document on a part's orders mentions the part by name and its qualified name; nodes are all parts.
+_MENTIONS = """WITH n AS (SELECT p_partkey AS node_id, replace(p_name, ' ', '_') AS name, lower(replace(p_brand, '#', '')) AS package, p_size AS start_line FROM part),
+    c AS (SELECT o_orderkey AS chunk_id, n.name AS raw, n.package FROM orders JOIN n ON n.node_id = o_custkey),
+    m AS (SELECT chunk_id, raw, raw AS key, NULL AS qual FROM c UNION SELECT chunk_id, package || '.' || raw, raw, package FROM c),
+    s AS (SELECT chunk_id, raw, node_id, start_line, (CASE WHEN n.package || '.' || n.name = raw THEN 120 WHEN ends_with(n.package || '.' || n.name, raw) THEN 90 ELSE 0 END) + 50 + (CASE WHEN qual = n.package THEN 40 ELSE 0 END) + (CASE WHEN qual IS NOT NULL AND contains(n.package || '.' || n.name, qual) THEN 30 ELSE 0 END)
+        + (CASE WHEN qual = n.package THEN 20 ELSE 0 END) AS score FROM m JOIN n ON n.name = m.key)
+    SELECT chunk_id, raw, node_id, score FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id, raw ORDER BY score DESC, start_line, node_id) = 1"""
+
+
+@query(_MENTIONS)
 def mention_linking_best(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("docs/"), "source", F.lit("/a.md")).alias("doc_path"), F.concat(F.lit("See `red_widget` and core.red_widget: run() "), "source").alias("content"))
-    nodes = spark.createDataFrame([(1, "red_widget", "core.red_widget", "core/a.py", 5, "core"), (2, "red_widget", "other.red_widget", "other/b.py", 2, "other"), (3, "run", "src1.run", "src1/r.py", 1, "src1")], "node_id long, name string, qualified_name string, file_path string, start_line long, package string")
-    return P.link_mentions(docs, nodes)
+    part = table(spark, sf_dir, "part")
+    package = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    nodes = part.select(F.col("p_partkey").alias("node_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), package.alias("package"), F.col("p_size").cast("long").alias("start_line"))
+    nodes = nodes.select("*", F.concat_ws(".", "package", "name").alias("qualified_name"), F.concat("package", F.lit("/x.py")).alias("file_path"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("node_id")).join(nodes, "node_id")
+    chunks = orders.select("chunk_id", F.lit("notes.md").alias("doc_path"), F.concat(F.lit("See `"), "name", F.lit("` and "), "qualified_name", F.lit(" there")).alias("content"))
+    return P.link_mentions(chunks, nodes)
 
 
 @query("SELECT 'src/' || lang AS path, sum(n_chars)::BIGINT AS bytes FROM documents WHERE n_chars BETWEEN 1 AND 1048576 GROUP BY 1")
@@ -236,15 +250,17 @@ def best_permission(spark, sf_dir):
     return A.best_permission(grants, members)
 
 
-#: Old: documents of id below 800. New: those above 100, with every tenth text changed.
-_OLD = "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id < 800"
-_NEW = "SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id > 100"
+#: Both versions are shares of all documents by a hash of their id: one in eight is gone, one in eight is new, and every tenth text changed.
+_SHARE = "(doc_id * 2654435761 % 4294967296) // 536870912"
+_OLD = f"SELECT doc_id, sha256(text) AS h FROM documents WHERE {_SHARE} <> 0"
+_NEW = f"SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE {_SHARE} <> 7"
 
 
 def _versions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    old = d.where("doc_id < 800").select("doc_id", F.sha2("text", 256).alias("h"), (F.col("doc_id") + 1_000_000).alias("id"))
-    new = d.where("doc_id > 100").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "!").otherwise("")), 256).alias("h"), (F.col("doc_id") + 2_000_000).alias("id"))
+    share = "(doc_id * 2654435761 % 4294967296) div 536870912"
+    old = d.where(f"{share} != 0").select("doc_id", F.sha2("text", 256).alias("h"), (F.col("doc_id") + 1_000_000).alias("id"))
+    new = d.where(f"{share} != 7").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "!").otherwise("")), 256).alias("h"), (F.col("doc_id") + 2_000_000).alias("id"))
     return old, new
 
 
@@ -307,9 +323,9 @@ def edit_streaks(spark, sf_dir):
     return I.edit_streak(table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), "ts", kind.alias("kind")), "page", "ts", "kind")
 
 
-@query("SELECT role, substring(text, 1, 20) AS key, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1, 2")
+@query("SELECT role, sha256(text) AS key, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1, 2")
 def evidence_dedupe_first_wins(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("role", F.substring("text", 1, 20).alias("key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
+    rows = table(spark, sf_dir, "conversations").select("role", F.sha2("text", 256).alias("key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
     return P.first_per_group(rows.withColumn("_g", F.concat_ws("\x1f", "role", F.coalesce("key", F.lit("")))), "_g", "first").select("role", "key", "first")
 
 
@@ -319,20 +335,23 @@ def citation_gate_antijoin(spark, sf_dir):
     return P.ungrounded(cited, table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("conv_id")), ["conv_id"])
 
 
-@query()
+#: Lines: # role, ## A, a fence with ## not, ### B, text, ## C, then the text (which has no headings).
+@query("""WITH t AS (SELECT conv_id, max('# ' || role || chr(10) || '## A' || chr(10) || '```' || chr(10) || '## not' || chr(10) || '```' || chr(10) || '### B' || chr(10) || 'text' || chr(10) || '## C' || chr(10) || text) AS text FROM conversations GROUP BY conv_id)
+    SELECT conv_id, u.* FROM t, (VALUES (1, 2, 'A', 2, 7), (2, 3, 'B', 6, 7), (3, 2, 'C', 8, NULL)) u(section, level, heading, first_line, end_line)""")
 def coverage_sections(spark, sf_dir):
     md = F.concat(F.lit("# "), "role", F.lit("\n## A\n```\n## not\n```\n### B\ntext\n## C\n"), "text")
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(md).alias("text"))
     return P.sections(rows, "conv_id", "text")
 
 
-@query("""WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id < 200), t AS (SELECT vec_id, v, ['l' || label, 'm' || vec_id % 2, 'all'] AS w FROM p),
+@query("""WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings ), t AS (SELECT vec_id, v, ['l' || label, 'g' || vec_id // 8, 'h' || (vec_id * 7 % 1009) // 4, 'm' || vec_id % 2] AS w FROM p),
     j AS (SELECT a.vec_id AS a, b.vec_id AS b, len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(a.w || b.w)) AS j, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS c FROM t a JOIN t b ON a.vec_id < b.vec_id)
-    SELECT a, b, round(j::DOUBLE, 6) AS jaccard, round(c, 6) AS cosine FROM j WHERE j >= 0.5 AND c >= 0.2""")
+    SELECT a, b, round(j::DOUBLE, 6) AS jaccard, round(c, 6) AS cosine FROM j WHERE j >= 0.5 AND c >= -0.2""")
 def plan_overlap_pairs(spark, sf_dir):
-    tokens = F.array(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")), F.lit("all"))
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 200").withColumn("tokens", tokens)
-    return P.overlapping_pairs(rows, "vec_id", "tokens", "embedding", 0.5, 0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"))
+    named = lambda mark, value: F.concat(F.lit(mark), F.expr(value).cast("string"))
+    tokens = F.array(named("l", "label"), named("g", "vec_id div 8"), named("h", "(vec_id * 7 % 1009) div 4"), named("m", "vec_id % 2"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("tokens", tokens)
+    return P.overlapping_pairs(rows, "vec_id", "tokens", "embedding", 0.5, -0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"))
 
 
 _SAL = "round(0.3 * (len(html) > 4000)::INT + 0.25 * contains(url, '/en/')::INT + 0.2 * starts_with(url, 'https')::INT - 0.2 * contains(url, 'spam')::INT, 6)"
@@ -389,24 +408,38 @@ def stream_usage_window(spark, sf_dir):
     return out.select(F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), "event_type", "n")
 
 
-@query("SELECT count(DISTINCT user_id) AS users FROM events")
-def stream_dedup_ttl(spark, sf_dir):
-    """Users seen, by a stream that keeps a key for the time to live; one batch, so each once."""
-    events = instants(U.read_stream(spark, f"{sf_dir}/events.parquet"))
-    return _played(spark, U.first_seen(events, "ts", ["user_id"], "60 days").select("user_id"), "dedup").agg(F.count_distinct("user_id").alias("users"))
-
-
-_RATE = """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20),
+_RATE = """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     r AS (SELECT user_id, ts, n, ts AS s, 1 AS hit FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.ts, e.n, CASE WHEN e.ts >= r.s + INTERVAL 6 HOUR THEN e.ts ELSE r.s END, CASE WHEN e.ts >= r.s + INTERVAL 6 HOUR THEN 1 ELSE r.hit + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
     SELECT user_id, count(*) AS hits, count_if(hit <= 2)::BIGINT AS allowed, count(DISTINCT s) AS windows FROM r GROUP BY user_id"""
 
 
 @query(_RATE)
 def rate_limit_replay(spark, sf_dir):
-    out = U.rate_limited(table(spark, sf_dir, "events").where("user_id < 20"), "user_id", "ts", 2, 6 * 3600)
+    out = U.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", 2, 6 * 3600)
     return out.groupBy("user_id").agg(F.count("*").alias("hits"), F.count_if("allowed").alias("allowed"), F.count_distinct("window_start").alias("windows"))
 
 
+@query(_RATE.split("SELECT user_id, count(*) AS hits")[0] + "SELECT user_id, s AS ts FROM r GROUP BY user_id, s")
+def dedup_ttl(spark, sf_dir):
+    """Rows that a key of six hours lets through; keys come back."""
+    return U.first_seen(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup_ttl(spark, sf_dir):
+    """Users seen by a stream that keeps a key for 60 days, which all rows of the table lie within."""
+    events = instants(U.read_stream(spark, f"{sf_dir}/events.parquet"))
+    return _played(spark, U.first_seen(events, "ts", ["user_id"], "60 days").select("user_id"), "dedup")
+
+
+@query(_RATE.split("SELECT user_id, count(*) AS hits")[0] + "SELECT user_id, count(*) AS hits, count_if(hit <= 2)::BIGINT AS allowed FROM r GROUP BY user_id")
+def rate_limit_stream(spark, sf_dir):
+    """The stream's counter in state, over the whole table in one micro-batch."""
+    events = instants(U.read_stream(spark, f"{sf_dir}/events.parquet"))
+    out = _played(spark, U.rate_limited_stream(events, "user_id", "ts", 2, 6 * 3600), "rates")
+    return out.groupBy("user_id").agg(F.count("*").alias("hits"), F.count_if("allowed").alias("allowed"))
+
+
 @query("SELECT id FROM (SELECT o_orderkey AS id, o_orderdate AS t, o_orderstatus AS s FROM orders) WHERE s = 'O' AND t < TIMESTAMP '1998-01-01' - INTERVAL 15 MINUTE AND id % 3 <> 0")
 def stale_run_sweep(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodestone.operators import clusters
 from lodestone.operators import documents as D
@@ -49,11 +50,11 @@ def page_tree_roots(spark, sf_dir):
     return out.withColumn("parent", F.coalesce("parent", F.lit("none")))
 
 
-@query(f"""WITH n AS ({NODES_SQL}), c AS (SELECT o_orderkey AS page, 'node' AS kind, qualified_name AS target FROM orders JOIN n ON n.id = o_custkey WHERE o_orderkey % 9 = 0 UNION SELECT o_orderkey, 'doc', o_orderpriority FROM orders WHERE o_orderkey % 9 = 0)
-    SELECT page, kind, target, coalesce(CASE WHEN kind = 'node' THEN (SELECT min(id::VARCHAR) FROM n WHERE qualified_name = target) WHEN target = '1-URGENT' THEN '77' END, '?') AS ref FROM c""")
+@query(f"""WITH n AS ({NODES_SQL}), c AS (SELECT o_orderkey AS page, 'node' AS kind, qualified_name AS target FROM orders JOIN n ON n.id = o_custkey UNION SELECT o_orderkey, 'doc', o_orderpriority FROM orders)
+    SELECT page, kind, target, coalesce(CASE WHEN kind = 'node' THEN r.id WHEN target = '1-URGENT' THEN '77' END, '?') AS ref FROM c LEFT JOIN (SELECT qualified_name, min(id::VARCHAR) AS id FROM n GROUP BY 1) r ON qualified_name = target AND kind = 'node'""")
 def citation_resolution(spark, sf_dir):
     nodes = parts_as_nodes(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").join(nodes.select(F.col("id").alias("o_custkey"), "qualified_name"), "o_custkey", "left")
+    orders = table(spark, sf_dir, "orders").join(nodes.select(F.col("id").alias("o_custkey"), "qualified_name"), "o_custkey", "left")
     mark = lambda kind, c: F.concat(F.lit(f"[[{kind}:"), c, F.lit("#top]]" if kind == "doc" else "]]"))
     text = F.concat_ws(" ", mark("node", F.col("qualified_name")), mark("doc", F.col("o_orderpriority")), mark("doc", F.col("o_orderpriority")))
     cited = D.citations(orders.select(F.col("o_orderkey").alias("page"), text.alias("text")), "page", "text")
@@ -62,12 +63,12 @@ def citation_resolution(spark, sf_dir):
     return out.select("page", "kind", F.split_part("target", F.lit("#"), F.lit(1)).alias("target"), F.coalesce("ref", F.lit("?")).alias("ref"))
 
 
-@query("WITH old AS (SELECT p_partkey AS id, p_name AS q FROM part), live AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 100000 ELSE p_partkey END AS id, p_name AS q FROM part WHERE p_partkey % 5 <> 0) SELECT DISTINCT l_orderkey AS page, l_partkey AS node_id, coalesce(CASE WHEN l_partkey IN (SELECT id FROM live) THEN l_partkey ELSE (SELECT min(v.id) FROM live v JOIN old o USING (q) WHERE o.id = l_partkey) END, -1) AS new_id FROM lineitem WHERE l_orderkey < 500")
+@query("WITH old AS (SELECT p_partkey AS id, p_name AS q FROM part), live AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 100000 ELSE p_partkey END AS id, p_name AS q FROM part WHERE p_partkey % 5 <> 0) SELECT DISTINCT l_orderkey AS page, l_partkey AS node_id, coalesce(a.id, b.first, -1) AS new_id FROM lineitem LEFT JOIN live a ON a.id = l_partkey LEFT JOIN (SELECT o.id, min(v.id) AS first FROM live v JOIN old o USING (q) GROUP BY o.id) b ON b.id = l_partkey")
 def citation_repair(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     old = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("qualified_name"))
     live = part.where("p_partkey % 5 != 0").select(F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey") + 100000).otherwise(F.col("p_partkey")).alias("id"), F.col("p_name").alias("qualified_name"))
-    cited = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("node_id")).distinct()
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("node_id")).distinct()
     return D.repair(cited, old, live).withColumn("new_id", F.coalesce("new_id", F.lit(-1)))
 
 
@@ -77,28 +78,42 @@ def lead_prose(spark, sf_dir):
     return rows.select("doc_id", D.lead(F.col("text"), 120).alias("lead"))
 
 
-_FILES = [
-    ("a/requirements.txt", "numpy>=1\npandas\n# no\nnumpy\n"), ("b/go.mod", "module x\ngo 1.22\nrequire (\n\tgithub.com/a/b v1.2.3\n)\n"), ("Dockerfile", "FROM python:3.13\nENV PORT 80\nCMD run me\n"),
-    ("c/package.json", '{"dependencies": {"left-pad": "^1.0.0"}, "engines": {"node": ">=18"}}'),
-]
+#: One project folder for each customer, with a requirements file, a Go module, a Dockerfile and a package file.
+_FACTS = """WITH c AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 7, '0') AS p FROM customer),
+    f AS (SELECT 'dependency' AS kind, 'lib' || k % 40 AS value, 'p' || p || '/requirements.txt' AS path, 1 AS line FROM c UNION ALL SELECT 'dependency', 'pandas', 'p' || p || '/requirements.txt', 2 FROM c
+    UNION ALL SELECT 'dependency', 'github.com/a/b' || k % 3, 'p' || p || '/go.mod', 4 FROM c UNION ALL SELECT 'runtime', '1.' || k % 9, 'p' || p || '/go.mod', 2 FROM c UNION ALL SELECT 'runtime', 'python:3.' || k % 14, 'p' || p || '/Dockerfile', 1 FROM c
+    UNION ALL SELECT 'config_key', 'PORT_' || k, 'p' || p || '/Dockerfile', 2 FROM c UNION ALL SELECT 'run_command', 'run me', 'p' || p || '/Dockerfile', 3 FROM c UNION ALL SELECT 'dependency', 'left-pad', 'p' || p || '/package.json', 1 FROM c UNION ALL SELECT 'runtime', '>=18', 'p' || p || '/package.json', 1 FROM c),
+    g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY path, line) = 1)
+    SELECT kind, value, path, line FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY path, line, value) <= 30"""
 
 
-@query("SELECT kind, value, path, line::BIGINT AS line FROM (VALUES ('dependency', 'numpy', 'a/requirements.txt', 1), ('dependency', 'pandas', 'a/requirements.txt', 2), ('dependency', 'github.com/a/b', 'b/go.mod', 4), ('runtime', '1.22', 'b/go.mod', 2), ('runtime', 'python:3.13', 'Dockerfile', 1), ('config_key', 'PORT', 'Dockerfile', 2), ('run_command', 'run me', 'Dockerfile', 3), ('dependency', 'left-pad', 'c/package.json', 1), ('runtime', '>=18', 'c/package.json', 1)) t(kind, value, path, line)")
+@query(_FACTS)
 def manifest_facts(spark, sf_dir):
-    return D.manifest_facts(spark.createDataFrame(_FILES, "path string, content string"))
-
-
-@query(f"WITH e AS ({EDGES_SQL}), h AS (SELECT DISTINCT p_partkey AS id FROM part WHERE p_partkey BETWEEN 11 AND 30) SELECT id, coalesce((SELECT string_agg(DISTINCT src::VARCHAR, ',' ORDER BY src::VARCHAR) FROM e WHERE dst = id), '') AS callers, coalesce((SELECT string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) FROM e WHERE src = id), '') AS callees FROM h")
+    k = F.col("c_custkey").cast("string")
+    folder = F.concat(F.lit("p"), F.lpad(k, 7, "0"), F.lit("/"))
+    n = lambda m: (F.col("c_custkey") % m).cast("string")
+    file = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("content"))
+    files = F.array(
+        file("requirements.txt", F.concat(F.lit("lib"), n(40), F.lit(">=1\npandas\n# no\npandas\n"))),
+        file("go.mod", F.concat(F.lit("module x\ngo 1."), n(9), F.lit("\nrequire (\n\tgithub.com/a/b"), n(3), F.lit(" v1.2.3\n)\n"))),
+        file("Dockerfile", F.concat(F.lit("FROM python:3."), n(14), F.lit("\nENV PORT_"), k, F.lit(" 80\nCMD run me\n"))),
+        file("package.json", F.lit('{"dependencies": {"left-pad": "^1.0.0"}, "engines": {"node": ">=18"}}')),
+    )
+    tree = table(spark, sf_dir, "customer").select(folder.alias("folder"), F.explode(files).alias("f"))
+    return D.manifest_facts(tree.select(F.concat("folder", "f.name").alias("path"), "f.content"))
+
+
+@query(f"WITH e AS ({EDGES_SQL}), h AS (SELECT p_partkey AS id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20) SELECT id, coalesce((SELECT string_agg(DISTINCT src::VARCHAR, ',' ORDER BY src::VARCHAR) FROM e WHERE dst = id), '') AS callers, coalesce((SELECT string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) FROM e WHERE src = id), '') AS callees FROM h")
 def graph_pivot(spark, sf_dir):
-    hits = table(spark, sf_dir, "part").where("p_partkey between 11 and 90").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("id"))
+    hits = table(spark, sf_dir, "part").select(F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("pos"), F.col("p_partkey").alias("id")).where("pos <= 90")
     out = D.pivot(hits.union(hits), calls(spark, sf_dir), parts_as_nodes(spark, sf_dir))
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ","), F.lit(""))
     return out.select("id", joined("callers").alias("callers"), joined("callees").alias("callees"))
 
 
-@query("SELECT event_id AS pos, user_id AS id, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1) AS known FROM events WHERE event_id < 300")
+@query("SELECT event_id AS pos, user_id AS id, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1) AS known FROM events")
 def id_existence(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").where("event_id < 300").select(F.col("event_id").alias("pos"), F.col("user_id").alias("id"))
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("id"))
     return D.existing(ids, table(spark, sf_dir, "customer").where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("id")))
 
 
@@ -125,10 +140,13 @@ def membership_priority(spark, sf_dir):
     return D.memberships(rows)
 
 
-@query("SELECT doc_id, substring(text, 1, 5) AS body FROM documents WHERE regexp_matches(text, '^[ -~]{5}')")
+#: A range is whole if the characters before its start and before its end have so many bytes in all.
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents), c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS k FROM t WHERE length(text) > 0),
+    p AS (SELECT doc_id, k, ch, sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM c WHERE k <= 60), w AS (SELECT doc_id, string_agg(ch, '' ORDER BY k) FILTER (upto > 11 AND upto <= 41) AS body, bool_or(upto = 11) AS starts, bool_or(upto = 41) AS ends FROM p GROUP BY doc_id)
+    SELECT t.doc_id, CASE WHEN n <= 11 THEN '' WHEN starts AND (ends OR n <= 41) THEN coalesce(body, '') END AS body FROM t LEFT JOIN w USING (doc_id)""")
 def byte_ranges(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[ -~]{5}"))
-    return rows.select("doc_id", D.byte_range(F.col("text").cast("binary"), F.lit(0), F.lit(5)).alias("body"))
+    """Bytes 11 to 41 of every text; null where they cut a character."""
+    return table(spark, sf_dir, "documents").select("doc_id", D.byte_range(F.coalesce("text", F.lit("")).cast("binary"), F.lit(11), F.lit(41)).alias("body"))
 
 
 @query()

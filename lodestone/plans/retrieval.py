@@ -60,9 +60,18 @@ def lexical_simple_and(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(R.matches_all(F.col("text"), words)).select("doc_id", R.occurrences(F.col("text"), words).alias("n"))
 
 
-@query()
+#: Covers of two words: neighbouring positions of different words (positions from 1, weight 0.1).
+_COVER = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), m AS (SELECT doc_id, t FROM d WHERE list_contains(t, 'the') AND list_contains(t, 'license')),
+    p AS (SELECT doc_id, unnest(list_filter(list_transform(t, lambda x, i: {{'pos': i, 'w': x}}), lambda x: x.w IN ('the', 'license')), recursive := true) FROM m),
+    n AS (SELECT doc_id, pos, w, lead(pos) OVER o AS next_pos, lead(w) OVER o AS next_w FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, round(sum(0.1 / (1 + (next_pos - pos - 1))), 6)::DOUBLE AS score FROM n WHERE next_w <> w GROUP BY doc_id ORDER BY round(sum(0.1 / (1 + (next_pos - pos - 1))), 6) DESC, doc_id LIMIT 50"""
+
+
+@query(_COVER)
 def lexical_cover_density(spark, sf_dir):
-    return R.lexical_stream(table(spark, sf_dir, "documents"), "the license version", 50).select(F.col("id").alias("doc_id"), "score")
+    docs = table(spark, sf_dir, "documents")
+    scored = R.lexical_stream(docs, "the license", None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query(f"""WITH d AS (SELECT doc_id, text, {_TOKENS} AS t FROM documents), h AS (
@@ -114,24 +123,31 @@ def rrf_capped(spark, sf_dir):
     return _best(R.fuse({n: R.lexical_stream(docs, w, 300) for n, w in (("a", "the"), ("b", "of"))}, k=10, cap=5), 25)
 
 
+_TITLE = "split_part(text, chr(10), 1)"
 _HYBRID = _fused_sql(
     {
         "vector": _NEAR.replace("e.vec_id,", "e.vec_id AS id,"), "lexical": _LEX.format("license"),
-        "symbol": f"SELECT doc_id AS id, len(list_intersect(g, q)) * 1.0 / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM (SELECT doc_id, {_GRAMS.format('substring(text, 1, 60)')} AS g, {_GRAMS.format(chr(39) + 'license' + chr(39))} AS q FROM documents) WHERE len(list_intersect(g, q)) * 1.0 / (len(g) + len(q) - len(list_intersect(g, q))) >= 0.05",
+        "symbol": f"SELECT doc_id AS id, len(list_intersect(g, q)) * 1.0 / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM (SELECT doc_id, {_GRAMS.format(_TITLE)} AS g, {_GRAMS.format(chr(39) + 'license' + chr(39))} AS q FROM documents) WHERE len(list_intersect(g, q)) * 1.0 / (len(g) + len(q) - len(list_intersect(g, q))) >= 0.05",
     }, 60, 300, 10,
 )
 
 
 @query(f"SELECT f.*, substring(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), 1, 80) AS head FROM ({_HYBRID}) f LEFT JOIN documents d ON d.doc_id::VARCHAR = f.id")
 def hybrid_search(spark, sf_dir):
-    """Vector, lexical and fuzzy streams over documents, fused, with the head of each hit."""
+    """Vectors, words and fuzzy titles (first lines) of documents, fused, with the head of each hit.
+
+    One scan of the documents scores words and titles; each stream is cut where it is read.
+    """
     docs = table(spark, sf_dir, "documents")
-    streams = {
-        "vector": R.vector_stream(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 300),
-        "lexical": R.lexical_stream(docs, "license", 300),
-        "symbol": R.symbol_stream(docs.select("doc_id", F.substring("text", 1, 60).alias("head")), "license", 300, "doc_id", "head", 0.05),
-    }
-    best = stored(_best(R.fuse(streams), 10), "hybrid-hits")  # ten rows, read twice below
+    words = R.lexemes("license")
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    scores = F.array(
+        F.struct(F.lit("lexical").alias("stream"), (R.occurrences(F.col("text"), words) * R.WEIGHTS["D"]).alias("score")),
+        F.struct(F.lit("symbol").alias("stream"), T.similarity(T.trigrams(title), T.trigrams(F.lit("license"))).cast("double").alias("score")),
+    )
+    scored = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(scores).alias("s")).select("s.stream", "id", "s.score").where("score >= 0.05")
+    near = R.vector_stream(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 300).select(F.lit("vector").alias("stream"), F.col("id").cast("long").alias("id"), "score")
+    best = stored(_best(R.fuse_scored(scored.unionByName(near), ("vector", "lexical", "symbol")), 10), "hybrid-hits")  # ten rows, read twice below
     heads = docs.select(F.col("doc_id").cast("string").alias("id"), "text").join(F.broadcast(best.select("id")), "id", "left_semi")
     return best.join(heads.select("id", F.substring(T.collapse(F.col("text")), 1, 80).alias("head")), "id", "left")
 
@@ -174,7 +190,18 @@ def snippet_window(spark, sf_dir):
     return out.select("doc_id", "truncated", F.when(right, F.col("start")).otherwise(-1).alias("start"))
 
 
-@query()
+#: The window of two terms in the collapsed text, its ends trimmed to words where a blank is near enough.
+_SNIPPET = r"""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS w FROM documents),
+    p AS (SELECT *, length(w) AS n, least(nullif(instr(lower(w), 'license'), 0), nullif(instr(lower(w), 'idiot'), 0)) - 1 AS f FROM c),
+    s AS (SELECT *, CASE WHEN f IS NULL OR n <= 200 THEN 0 ELSE greatest(0, f - 66) END AS s0 FROM p), e AS (SELECT *, least(n, s0 + 200) AS z FROM s),
+    r AS (SELECT *, CASE WHEN z - s0 < 200 AND s0 > 0 THEN greatest(0, z - 200) ELSE s0 END AS a FROM e), x AS (SELECT *, substring(w, a + 1, z - a) AS cut FROM r),
+    y AS (SELECT *, length(cut) - instr(reverse(cut), ' ') AS sp FROM x),
+    t AS (SELECT *, CASE WHEN z < n AND NOT regexp_matches(right(cut, 1), '[\s.!?;:,)\]"'']') AND instr(cut, ' ') > 0 AND sp > 0 AND sp >= length(cut) - 80 THEN rtrim(substring(cut, 1, sp)) WHEN z < n THEN rtrim(cut) ELSE cut END AS tail FROM y),
+    h AS (SELECT *, instr(tail, ' ') - 1 AS b FROM t), g AS (SELECT *, CASE WHEN a > 0 THEN '…' || ltrim(CASE WHEN b > 0 AND b <= 80 THEN substring(tail, b + 2) ELSE tail END) ELSE tail END AS got FROM h)
+    SELECT doc_id, CASE WHEN z < n THEN rtrim(got) || '…' ELSE got END AS snippet, n > 200 AS truncated FROM g"""
+
+
+@query(_SNIPPET)
 def snippets(spark, sf_dir):
     out = T.with_snippet(table(spark, sf_dir, "documents"), "text", F.array(F.lit("license"), F.lit("idiot")), 200)
     return out.select("doc_id", "snippet", "truncated")
@@ -203,26 +230,35 @@ def lexical_english(spark, sf_dir):
     return docs.select("doc_id", F.size(F.filter(T.english_tokens(F.col("text")), lambda t: t == "licens")).cast("long").alias("n"))
 
 
-@query()
+_STORES = f"""WITH v AS (SELECT vec_id AS id, 'd' AS store, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_NEAR}) QUALIFY rank <= 300),
+    y AS (SELECT id, 'c' AS store, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT p_partkey AS id, len(list_intersect(g, q)) * 1.0 / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM (SELECT p_partkey, {_GRAMS.format('p_name')} AS g, {_GRAMS.format("'widget'")} AS q FROM part)) WHERE s >= 0.3 QUALIFY rank <= 300),
+    l AS (SELECT id, 'c' AS store, row_number() OVER (ORDER BY n DESC, id) AS rank FROM (SELECT p_partkey AS id, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t = 'widget')) AS n FROM part) WHERE n > 0 QUALIFY rank <= 300),
+    x AS (SELECT id, 'd' AS store, row_number() OVER (ORDER BY n DESC, id) AS rank FROM (SELECT doc_id AS id, len(list_filter({_TOKENS}, lambda t: t = 'widget')) AS n FROM documents) WHERE n > 0 QUALIFY rank <= 300),
+    f AS (SELECT store, id::VARCHAR AS id, round(sum(1.0 / (60 + rank))::DOUBLE, 9) AS score FROM (FROM v UNION ALL FROM y UNION ALL FROM l UNION ALL FROM x) GROUP BY store, id)
+    SELECT CASE store WHEN 'c' THEN 'code' ELSE 'repo_docs' END AS store, id, score FROM f ORDER BY score DESC, store, id LIMIT 20"""
+
+
+@query(_STORES)
 def hybrid_stores(spark, sf_dir):
     """Parts as code and documents as documentation, ordered together."""
     docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "text"}, table(spark, sf_dir, "embeddings"), "vec_id")
-    parts = H.Store(table(spark, sf_dir, "part"), "p_partkey", {"A": "p_name", "D": "p_type"}, symbol="p_name")
-    return H.hybrid({"code": parts, "repo_docs": docs}, "red widget", _probe(spark, sf_dir), 20)
+    parts = H.Store(table(spark, sf_dir, "part"), "p_partkey", {"A": "p_name"}, symbol="p_name")
+    return H.hybrid({"code": parts, "repo_docs": docs}, "widget", _probe(spark, sf_dir), 20).withColumn("score", F.round("score", 9))
 
 
-_ROUTE = """WITH s AS (SELECT source AS label, string_agg(substring(text, 1, 40), ' ' ORDER BY doc_id) AS body FROM documents WHERE doc_id < 200 GROUP BY source),
+#: Each document is a source: its label source/lang/id, its readme the text.
+_ROUTE = """WITH s AS (SELECT source || '/' || lang || '/' || doc_id AS label, coalesce(text, '') AS body FROM documents),
     q AS (SELECT unnest(['src1', 'license', 'apache', 'und', 'der']) AS t), N AS (SELECT count(*) AS n FROM s),
     m AS (SELECT label, t, contains(lower(label), t) AS in_label FROM s, q WHERE contains(lower(label || chr(10) || substring(body, 1, 2000)), t)),
     i AS (SELECT q.t, CASE WHEN count(m.label) = 0 THEN 0 ELSE ln((any_value(n) + 1.0) / (count(m.label) + 1)) END AS idf FROM q LEFT JOIN m USING (t), N GROUP BY q.t),
-    r AS (SELECT label, sum(idf) AS hit, count(*) AS c, sum(in_label::INT) AS nl FROM m JOIN i USING (t) GROUP BY label), w AS (SELECT sum(idf) AS total FROM i)
-    SELECT s.label, round(least(1.0, coalesce(CASE WHEN total > 0 THEN hit / total ELSE c / 5.0 END, 0) * (1 + 0.5 * coalesce(nl, 0) / 5)), 6) AS score {0}
-    FROM s LEFT JOIN r USING (label), w WHERE {1} ORDER BY least(1.0, coalesce(CASE WHEN total > 0 THEN hit / total ELSE c / 5.0 END, 0) * (1 + 0.5 * coalesce(nl, 0) / 5)) DESC, s.label LIMIT 12"""
+    r AS (SELECT label, sum(idf) AS hit, count(*) AS c, sum(in_label::INT) AS nl FROM m JOIN i USING (t) GROUP BY label), w AS (SELECT sum(idf) AS total FROM i),
+    z AS (SELECT s.label, hit, round(least(1.0, coalesce(CASE WHEN total > 0 THEN hit / total ELSE c / 5.0 END, 0) * (1 + 0.5 * coalesce(nl, 0) / 5)), 6) AS score FROM s LEFT JOIN r USING (label), w)
+    SELECT label, score {0} FROM z WHERE {1} ORDER BY score DESC, label LIMIT 12"""
 
 
 def _sources(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id < 200").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("t")))).alias("d"))
-    return rows.select(F.col("source").alias("label"), F.array_join("d.t", " ").alias("body"), F.lit("").alias("symbols"))
+    label = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(label.alias("label"), F.coalesce("text", F.lit("")).alias("body"), F.lit("").alias("symbols"))
 
 
 @query(_ROUTE.format("", "hit IS NOT NULL"))
@@ -230,12 +266,24 @@ def route_sources(spark, sf_dir):
     return routing.route_repositories(_sources(spark, sf_dir), "src1 license Apache und der", 12, readme="body").select("label", F.round("score", 6).alias("score"))
 
 
-@query(_ROUTE.format(", least(1.0, coalesce(CASE WHEN total > 0 THEN hit / total ELSE c / 5.0 END, 0) * (1 + 0.5 * coalesce(nl, 0) / 5)) < 0.3 AS weak", "true"))
+@query(_ROUTE.format(", score < 0.3 AS weak", "true"))
 def route_collections_always(spark, sf_dir):
     rows = _sources(spark, sf_dir).select("label", F.substring("body", 1, 2000).alias("headings"), F.lit("").alias("body"))
     return routing.route_collections(rows, "src1 license Apache und der", 12).select("label", F.round("score", 6).alias("score"), "weak")
 
 
-@query()
+_WHY = _ROUTE.format("", "hit IS NOT NULL").replace("    SELECT label, score  FROM z", "    , b AS (SELECT label, score FROM z") + """)
+    SELECT label, string_agg(CASE WHEN idf > 0 AND idf >= 0.95 * top THEN t || ' (rare)' ELSE t END, ', ' ORDER BY t) AS why
+    FROM (SELECT label, t, idf, max(idf) OVER (PARTITION BY label) AS top, row_number() OVER (PARTITION BY label ORDER BY t) AS k FROM m JOIN i USING (t) WHERE label IN (SELECT label FROM b)) WHERE k <= 4 GROUP BY label"""
+
+
+@query(_WHY)
 def route_explained(spark, sf_dir):
     return routing.explained(routing.route_repositories(_sources(spark, sf_dir), "src1 license Apache und der", 12, readme="body")).select("label", "why")
+
+
+@query("WITH a AS (" + _ROUTE.format("", "hit IS NOT NULL").replace("LIMIT 12", "LIMIT 5") + "), b AS (" + _ROUTE.format("", "true").replace("LIMIT 12", "LIMIT 4") + ") SELECT 'repository' AS pool, label, score FROM a UNION ALL SELECT 'collection', label, score FROM b")
+def route_pools(spark, sf_dir):
+    """Repositories and collections are ranked by themselves and stand side by side."""
+    repos, collections = _sources(spark, sf_dir), _sources(spark, sf_dir).select("label", F.substring("body", 1, 2000).alias("headings"), F.lit("").alias("body"))
+    return routing.pools(repos, collections, "src1 license Apache und der", 5, 4, readme="body").select("pool", "label", F.round("score", 6).alias("score"))
