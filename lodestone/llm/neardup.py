@@ -44,9 +44,9 @@ from lodestone.llm.words import Words, mix, shingles, slices
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 WIDTH = REGISTERS // BANDS
-SMALL, BLOCK, COLUMNS = 32, 512, 4096
+SMALL, BLOCK, COLUMNS = 32, 256, 4096
 #: Shingles of a block of documents on average: its texts take some 20 times as many bytes.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 #: A pair as similar as the threshold is dropped by its estimate with at most this probability.
 LOSS = 1e-12
 #: A bucket with more than this share of all band rows is hot; there can't be more than its inverse.
