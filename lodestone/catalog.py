@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import analytics, documents, graph, library, retrieval, wiki
+from lodestone.plans import analytics, documents, graph, library, retrieval, sources, wiki
 
-_PLANS = (retrieval, graph, library, wiki, analytics, documents)
+_PLANS = (retrieval, graph, library, sources, wiki, analytics, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

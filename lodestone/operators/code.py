@@ -1,0 +1,201 @@
+"""Go, TypeScript and JavaScript to nodes and edges, by declarations and braces.
+
+No grammar is parsed: comments and strings are blanked out, declarations are found by pattern, and what
+lies between a declaration's braces belongs to it. Calls of nested functions belong to the symbol around them.
+Edges have the form of the Python ones, with targets as they are written; ``graph.canonical_calls`` reads them.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import posixpath
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from lodestone.operators.extract import EDGE, NODE
+
+_HIDDEN = {
+    "go": re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
+    "typescript": re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
+}
+_CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*(?:<[\w\s,.\[\]]*>)?\(")
+# Words that stand before a bracket and call nothing.
+_NO_CALL = {
+    "go": set("if for switch select func return go defer range case map chan struct interface type var const make new len cap append copy delete panic recover print println close import".split()),
+    "typescript": set("if for while switch catch function return typeof new await super import require constructor else do throw void delete in of instanceof async".split()),
+}
+_GO_FUNC = re.compile(r"^func\s+(?:\(\s*(?:(\w+)\s+)?\*?\s*(\w+)(?:\[[^\]]*\])?\s*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(", re.M)
+_GO_TYPE = re.compile(r"^(?:type\s+|\t)(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\s*\{", re.M)
+_GO_IMPORT = re.compile(r"^import\s+(?:([\w.]+)\s+)?\"([^\"]+)\"|^import\s*\((.*?)^\)", re.M | re.S)
+_TS_TYPE = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:const\s+)?(class|interface|enum)\s+([A-Za-z_$][\w$]*)([^{;]*)\{", re.M)
+_TS_FUNC = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\(|^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=\n]+)?=>|[A-Za-z_$][\w$]*\s*=>)", re.M)
+_TS_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\(", re.M)
+_TS_BODY = re.compile(r"\s*(?::[^;{=]+)?\{")
+_TS_ALIAS = re.compile(r"^(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\b[^=\n]*=", re.M)
+_TS_FROM = re.compile(r"^(import|export)\s+(?:type\s+)?([^;'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]|^import\s+['\"]([^'\"]+)['\"]|(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*require\(\s*['\"]([^'\"]+)['\"]", re.M)
+
+
+def _blanked(code: str, language: str) -> str:
+    """code with comments and strings as blanks, so that positions and lines stay."""
+    return _HIDDEN[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+
+
+def _closing(code: str, start: int) -> int:
+    """Where the braces that open at or after start are closed again."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(code, start):
+        depth += 1 if m[0] == "{" else -1
+        if depth <= 0:
+            return m.end() if depth == 0 else m.start()
+    return len(code)
+
+
+class _File:
+    def __init__(self, path: str, code: str, language: str, module: str):
+        self.path, self.code, self.text, self.module, self.language = path, code, _blanked(code, language), module, language
+        self.nodes: list[tuple] = []
+        self.edges: list[tuple] = []
+        self.spans: list[tuple[int, int, str]] = []
+        self.heads: set[int] = set()  # where names of declarations stand, which look like calls
+        self.silent: list[tuple[int, int]] = []  # interfaces, which call nothing
+        self.add(module, re.sub(r"#module$", "", module).rpartition(".")[2], "module", None, 0, len(code))
+
+    def add(self, name: str, short: str, kind: str, parent: str | None, start: int, end: int, bases: tuple[str, ...] = ()):
+        body = self.code[start:end]
+        first, last = self.code.count("\n", 0, start) + 1, self.code.count("\n", 0, max(start, end - 1)) + 1
+        signature = None if kind == "module" else " ".join(body.split("{")[0].split())[:400]
+        self.nodes.append((self.path, name, short, kind, parent, first, last, signature, hashlib.sha256(body.encode()).hexdigest(), [], list(bases), None))
+        if parent:
+            self.edges.append((self.path, parent, "declares", name))
+        self.edges += [(self.path, name, "inherits", b) for b in bases]
+        if kind in ("function", "method", "module"):
+            self.spans.append((start, end, name))
+        if kind == "interface":
+            self.silent.append((start, end))
+
+    def imports(self, *targets: str):
+        self.edges += [(self.path, self.module, "imports", t) for t in targets]
+
+    def calls(self):
+        """Each call goes to the innermost function or method around it."""
+        spans = sorted(self.spans, key=lambda s: s[1] - s[0])
+        for m in _CALL.finditer(self.text):
+            if m.start() in self.heads or m[1] in _NO_CALL[self.language] or any(a <= m.start() < b for a, b in self.silent):
+                continue
+            owner = next(name for start, end, name in spans if start <= m.start() < end)
+            self.edges.append((self.path, owner, "calls", m[1]))
+
+
+def parse_go(path: str, code: str) -> tuple[list[tuple], list[tuple]]:
+    """Symbols hang under their package (its folder, or its name at the top), methods under their receiver; ``init`` and ``_``
+    carry their file; embedded types are inherited."""
+    folder, stem = posixpath.dirname(path), posixpath.basename(path).removesuffix(".go")
+    named = re.search(r"^package\s+(\w+)", code, re.M)
+    package = folder.replace("/", ".") or (named[1] if named else "main")
+    f = _File(path, code, "go", path.removesuffix(".go").replace("/", ".") + "#module")
+    for m in _GO_IMPORT.finditer(code):
+        pairs = [(m[1], m[2])] if m[2] else re.findall(r"^\s*(?:([\w.]+)\s+)?\"([^\"]+)\"", m[3] or "", re.M)
+        f.imports(*(target.replace("/", ".") + (f" as {alias}" if alias else "") for alias, target in pairs))
+    for m in _GO_TYPE.finditer(f.text):
+        end = _closing(f.text, m.end() - 1)
+        embedded = tuple(re.findall(r"^\s*\*?((?:\w+\.)?[A-Z]\w*)\s*$", f.text[m.end() : end - 1], re.M))
+        f.add(f"{package}.{m[1]}", m[1], m[2], f.module, m.start(), end, embedded)
+    for m in _GO_FUNC.finditer(f.text):
+        end = _closing(f.text, _after_brackets(f.text, m))
+        f.heads.add(m.start(3))
+        if m[2]:
+            f.add(f"{package}.{m[2]}.{m[3]}", m[3], "method", f"{package}.{m[2]}", m.start(), end)
+        else:
+            f.add(f"{package}.{m[3]}" + (f"@{stem}" if m[3] in ("init", "_") else ""), m[3], "function", f.module, m.start(), end)
+    f.calls()
+    return f.nodes, list(dict.fromkeys(f.edges))
+
+
+def _specifier(path: str, target: str) -> str:
+    """A relative module of an import as a dotted path, other names as they are."""
+    if not target.startswith("."):
+        return target
+    return re.sub(r"\.[cm]?[jt]sx?$", "", posixpath.normpath(posixpath.join(posixpath.dirname(path), target))).replace("/", ".")
+
+
+def _imported(clause: str, target: str) -> Iterator[str]:
+    inner = re.search(r"\{([^}]*)\}", clause)
+    rest = re.sub(r"\{[^}]*\}", "", clause)
+    for part in filter(None, (x.strip() for x in rest.split(","))):
+        space = re.fullmatch(r"\*\s*(?:as\s+([\w$]+))?", part)
+        yield (target + (f" as {space[1]}" if space[1] else ".*")) if space else f"{target}.default as {part}"
+    for part in filter(None, (x.strip() for x in inner[1].split(","))) if inner else ():
+        name, _, alias = re.sub(r"^type\s+", "", part).replace(":", " as ").partition(" as ")
+        yield f"{target}.{name.strip()}" + (f" as {alias.strip()}" if alias.strip() else "")
+
+
+def parse_typescript(path: str, code: str) -> tuple[list[tuple], list[tuple]]:
+    """Also JavaScript. Symbols hang under the file's dotted path, methods under their class; re-exports count as imports."""
+    module = re.sub(r"(\.d)?\.[cm]?[jt]sx?$", "", path).replace("/", ".")
+    f = _File(path, code, "typescript", module)
+    for m in _TS_FROM.finditer(code):
+        if m[3]:
+            f.imports(*_imported(m[2], _specifier(path, m[3])))
+        elif m[4]:
+            f.imports(_specifier(path, m[4]))
+        else:
+            target = _specifier(path, m[6])
+            f.imports(*(_imported(m[5], target) if m[5].startswith("{") else [f"{target} as {m[5]}"]))
+    for m in _TS_TYPE.finditer(f.text):
+        end = _closing(f.text, m.end() - 1)
+        head = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", m[3]))
+        bases = tuple(b.strip() for part in re.findall(r"(?:extends|implements)\s+([^{]*?)(?=\bextends\b|\bimplements\b|$)", head) for b in part.split(",") if b.strip())
+        own = f"{module}.{m[2]}"
+        f.add(own, m[2], "interface" if m[1] == "interface" else "class", module, m.start(), end, bases)
+        for n in _TS_METHOD.finditer(f.text, m.end(), end) if m[1] == "class" else ():
+            depth = f.text.count("{", m.end(), n.start()) - f.text.count("}", m.end(), n.start())
+            body = _TS_BODY.match(f.text, _after_brackets(f.text, n))
+            if depth == 0 and body and n[1] not in _NO_CALL["typescript"] - {"constructor"}:
+                f.add(f"{own}.{n[1]}", n[1], "method", own, n.start() + len(n[0]) - len(n[0].lstrip()), _closing(f.text, body.end() - 1))
+                f.heads.add(n.start(1))
+    for m in _TS_FUNC.finditer(f.text):
+        f.heads.add(m.start(1))
+        arrow = f.text.find("\n", m.end()) if f.text[m.end() - 2 : m.end()] == "=>" and not re.match(r"\s*\{", f.text[m.end() :]) else -1
+        f.add(f"{module}.{m[1] or m[2]}", m[1] or m[2], "function", module, m.start(), arrow if arrow >= 0 else _closing(f.text, _after_brackets(f.text, m)))
+    for m in _TS_ALIAS.finditer(f.text):
+        f.add(f"{module}.{m[1]}", m[1], "type_alias", module, m.start(), f.text.find("\n", m.end()) + 1 or len(code))
+    f.calls()
+    return f.nodes, list(dict.fromkeys(f.edges))
+
+
+def _after_brackets(text: str, m: re.Match[str]) -> int:
+    """The place after a declaration's parameters, whose types may have braces of their own."""
+    if text[m.end() - 1] != "(":
+        return m.end()
+    depth = 1
+    for n in re.compile(r"[()]").finditer(text, m.end()):
+        depth += 1 if n[0] == "(" else -1
+        if not depth:
+            return n.end()
+    return len(text)
+
+
+PARSERS = {"go": parse_go, "typescript": parse_typescript, "javascript": parse_typescript}
+
+
+def _parsed(files: DataFrame, part: int, schema: str) -> DataFrame:
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for p, c, language in zip(b["path"], b["content"], b["language"], strict=True) if language in PARSERS for r in PARSERS[language](p, c or "")[part]]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.select("path", "content", "language").mapInPandas(run, schema)
+
+
+def nodes(files: DataFrame) -> DataFrame:
+    """Nodes of files(path, content, language); those of other languages give none."""
+    return _parsed(files, 0, NODE)
+
+
+def edges(files: DataFrame) -> DataFrame:
+    return _parsed(files, 1, EDGE)

@@ -265,7 +265,7 @@ def chunked(docs: DataFrame, id: str, text: str, kind: str = "long", **limits) -
 
 def readme_description(text: Column) -> Column:
     """First line that is neither blank, heading nor badge, up to 200 characters."""
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("![") & ~x.startswith("[!") & ~x.startswith("<"))
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("![") & ~x.startswith("[!") & ~x.startswith("<"))
     return F.substring(F.get(kept, F.lit(0)), 1, 200)
 
 

@@ -52,6 +52,15 @@ def sections(docs: DataFrame, id: str = "doc_id", text: str = "text", least_leve
     return first.withColumn("section", place).where(F.col("section") <= most).select(id, "section", "level", "heading", F.col("line").alias("first_line"), "end_line")
 
 
+def section_bodies(docs: DataFrame, id: str, text: str, heading: str) -> DataFrame:
+    """(id, heading, body): of each document the first section of that heading, whatever its case, with all that is below it."""
+    found = sections(docs, id, text, least_level=1, most=1 << 30).where(F.lower("heading") == heading.lower())
+    first = first_per_group(found, id, "first_line").select(id, "heading", "first_line", F.coalesce("end_line", F.lit((1 << 31) - 1)).alias("end_line"))
+    lines = F.split(text, "\n")
+    body = F.array_join(F.slice(lines, F.col("first_line"), F.least(F.col("end_line"), F.size(lines)) - F.col("first_line") + 1), "\n")
+    return docs.join(first, id).select(id, "heading", body.alias("body"))
+
+
 def section_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, section, heading, content): the text before the first heading outside fences (section 0, no heading), and from each heading to the next of any level."""
     lines = markdown_lines(docs, id, text)

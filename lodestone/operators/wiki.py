@@ -175,6 +175,46 @@ def stripped(docs: DataFrame, verified: DataFrame) -> DataFrame:
     return docs.join(marks, "page", "left").select("page", gone.alias("text"), F.coalesce(F.size("marks"), F.lit(0)).alias("removed"))
 
 
+def coverage(docs: DataFrame, required: DataFrame, verified: DataFrame) -> DataFrame:
+    """(page, answered, missing, ungrounded, extra) of docs(page, text), lists of questions in order.
+
+    A comment ``<!-- answers: question -->`` stands for the text from it to the next second heading; it is grounded if that text
+    has a placeholder, or a ``Source:`` line with a file, that verified(page, kind, target) has. required(page, question).
+    """
+    from lodestone.operators.documents import citations
+
+    part = docs.select("page", F.posexplode(F.split("text", r"(?m)^(?=## )")).alias("s", "part"))
+    pieces = part.select("page", "s", F.split("part", r"(?=<!-- answers: )").alias("p"))
+    marked = pieces.select("page", "s", F.posexplode(F.transform("p", lambda x, k: F.struct(F.regexp_extract(x, r"^<!-- answers: ([\w-]+) -->", 1).alias("question"), F.array_join(F.slice("p", k + 1, F.size("p")), "").alias("text")))).alias("k", "m"))
+    marked = marked.where("m.question != ''").select(F.struct("page", "s", "k", "m.question").alias("m"), "m.text")
+    files = marked.select("m", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^Source: \[?([^\s\]():]+)"), F.lit(1))).alias("target")).select("m", F.lit("file").alias("kind"), "target")
+    told = citations(marked, "m", "text").unionByName(files).select("m", F.col("m.page").alias("page"), "kind", "target")
+    good = told.join(verified.select("page", "kind", "target").distinct(), ["page", "kind", "target"], "left_semi").select("m").distinct().withColumn("good", F.lit(True))
+    each = marked.select("m").distinct().join(good, "m", "left").groupBy(F.col("m.page").alias("page"), F.col("m.question").alias("question")).agg(F.coalesce(F.bool_or("good"), F.lit(False)).alias("good"), F.bool_and(F.coalesce("good", F.lit(False))).alias("always"))
+    every = each.join(required.select("page", "question").distinct().withColumn("asked", F.lit(True)), ["page", "question"], "full")
+    good, asked, here = F.coalesce("good", F.lit(False)), F.coalesce("asked", F.lit(False)), F.col("good").isNotNull()
+    names = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("question"))))
+    out = every.groupBy("page").agg(names(good & asked).alias("answered"), names(asked & ~good).alias("missing"), names(here & ~F.col("always")).alias("ungrounded"), names(here & ~asked).alias("extra"))
+    none = F.array().cast("array<string>")
+    return docs.select("page").distinct().join(out, "page", "left").select("page", *(F.coalesce(c, none).alias(c) for c in ("answered", "missing", "ungrounded", "extra")))
+
+
+# Second headings that a page must not have.
+FORBIDDEN = ("open questions", "test strategy", "comparison with alternatives")
+
+
+def without_sections(text: Column, headings: tuple[str, ...] = FORBIDDEN) -> Column:
+    """text without the sections of these second headings."""
+    return F.regexp_replace(text, r"(?msi)^## +(?:" + "|".join(re.escape(h) for h in headings) + r")[ \t]*$.*?(?=^## |\z)", "")
+
+
+def edit_allowed(reason: Column, has_source: Column, is_index: Column, streak: Column, dead: Column, changed: Column, known: Column, most_churn: float = 0.5, most_streak: int = 3) -> Column:
+    """Whether a dirty page may be edited in place: its cited nodes went or changed, it has a source and is not the index, few edits
+    came before, and at most half of the names that it had are gone or changed."""
+    churn = (dead + changed) / F.greatest(known, F.lit(1))
+    return reason.isin("cited_node_content_changed", "cited_node_missing", "cited_chunk_missing", "cited_evidence_changed") & has_source & ~is_index & (streak < most_streak) & (churn <= most_churn)
+
+
 def manifest_lines(facts: DataFrame, pages: DataFrame, caps: dict[str, int] | None = None, most: int = 18) -> DataFrame:
     """(page, place, line): of facts(kind, label, path, line) the first of each kind that pages(page, kind) covers.
 

@@ -157,13 +157,3 @@ def range_join_blame(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("sha"), F.col("l_shipdate").alias("committed_at"))
     nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("path"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
     return extract.attribution(nodes, lines).select(F.col("id").alias("path"), "first_sha", "last_sha", F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))
-
-
-_CODE = "import os\nfrom . import util as u\n\n\nclass Base:\n    pass\n\n\nclass Child(Base):\n    LIMIT = 3\n\n    def run(self, n: int) -> int:\n        return u.double(self.step(n))\n\n    def step(self, n):\n        return os.path.join('a', str(n))\n\n\ndef main():\n    return Child().run(1)\n"
-
-
-@query()
-def python_ast_graph(spark, sf_dir):
-    files = spark.createDataFrame([("pkg/core.py", _CODE), ("pkg/broken.py", "def (:\n")], "path string, content string")
-    n = extract.python_nodes(files)
-    return n.select("file_path", "qualified_name", "node_type", "start_line", "end_line", extract.role(F.col("node_type"), F.col("name"), F.col("decorators"), F.col("bases")).alias("role"))

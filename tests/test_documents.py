@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import clusters
@@ -40,3 +41,61 @@ def test_public_types_and_bodies(spark):
 def test_citations_repair(spark):
     docs = spark.createDataFrame([(1, "x [[node:a.b]] [[doc:d.md#h]] [[node:a.b]] [[other:q]]")], "id long, text string")
     assert sorted((r["kind"], r["target"]) for r in D.citations(docs, "id", "text").collect()) == [("doc", "d.md#h"), ("node", "a.b")]
+
+
+def test_links_are_rewritten_outside_code_only():
+    from lodestone.operators.wiki import link_names, sane_text
+
+    names = '{"pkg.run": "pkg.run", "run": "pkg.run"}'
+    text = "Use `run` or pkg.run, `*pkg.run`.\n```go\npkg.run()\n```\n[pkg.run](x) [[node:pkg.run]] pkg.run.more `other`"
+    linked = "Use [[node:pkg.run]] or [[node:pkg.run]], [[node:pkg.run]].\n```go\npkg.run()\n```\n[pkg.run](x) [[node:pkg.run]] pkg.run.more `other`"
+    assert link_names(text, names, 30) == (linked, 3)
+    assert link_names(text, names, 1) == (text.replace("`run`", "[[node:pkg.run]]", 1), 1) and link_names(None, names, 3) == (None, 0)
+    md = "- [A](./gone)\n- [B](./here)\nx [C](./gone) [D](/repos/h/o/n/docs/a/b.md#t) [E](/repos/h/o/n/docs/c/d.md) [F](/repos/h/o/n/docs/slug) [G](/repos/h/o/n/graph/z) [H](/repos/x/y/z/graph/z) [f.go](L3-L9)\n"
+    assert sane_text(md, {"here"}, '{"a/b.md": "ab"}', "h/o/n") == "- [B](./here)\nx C [D](/repos/h/o/n/docs/ab#t) E [F](/repos/h/o/n/docs/slug) G [H](/repos/x/y/z/graph/z) f.go:L3-L9\n"
+
+
+def test_ignore_rules_and_archives(spark, tmp_path):
+    import zipfile
+
+    from lodestone.sources import files
+
+    rules = files.ignore_rules("# no\n*.log\n/build/\ndocs/*.tmp\n!keep.log\n**/gen/x.py\n")
+    told = {p: files.is_ignored(p, rules) for p in ("a.log", "d/a.log", "keep.log", "build/x.c", "src/build/x.c", "docs/a.tmp", "docs/b/a.tmp", "a/gen/x.py", "gen/x.py", "a.py")}
+    assert [p for p, gone in told.items() if gone] == ["a.log", "d/a.log", "build/x.c", "docs/a.tmp", "a/gen/x.py", "gen/x.py"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, text in ((".gitignore", "*.log\n"), ("x.log", "1"), ("x.py", "2")):
+            z.writestr(name, text)
+    assert {r["path"] for r in files.read_zips(spark, f"file://{tmp_path}").collect()} == {".gitignore", "x.py"}
+
+
+def test_storage_is_cleared_and_needs_a_shared_folder(spark):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from lodestone.sources import shared
+
+    shared.clear_stored(spark)
+    rows = shared.stored(spark.range(5), "check")
+    path = Path(shared._kept[spark.sparkContext.applicationId][0][0].removeprefix("file:"))
+    bucketed = shared.stored_by(spark.range(5), "check", "id")
+    assert rows.count() == bucketed.count() == 5 and path.exists()
+    assert shared.clear_stored(spark) == 2 and not path.exists() and shared.clear_stored(spark) == 0
+    conf = SimpleNamespace(get=lambda _: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: conf, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+
+
+def test_uuids_match_the_standard_library(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import values
+
+    names = ["", "a", "http://x.y/é"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(values.uuid5(F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+    seven = spark.range(1).select(values.uuid7(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("k"))).first()[0]
+    assert uuid.UUID(seven).version == 7 and uuid.UUID(seven).variant == uuid.RFC_4122

@@ -86,3 +86,30 @@ def test_declared_names_by_pattern(spark):
     assert got == {("struct", None, "S"), ("interface", None, "I"), ("method", "S", "Get"), ("function", None, "New")}
     ts = spark.createDataFrame([("a.ts", "export class A {}\nexport const f = (x: number) => x\nenum E {}\ninterface I {}\nfunction g() {}\n")], "path string, content string")
     assert {(r["node_type"], r["name"]) for r in extract.declared_names(ts, "typescript").collect()} == {("class", "A"), ("function", "f"), ("class", "E"), ("interface", "I"), ("function", "g")}
+
+
+def test_go_and_typescript_edges(spark):
+    from lodestone.operators import code
+    from lodestone.plans.sources import _GO, _TS
+
+    files = spark.createDataFrame([("s/store.go", _GO, "go"), ("app/main.ts", _TS, "typescript"), ("x.py", "def f(): pass", "python"), ("empty.ts", None, "javascript"), ("cut.go", "package p\nfunc broken( {\n\"", "go")], "path string, content string, language string")
+    edges = {(r["source"], r["type"], r["target"]) for r in code.edges(files).collect()}
+    assert {("s.Store.Get", "calls", "s.load"), ("s.Store", "inherits", "Base"), ("app.main.A.run", "calls", "this.step"), ("app.main", "imports", "lib.util as util")} <= edges
+    assert not {t for _, k, t in edges if k == "calls"} & {"if", "func", "return", "super", "no"}
+    assert {r["qualified_name"] for r in code.nodes(files).where("node_type = 'module'").collect()} == {"s.store#module", "app.main", "empty", "cut#module"}
+
+
+def test_pagerank_rule_matches_plain_iteration(spark):
+    import random
+
+    draw = random.Random(3)
+    pairs = sorted({(f"n{draw.randrange(30)}", f"n{draw.randrange(40)}") for _ in range(120)})
+    pairs = [p for p in pairs if p[0] != p[1]]
+    ids = sorted({x for p in pairs for x in p})
+    out = {i: [d for s, d in pairs if s == i] for i in ids}
+    rank = {i: 1 / len(ids) for i in ids}
+    for _ in range(200):
+        loose = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.15 / len(ids) + 0.85 * (loose / len(ids) + sum(rank[s] / len(out[s]) for s in ids if i in out[s])) for i in ids}
+    got = ranks(spark, pairs)
+    assert sum(abs(got[i] - rank[i]) for i in ids) < 1e-5
