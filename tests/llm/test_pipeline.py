@@ -1,5 +1,8 @@
 """Each stage's decision is seen in run(), and stages compose to it."""
 
+import random
+import re
+
 import pytest
 
 import corpus_pipeline
@@ -30,3 +33,120 @@ def test_stages_filter_and_keep_columns(spark, steps):
     assert steps[3].keys() == steps[2].keys()
     assert any("[EMAIL]" in r["text"] for r in steps[3].values())
     assert all(0 < r["taken"] <= 3 * r["size"] for r in steps[4].values())
+
+
+def planted():
+    """(documents, labels, benchmark, what each planted document is for)."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, labels, role = [], [], {}
+    for k in range(400):  # learnt from: every fourth holds the bad word
+        bad = k % 4 == 0
+        rows.append((k, prose(20) + (" vilescum " if bad else " fine ") + prose(20), "en", f"s{k % 3}"))
+        labels.append((k, 1, int(bad)))
+    items = [(k, prose(40)) for k in range(6)]
+    base = [prose(80) for _ in range(8)]
+    for k, text in enumerate(base):
+        words = text.split()
+        for copy in range(5):
+            changed = list(words)
+            for at in range(0, copy * 2):
+                changed[(at * 13 + copy) % 80] = word()
+            rows.append((1000 + k * 10 + copy, " ".join(changed), "en", "s0"))
+    for k in range(6):
+        words = items[k][1].split()
+        rows.append((2000 + k, prose(30) + " " + " ".join(words[20:] + words[:20]) + " " + prose(30), "en", "s1"))
+        rows.append((2100 + k, prose(30) + " " + " ".join(words[:10]) + " " + prose(30), "en", "s1"))
+        role |= {2000 + k: "contaminated", 2100 + k: "clean"}
+        rows.append((2200 + k, prose(30) + f" mail {word()}@{word()}.org or 10.1.2.{k} " + prose(30), "en", "s2"))
+    rows += [(3000, None, None, None), (3001, "", "en", None), (3002, " \n", "en", ""), (3003, "tiny", "en", "s0"), (3004, rows[1][1], "en", "s0"), (3004, rows[1][1], "en", "s0"), (3005, "long " + prose(20000), "en", "s1")]
+    return rows, labels, items, role
+
+
+def save(spark, path, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"file://{path}/{name}.parquet")
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_planted_documents_meet_their_fate(spark, tmp_path):
+    """Each stage against what the rows alone say: bad words, shingle sets, item words, patterns, word counts."""
+    rows, labels, items, role = planted()
+    save(spark, tmp_path, "documents", [(*r, len(r[1] or "")) for r in rows], DOCUMENTS)
+    save(spark, tmp_path, "labels", labels, "doc_id long, quality int, toxic int")
+    save(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    sf = f"file://{tmp_path}"
+    stages, docs = [], spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf).cache()
+        stages.append(docs.collect())
+    toxic, unique, clean, masked, mixed = stages
+    texts = [(r[0], r[1]) for r in rows]
+    assert sorted((r["doc_id"], r["text"] or "") for r in toxic) == sorted((d, t or "") for d, t in texts if "vilescum" not in (t or ""))
+
+    sets, kept = {}, []
+    for d, t in sorted({(r["doc_id"], r["text"]) for r in toxic}, key=lambda x: x[0]):
+        w = (t or "").split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    planted_ids = [d for d in sets if d >= 1000 or d == 1]
+    for a in planted_ids:
+        for b in planted_ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = {d for d in sets if find(d) == d}
+    assert {r["doc_id"] for r in unique} == kept and 3004 not in kept and len(kept) < len(sets) - 8
+
+    def covered(text):
+        w = (text or "").split()
+        pairs = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        return any(sum(tuple(i[k : k + 5]) in pairs for k in range(len(i) - 4)) >= 0.6 * len(i) for i in (t.split() for _, t in items))
+
+    assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in unique if not covered(r["text"])}
+    assert {d for d, r in role.items() if r == "clean"} <= {r["doc_id"] for r in clean}
+    before = {r["doc_id"]: r["text"] for r in clean}
+    assert {r["doc_id"] for r in masked} == set(before)
+    for r in masked:
+        if 2200 <= r["doc_id"] < 2300:
+            assert r["text"] == re.sub(r"10\.1\.2\.\d", "[IP]", re.sub(r"\S+@\S+", "[EMAIL]", before[r["doc_id"]])) and r["n_chars"] == len(r["text"])
+        elif r["text"]:
+            assert "@" not in r["text"] and r["text"] == before[r["doc_id"]]
+
+    size = {r["doc_id"]: len(re.findall(r"\S+", r["text"] or "")) for r in masked}
+    source = {}
+    for r in masked:
+        source[r["source"]] = source.get(r["source"], 0) + size[r["doc_id"]]
+    taken = {}
+    for r in mixed:
+        assert r["size"] == size[r["doc_id"]] and 0 < r["taken"] <= 3 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    names = sorted((s for s in source if s is not None), key=lambda s: s.encode())
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total, limit, target, left = sum(source.values()), {s: 3 * source[s] for s in names}, {}, dict(weight)
+    while True:  # shares by weight, sources over three times their size held there
+        unit = (total - sum(target.values())) / sum(left.values())
+        over = [s for s in left if left[s] * unit > limit[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = limit[s]
+            left.pop(s)
+    target |= {s: w * unit for s, w in left.items()}
+    for s in names:
+        assert abs(taken.get(s, 0) - target[s]) <= 0.03 * total
+
+
+def test_empty_tables_run_through(spark, tmp_path):
+    save(spark, tmp_path, "documents", [], DOCUMENTS)
+    save(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
+    save(spark, tmp_path, "benchmark", [], "item_id long, text string")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
