@@ -24,13 +24,6 @@ def tokens(text: Column) -> Column:
 ENGLISH_STOPWORDS = "a about an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
 
 
-def english_tokens(text: Column) -> Column:
-    """Tokens without function words, plural and verb endings cut (a light stemmer: one rule a word,
-    the longest ending that leaves three letters)."""
-    kept = F.filter(tokens(text), lambda t: ~t.isin(ENGLISH_STOPWORDS))
-    return F.transform(kept, lambda t: F.regexp_replace(t, "(?<=^[a-z0-9]{3,60})(ingly|edly|ings|ing|ies|ed|es|ly|s)$", ""))
-
-
 def routing_tokens(text: Column) -> Column:
     """Distinct tokens of 2 to 64 characters that are no stopwords, in order."""
     keep = lambda t: (F.length(t) >= 2) & (F.length(t) <= 64) & ~t.isin(ROUTING_STOPWORDS)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 MOST_VECTORS, MIN_SIZE = 1500, 3
+LEAST_SURFACE, LEAST_CLUSTERS = 15, 4
 
 
 def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
@@ -105,7 +106,11 @@ def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
 
 
 def clustered(vectors: DataFrame, tenant: str, id: str, vector: str, importance: str | None = None) -> DataFrame:
-    """(tenant, id, cluster) of the MOST_VECTORS most important vectors of each tenant; noise is -1."""
+    """(tenant, id, cluster) of every vector; noise is -1.
+
+    Only the MOST_VECTORS most important of a tenant are clustered, which bounds a tenant's task; the others
+    have a null cluster. Without importance the smallest ids count as most important.
+    """
     order = ([F.desc(importance)] if importance else []) + [F.col(id)]
     kept = vectors.withColumn("_n", F.row_number().over(W.partitionBy(tenant).orderBy(*order))).where(F.col("_n") <= MOST_VECTORS)
 
@@ -114,4 +119,13 @@ def clustered(vectors: DataFrame, tenant: str, id: str, vector: str, importance:
         return pd.DataFrame({tenant: pdf[tenant], id: pdf[id], "cluster": density_labels(np.stack(pdf[vector].to_list()).astype(float)).astype("int64")})
 
     kind = dict(vectors.dtypes)
-    return kept.select(tenant, id, vector).groupBy(tenant).applyInPandas(label, f"{tenant} {kind[tenant]}, {id} {kind[id]}, cluster long")
+    labels = kept.select(tenant, id, vector).groupBy(tenant).applyInPandas(label, f"{tenant} {kind[tenant]}, {id} {kind[id]}, cluster long")
+    return vectors.select(tenant, id).join(labels, [tenant, id], "left")
+
+
+def worth_showing(labels: DataFrame, tenants: DataFrame, tenant: str) -> DataFrame:
+    """Labels of tenants(tenant, public_surface, generated) with a public surface of LEAST_SURFACE or generated code, and
+    with LEAST_CLUSTERS clusters or more."""
+    n = labels.where("cluster >= 0").groupBy(tenant).agg(F.count_distinct("cluster").alias("_n")).where(F.col("_n") >= LEAST_CLUSTERS)
+    open_ = tenants.where((F.col("public_surface") >= LEAST_SURFACE) | F.col("generated"))
+    return labels.join(n.select(tenant), tenant, "left_semi").join(open_.select(tenant), tenant, "left_semi")

@@ -151,6 +151,7 @@ def declared_names(files: DataFrame, language: str) -> DataFrame:
     return out.distinct()
 
 
+# Fixed values in this function: decorators, names and endings of each role, and the order of its rules.
 def role(node_type: Column, name: Column, decorators: Column, bases: Column) -> Column:
     """What a node is for: by decorators, then by kind and name."""
     low = F.transform(F.coalesce(decorators, F.array().cast("array<string>")), lambda d: F.lower(F.regexp_replace(d, "^@+", "")))

@@ -71,7 +71,8 @@ def edges_among(edges: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(id, callers, callees) of resolved calls, sorted and distinct."""
+    """(id, callers, callees) of resolved calls, sorted and distinct. A node's neighbours become one row, as asked for, so a
+    hub's row is as long as it has neighbours; work on edges where that matters."""
     calls = edges.where("type = 'calls' and dst is not null").select("src", "dst").distinct()
     callees = calls.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("callees"))
     callers = calls.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("callers"))

@@ -149,6 +149,7 @@ def mention_score(raw: Column, name: Column, qualified: Column, path: Column, pa
     )
 
 
+# Fixed values in this function: what counts as a name.
 def mentioned_names(text: Column) -> Column:
     """Names in backticks, dotted names and calls, in order of these kinds, distinct."""
     ticks = F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_\.]*)`"), F.lit(1))

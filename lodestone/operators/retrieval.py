@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
+from lodestone.functions.stem import english_stems, stem
 
 RRF_K, CANDIDATE_CAP, RERANK_LEAST, RERANK_TOP = 60, 300, 50, 3
 SIMILARITY, FALLBACK_SCORE = 0.3, 0.01
@@ -75,7 +76,7 @@ def _cover_score(found: list[tuple[int, int, float]], n_words: int) -> float:
 
 
 def cover_density(fields: dict[str, Column], words: list[str]) -> Column:
-    """Cover-density rank of weighted fields, laid end to end in the order of their weights.
+    """Cover-density rank of weighted fields' tokens, laid end to end in the order of their weights.
 
     Positions of the query's words are found in the JVM; only they are sent to Python.
     """
@@ -87,7 +88,7 @@ def cover_density(fields: dict[str, Column], words: list[str]) -> Column:
     order = F.array(*map(F.lit, words))
     found, ahead = F.array().cast("array<struct<at:int,word:int,weight:double>>"), F.lit(0)
     for weight, column in fields.items():
-        tokens = F.coalesce(T.tokens(column), F.array().cast("array<string>"))
+        tokens = F.coalesce(column, F.array().cast("array<string>"))
         hits = F.filter(F.transform(tokens, lambda t, k: F.struct((k + ahead).alias("at"), (F.array_position(order, t) - 1).cast("int").alias("word"), F.lit(WEIGHTS[weight]).alias("weight"))), lambda x: x["word"] >= 0)  # noqa: B023
         found, ahead = F.concat(found, hits), ahead + F.size(tokens)
     one = lambda n: F.transform(found, lambda x: x[n]).alias(n)
@@ -103,10 +104,22 @@ def lexical_stream(docs: DataFrame, query: str, k: int | None, id: str = "doc_id
     if len(words) == 1:
         score = sum((occurrences(F.coalesce(F.col(c), F.lit("")), words) * WEIGHTS[w] for w, c in fields.items()), F.lit(0.0))
     else:
-        score = cover_density({w: F.col(c) for w, c in fields.items()}, words)
+        score = cover_density({w: T.tokens(F.col(c)) for w, c in fields.items()}, words)
     return top(hits.select(F.col(id).alias("id"), score.alias("score")), k)
 
 
+def lexical_stream_english(docs: DataFrame, query: str, k: int | None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same over English stems without function words; a query of function words only finds nothing."""
+    words = list(dict.fromkeys(stem(w) for w in lexemes(query) if w not in T.ENGLISH_STOPWORDS))
+    if not words:
+        return top(docs.where(F.lit(False)).select(F.col(id).alias("id"), F.lit(0.0).alias("score")), k)
+    # A stem keeps a word's first two letters (but for dying, lying, tying): texts without them are dropped before Python sees them.
+    near = docs.where(F.forall(F.array(*(F.lit(w[:1] if w in ("die", "lie", "tie") else w[:2]) for w in words)), lambda w: F.lower(text).contains(w)))
+    rows = near.select(F.col(id).alias("id"), english_stems(F.col(text)).alias("_t")).where(F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains("_t", w)))
+    score = F.size(F.filter("_t", lambda t: t.isin(words))) * WEIGHTS["D"] if len(words) == 1 else cover_density({"D": F.col("_t")}, words)
+    return top(rows.select("id", score.alias("score")), k)
+
+
 def with_substring_fallback(docs: DataFrame, query: str, k: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The lexical stream, and rows that only hold the query as a substring, at a fixed score."""
     words = lexemes(query)

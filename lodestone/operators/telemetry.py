@@ -31,16 +31,9 @@ def log_filters(logs: DataFrame, user=None, tool=None, status=None, empty_only=F
     return out
 
 
-def nearest_rank(value: str, percent: float) -> Column:
-    """Nearest-rank percentile, index rounded half to even: an aggregate."""
-    every = F.sort_array(F.collect_list(value))
-    at = F.rint(F.lit(percent / 100) * (F.size(every) - 1)).cast("int")
-    return F.when(F.size(every) > 0, F.get(every, at))
-
-
 def nearest_rank_by(rows: DataFrame, keys: list[str], value: str, percents: tuple[float, ...]) -> DataFrame:
-    """The same for groups of any size: values are counted first, then ranked by running counts, so a
-    group meets as its distinct values only."""
+    """Nearest-rank percentiles, the index rounded half to even, for groups of any size: values are counted first,
+    then ranked by running counts, so a group meets as its distinct values only."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys)
     running = counted.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))

@@ -151,5 +151,7 @@ def byte_ranges(spark, sf_dir):
 
 @query()
 def hdbscan_clusters(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").withColumn("tenant", F.col("vec_id") % 2)
-    return clusters.clustered(vectors, "tenant", "vec_id", "embedding")
+    """Two tenants; importance is a part's price where there is one."""
+    price = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("importance"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("tenant", F.col("vec_id") % 2).join(price, "vec_id", "left")
+    return clusters.clustered(vectors.withColumn("importance", F.coalesce("importance", F.lit(0.0))), "tenant", "vec_id", "embedding", "importance")

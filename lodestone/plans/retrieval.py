@@ -223,11 +223,14 @@ def domain_rerank(spark, sf_dir):
     return out.select("id", F.round("reranked", 6).alias("reranked"))
 
 
-@query(f"""SELECT doc_id, len(list_filter(list_transform(list_filter({_TOKENS}, lambda t: t NOT IN ({", ".join(f"'{w}'" for w in T.ENGLISH_STOPWORDS)})), lambda t: CASE WHEN length(t) > 3 AND length(regexp_replace(t, '(ingly|edly|ings|ing|ies|ed|es|ly|s)$', '')) >= 3 THEN regexp_replace(t, '(ingly|edly|ings|ing|ies|ed|es|ly|s)$', '') ELSE t END), lambda t: t = 'licens'))::BIGINT AS n
-    FROM documents WHERE contains(lower(text), 'licens')""")
+_LICENSES = "('licens', 'license', 'licenses', 'licensed', 'licensing', 'licenser', 'licensers', 'licensable')"
+
+
+@query(f"SELECT doc_id, round(len(list_filter({_TOKENS}, lambda t: t IN {_LICENSES})) * 0.1, 6)::DOUBLE AS score FROM documents WHERE len(list_filter({_TOKENS}, lambda t: t IN {_LICENSES})) > 0 ORDER BY score DESC, doc_id LIMIT 100")
 def lexical_english(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.lower("text").contains("licens"))
-    return docs.select("doc_id", F.size(F.filter(T.english_tokens(F.col("text")), lambda t: t == "licens")).cast("long").alias("n"))
+    """A query of another form than the texts have, with a function word."""
+    hits = R.lexical_stream_english(table(spark, sf_dir, "documents"), "the Licensing", 100)
+    return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 _STORES = f"""WITH v AS (SELECT vec_id AS id, 'd' AS store, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_NEAR}) QUALIFY rank <= 300),

@@ -99,3 +99,18 @@ def test_uuids_match_the_standard_library(spark):
     assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
     seven = spark.range(1).select(values.uuid7(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("k"))).first()[0]
     assert uuid.UUID(seven).version == 7 and uuid.UUID(seven).variant == uuid.RFC_4122
+
+
+def test_clusters_are_bounded_by_importance_and_gated(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MOST_VECTORS", 40)
+    draw = np.random.default_rng(2)
+    rows = [(t, k, [float(x) for x in np.eye(4)[k % 4] + draw.normal(0, 0.01, 4)], float(k < 40)) for t in (0, 1) for k in range(50)]
+    df = spark.createDataFrame(rows, "tenant int, id long, v array<double>, importance double")
+    got = clusters.clustered(df, "tenant", "id", "v", "importance").collect()
+    assert len(got) == 100 and {r["id"] for r in got if r["cluster"] is None} == set(range(40, 50))
+    for t in (0, 1):
+        label = {r["id"]: r["cluster"] for r in got if r["tenant"] == t and r["id"] < 40}
+        assert len({label[k] for k in range(4)}) == 4 and all(label[k] == label[k % 4] for k in range(40))
+    tenants = spark.createDataFrame([(0, 15, False), (1, 3, False)], "tenant int, public_surface int, generated boolean")
+    labels = spark.createDataFrame([(r["tenant"], r["id"], r["cluster"]) for r in got], "tenant int, id long, cluster long")
+    assert {r["tenant"] for r in clusters.worth_showing(labels, tenants, "tenant").collect()} == {0}

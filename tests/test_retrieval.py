@@ -145,6 +145,31 @@ def test_modes_and_windows(spark):
     assert sorted(r["id"] for r in H.in_window(rows, "changed", "created", until=a).collect()) == [1, 3]
 
 
-def test_english_tokens(spark):
-    got = spark.range(1).select(text.english_tokens(F.lit("The licenses of running jobs were indexed nightly is bed"))).first()[0]
-    assert got == ["licens", "runn", "job", "index", "night", "bed"]
+# Words and stems of the algorithm's published vocabulary.
+VOCABULARY = (
+    "consign consign|consigned consign|consigning consign|consignment consign|consist consist|consisted consist|consistency consist|consistent consist|consistently consist|consisting consist|consists consist|consolation consol|"
+    "consolations consol|consolatory consolatori|console consol|consoled consol|consoles consol|consolidate consolid|consolidated consolid|consolidating consolid|consoling consol|consolingly consol|consols consol|consonant conson|"
+    "consort consort|consorted consort|consorting consort|conspicuous conspicu|conspicuously conspicu|conspiracy conspiraci|conspirator conspir|conspirators conspir|conspire conspir|conspired conspir|conspiring conspir|constable constabl|"
+    "constables constabl|constance constanc|constancy constanc|constant constant|knack knack|knackeries knackeri|knacks knack|knag knag|knave knave|knaves knave|knavish knavish|kneaded knead|"
+    "kneading knead|knee knee|kneel kneel|kneeled kneel|kneeling kneel|kneels kneel|knees knee|knell knell|knelt knelt|knew knew|knick knick|knif knif|"
+    "knife knife|knight knight|knightly knight|knights knight|knit knit|knits knit|knitted knit|knitting knit|knives knive|knob knob|knobs knob|knock knock|"
+    "knocked knock|knocker knocker|knockers knocker|knocking knock|knocks knock|knopp knopp|knot knot|knots knot|generate generat|generously generous|happy happi|flies fli|"
+    "ties tie|cries cri|by by|say say|dying die|hopping hop|hoping hope|luxuriated luxuri|feed feed|agreed agre|relational relat|rational ration|"
+    "national nation|sensational sensat|electricity electr|hopefulness hope|goodness good|analogies analog|possibly possibl|gas gas|this this|gaps gap|kiwis kiwi|youth youth|"
+    "boy boy|boyish boyish|saying say|news news|inning inning|innings inning|communities communiti|disabled disabl|beds bed|bedding bed|licensed licens|licenses licens|"
+    "license licens|licensing licens|controlled control|controlling control|rolled roll|falling fall"
+)
+
+
+def test_english_stems(spark):
+    from lodestone.functions.stem import english_stems, stem
+
+    assert {w: stem(w) for w, _ in (x.split() for x in VOCABULARY.split("|"))} == dict(x.split() for x in VOCABULARY.split("|"))
+    got = spark.range(1).select(english_stems(F.lit("The licenses of running jobs were indexed nightly is bed"))).first()[0]
+    assert got == ["licens", "run", "job", "index", "night", "bed"]
+
+
+def test_english_stream_matches_any_form(spark):
+    docs = spark.createDataFrame([(1, "He lies and lied"), (2, "tying knots"), (3, "A tie, two ties; the running"), (4, None)], "doc_id long, text string")
+    ids = lambda q: [r["id"] for r in R.lexical_stream_english(docs, q, 9).collect()]
+    assert ids("tied") == [3, 2] and ids("the run ties") == [3] and ids("the of") == [] and ids("lying") == [1]
