@@ -199,3 +199,76 @@ def nodes(files: DataFrame) -> DataFrame:
 
 def edges(files: DataFrame) -> DataFrame:
     return _parsed(files, 1, EDGE)
+
+
+# Systems and processors that a Go file's name or constraint can ask for.
+GO_SYSTEMS = ("aix", "android", "darwin", "dragonfly", "freebsd", "illumos", "ios", "js", "linux", "netbsd", "openbsd", "plan9", "solaris", "wasip1", "windows")
+GO_PROCESSORS = ("386", "amd64", "arm", "arm64", "loong64", "mips", "mips64", "mips64le", "mipsle", "ppc64", "ppc64le", "riscv64", "s390x", "wasm")
+UNIX = ("aix", "android", "darwin", "dragonfly", "freebsd", "illumos", "ios", "linux", "netbsd", "openbsd", "solaris")
+
+
+def go_variant(path: str, code: str | None, system: str = "linux", processor: str = "amd64", cgo: bool = False, minor: int = 22) -> bool | None:
+    """Whether a Go file belongs to a build: by the system, processor and cgo at the end of its name and by its ``//go:build``
+    line. None if that hangs on a tag that isn't known; a name that already rules it out decides."""
+    parts = posixpath.basename(path).removesuffix(".go").split("_")[1:]
+    parts = parts[:-1] if parts and parts[-1] == "test" else parts
+    for known, own in ((("cgo",), "cgo" if cgo else ""), (GO_PROCESSORS, processor), (GO_SYSTEMS, system)):
+        if parts and parts[-1] in known:
+            if parts[-1] != own:
+                return False
+            parts.pop()
+    line = next((m[1] for m in re.finditer(r"(?m)^//go:build[ \t]+(.+)$", re.split(r"(?m)^\s*[^/\s]", code or "", maxsplit=1)[0])), None)
+
+    def tag(name: str) -> bool | None:
+        if name in (system, processor) or (name == "unix" and system in UNIX) or name in ("gc",):
+            return True
+        if name == "cgo":
+            return cgo
+        if version := re.fullmatch(r"go1\.(\d+)", name):
+            return int(version[1]) <= minor
+        return False if name in GO_SYSTEMS + GO_PROCESSORS + ("unix", "ignore", "gccgo") else None
+
+    def both(a: bool | None, b: bool | None) -> bool | None:
+        return False if a is False or b is False else None if a is None or b is None else True
+
+    def negated(a: bool | None) -> bool | None:
+        return None if a is None else not a
+
+    words = re.findall(r"\|\||&&|!|\(|\)|[\w.]+", line or "")
+
+    def either() -> bool | None:
+        out = every()
+        while words and words[0] == "||":
+            words.pop(0)
+            out = negated(both(negated(out), negated(every())))
+        return out
+
+    def every() -> bool | None:
+        out = single()
+        while words and words[0] == "&&":
+            words.pop(0)
+            out = both(out, single())
+        return out
+
+    def single() -> bool | None:
+        word = words.pop(0) if words else ""
+        if word == "!":
+            return negated(single())
+        if word == "(":
+            out = either()
+            if words:
+                words.pop(0)
+            return out
+        return tag(word)
+
+    return either() if line else True
+
+
+def go_files(files: DataFrame, **build) -> DataFrame:
+    """files(path, content) of Go with ``included``: true, false, or null where a tag isn't known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "included": pd.array([go_variant(p, c, **build) for p, c in zip(b["path"], b["content"], strict=True)], "boolean")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, included boolean")

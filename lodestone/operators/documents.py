@@ -98,6 +98,62 @@ def manifest_facts(files: DataFrame, most: int = 30) -> DataFrame:
     return first.withColumn("_n", F.row_number().over(W.partitionBy("kind").orderBy("path", "line", "value"))).where(F.col("_n") <= most).drop("_n")
 
 
+# Files whose usage section tells what a project is for.
+USAGE_FILES = ("README.md", "readme.md", "Readme.md", "README.MD")
+USAGE_HEADING = r"(?im)^#{1,6}\s+(usage|examples?|quick\s?start|getting started)\b[^\n]*$"
+
+
+def use_cases(files: DataFrame, most: int = 30) -> DataFrame:
+    """(repo, label, path, line, snippet) of files(repo, path, content): the usage section of the first README that has one, up to
+    the next heading or 800 characters, then what the examples folder holds, by name."""
+    readme = files.withColumn("_n", F.array_position(F.array(*map(F.lit, USAGE_FILES)), F.col("path"))).where("_n > 0")
+    before = F.regexp_extract("content", r"(?s)\A(.*?)(?=" + USAGE_HEADING + ")", 1)
+    found = readme.where(F.col("content").rlike(USAGE_HEADING)).withColumn("before", before)
+    rest = F.substring("content", F.length("before") + 1, F.length("content"))
+    section = F.substring(F.regexp_extract(rest, r"(?s)\A([^\n]*(?:\n(?!#+\s+\S)[^\n]*)*)", 1), 1, 800)
+    label = F.initcap(F.regexp_extract(rest, USAGE_HEADING, 1))
+    line = (F.length("before") - F.length(F.replace("before", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    first = found.withColumn("_k", F.row_number().over(W.partitionBy("repo").orderBy("_n"))).where("_k = 1")
+    told = first.select("repo", label.alias("label"), "path", line.alias("line"), section.alias("snippet"), F.lit(0).alias("_part"))
+    entry = F.split_part("path", F.lit("/"), F.lit(2))
+    inner = files.where(F.col("path").startswith("examples/") & ~entry.startswith(".")).groupBy("repo", entry.alias("e")).agg(F.max(F.size(F.split("path", "/"))).alias("deep"))
+    held = inner.select("repo", F.concat(F.lit("examples/"), "e").alias("label"), F.concat(F.lit("examples/"), "e").alias("path"), F.lit(None).cast("long").alias("line"), F.when(F.col("deep") > 2, F.concat(F.lit("directory examples/"), "e", F.lit("/"))).otherwise(F.col("e")).alias("snippet"), F.lit(1).alias("_part"))
+    place = F.row_number().over(W.partitionBy("repo").orderBy("_part", "label"))
+    return told.unionByName(held).withColumn("_k", place).where(F.col("_k") <= most).drop("_part", "_k")
+
+
+def error_types(nodes: DataFrame, most: int = 30) -> DataFrame:
+    """The first exported types, by qualified name, that are errors by their name or what they extend: Go structs, Python,
+    TypeScript and JavaScript classes. nodes(qualified_name, name, node_type, language, bases)."""
+    ends = lambda c, *e: F.array_contains(F.transform(F.array(*map(F.lit, e)), lambda x: c.endswith(x)), True)
+    last = lambda b: F.element_at(F.split(b, r"\."), -1)
+    bases, n, cls = F.coalesce("bases", F.array().cast("array<string>")), F.col("name"), F.col("node_type") == "class"
+    is_error = (
+        F.when(F.col("language") == "go", (F.col("node_type") == "struct") & n.endswith("Error") & (n != "Error"))
+        .when(F.col("language") == "python", cls & (ends(n, "Error", "Exception") | F.exists(bases, lambda b: ends(last(b), "Error", "Exception"))))
+        .when(F.col("language").isin("typescript", "javascript"), cls & ((ends(n, "Error", "Exception") & (n != "Error")) | F.exists(bases, lambda b: last(b).endswith("Error"))))
+        .otherwise(False)
+    )
+    return nodes.where(is_error & exported(F.col("language"), n)).orderBy("qualified_name").limit(most)
+
+
+READ_LINES, READ_BYTES, LISTED = 400, 20_000, 200
+
+
+def read_text(files: DataFrame, offset: int = 0, limit: int = READ_LINES) -> DataFrame:
+    """(path, body, truncated) of files(path, content): lines from ``offset``, READ_LINES and READ_BYTES at most; files with a NUL character are left out."""
+    rows = files.where(~F.col("content").contains("\x00")).withColumn("_l", F.split("content", "\n"))
+    want = max(1, min(limit, READ_LINES))
+    body = F.array_join(F.slice("_l", max(0, offset) + 1, want), "\n")
+    text, cut = T.utf8_cap(F.col("_b"), READ_BYTES)
+    return rows.withColumn("_b", body).select("path", text.alias("body"), (cut | (F.size("_l") > max(0, offset) + want)).alias("truncated"))
+
+
+def list_files(files: DataFrame, pattern: str = ".*", most: int = LISTED) -> DataFrame:
+    """The first paths, in order, that a regular expression matches as a whole."""
+    return files.where(F.col("path").rlike(f"^(?:{pattern})$")).select("path").orderBy("path").limit(most)
+
+
 def exported(language: Column, name: Column) -> Column:
     """Visible outside its file or package: Go by an upper-case letter, others without a leading underscore."""
     return F.when(language == "go", name.rlike("^[A-Z]")).otherwise(~name.startswith("_"))

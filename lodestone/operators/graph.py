@@ -175,6 +175,15 @@ def neighbourhoods(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return out.select("id", "name", *(F.coalesce(c, none).alias(c) for c in ("callers", "callees", "members")), "parent")
 
 
+def seed_neighbours(reached: DataFrame, edges: DataFrame, seed, direction: str = "both") -> DataFrame:
+    """(direction, id) of a traversal's nodes, reached(id, distance), that call the seed or that it calls."""
+    near = reached.where("distance = 1").select("id")
+    callers = edges.where(F.col("dst") == seed).select(F.lit("caller").alias("direction"), F.col("src").alias("id"))
+    callees = edges.where(F.col("src") == seed).select(F.lit("callee").alias("direction"), F.col("dst").alias("id"))
+    chosen = {"callers": callers, "callees": callees, "both": callers.union(callees)}[direction]
+    return chosen.distinct().join(near, "id", "left_semi").select("direction", "id")
+
+
 def most_important(ranks: DataFrame) -> DataFrame:
     """(id, rank) of the first nodes by rank: a fifth of them, LEAST_IMPORTANT at least and MOST_IMPORTANT at most."""
     n = ranks.count()

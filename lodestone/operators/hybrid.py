@@ -38,8 +38,9 @@ def layers_of(mode: str = "mixed", layers: tuple[str, ...] | None = None) -> tup
     return layers or MODES[mode]
 
 
-def stores_of(layers: tuple[str, ...]) -> set[str]:
-    return {LAYER_STORE[x] for x in layers}
+def stores_of(layers: tuple[str, ...], stores: tuple[str, ...] | None = None) -> set[str]:
+    """Stores that layers need, or those that are asked for instead."""
+    return set(stores) if stores else {LAYER_STORE[x] for x in layers}
 
 
 def check_window(since: datetime | None, until: datetime | None, as_of: datetime | None) -> None:
@@ -96,10 +97,17 @@ def hybrid(stores: dict[str, Store], text: str, vector: list[float] | None, k: i
 
 def page_bundle(code: Store, docs: Store, edges: DataFrame, nodes: DataFrame, text: str, vector: list[float] | None, k_code: int = 12, k_docs: int = 6, k_pivot: int = 5) -> dict[str, DataFrame]:
     """What a page is written from: the best code and documents, each by itself, and the neighbours of
-    the first code hits."""
+    the first code hits (none of them with k_pivot of 0, as for one section)."""
     from lodestone.operators.documents import pivot
 
     best = hybrid({"code": code}, text, vector, k_code)
+    if not k_pivot:
+        return {"code": best, "docs": hybrid({"repo_docs": docs}, text, vector, k_docs)}
     first = best.orderBy(F.desc("score"), "id").limit(k_pivot)
     hits = first.select((-F.col("score")).alias("pos"), F.col("id").cast(dict(nodes.dtypes)["id"]).alias("id"))
     return {"code": best, "docs": hybrid({"repo_docs": docs}, text, vector, k_docs), "pivot": pivot(hits, edges, nodes, k_pivot)}
+
+
+def section_bundle(code: Store, docs: Store, edges: DataFrame, nodes: DataFrame, purpose: str, heading: str, vector: list[float] | None) -> dict[str, DataFrame]:
+    """The smaller bundle of one section: its heading is searched with its page's purpose, without neighbours."""
+    return page_bundle(code, docs, edges, nodes, f"{purpose} :: {heading}", vector, 8, 4, 0)

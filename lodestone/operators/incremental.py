@@ -53,6 +53,26 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str, order: str, ki
     return stay.unionByName(added)
 
 
+def needs_full_walk(changes: DataFrame, root: str = "go.mod") -> DataFrame:
+    """(full): whether a change feed(path, old_path) touches the root module file, or is missing altogether (no rows)."""
+    touched = F.bool_or((F.col("path") == root) | F.coalesce(F.col("old_path") == root, F.lit(False)))
+    return changes.agg(F.coalesce(touched, F.lit(True)).alias("full"))
+
+
+def plan_changes(changes: DataFrame) -> DataFrame:
+    """(path, step): what a change feed(kind, path, old_path) asks for, deletions before insertions: a rename deletes the old path
+    and adds the new one, also where the language changes with it."""
+    gone = changes.where("kind = 'D'").select("path").union(changes.where("kind = 'R'").select("old_path")).select("path", F.lit("1-delete").alias("step"))
+    return gone.union(changes.where("kind != 'D'").select("path", F.lit("2-ingest").alias("step"))).distinct()
+
+
+def replace_children(children: DataFrame, new: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """children (chunks, links) after the documents(key, action) were merged: those of deleted and updated ones go, and the new ones
+    of inserted and updated ones come; those of kept documents stay."""
+    of = lambda *a: documents.where(F.col("action").isin(*a)).select(key)
+    return children.join(of("delete", "update"), key, "left_anti").unionByName(new.join(of("insert", "update"), key, "left_semi"))
+
+
 def embed_again(rows: DataFrame, stored: DataFrame, key: str, parts: list[str]) -> DataFrame:
     """Rows whose stored stamps differ in any part, null-safe."""
     stamps = stored.select(key, *(F.col(p).alias(f"_{p}") for p in parts), F.lit(True).alias("_known"))

@@ -276,3 +276,11 @@ def plans_reused(spark, sf_dir):
 @query("SELECT unnest([3, 1, 7])::BIGINT AS id, unnest([0, 1, 2])::BIGINT AS pos")
 def lookup_in_given_order(spark, sf_dir):
     return A.in_given_order([3, 1, 7, 10**9], table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id").select("id", "pos")
+
+
+@query("x AS (SELECT 'caller' AS direction, src AS id FROM edges WHERE dst = 12 UNION SELECT 'callee', dst FROM edges WHERE src = 12) SELECT * FROM x")
+def seed_neighbours(spark, sf_dir):
+    from lodestone.sources.shared import stored
+
+    edges = stored(calls(spark, sf_dir), "calls")
+    return G.seed_neighbours(G.bfs(edges, spark.createDataFrame([(12,)], "id long"), 1, "both"), edges, 12)

@@ -287,3 +287,116 @@ def steering_pages(spark, sf_dir):
 def retrieval_modes(spark, sf_dir):
     """Which stores each mode of retrieval reads."""
     return spark.createDataFrame([(m, ",".join(sorted(H.stores_of(H.layers_of(m))))) for m in H.MODES], "mode string, stores string")
+
+
+@query("""WITH g AS (SELECT o_custkey AS repo, o_orderkey % 6 AS i FROM orders GROUP BY ALL), r AS (SELECT repo, 'Usage' AS label, 'README.md' AS path, 3::BIGINT AS line, '## Usage' || chr(10) || 'run it' AS snippet, 0 AS part FROM g WHERE i = 0
+    UNION ALL SELECT repo, 'Examples', 'readme.md', 1, '# Examples', 0 FROM g WHERE i = 1 AND repo NOT IN (SELECT repo FROM g WHERE i = 0) UNION ALL SELECT repo, 'examples/a.py', 'examples/a.py', NULL, 'a.py', 1 FROM g WHERE i = 2 UNION ALL SELECT repo, 'examples/deep', 'examples/deep', NULL, 'directory examples/deep/', 1 FROM g WHERE i = 3)
+    SELECT repo, label, path, line, snippet FROM r""")
+def use_cases(spark, sf_dir):
+    i = (F.col("i") + 1).cast("int")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), i)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderkey") % 6).alias("i")).distinct()
+    files = rows.select("repo", pick("README.md", "readme.md", "examples/a.py", "examples/deep/b.py", "examples/.hidden", "src/x.md").alias("path"), pick("# T\nintro\n## Usage\nrun it\n## Next\nno", "# Examples", "x", "x", "x", "# Usage\n").alias("content"))
+    return D.use_cases(files)
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, p_partkey % 8 AS i FROM part) SELECT 'q' || lpad(k::VARCHAR, 8, '0') AS qualified_name FROM n WHERE i IN (0, 1, 2, 4) ORDER BY 1 LIMIT 30""")
+def error_types(spark, sf_dir):
+    i = (F.col("p_partkey") % 8 + 1).cast("int")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), i)
+    name = pick("ParseError", "BadException", "Thing", "_HiddenError", "IoError", "Error", "ParseError", "Plain")
+    kind, language = pick("struct", "class", "class", "class", "class", "struct", "interface", "class"), pick("go", "python", "python", "python", "typescript", "go", "go", "python")
+    bases = F.when(i == 3, F.array(F.lit("lib.BaseError"))).otherwise(F.array().cast("array<string>"))
+    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("q"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("qualified_name"), name.alias("name"), kind.alias("node_type"), language.alias("language"), bases.alias("bases"))
+    return D.error_types(nodes).select("qualified_name")
+
+
+@query("SELECT doc_id::VARCHAR AS path, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS body, len(string_split(text, chr(10))) > 4 AS truncated FROM documents WHERE octet_length(encode(array_to_string(string_split(text, chr(10))[2:4], chr(10)))) <= 20000 AND NOT contains(text, chr(0))")
+def checkout_reads(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    out = D.read_text(docs, 1, 3)
+    return out.where(F.octet_length("body") < D.READ_BYTES - 3)
+
+
+@query("SELECT regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(url, '://[^/?#]*/en/[^?#]*') ORDER BY 1 LIMIT 200")
+def checkout_listing(spark, sf_dir):
+    return D.list_files(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")), "[^/]*/en/.*")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, ['A', 'M', 'D', 'R'][o_orderkey % 4 + 1] AS kind FROM orders) SELECT 'n' || k || '.ts' AS path, '2-ingest' AS step FROM c WHERE kind <> 'D' UNION ALL SELECT 'n' || k || '.ts', '1-delete' FROM c WHERE kind = 'D' UNION ALL SELECT 'o' || k || '.go', '1-delete' FROM c WHERE kind = 'R'""")
+def change_steps(spark, sf_dir):
+    """Renames change the language: the old path is deleted, the new one read."""
+    k = F.col("o_orderkey").cast("string")
+    kind = F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    feed = table(spark, sf_dir, "orders").select(kind.alias("kind"), F.concat(F.lit("n"), k, F.lit(".ts")).alias("path"), F.when(kind == "R", F.concat(F.lit("o"), k, F.lit(".go"))).alias("old_path"))
+    return I.plan_changes(feed)
+
+
+@query("SELECT 'plain' AS feed, false AS full UNION ALL SELECT 'module', true UNION ALL SELECT 'none', true")
+def full_walks(spark, sf_dir):
+    feed = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("old_path"))
+    module = feed.unionByName(feed.limit(1).select("path", F.lit("go.mod").alias("old_path")))
+    out = None
+    for name, rows in (("plain", feed), ("module", module), ("none", feed.where(F.lit(False)))):
+        one = I.needs_full_walk(rows).select(F.lit(name).alias("feed"), "full")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT o_orderkey AS doc, l_linenumber AS chunk, CASE WHEN o_orderkey % 4 < 2 THEN 'new' ELSE 'old' END AS version FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 4 <> 3""")
+def replaced_chunks(spark, sf_dir):
+    """Documents are inserted (0), updated (1), kept (2) or deleted (3); inserted ones had no chunks."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("chunk"))
+    action = F.element_at(F.array(*map(F.lit, ("insert", "update", "keep", "delete"))), (F.col("doc") % 4 + 1).cast("int"))
+    documents = lines.select("doc").distinct().withColumn("action", action)
+    return I.replace_children(lines.where("doc % 4 != 0").withColumn("version", F.lit("old")), lines.where("doc % 4 != 3").withColumn("version", F.lit("new")), documents, "doc")
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN NULL WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN true ELSE false END AS included FROM part""")
+def go_build_variants(spark, sf_dir):
+    """For linux on amd64 without cgo: names and constraints; a tag of one's own is unknown."""
+    i = (F.col("p_partkey") % 8 + 1).cast("int")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), i)
+    name = pick("a", "a_windows", "a_linux_amd64_test", "a", "a", "a_b", "a", "a_cgo")
+    head = pick("", "", "", "//go:build custom && linux", "//go:build !unix || (custom && arm64)", "//go:build go1.20 && !cgo", "// note\n\n//go:build custom || linux", "//go:build linux")
+    files = table(spark, sf_dir, "part").select(F.concat(name, F.lit(".go")).alias("file"), F.col("p_partkey").cast("string").alias("k"), F.concat(head, F.lit("\npackage a\n//go:build windows\n")).alias("content"))
+    out = C.go_files(files.select(F.concat_ws("/", "k", "file").alias("path"), "content"))
+    return out.select(F.split_part("path", F.lit("/"), F.lit(1)).cast("long").alias("k"), "included")
+
+
+@query("SELECT doc_id, 0::BIGINT AS chunk_index, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE '' END AS heading, CASE WHEN doc_id % 2 = 0 THEN '# T' || chr(10) ELSE '' END || 'body ' || doc_id || repeat(' x', 30) AS content FROM documents UNION ALL SELECT doc_id, 1, 'T', '## Long' || chr(10) || repeat('word ', 794) || 'word' FROM documents WHERE doc_id % 2 = 0")
+def character_chunks(spark, sf_dir):
+    """A short document is one chunk; a long section is a chunk of its own, below the common heading."""
+    even = F.col("doc_id") % 2 == 0
+    text = F.concat(F.when(even, "# T\n").otherwise(""), F.lit("body "), F.col("doc_id").cast("string"), F.repeat(F.lit(" x"), F.lit(30)), F.when(even, F.concat(F.lit("\n## Long\n"), F.rtrim(F.repeat(F.lit("word "), F.lit(795))))).otherwise(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return X.chunked(docs, "doc_id", "text").select("doc_id", "chunk_index", F.get("heading_path", F.lit(0)).alias("h"), "content").select("doc_id", "chunk_index", F.coalesce("h", F.lit("")).alias("heading"), "content")
+
+
+@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS total FROM events")
+def appended_log(spark, sf_dir):
+    """A stream of events appended to a log table batch by batch."""
+    from lodestone.plans.tables import instants
+    from lodestone.streaming import usage as U
+
+    path = new_path(spark, "log")
+    stream = instants(U.read_stream(spark, f"{sf_dir}/events.parquet"))
+    stream.writeStream.foreachBatch(lambda batch, _: U.append(batch, f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+_BUNDLE = """WITH g AS (SELECT p_partkey AS id, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t = 'widget')) AS n FROM part), c AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM g WHERE n > 0 QUALIFY rank <= 300),
+    d AS (SELECT doc_id AS id, row_number() OVER (ORDER BY len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t = 'widget')) DESC, doc_id) AS rank FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'widget'))
+    (SELECT 'code' AS part, id::VARCHAR AS id FROM c ORDER BY round(1.0 / (60 + rank), 12) DESC, id::VARCHAR LIMIT 12) UNION ALL (SELECT 'docs', id::VARCHAR FROM d ORDER BY rank LIMIT 6)
+    UNION ALL (SELECT 'pivot', id::VARCHAR FROM c ORDER BY round(1.0 / (60 + rank), 12) DESC, id::VARCHAR LIMIT 5)"""
+
+
+@query(_BUNDLE)
+def page_bundle(spark, sf_dir):
+    from lodestone.plans.tables import calls, parts_as_nodes
+
+    code = H.Store(table(spark, sf_dir, "part"), "p_partkey", {"A": "p_name"})
+    docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "text"})
+    out = H.page_bundle(code, docs, calls(spark, sf_dir), parts_as_nodes(spark, sf_dir), "widget", None)
+    rows = [out[n].select(F.lit(n).alias("part"), F.col("id").cast("string").alias("id")) for n in ("code", "docs", "pivot")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
