@@ -164,12 +164,14 @@ def link_mentions(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     chunks(chunk_id, doc_path, content); nodes(node_id, name, qualified_name, file_path, start_line, package).
     """
     raw = chunks.select("chunk_id", "doc_path", F.explode(mentioned_names(F.col("content"))).alias("raw"))
-    raw = raw.withColumn("key", F.element_at(F.split("raw", r"\."), -1))
-    by_name = raw.join(nodes, raw["key"] == nodes["name"]).drop("key")
-    by_path = raw.where(F.col("raw").contains(".")).join(nodes, raw["raw"] == nodes["qualified_name"]).drop("key")
-    scored = by_name.unionByName(by_path).distinct()
-    scored = scored.withColumn("score", mention_score(F.col("raw"), F.col("name"), F.col("qualified_name"), F.col("file_path"), F.col("package"), F.col("doc_path")))
-    return first_per_group(scored.where("score > 0").withColumn("_k", F.concat_ws("\x1f", "chunk_id", "raw")), "_k", F.desc("score"), "start_line", "node_id").select("chunk_id", "raw", "node_id", "score")
+    # A name's best node depends on the document's path alone, so each is looked up once for all chunks that mention it.
+    asked = raw.select("doc_path", "raw").distinct().withColumn("key", F.element_at(F.split("raw", r"\."), -1))
+    by_name = asked.join(nodes, asked["key"] == nodes["name"]).drop("key")
+    by_path = asked.where(F.col("raw").contains(".")).join(nodes, asked["raw"] == nodes["qualified_name"]).drop("key")
+    scored = by_name.unionByName(by_path)
+    scored = scored.withColumn("score", mention_score(F.col("raw"), F.col("name"), F.col("qualified_name"), F.col("file_path"), F.col("package"), F.col("doc_path"))).where("score > 0")
+    best = scored.groupBy("doc_path", "raw").agg(F.min(F.struct((-F.col("score")).alias("s"), "start_line", "node_id")).alias("b"))
+    return raw.join(best, ["doc_path", "raw"]).select("chunk_id", "raw", "b.node_id", (-F.col("b.s")).alias("score"))
 
 
 def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
