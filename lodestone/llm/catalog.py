@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, mixing, neardup, pii, quality, rules, toxicity, urls, warc
+from lodestone.llm import decontam, divergence, licenses, mixing, neardup, pii, quality, rules, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules, op12_divergence)}
 
 
 #: The SQL twins; the other queries learn, iterate or search and are tested by brute force.
@@ -67,6 +71,24 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM w""",
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        o AS (SELECT r, lang, source, unnest(t) AS item FROM d),
+        k AS (SELECT lang, item FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, item, count(*)::HUGEINT AS n FROM o JOIN k USING (lang, item) GROUP BY ALL),
+        full_c AS (SELECT g.lang, g.source, k.item, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.item = k.item),
+        p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM full_c JOIN v USING (lang)),
+        l AS (SELECT lang, item, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+        q AS (SELECT lang, item, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l JOIN v USING (lang)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        terms AS (SELECT p.lang, p.source, 'term' AS part, p.item, (p - q)::BIGINT AS value FROM p JOIN q ON p.lang = q.lang AND p.item = q.item WHERE p.n > 0 AND p > q),
+        ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM (FROM pairs UNION ALL FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
     "op7_neardup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w)::BIGINT - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]))
