@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, divergence, licenses, mixing, neardup, pii, quality, rules, toxicity, urls, warc
+from lodestone.llm import decontam, divergence, licenses, mixing, neardup, pii, quality, rules, toxicity, tries, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules, op12_divergence)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules, op11_trie, op12_divergence)}
 
 
 #: The SQL twins; the other queries learn, iterate or search and are tested by brute force.
@@ -71,6 +75,23 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM w""",
+    "op11_trie": r"""
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, {'role': role, 'text': text} AS x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text)) AS k FROM t),
+        own AS (SELECT c, list(x ORDER BY k) AS xs FROM o GROUP BY c),
+        h AS (SELECT c, xs, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)),
+              lambda r, b: list_reduce([xor(r, b), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT],
+              lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT) % 4 AS h FROM own),
+        rebuilt AS (SELECT a.c, list_concat(coalesce(b.xs[1:a.h], []), a.xs[a.h + 1:]) AS xs FROM h a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+        m AS (SELECT c, len(xs) AS n, unnest(range(0, len(xs) + 1)) AS d, xs FROM rebuilt),
+        nodes AS (SELECT d, xs[1:d] AS path, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM m GROUP BY d, xs[1:d]),
+        ch AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+        full_n AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[n.d].text, '[^\x20\x09-\x0D]+')) END AS saved
+                   FROM nodes n LEFT JOIN ch ON n.d = ch.d AND n.path = ch.path),
+        up AS (SELECT unnest(range(0, d + 1)) AS a, path, n_children, saved FROM full_n),
+        subtree AS (SELECT a AS d, path[1:a] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY a, path[1:a])
+        SELECT n.conv_id::BIGINT AS conv_id, n.d::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM full_n n JOIN subtree s ON s.d = n.d AND s.path = n.path LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]""",
     "op12_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
