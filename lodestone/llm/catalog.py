@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, divergence, licenses, mixing, neardup, pii, quality, rules, toxicity, tries, urls, warc
+from lodestone.llm import decontam, divergence, licenses, mixing, neardup, neighbours, pii, quality, rules, toxicity, tries, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules, op11_trie, op12_divergence)}
+    return {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_toxicity, op5_urls, op6_mixing, op7_neardup, op8_decontamination, op9_licenses, op10_rules, op11_trie, op12_divergence, op13_neighbours)}
 
 
 #: The SQL twins; the other queries learn, iterate or search and are tested by brute force.
