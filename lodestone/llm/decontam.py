@@ -30,15 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from lodestone.llm.shared import stored
+from lodestone.llm.shared import free_names, stored
 from lodestone.llm.words import Words, mix, powers_to, slices
 
 SEED = 5
 COVERAGE = 0.5
 BROADCAST_WORDS, BROADCAST_BYTES = 2_000_000, 20_000_000
-NAMES = ("item_id", "coverage", "n_tiles", "n_items")
-#: Verdicts have an underscore while they stand beside the columns of documents.
-RESULT = [StructField(f"_{n}", t) for n, t in zip(NAMES, (LongType(), DoubleType(), IntegerType(), IntegerType()), strict=True)]
+#: A verdict; its columns are renamed where documents have columns of these names.
+NAMES, KINDS = ("item_id", "coverage", "n_tiles", "n_items"), (LongType(), DoubleType(), IntegerType(), IntegerType())
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -177,16 +176,18 @@ def judge(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BRO
 
     item_id: the item covered most, null if no seed is shared; n_items: items covered enough.
     """
-    judged = _with_verdict(documents.select("doc_id", "text"), benchmark, broadcast_words, ("text",))
-    return judged.select("doc_id", (F.col("_n_items") > 0).alias("contaminated"), *(F.col(f"_{n}").alias(n) for n in NAMES))
+    judged, _ = _with_verdict(documents.select("doc_id", "text"), benchmark, broadcast_words, ("text",))
+    return judged.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), *NAMES)
 
 
-def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: int, without: tuple[str, ...]) -> DataFrame:
+def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: int, without: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """documents with their verdicts, and the names of these."""
+    names = free_names(documents.columns, *NAMES)
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     n_words, n_bytes = items.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.sum(F.octet_length("text"))).first()
     if (n_words or 0) > broadcast_words or (n_bytes or 0) > BROADCAST_BYTES:
-        return _by_shuffle(documents, items, without)
+        return _by_shuffle(documents, items, without, names), names
     index_of = spark.sparkContext.broadcast(_Index([tuple(r) for r in items.orderBy("item_id", "text").collect()]))
     kept = [x for x in documents.columns if x not in without]
 
@@ -204,9 +205,9 @@ def _with_verdict(documents: DataFrame, benchmark: DataFrame, broadcast_words: i
                 coverage, _, _, n, item = max(found, key=lambda x: x[:4])
                 best[r] = (item, coverage, n, sum(x[0] >= COVERAGE for x in found))
             columns = [pa.array(x, t) for x, t in zip(zip(*best, strict=True), (pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), *columns], [*kept, *(f"_{n}" for n in NAMES)])
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), *columns], [*kept, *names])
 
-    return documents.mapInArrow(judged, StructType([*(documents.schema[x] for x in kept), *RESULT]))
+    return documents.mapInArrow(judged, StructType([*(documents.schema[x] for x in kept), *map(StructField, names, KINDS)])), names
 
 
 def _seeds(texts: DataFrame, key: str, lengths: list[int] | None = None) -> DataFrame:
@@ -225,7 +226,7 @@ def _seeds(texts: DataFrame, key: str, lengths: list[int] | None = None) -> Data
     return texts.select(key, "text").mapInArrow(seeded, StructType([kind, StructField("length", IntegerType()), StructField("seed", LongType())])).distinct()
 
 
-def _by_shuffle(documents: DataFrame, items: DataFrame, without: tuple[str, ...]) -> DataFrame:
+def _by_shuffle(documents: DataFrame, items: DataFrame, without: tuple[str, ...], names: list[str]) -> DataFrame:
     """The same verdicts for a benchmark of any size: (text, item) pairs that share a seed are
     joined on it, then tiled. Texts go by their digest, so copies are tiled once."""
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -248,13 +249,14 @@ def _by_shuffle(documents: DataFrame, items: DataFrame, without: tuple[str, ...]
     both = pairs.join(wording.withColumnRenamed("text", "wording"), "item").join(texts, "digest")
     scored = both.select("digest", "item", "text", "wording").mapInArrow(tiled, "digest string, item string, coverage double, n_tiles int")
     scored = scored.join(items.select("item", "item_id"), "item")
-    best = scored.groupBy("digest").agg(F.max(F.struct("coverage", F.col("item_id").isNotNull(), -F.col("item_id"), "n_tiles", "item_id")).alias("b"), F.sum((F.col("coverage") >= COVERAGE).cast("int")).cast("int").alias("_n_items"))
-    best = best.select(F.col("digest").alias("_digest"), F.col("b.item_id").alias("_item_id"), F.col("b.coverage").alias("_coverage"), F.col("b.n_tiles").alias("_n_tiles"), "_n_items")
-    out = documents.withColumn("_text", digest("text")).drop(*without).join(best, F.col("_text") == F.col("_digest"), "left").drop("_text", "_digest")
-    return out.withColumns({"_coverage": F.coalesce("_coverage", F.lit(0.0)), "_n_tiles": F.coalesce("_n_tiles", F.lit(0)), "_n_items": F.coalesce("_n_items", F.lit(0))})
+    own, other = free_names([*documents.columns, *names], "of_text", "of_best")
+    best = scored.groupBy("digest").agg(F.max(F.struct("coverage", F.col("item_id").isNotNull(), -F.col("item_id"), "n_tiles", "item_id")).alias("b"), F.sum((F.col("coverage") >= COVERAGE).cast("int")).cast("int").alias("n"))
+    best = best.select(F.col("digest").alias(other), *(c.alias(n) for c, n in zip((F.col("b.item_id"), F.col("b.coverage"), F.col("b.n_tiles"), F.col("n")), names, strict=True)))
+    out = documents.withColumn(own, digest("text")).drop(*without).join(best, F.col(own) == F.col(other), "left").drop(own, other)
+    return out.withColumns({n: F.coalesce(n, F.lit(0).cast(t)) for n, t in zip(names[1:], KINDS[1:], strict=True)})
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents that no benchmark item covers enough, with their own columns."""
-    judged = _with_verdict(documents, benchmark, BROADCAST_WORDS, ())
-    return judged.where("_n_items = 0").select(*documents.columns)
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """documents that no benchmark item covers enough, with their own columns, whatever their names."""
+    judged, names = _with_verdict(documents, benchmark, broadcast_words, ())
+    return judged.where(F.col(names[-1]) == 0).drop(*names)

@@ -5,12 +5,12 @@ only say where to look: the words around them, as far as a notice can reach, are
 notices may be wrapped in any way. Every template is compared with every candidate; one that can't have enough of its words
 there is skipped, which changes nothing.
 
-A candidate span is compressed alone and with the template as zstandard raw-content dictionary; the share
-of bytes that the template saves ranks candidates of equally many matched words, then the name. In that order a
-candidate is confirmed by its wording: template and span are aligned word by word (a longest common
-subsequence), at least MATCH of the template's words are there, no more words stand between them than
-``most_more`` (none for a template of under five words), and every version number of the template is there. The
-words that are missing or more are returned. A notice is reported if it has a word that no notice reported before accounts
+A candidate span, the words where a template may stand, is compressed alone and with the template as zstandard raw-content
+dictionary. The bytes that the template saves rank all candidates; of those that save as many, the one with fewer words missing
+or more comes first, then the name. In that order a candidate is confirmed by its exact wording: template and span
+are aligned word by word (a longest common subsequence), at least MATCH of the template's words are there, no more words
+stand between them than ``most_more`` (none for a template of under five words), and every version number of the template
+is there. The words that are missing or more are returned. A notice is reported if it has a word that no notice confirmed before accounts
 for; so a notice inside a longer one or a near variant of it is left out, and all others of a block are reported.
 
 Everything is a narrow map over the texts; templates are fixed and small.
@@ -66,12 +66,22 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "Reserved": "All rights reserved.",
+    "GPL-2.0-name": "GNU General Public License v2.0",
+    "GPL-3.0-name": "GNU General Public License v3.0",
+    "LGPL-2.1-name": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0-name": "GNU Lesser General Public License v3.0",
+    "AGPL-3.0-name": "GNU Affero General Public License v3.0",
+    "GPL-2.0-short": "GNU General Public License v2",
+    "GPL-3.0-short": "GNU General Public License v3",
+    "MPL-2.0-name": "Mozilla Public License 2.0",
+    "EPL-2.0-name": "Eclipse Public License 2.0",
     "MIT-name": "MIT License",
     "Apache-2.0-name": "Apache License 2.0",
     "Apache-2.0-version": "Apache License, Version 2.0",
 }
 #: Identifiers that follow ``SPDX-License-Identifier:``.
-SPDX = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense", "BSL-1.0")
+SPDX = ("MIT", "MIT-0", "0BSD", "Zlib", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense", "BSL-1.0", "EPL-2.0")
+SPDX += tuple(f"{x}-{end}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("only", "or-later"))
 TEMPLATES |= {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 
 
@@ -117,8 +127,8 @@ def reach(n: int) -> int:
 
 
 def versions(words: list[str]) -> set[str]:
-    """Version numbers: numbers with a point or after the word ``version``."""
-    return {w for before, w in zip(["", *words], words, strict=False) if w[0].isdigit() and ("." in w or before == "version")}
+    """Version numbers: numbers with a point, with a ``v`` before them, or after the word ``version``."""
+    return {w for before, w in zip(["", *words], words, strict=False) if w[0].isdigit() and ("." in w or before == "version") or w[0] == "v" and w[1:2].isdigit()}
 
 
 class Wording:
@@ -231,9 +241,10 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
 
-    def _saved(self, name: str, words: list[str]) -> float:
+    def _sizes(self, name: str, words: list[str]) -> tuple[int, int]:
+        """Bytes of the words compressed alone, and with a template as dictionary."""
         data = " ".join(words).encode()
-        return 1 - len(self.given[name].compress(data)) / len(self.alone.compress(data))
+        return len(self.alone.compress(data)), len(self.given[name].compress(data))
 
     def notices(self, words: list[str], low: int, high: int) -> list[tuple[int, int, int, float, str]]:
         """(start, end, words matched, share of bytes saved, license) in words[low:high]."""
@@ -241,9 +252,11 @@ class Scanner:
         count, found, claimed = Counter(near), [], set()
         for name, own in self.words.items():
             for a, b, n in own.spans(near) if own.possible(count) else ():
-                found.append((low + a, low + b, n, self._saved(name, near[a:b]), name))
+                alone, given = self._sizes(name, near[a:b])
+                unlike = len(own.words) - n + b - a - n
+                found.append(((given - alone, unlike, name, a), (low + a, low + b, n, 1 - given / alone, name)))
         out = []
-        for x in sorted(found, key=lambda x: (-x[2], -x[3], x[4], x[0])):
+        for _, x in sorted(found):
             a, b, n, _, name = x
             if common([words[p] for p in range(a, b) if p in claimed], self.words[name].words) < n:
                 out.append(x)

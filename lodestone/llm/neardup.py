@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import stored
+from lodestone.llm.shared import free_names, stored
 from lodestone.llm.words import Words, mix, shingles, slices
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
@@ -329,5 +329,6 @@ def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) ->
 
 def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """documents without the rows whose text's component has a smaller doc_id."""
-    out = _judged(documents, words, percent).where("not kept").select(F.col("doc_id").alias("_copy"), F.col("text_hash").alias("_copied")).distinct()
-    return documents.join(_sized(out), (F.col("doc_id").cast("long") == F.col("_copy")) & (F.xxhash64("text") == F.col("_copied")), "left_anti")
+    copy, copied = free_names(documents.columns, "copy", "copied")
+    out = _judged(documents, words, percent).where("not kept").select(F.col("doc_id").alias(copy), F.col("text_hash").alias(copied)).distinct()
+    return documents.join(_sized(out), (F.col("doc_id").cast("long") == F.col(copy)) & (F.xxhash64("text") == F.col(copied)), "left_anti")

@@ -7,7 +7,7 @@ L1 leave a few ten thousand weights of 2**20, so the broadcast model is small an
 
 Null and empty texts have no features and get the score of the bias. Copies of a text get the
 same score. Labels that are null, or whose document is missing, don't train; without any
-training row every score is 0.5. Extra columns are ignored.
+training row every score is 0.5. Extra columns are ignored by judge and kept by drop_toxic, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import linear
+from lodestone.llm.shared import free_names
 from lodestone.llm.words import ALNUM, Words
 
 BITS = 20
@@ -59,4 +60,5 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     model = fit(documents, labels)
-    return linear.append_score(documents, model, features, ALNUM, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    (name,) = free_names(documents.columns, "toxicity")
+    return linear.append_score(documents, model, features, ALNUM, name).where(F.col(name) < THRESHOLD).drop(name)

@@ -171,3 +171,42 @@ def test_repeated_labelled_ids_are_one_row(spark, documents):
     once = [tuple(map(str, r)) for r in rules.fit(documents(rows), labels)]
     again = [tuple(map(str, r)) for r in rules.fit(documents(rows + [rows[0]] * 300), labels)]
     assert once == again
+
+
+def test_compression_ranks_and_wording_confirms(documents, monkeypatch):
+    """The exact template is reported where others have all but one word; without the bytes saved, others come first."""
+    t = licenses.TEMPLATES
+    names = ["GPL-3.0-notice", "AGPL-3.0-notice", "LGPL-3.0-notice", "BSD-3-Clause", "MIT", "SPDX-GPL-2.0-only", "SPDX-GPL-3.0-or-later", "SPDX-GPL-2.0", "LGPL-2.1-name", "GPL-2.0-short"]
+    texts = [t[n] for n in names] + [t["MIT"].replace("publish, ", "")]
+    wanted = [[(n, 0)] for n in names] + [[("MIT", 1)]]
+
+    def found():
+        got = [[] for _ in texts]
+        for k, text in enumerate(texts):
+            got[k] = [(r[0], r[4]) for r in licenses.Scanner().scan(text)]
+        return got
+
+    assert found() == wanted
+    assert [r["license"] for r in licenses.scan(documents([t["SPDX-AGPL-3.0-only"] + " WITH exception"])).collect()] == ["SPDX-AGPL-3.0-only"]
+    monkeypatch.setattr(licenses.Scanner, "_sizes", lambda self, name, words: (100, 90))
+    assert found() != wanted
+
+
+def test_spans_are_the_best_windows_by_brute_force():
+    """One notice among other words: of all windows that the rules allow, the one with most words matched and fewest more."""
+    draw = random.Random(11)
+    for _ in range(150):
+        own = [draw.choice("abcdef") + str(k % 5) for k in range(draw.randrange(5, 14))]
+        w = licenses.Wording(own)
+        copy = [x for x in own if draw.random() > 0.06]
+        for _ in range(draw.randrange(0, 3)):
+            copy.insert(draw.randrange(len(copy) + 1), "zebra")
+        words = ["left"] * draw.randrange(0, 5) + copy + ["right"] * draw.randrange(0, 5)
+        best = None
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                n = licenses.common(words[a:b], own)
+                if n >= w.need and b - a - n <= w.more and w.versions.issubset(words[a:b]):
+                    best = max(best or (-99, 0), (2 * n - (b - a), n))
+        got = w.spans(words)
+        assert [(2 * n - (b - a), n) for a, b, n in got] == ([best] if best else []), (own, words)
