@@ -9,8 +9,10 @@ Documents of equal fingerprints form a class, and only one of each class goes on
 groups of copies cost nothing. 32 bands of four registers propose pairs: first each member
 of a band's bucket with the bucket's smallest id, which joins most groups at a cost that is linear
 in their size. What is compared afterwards are only members of one bucket that are still in
-different components: pair by pair in buckets of up to 32, and in blocks of the bucket's documents, whose
-common shingles are counted by matrix products, in larger ones. No pair within a component is
+different components: pair by pair in buckets of up to 32. Members of larger ones are put into buckets again, by their rarest
+shingles, so that texts of one template that aren't near-duplicates part: two sets as similar as asked share one of these. Such buckets are
+worked off alike, pair by pair or with their smallest id first; what is still apart in a large one is compared in blocks of
+documents, whose common shingles are counted by matrix products. No pair within a component is
 looked for, none across is left out. Two sets of similarity 0.85 (0.8) share no band with a
 probability of about 6e-11 (5e-8).
 
@@ -45,6 +47,7 @@ from lodestone.llm.words import Words, mix, shingles, slices
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 WIDTH = REGISTERS // BANDS
 SMALL, BLOCK, COLUMNS = 32, 512, 4096
+SLOTS = 1 << 20  # counts that put shingles in order
 #: Shingles of a block of documents on average: its texts take some 20 times as many bytes.
 BLOCK_SHINGLES = 1_000_000
 #: A pair as similar as the threshold is dropped by its estimate with at most this probability.
@@ -176,13 +179,11 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("rep"), "component")
 
 
-def _apart(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their components so far, and the buckets that hold several of them."""
-    label = _labels(links)
+def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components so far, with these and the size of their bucket."""
     labelled = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high")
-    rows = stored(labelled.join(_sized(several.select("key", "size")), "key").select("key", "rep", "component", "size"), "neardup-apart")
-    return label, rows
+    return stored(labelled.join(_sized(several.select("key", "size")), "key").select("key", "rep", "component", "size"), "neardup-apart")
 
 
 def _of_small(rows: DataFrame) -> DataFrame:
@@ -192,6 +193,48 @@ def _of_small(rows: DataFrame) -> DataFrame:
     return groups.select(F.explode(F.flatten(F.transform("g", pair))).alias("p")).select("p.a", "p.b").distinct()
 
 
+def _rare(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, rep): the rarest shingles of each member of a bucket of more than SMALL members.
+
+    Of n shingles two sets of the similarity asked for share ceil(percent * n / 100) at least, so in any common order of
+    all shingles they share one of the first n less that, plus one, of either. The order is that of a table of SLOTS
+    counts over these texts, then of the hash: words of a template that all of them have come last.
+    """
+    ids = _sized(rows.where(F.col("size") > SMALL).select("rep").distinct())
+    large = stored(texts.join(ids, "rep", "left_semi"), "neardup-large")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for _, found in slices(batches):
+            n += np.bincount((shingles(found, words)[1] >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], ["slot", "n"])
+
+    sums = large.mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    count = np.zeros(SLOTS, np.int64)
+    count[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(count)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in slices(batches):
+            row, h = shingles(found, words)
+            order = np.lexsort((h, shared.value[(h >> np.uint64(40)).astype(np.int64) % SLOTS], row))
+            row, h = row[order], h[order]
+            size = np.bincount(row, minlength=part.num_rows)
+            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            keep = place <= (size + -percent * size // 100)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), part.column("rep").take(pa.array(row[keep]))], ["key", "rep"])
+
+    return large.mapInArrow(first, "key long, rep long")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket of more than SMALL with the bucket's smallest."""
+    large = rows.where(F.col("size") > SMALL)
+    leaders = _sized(large.groupBy("key").agg(F.min("rep").alias("leader")))
+    return large.join(leaders, "key").where("rep != leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+
+
 def _links_between(table: pa.Table, words: int, percent: int) -> pa.Table:
     """Links that join the components of a table(rep, component, text), no more than needed.
 
@@ -303,14 +346,24 @@ def _judged(documents: DataFrame, words: int, percent: int) -> DataFrame:
         return stored(_confirmed(_promising(pairs, classes, percent), texts, words, percent), "neardup-links")
 
     links = confirmed(members.where("rep != leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct())
-    label, rows = _apart(members, links)
+    label = _labels(links)
+    rows = _apart(members, label)
     found = confirmed(_of_small(rows))
     if not found.isEmpty():
         links = links.union(found)
-        label, rows = _apart(members, links)
-    if not rows.where(F.col("size") > SMALL).isEmpty():
-        links = links.union(stored(_of_large(rows, classes, texts, words, percent), "neardup-links"))
         label = _labels(links)
+        rows = _apart(members, label)
+    if not rows.where(F.col("size") > SMALL).isEmpty():
+        members = stored(_rare(rows, texts, words, percent), "neardup-rare")
+        rows = _apart(members, label)
+        found = confirmed(_of_small(rows).union(_stars(rows)).distinct())
+        if not found.isEmpty():
+            links = links.union(found)
+            label = _labels(links)
+            rows = _apart(members, label)
+        if not rows.where(F.col("size") > SMALL).isEmpty():
+            links = links.union(stored(_of_large(rows, classes, texts, words, percent), "neardup-links"))
+            label = _labels(links)
 
     known = label.join(classes.select("rep", "doc_id"), "rep")
     smallest = known.groupBy("component").agg(F.min("doc_id").alias("smallest"))

@@ -64,6 +64,24 @@ def test_large_bucket_of_near_copies_is_exact(documents, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_unlinked_texts_of_one_template_cost_rows_in_proportion(documents, monkeypatch):
+    """Pages that share three quarters of their words and no more: one band bucket holds hundreds, but no pair of them is compared."""
+    def never(*_):
+        raise AssertionError("blocks of a large bucket")
+
+    monkeypatch.setattr(neardup, "_of_large", never)
+    made = []
+    confirmed = neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *a: made.append(pairs.count()) or confirmed(pairs, *a))
+    draw = random.Random(5)
+    template = [f"t{k}" for k in range(90)]
+    rows = [(k, " ".join([*template, *(f"w{draw.randrange(10**9)}" for _ in range(24))])) for k in range(400)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(0, 400, 40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert sum(made) < 10 * len(rows)
+
+
 def test_kept_rows_null_ids_and_empty_table(documents):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (3, "x " * 30000)]
     got = neardup.near_duplicates(documents(rows)).collect()
