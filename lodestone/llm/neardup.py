@@ -47,7 +47,7 @@ from lodestone.llm.words import Words, mix, shingles, slices
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 WIDTH = REGISTERS // BANDS
 SMALL, BLOCK, COLUMNS = 32, 512, 4096
-SLOTS = 1 << 20  # counts that put shingles in order
+SLOTS = 1 << 16  # counts that put shingles in order
 #: Shingles of a block of documents on average: its texts take some 20 times as many bytes.
 BLOCK_SHINGLES = 1_000_000
 #: A pair as similar as the threshold is dropped by its estimate with at most this probability.
