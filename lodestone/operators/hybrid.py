@@ -11,7 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import gram_index as GI
 from lodestone.operators import retrieval as R
+from lodestone.operators import token_index as TI
+from lodestone.operators import vector_index as VI
 
 LAYER_STORE = {"code": "code", "ast": "code", "ast_summary": "code", "repo_doc": "repo_docs"}
 MODES = {"code": ("code", "ast", "ast_summary"), "wiki": ("repo_doc",), "mixed": ("code", "ast_summary", "repo_doc")}
@@ -23,7 +26,7 @@ _log = logging.getLogger(__name__)
 
 @dataclass
 class Store:
-    """A searchable table: its texts, its vectors (optional), and for code the column of names."""
+    """A searchable table: its texts, its vectors (optional), and for code the column of names. With indexes no stream reads the table."""
 
     rows: DataFrame
     id: str
@@ -32,6 +35,18 @@ class Store:
     vector_id: str = "id"
     vector: str = "embedding"
     symbol: str | None = None
+    tokens: TI.TokenIndex | None = None
+    grams: GI.GramIndex | None = None
+    near: VI.VectorIndex | None = None
+
+    def by_vector(self, query: list[float], k: int) -> DataFrame:
+        return VI.search(self.near, query, k) if self.near else R.vector_stream(self.vectors, query, k, self.vector_id, self.vector)
+
+    def by_words(self, query: str, k: int) -> DataFrame:
+        return TI.search(self.tokens, query, k) if self.tokens else R.lexical_stream(self.rows, query, k, self.id, self.fields)
+
+    def by_name(self, query: str, k: int) -> DataFrame:
+        return GI.similar(self.grams, query, k) if self.grams else R.symbol_stream(self.rows, query, k, self.id, self.symbol)
 
 
 def layers_of(mode: str = "mixed", layers: tuple[str, ...] | None = None) -> tuple[str, ...]:
@@ -80,12 +95,12 @@ def hybrid(stores: dict[str, Store], text: str, vector: list[float] | None, k: i
         if store is None:
             continue
         streams: dict[str, Callable[[], DataFrame]] = {}
-        if vector and store.vectors is not None:
-            streams["vector"] = lambda s=store: R.vector_stream(s.vectors, vector, cap, s.vector_id, s.vector)
+        if vector and (store.vectors is not None or store.near):
+            streams["vector"] = lambda s=store: s.by_vector(vector, cap)
         if text.strip():
-            streams["lexical"] = lambda s=store: R.lexical_stream(s.rows, text, cap, s.id, s.fields)
+            streams["lexical"] = lambda s=store: s.by_words(text, cap)
             if store.symbol:
-                streams["symbol"] = lambda s=store: R.symbol_stream(s.rows, text, cap, s.id, s.symbol)
+                streams["symbol"] = lambda s=store: s.by_name(text, cap)
         built = {n: s for n, b in streams.items() if (s := _stream(f"{name}.{n}", b)) is not None}
         if built:
             part = R.fuse(built, rrf_k, cap).select(F.lit(name).alias("store"), F.lit(place).alias("_place"), "id", "score")

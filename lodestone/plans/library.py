@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import access as A
+from lodestone.operators import gram_index as GI
 from lodestone.operators import graph as G
 from lodestone.operators import incremental as I
 from lodestone.operators import retrieval as R
@@ -138,7 +139,8 @@ _DOC = "SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path, CASE WHEN
 @query(f"SELECT page_id FROM ({_DOC}) WHERE contains(lower(path), 'blog') OR contains(lower(coalesce(title, '')), 'blog')")
 def doc_search_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"), F.when(F.col("page_id") % 5 > 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
-    return S.documents(docs, "Blog").select("page_id")
+    names = docs.select("page_id", F.concat_ws(" ", "path", "title").alias("names"))
+    return GI.holding(GI.gram_index(names, "page_id", "names"), docs, "Blog", "page_id", "path", "title").select("page_id")
 
 
 @query("SELECT c_custkey AS id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE (contains(lower(c_name), '7') OR contains(lower(n_name), '7') OR contains(lower(c_mktsegment), '7')) AND c_mktsegment = 'BUILDING'")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import gram_index as GI
 from lodestone.operators import hybrid as H
 from lodestone.operators import pages as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import routing
+from lodestone.operators import token_index as TI
+from lodestone.operators import vector_index as VI
 from lodestone.plans.tables import table
 from lodestone.sources.shared import stored
 
@@ -33,6 +36,11 @@ _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: list_transform(range(1, len(w)::BIGINT + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
+def _words(spark, sf_dir, english: bool = False) -> TI.TokenIndex:
+    """The index of all documents' words, built by the first query that needs it."""
+    return TI.token_index(table(spark, sf_dir, "documents"), "doc_id", english=english)
+
+
 def _probe(spark, sf_dir) -> list[float]:
     return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
 
@@ -51,13 +59,12 @@ def vector_knn_filtered(spark, sf_dir):
 
 @query(f"SELECT doc_id, round(n * 0.1, 6) AS score FROM (SELECT doc_id, len(list_filter({_TOKENS}, lambda t: t = 'idiot')) AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20")
 def lexical_simple_single(spark, sf_dir):
-    return R.lexical_stream(table(spark, sf_dir, "documents"), "Idiot", 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return TI.search(_words(spark, sf_dir), "Idiot", 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, len(list_filter(t, lambda x: x IN ('the', 'license')))::BIGINT AS n FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'license')")
 def lexical_simple_and(spark, sf_dir):
-    words = R.lexemes("the license")
-    return table(spark, sf_dir, "documents").where(R.matches_all(F.col("text"), words)).select("doc_id", R.occurrences(F.col("text"), words).alias("n"))
+    return TI.holding(_words(spark, sf_dir), "the license").select(F.col("id").alias("doc_id"), "n")
 
 
 #: Covers of two words: neighbouring positions of different words (positions from 1, weight 0.1).
@@ -69,8 +76,7 @@ _COVER = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), m AS (SEL
 
 @query(_COVER)
 def lexical_cover_density(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scored = R.lexical_stream(docs, "the license", None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    scored = TI.search(_words(spark, sf_dir), "the license", None).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -79,14 +85,14 @@ def lexical_cover_density(spark, sf_dir):
     UNION ALL SELECT doc_id, 0.01 FROM d WHERE NOT list_contains(t, 'moron') AND contains(lower(text), 'moron'))
     SELECT doc_id, round(s, 6) AS score FROM h ORDER BY s DESC, doc_id LIMIT 30""")
 def lexical_ilike_fallback(spark, sf_dir):
-    return R.with_substring_fallback(table(spark, sf_dir, "documents"), "moron", 30).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return TI.with_substring_fallback(_words(spark, sf_dir), table(spark, sf_dir, "documents"), "moron", 30).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey, {_GRAMS.format('p_name')} AS g, {_GRAMS.format("'red widget'")} AS q FROM part),
     s AS (SELECT p_partkey, len(list_intersect(g, q)) * 1.0 / (len(g) + len(q) - len(list_intersect(g, q))) AS s FROM p)
     SELECT p_partkey, round(s::DOUBLE, 6) AS score FROM s WHERE s >= 0.3 ORDER BY s DESC, p_partkey LIMIT 50""")
 def symbol_trigram(spark, sf_dir):
-    hits = R.symbol_stream(table(spark, sf_dir, "part"), "red widget", 50, "p_partkey", "p_name")
+    hits = GI.similar(GI.gram_index(table(spark, sf_dir, "part"), "p_partkey", "p_name"), "red widget", 50)
     return hits.select(F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
@@ -107,20 +113,20 @@ def _best(fused, limit: int):
 
 @query(_fused_sql({"vector": _NEAR.replace("e.vec_id,", "e.vec_id AS id,"), "lexical": _LEX.format("the")}, 60, 300, 25))
 def rrf_two_way(spark, sf_dir):
-    streams = {"vector": R.vector_stream(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 300), "lexical": R.lexical_stream(table(spark, sf_dir, "documents"), "the", 300)}
+    streams = {"vector": R.vector_stream(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 300), "lexical": TI.search(_words(spark, sf_dir), "the", 300)}
     return _best(R.fuse(streams), 25)
 
 
 @query(_fused_sql({"a": _LEX.format("the"), "b": _LEX.format("license"), "c": _LEX.format("of")}, 60, 300, 25))
 def rrf_three_way(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return _best(R.fuse({n: R.lexical_stream(docs, w, 300) for n, w in (("a", "the"), ("b", "license"), ("c", "of"))}), 25)
+    words = _words(spark, sf_dir)
+    return _best(R.fuse({n: TI.search(words, w, 300) for n, w in (("a", "the"), ("b", "license"), ("c", "of"))}), 25)
 
 
 @query(_fused_sql({"a": _LEX.format("the"), "b": _LEX.format("of")}, 10, 5, 25))
 def rrf_capped(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return _best(R.fuse({n: R.lexical_stream(docs, w, 300) for n, w in (("a", "the"), ("b", "of"))}, k=10, cap=5), 25)
+    words = _words(spark, sf_dir)
+    return _best(R.fuse({n: TI.search(words, w, 300) for n, w in (("a", "the"), ("b", "of"))}, k=10, cap=5), 25)
 
 
 _TITLE = "split_part(text, chr(10), 1)"
@@ -136,25 +142,24 @@ _HYBRID = _fused_sql(
 def hybrid_search(spark, sf_dir):
     """Vectors, words and fuzzy titles (first lines) of documents, fused, with the head of each hit.
 
-    One scan of the documents scores words and titles; each stream is cut where it is read.
+    Words and titles come from their indexes; only the texts of the hits are read.
     """
     docs = table(spark, sf_dir, "documents")
-    words = R.lexemes("license")
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
-    scores = F.array(
-        F.struct(F.lit("lexical").alias("stream"), (R.occurrences(F.col("text"), words) * R.WEIGHTS["D"]).alias("score")),
-        F.struct(F.lit("symbol").alias("stream"), T.similarity(T.trigrams(title), T.trigrams(F.lit("license"))).cast("double").alias("score")),
-    )
-    scored = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(scores).alias("s")).select("s.stream", "id", "s.score").where("score >= 0.05")
-    near = R.vector_stream(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 300).select(F.lit("vector").alias("stream"), F.col("id").cast("long").alias("id"), "score")
-    best = stored(_best(R.fuse_scored(scored.unionByName(near), ("vector", "lexical", "symbol")), 10), "hybrid-hits")  # ten rows, read twice below
-    heads = docs.select(F.col("doc_id").cast("string").alias("id"), "text").join(F.broadcast(best.select("id")), "id", "left_semi")
-    return best.join(heads.select("id", F.substring(T.collapse(F.col("text")), 1, 80).alias("head")), "id", "left")
+    titles = docs.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    streams = {
+        "vector": R.vector_stream(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 300),
+        "lexical": TI.search(_words(spark, sf_dir), "license", 300),
+        "symbol": GI.similar(GI.gram_index(titles, "doc_id", "title"), "license", 300, 0.05),
+    }
+    best = stored(_best(R.fuse(streams), 10), "hybrid-hits")  # ten rows, read twice below
+    ids = [int(r[0]) for r in best.select("id").collect()]
+    heads = docs.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("string").alias("id"), F.substring(T.collapse(F.col("text")), 1, 80).alias("head"))
+    return best.join(heads, "id", "left")
 
 
 @query(f"SELECT (count(*) >= 50 AND coalesce(max((rank <= 3 AND lower(name) = 'the')::INT), 0) = 0) AS wanted FROM (SELECT row_number() OVER (ORDER BY s DESC, id) AS rank, split_part(id::VARCHAR, '.', -1) AS name FROM ({_LEX.format('the')}) QUALIFY rank <= 300)")
 def rerank_gate(spark, sf_dir):
-    hits = R.ranked(R.lexical_stream(table(spark, sf_dir, "documents"), "the", 300)).select("rank", F.col("id").cast("string").alias("name"))
+    hits = R.ranked(TI.search(_words(spark, sf_dir), "the", 300)).select("rank", F.col("id").cast("string").alias("name"))
     return R.rerank_wanted(hits, "the")
 
 
@@ -223,13 +228,81 @@ def domain_rerank(spark, sf_dir):
     return out.select("id", F.round("reranked", 6).alias("reranked"))
 
 
+@query(f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token")
+def index_tokens(spark, sf_dir):
+    """Every token of the documents with its document and occurrence counts, from the index alone."""
+    return TI.lexicon(_words(spark, sf_dir))
+
+
+#: Covers of two words over a title (weight 1) and a text (0.1) laid end to end.
+_FIELDS = f"""WITH d AS (SELECT doc_id, list_concat(list_transform(regexp_extract_all(lower(source || ' ' || split_part(text, chr(10), 1)), '[a-z0-9]+'), lambda x: {{'w': x, 'f': 1.0}}),
+        list_transform({_TOKENS}, lambda x: {{'w': x, 'f': 0.1}})) AS t FROM documents),
+    p AS (SELECT doc_id, unnest(list_filter(list_transform(t, lambda x, i: {{'pos': i, 'w': x.w, 'f': x.f}}), lambda x: x.w IN ('the', 'license')), recursive := true) FROM d),
+    n AS (SELECT *, lead(pos) OVER o AS next_pos, lead(w) OVER o AS next_w, lead(f) OVER o AS next_f FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    s AS (SELECT doc_id, round(sum(2 / (1 / f + 1 / next_f) / (1 + (next_pos - pos - 1))), 6)::DOUBLE AS score FROM n WHERE next_w <> w GROUP BY doc_id)
+    SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 40"""
+
+
+@query(_FIELDS)
+def lexical_two_fields(spark, sf_dir):
+    """Words of a title and of a text, the title's worth ten times as much."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), "text")
+    scored = TI.search(TI.token_index(docs, "doc_id", {"A": "title", "D": "text"}), "the license", None)
+    return scored.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'the license of ' || lang ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 20 <> 11 OR doc_id % 10 = 3)
+        UNION ALL SELECT doc_id + 1000000000, lang || ' license, the License' FROM documents WHERE doc_id % 10 = 4)
+    SELECT doc_id, len(list_filter(t, lambda x: x IN ('the', 'license')))::BIGINT AS n FROM (SELECT doc_id, {_TOKENS} AS t FROM c) WHERE list_contains(t, 'the') AND list_contains(t, 'license')""")
+def lexical_after_changes(spark, sf_dir):
+    """The index after two rounds of changes: texts replaced and removed, then removed and added."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.where("doc_id % 10 = 3").select("doc_id", F.concat(F.lit("the license of "), "lang").alias("text"))
+    index = TI.with_changes(_words(spark, sf_dir), first, "doc_id", removed=docs.where("doc_id % 20 = 11").select(F.col("doc_id").alias("id")))
+    second = docs.where("doc_id % 10 = 4").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat("lang", F.lit(" license, the License")).alias("text"))
+    index = TI.with_changes(index, second, "doc_id", removed=docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    return TI.holding(index, "License the").select(F.col("id").alias("doc_id"), "n")
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'mer#00000001')")
+def name_holds(spark, sf_dir):
+    """A filter by part of a name: trigrams say where to look, the names decide."""
+    rows = table(spark, sf_dir, "customer")
+    return GI.holding(GI.gram_index(rows, "c_custkey", "c_name"), rows, "mer#00000001", "c_custkey", "c_name").select("c_custkey")
+
+
+_PAIRS = """SELECT q.vec_id AS query, e.vec_id AS id, list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))) AS s
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) e JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 20 = 0) q ON e.vec_id <> q.vec_id"""
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query(f"SELECT query, rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM ({_PAIRS})) WHERE rank <= 10")
+def vector_index_exact(spark, sf_dir):
+    """The ten nearest of every twentieth vector with all lists probed: codes propose, vectors decide."""
+    out = VI.search_all(VI.vector_index(table(spark, sf_dir, "embeddings")), _asked(spark, sf_dir), 10, VI.LISTS)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS n_queries, least(10, (SELECT count(*) FROM embeddings) - 1) * count(*) AS n_wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Whether the lists that the index probes hold nine tenths of the ten nearest of every twentieth vector."""
+    index, asked = VI.vector_index(table(spark, sf_dir, "embeddings")), _asked(spark, sf_dir)
+    exact = VI.search_all(index, asked, 10, VI.LISTS).select("query", "id")
+    found = VI.search_all(index, asked, 10).select("query", "id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query", "id"], "left")
+    return both.agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_wanted"), (F.sum("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 _LICENSES = "('licens', 'license', 'licenses', 'licensed', 'licensing', 'licenser', 'licensers', 'licensable')"
 
 
 @query(f"SELECT doc_id, round(len(list_filter({_TOKENS}, lambda t: t IN {_LICENSES})) * 0.1, 6)::DOUBLE AS score FROM documents WHERE len(list_filter({_TOKENS}, lambda t: t IN {_LICENSES})) > 0 ORDER BY score DESC, doc_id LIMIT 100")
 def lexical_english(spark, sf_dir):
     """A query of another form than the texts have, with a function word."""
-    hits = R.lexical_stream_english(table(spark, sf_dir, "documents"), "the Licensing", 100)
+    hits = TI.search(_words(spark, sf_dir, english=True), "the Licensing", 100)
     return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -244,8 +317,9 @@ _STORES = f"""WITH v AS (SELECT vec_id AS id, 'd' AS store, row_number() OVER (O
 @query(_STORES)
 def hybrid_stores(spark, sf_dir):
     """Parts as code and documents as documentation, ordered together."""
-    docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "text"}, table(spark, sf_dir, "embeddings"), "vec_id")
-    parts = H.Store(table(spark, sf_dir, "part"), "p_partkey", {"A": "p_name"}, symbol="p_name")
+    rows = table(spark, sf_dir, "part")
+    docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "text"}, table(spark, sf_dir, "embeddings"), "vec_id", tokens=_words(spark, sf_dir))
+    parts = H.Store(rows, "p_partkey", {"A": "p_name"}, symbol="p_name", tokens=TI.token_index(rows, "p_partkey", {"A": "p_name"}), grams=GI.gram_index(rows, "p_partkey", "p_name"))
     return H.hybrid({"code": parts, "repo_docs": docs}, "widget", _probe(spark, sf_dir), 20).withColumn("score", F.round("score", 9))
 
 
