@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.ranges import above, cells
+
 NODE = "file_path string, qualified_name string, name string, node_type string, parent string, start_line long, end_line long, signature string, content_hash string, decorators array<string>, bases array<string>, error string"
 EDGE = "file_path string, source string, type string, target string"
 
@@ -175,12 +177,22 @@ def role(node_type: Column, name: Column, decorators: Column, bases: Column) ->
     )
 
 
-def attribution(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, first_sha, first_at, last_sha, last_at) of nodes(id, path, start_line, end_line) over
-    lines(path, line, sha, committed_at). The range is opened to lines, so the join is on equality."""
-    own = nodes.select("id", "path", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    joined = own.join(lines, ["path", "line"]).select("id", F.struct("committed_at", "sha").alias("c"))
-    out = joined.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+def attribution(nodes: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(id, first_sha, first_at, last_sha, last_at) of nodes(id, path, start_line, end_line): the oldest and newest commit that a
+    line of each comes from, by hunks(path, first, count, sha, committed_at); nodes that no hunk touches are left out.
+
+    Ranges are cut into dyadic cells. What lies in a cell, and what covers it, is summed up once for a path, so
+    nodes and hunks meet in rows that grow with their numbers, neither with lines nor with nodes x hunks.
+    """
+    commit = F.struct("committed_at", "sha")
+    own = hunks.where("count > 0").select("path", commit.alias("c"), cells(F.col("first"), F.col("first") + F.col("count") - 1).alias("cells"))
+    part = lambda rows, role, found, *more: rows.select("path", F.explode(found).alias("cell"), F.lit(role).alias("role"), *more)
+    inside = part(own, "inside", F.concat("cells", above(F.col("cells"))), "c")  # whose cell holds a hunk's
+    covers = part(own, "covers", F.col("cells"), "c")  # whose cell is a hunk's or lies in one
+    sums = inside.union(covers).groupBy("path", "cell", "role").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    asked = nodes.where("end_line >= start_line").select("id", "path", cells(F.col("start_line"), F.col("end_line")).alias("cells"))
+    asked = part(asked, "inside", F.col("cells"), "id").union(part(asked, "covers", above(F.col("cells")), "id"))
+    out = asked.join(sums, ["path", "cell", "role"]).groupBy("id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return out.select("id", F.col("a.sha").alias("first_sha"), F.col("a.committed_at").alias("first_at"), F.col("b.sha").alias("last_sha"), F.col("b.committed_at").alias("last_at"))
 
 

@@ -43,20 +43,40 @@ def orphans(rows: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(keep.select(*keys), keys, "left_anti")
 
 
+def touches(changes: DataFrame, key: str, order: str, kind: str, old_key: str, columns: list[str]) -> DataFrame:
+    """(key, order, alive, row): what changes say of single keys. Kinds A, M, D, R (old_key -> key); C counts as A, T as M. A rename
+    touches two keys: the old one is gone from then on, the new one is there."""
+    row = F.struct(*columns)
+    alive = F.col(kind).isin("A", "M", "R", "C", "T")
+    own = changes.select(F.col(key).alias("key"), F.col(order).alias("order"), alive.alias("alive"), F.when(alive, row).alias("row"))
+    left = changes.where((F.col(kind) == "R") & F.col(old_key).isNotNull()).select(F.col(old_key).alias("key"), F.col(order).alias("order"), F.lit(False).alias("alive"), F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+    return own.unionByName(left)
+
+
+def last_touches(found: DataFrame) -> DataFrame:
+    """Of each key the touch of highest order (the living one of two with the same). Any grouping or repetition of
+    touches before gives the same rows, so they may come in any order, in parts, and more than once."""
+    last = F.max_by(F.struct("order", "alive", "row"), F.struct("order", "alive"))
+    return found.groupBy("key").agg(last.alias("t")).select("key", "t.order", "t.alive", "t.row")
+
+
+def with_touches(table: DataFrame, last: DataFrame, key: str) -> DataFrame:
+    """The table after the last touch of each key."""
+    stay = table.join(last.select(F.col("key").alias(key)), key, "left_anti")
+    return stay.select(*table.columns).unionByName(last.where("alive").select("row.*").select(*table.columns))
+
+
 def apply_changes(table: DataFrame, changes: DataFrame, key: str, order: str, kind: str, old_key: str) -> DataFrame:
-    """The table after a change feed: added and modified rows of the last change of a key, deleted
-    and renamed-away keys gone. Kinds A, M, D, R (old_key -> key); C counts as A, T as M."""
-    last = changes.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-    gone = changes.where(F.col(kind) == "R").select(F.col(old_key).alias(key)).union(changes.select(key)).distinct()
-    stay = table.join(gone, key, "left_anti")
-    added = last.where(F.col(kind).isin("A", "M", "R", "C", "T")).select(*table.columns)
-    return stay.unionByName(added)
-
-
-def needs_full_walk(changes: DataFrame, root: str = "go.mod") -> DataFrame:
-    """(full): whether a change feed(path, old_path) touches the root module file, or is missing altogether (no rows)."""
-    touched = F.bool_or((F.col("path") == root) | F.coalesce(F.col("old_path") == root, F.lit(False)))
-    return changes.agg(F.coalesce(touched, F.lit(True)).alias("full"))
+    """The table after a change feed in the order of ``order``: a key is there with the row of its last change, unless that deletes it or
+    renames it away. Names may be taken again and rename chains have any length."""
+    return with_touches(table, last_touches(touches(changes, key, order, kind, old_key, table.columns)), key)
+
+
+def needs_full_walk(changes: DataFrame, root: str = "go.mod", failed: bool = False) -> DataFrame:
+    """(full): whether a change feed(path, old_path) touches the root module file. A feed without rows means that nothing changed;
+    one that couldn't be read (``failed``) asks for a full walk whatever rows it has."""
+    touched = F.bool_or(F.coalesce(F.col("path") == root, F.lit(False)) | F.coalesce(F.col("old_path") == root, F.lit(False)))
+    return changes.agg((F.coalesce(touched, F.lit(False)) | F.lit(failed)).alias("full"))
 
 
 def plan_changes(changes: DataFrame) -> DataFrame:

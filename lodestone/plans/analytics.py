@@ -12,6 +12,7 @@ from lodestone.operators import telemetry as M
 from lodestone.plans.tables import LOGS_SQL, instants, logs, table
 from lodestone.sources import files as S
 from lodestone.sources.shared import new_path
+from lodestone.streaming import changes as C
 from lodestone.streaming import usage as U
 
 QUERIES, SQL = {}, {}
@@ -307,16 +308,52 @@ def quality_upsert(spark, sf_dir):
     return I.quality_upsert(old.withColumn("q", named(3)), new.withColumn("q", named(2)), "doc_id", "h", "q").select("doc_id", "action")
 
 
-@query("""WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0), c AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'D' ELSE 'R' END AS kind, o_orderkey - 1 AS old FROM orders WHERE o_orderkey % 10 < 4),
-    gone AS (SELECT k FROM c UNION SELECT old FROM c WHERE kind = 'R') SELECT k, v FROM t WHERE k NOT IN (FROM gone) UNION ALL SELECT k, 'new' FROM c WHERE kind <> 'D'""")
+#: Changes of orders: added (1), renamed (2), renamed again (3), the first name taken again (4), the last deleted (5), renamed back onto the second (6).
+_FEED = """SELECT o_orderkey AS k, 1 AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'M' END AS kind, NULL::BIGINT AS old, 'v1' AS v FROM orders WHERE o_orderkey % 10 < 5
+    UNION ALL SELECT o_orderkey + 1000000000, 2, 'R', o_orderkey, 'v2' FROM orders WHERE o_orderkey % 10 < 4
+    UNION ALL SELECT o_orderkey + 2000000000, 3, 'R', o_orderkey + 1000000000, 'v3' FROM orders WHERE o_orderkey % 10 < 3
+    UNION ALL SELECT o_orderkey, 4, 'A', NULL, 'v4' FROM orders WHERE o_orderkey % 10 = 1
+    UNION ALL SELECT o_orderkey + 2000000000, 5, 'D', NULL, 'v5' FROM orders WHERE o_orderkey % 10 = 2 UNION ALL SELECT o_orderkey + 1000000000, 6, 'R', o_orderkey + 2000000000, 'v6' FROM orders WHERE o_orderkey % 10 = 0"""
+_APPLIED = f"""WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0), c AS ({_FEED}),
+    x AS (SELECT k, n, kind <> 'D' AS alive, v FROM c UNION ALL SELECT old, n, false, NULL FROM c WHERE kind = 'R'), l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, alive DESC) = 1)
+    SELECT k, v FROM t WHERE k NOT IN (SELECT k FROM l) UNION ALL SELECT k, v FROM l WHERE alive"""
+
+
+def _feed(spark, sf_dir):
+    """The changes, and the table that they change."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    far = lambda n: k + n * 1_000_000_000 if n else k
+    none = F.lit(None).cast("long")
+    steps = ((k % 10 < 5, 0, F.when(k % 2 == 0, "A").otherwise("M"), none), (k % 10 < 4, 1, F.lit("R"), k), (k % 10 < 3, 2, F.lit("R"), far(1)), (k % 10 == 1, 0, F.lit("A"), none), (k % 10 == 2, 2, F.lit("D"), none), (k % 10 == 0, 1, F.lit("R"), far(2)))
+    feed = None
+    for n, (some, new, kind, old) in enumerate(steps, 1):
+        rows = o.where(some).select(far(new).alias("k"), F.lit(n).alias("n"), kind.alias("kind"), old.alias("old"), F.lit(f"v{n}").alias("v"))
+        feed = rows if feed is None else feed.unionByName(rows)
+    return feed, o.where(k % 3 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("v"))
+
+
+@query(_APPLIED)
 def cdc_apply(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    base = o.where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    kind = F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    feed = o.where("o_orderkey % 10 < 4").select(F.col("o_orderkey").alias("k"), kind.alias("kind"), (F.col("o_orderkey") - 1).alias("old"), F.lit("new").alias("v"), F.lit(1).alias("n"))
+    """Rename chains, names taken again and deletions in one feed."""
+    feed, base = _feed(spark, sf_dir)
     return I.apply_changes(base, feed, "k", "n", "kind", "old")
 
 
+@query(_APPLIED)
+def cdc_stream(spark, sf_dir):
+    """The feed as a stream of several micro-batches in an order that isn't the changes' own, with a batch that is played twice and a compaction between."""
+    feed, base = _feed(spark, sf_dir)
+    source, path, state = (new_path(spark, f"feed-{n}") for n in ("in", "parts", "state"))
+    feed.repartition(5, F.pmod(F.xxhash64("k", "n"), F.lit(5))).write.parquet(source)
+    write = C.writer(path, "k", "n", "kind", "old", ["k", "v"])
+    stream = U.read_stream(spark, source, maxFilesPerTrigger=1)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    write(spark.read.parquet(source).limit(0), 5)  # nothing more came
+    C.compact(spark, path)
+    write(feed.where("n = 2"), 1)  # played again after its part was folded
+    return C.current(spark, path, base, "k")
+
+
 @query("SELECT page, streak FROM (SELECT user_id AS page, count(*) FILTER (event_type = 'click' AND ts > coalesce(last, TIMESTAMP '1970-01-01')) AS streak FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY 1)")
 def edit_streaks(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "purchase", "write")
@@ -425,19 +462,32 @@ def dedup_ttl(spark, sf_dir):
     return U.first_seen(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours")
 
 
-@query("SELECT DISTINCT user_id FROM events")
+#: What a watermark three days behind the newest row has passed.
+_PASSED = "epoch_ms({0}) <= epoch_ms((SELECT max(ts) FROM events)) - 3 * 86400000"
+
+
+def _disordered(spark, sf_dir):
+    """The events as a stream of six files, a file at a time, each with rows up to two days older than those before it."""
+    source = new_path(spark, "events-in")
+    shifted = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
+    events = table(spark, sf_dir, "events").withColumn("s", shifted)
+    low, high = events.agg(F.min("s"), F.max("s")).first()
+    part = F.least(F.lit(5), F.floor((F.col("s") - low) * 6 / (high - low + 1))).cast("int")
+    for k in range(6):  # one after the other, so that the files are read in this order
+        events.where(part == k).drop("s").coalesce(1).write.mode("append").parquet(source)
+    return U.read_stream(spark, source, maxFilesPerTrigger=1)
+
+
+@query(_RATE.split("SELECT user_id, count(*) AS hits")[0] + f"SELECT user_id, s AS ts FROM r WHERE {_PASSED.format('s')} GROUP BY user_id, s")
 def stream_dedup_ttl(spark, sf_dir):
-    """Users seen by a stream that keeps a key for 60 days, which all rows of the table lie within."""
-    events = instants(U.read_stream(spark, f"{sf_dir}/events.parquet"))
-    return _played(spark, U.first_seen(events, "ts", ["user_id"], "60 days").select("user_id"), "dedup")
+    """The rows that a key of six hours lets through, from a stream in disorder: those that its watermark has passed."""
+    return _played(spark, U.first_seen(_disordered(spark, sf_dir), "ts", ["user_id"], "6 hours", "3 days"), "dedup")
 
 
-@query(_RATE.split("SELECT user_id, count(*) AS hits")[0] + "SELECT user_id, count(*) AS hits, count_if(hit <= 2)::BIGINT AS allowed FROM r GROUP BY user_id")
+@query(_RATE.split("SELECT user_id, count(*) AS hits")[0] + f"SELECT user_id, ts AS at, s AS window_start, hit::BIGINT AS hit, hit <= 2 AS allowed FROM r WHERE {_PASSED.format('ts')}")
 def rate_limit_stream(spark, sf_dir):
-    """The stream's counter in state, over the whole table in one micro-batch."""
-    events = instants(U.read_stream(spark, f"{sf_dir}/events.parquet"))
-    out = _played(spark, U.rate_limited_stream(events, "user_id", "ts", 2, 6 * 3600), "rates")
-    return out.groupBy("user_id").agg(F.count("*").alias("hits"), F.count_if("allowed").alias("allowed"))
+    """Every hit of a stream in disorder, counted in the order of time."""
+    return _played(spark, U.rate_limited_stream(_disordered(spark, sf_dir), "user_id", "ts", 2, 6 * 3600, "3 days"), "rates")
 
 
 @query("SELECT id FROM (SELECT o_orderkey AS id, o_orderdate AS t, o_orderstatus AS s FROM orders) WHERE s = 'O' AND t < TIMESTAMP '1998-01-01' - INTERVAL 15 MINUTE AND id % 3 <> 0")

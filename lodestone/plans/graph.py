@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodestone.operators import extract
 from lodestone.operators import graph as G
@@ -151,9 +152,14 @@ def cluster_fanin_containment(spark, sf_dir):
     return G.cluster_links(calls(spark, sf_dir), members).withColumn("containment", F.round("containment", 9))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS path, l_linenumber AS line, l_partkey AS sha, l_shipdate AS t FROM lineitem), n AS (SELECT o_orderkey AS path, 1 AS a, 3 AS b FROM orders)
-    SELECT path, arg_min(sha, ROW(t, sha)) AS first_sha, arg_max(sha, ROW(t, sha)) AS last_sha, strftime(max(t), '%Y-%m-%d') AS last_day FROM n JOIN l USING (path) WHERE line BETWEEN a AND b GROUP BY path""")
+@query("""WITH l AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_partkey AS sha, l_shipdate AS t FROM lineitem),
+    h AS (SELECT path, sha, t, (i - 1) * 40 + 1 AS a, (i - 1) * 40 + 5 + i * 5 AS b FROM l), n AS (SELECT o_orderkey AS path, o_orderkey % 97 + 1 AS a, o_orderkey % 97 + 1 + o_orderkey % 150 AS b FROM orders)
+    SELECT path, arg_min(sha, ROW(t, sha)) AS first_sha, arg_max(sha, ROW(t, sha)) AS last_sha, strftime(max(t), '%Y-%m-%d') AS last_day FROM n JOIN h USING (path) WHERE h.a <= n.b AND n.a <= h.b GROUP BY path""")
 def range_join_blame(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("sha"), F.col("l_shipdate").alias("committed_at"))
-    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("path"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
-    return extract.attribution(nodes, lines).select(F.col("id").alias("path"), "first_sha", "last_sha", F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))
+    """Nodes of up to 150 lines against hunks of 10 to 40 lines with gaps between them."""
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("i", place)
+    hunks = rows.select(F.col("l_orderkey").alias("path"), ((F.col("i") - 1) * 40 + 1).alias("first"), (5 + F.col("i") * 5).alias("count"), F.col("l_partkey").alias("sha"), F.col("l_shipdate").alias("committed_at"))
+    start = F.col("o_orderkey") % 97 + 1
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("path"), start.alias("start_line"), (start + F.col("o_orderkey") % 150).alias("end_line"))
+    return extract.attribution(nodes, hunks).select(F.col("id").alias("path"), "first_sha", "last_sha", F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))

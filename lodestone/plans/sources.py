@@ -332,13 +332,14 @@ def change_steps(spark, sf_dir):
     return I.plan_changes(feed)
 
 
-@query("SELECT 'plain' AS feed, false AS full UNION ALL SELECT 'module', true UNION ALL SELECT 'none', true")
+@query("SELECT 'plain' AS feed, false AS full UNION ALL SELECT 'module', true UNION ALL SELECT 'none', false UNION ALL SELECT 'failed', true")
 def full_walks(spark, sf_dir):
+    """A feed that doesn't touch the module file, one that does, one without changes, and one that couldn't be read."""
     feed = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("old_path"))
     module = feed.unionByName(feed.limit(1).select("path", F.lit("go.mod").alias("old_path")))
     out = None
-    for name, rows in (("plain", feed), ("module", module), ("none", feed.where(F.lit(False)))):
-        one = I.needs_full_walk(rows).select(F.lit(name).alias("feed"), "full")
+    for name, rows, failed in (("plain", feed, False), ("module", module, False), ("none", feed.where(F.lit(False)), False), ("failed", feed.where(F.lit(False)), True)):
+        one = I.needs_full_walk(rows, failed=failed).select(F.lit(name).alias("feed"), "full")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -7,14 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-CHUNK = 100_000  # rows of one key that are given out at once
+from lodestone.streaming.ordered import in_order
 
 
 def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -41,17 +38,19 @@ def sessions(events: DataFrame, at: str, gap: str, key: str, late: str = "1 day"
     return out.select(key, F.col("w.start").alias("first"), F.col("w.end").alias("last"), "n")
 
 
-def first_seen(events: DataFrame, at: str, keys: list[str], ttl: str = "24 hours") -> DataFrame:
+def first_seen(events: DataFrame, at: str, keys: list[str], ttl: str = "24 hours", late: str = "1 day") -> DataFrame:
     """Rows whose key wasn't taken at their time: a row that is taken holds its key for the time to live, and
     the next row after that is taken again.
 
-    Batches are hashed by key, sorted by time and passed once, so a key of many rows needs no more memory than another.
-    Rows of a null key are one key; columns beside keys and time are dropped in both forms.
+    Batches are hashed by key, sorted by time and passed once, so a key of many rows needs no more memory than another. A stream
+    gives the same rows, each once the watermark (``late`` behind the newest row) has passed it, in whatever order they come.
+    Rows of a null key are one key, those without a time are left out; columns beside keys and time are dropped in both forms.
     """
     rows = events.select(*keys, at)
-    if events.isStreaming:
-        return rows.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
     seconds = events.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP'2000-01-01' + INTERVAL {ttl}) - unix_micros(TIMESTAMP'2000-01-01')").first()[0]
+    if events.isStreaming:
+        take = lambda state, t: ((t + seconds, 0), (t,)) if state is None or t >= state[0] else (state, None)
+        return in_order(rows, keys, at, late, "t long", take, lambda state: state[0]).select(*keys, F.timestamp_micros("t").alias(at))
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, free = None, 0
@@ -96,27 +95,15 @@ def rate_limited(events: DataFrame, key: str, at: str, limit: int, seconds: int)
 
 
 def rate_limited_stream(events: DataFrame, key: str, at: str, limit: int, seconds: int, late: str = "1 minute") -> DataFrame:
-    """The same on a stream, with a counter and a window start in state for each key."""
-
-    def count(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (0, 0)
-        times = np.sort(np.concatenate([b["t"].to_numpy() for b in batches]))  # eight bytes a hit of the micro-batch
-        for low in range(0, len(times), CHUNK):
-            out = []
-            for t in times[low : low + CHUNK].tolist():
-                start, n = (t, 1) if n == 0 or t >= start + seconds * 1_000_000 else (start, n + 1)
-                out.append((k[0], t, start, n, n <= limit))
-            yield pd.DataFrame(out, columns=["key", "t", "s", "hit", "allowed"])
-        state.update((start, n))
-        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+    """The same on a stream: a hit is counted once the watermark, ``late`` behind the newest hit, has passed it."""
+    width = seconds * 1_000_000
 
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.withWatermark(at, late).select(F.col(key).alias("key"), F.unix_micros(at).alias("t"), at)
-    found = rows.groupBy("key").applyInPandasWithState(count, f"key {kind}, t long, s long, hit long, allowed boolean", "s long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select(F.col("key").alias(key), F.timestamp_micros("t").alias("at"), F.timestamp_micros("s").alias("window_start"), "hit", "allowed")
+    def count(state: tuple[int, int] | None, t: int) -> tuple[tuple[int, int], tuple]:
+        start, n = (t, 1) if state is None or t >= state[0] + width else (state[0], state[1] + 1)
+        return (start, n), (t, start, n, n <= limit)
+
+    found = in_order(events.where(F.col(key).isNotNull()), [key], at, late, "t long, s long, hit long, allowed boolean", count, lambda state: state[0] + width)
+    return found.select(key, F.timestamp_micros("t").alias("at"), F.timestamp_micros("s").alias("window_start"), "hit", "allowed")
 
 
 def stale_runs(runs: DataFrame, live: DataFrame, now: Column, minutes: int = 15) -> DataFrame:

@@ -105,12 +105,44 @@ def test_tree_scan(spark, tmp_path):
 def test_attribution_by_blame(spark):
     from lodestone.operators import extract
 
-    hunks = spark.createDataFrame([("f", 1, 2, "a", 100), ("f", 3, 1, "b", 50), ("f", 4, 2, "c", 100), ("f", 9, 0, "z", 1)], "path string, first int, count int, sha string, committed_epoch long")
+    hunks = spark.createDataFrame([("f", 1, 2, "a", 100), ("f", 3, 1, "b", 50), ("f", 4, 2, "c", 100), ("f", 9, 0, "z", 1)], "path string, first int, count int, sha string, committed_at long")
     nodes = spark.createDataFrame([("n", "f", 2, 4), ("m", "f", 8, 9)], "id string, path string, start_line int, end_line int")
-    (r,) = extract.attribution(nodes, files.blame_lines(hunks)).collect()
+    (r,) = extract.attribution(nodes, hunks).collect()
     assert (r["id"], r["first_sha"], r["last_sha"]) == ("n", "b", "c")
 
 
+def test_attribution_of_random_ranges(spark):
+    """Against every line, with ranges longer than the largest cell."""
+    from lodestone.operators import extract
+
+    draw = random.Random(9)
+    at, hunks = 1, []
+    for k in range(120):
+        at += draw.choice([0, 0, 1, 7])
+        n = draw.choice([1, 2, 3, 10, 100, 40_000 if k % 40 == 7 else 5])
+        hunks.append((f"f{k % 2}", at, n, f"s{draw.randint(0, 50):02}", draw.randint(0, 9)))
+        at += n
+    nodes = [(k, f"f{draw.randint(0, 2)}", a := draw.randint(1, at), a + draw.choice([-1, 0, 1, 5, 60, 1000, 70_000])) for k in range(150)]
+    got = {r["id"]: (r["first_sha"], r["first_at"], r["last_sha"], r["last_at"]) for r in extract.attribution(spark.createDataFrame(nodes, "id int, path string, start_line int, end_line int"), spark.createDataFrame(hunks, "path string, first int, count int, sha string, committed_at int")).collect()}
+    want = {}
+    for k, path, a, b in nodes:
+        met = [(t, s) for p, first, n, s, t in hunks if p == path and first <= b and a <= first + n - 1 and a <= b]
+        if met:
+            want[k] = (min(met)[1], min(met)[0], max(met)[1], max(met)[0])
+    assert got == want
+
+
+def test_cells_make_up_their_range(spark):
+    from lodestone.functions.ranges import TOP, above, cells
+
+    pairs = [(a, b) for a in (0, 1, 5, 7, 16383, 16384, 40000) for b in (a - 1, a, a + 1, a + 30, a + 16384, a + 50001)]
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("c", cells(F.col("a"), F.col("b"))).withColumn("u", above(F.col("c")))
+    for r in df.collect():
+        numbers = sorted(x for level, i in r["c"] for x in range(i << level, (i + 1) << level))
+        assert numbers == list(range(r["a"], r["b"] + 1)) and sum(level < TOP for level, _ in r["c"]) <= 2 * TOP
+        assert {tuple(u) for u in r["u"]} == {(k, i >> (k - level)) for level, i in r["c"] for k in range(level + 1, TOP + 1)}
+
+
 def replay(times, limit, seconds):
     start, n, out = None, 0, []
     for t in sorted(times):
@@ -121,7 +153,7 @@ def replay(times, limit, seconds):
     return out
 
 
-def test_rate_limit_batch_and_stream(spark, tmp_path):
+def test_rate_limit_batch(spark):
     draw = random.Random(5)
     base = dt.datetime(2024, 1, 1)
     events = [(k % 3, base + dt.timedelta(seconds=draw.randint(0, 4000))) for k in range(90)]
@@ -129,10 +161,6 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     expected = sorted((u, *x) for u in range(3) for x in replay([t for v, t in events if v == u], 4, 600))
     got = sorted((r["u"], r["at"], r["window_start"], r["hit"], r["allowed"]) for r in usage.rate_limited(df, "u", "ts", 4, 600).collect())
     assert [x[:4] for x in got] == [x[:4] for x in expected]
-    df.coalesce(1).write.parquet(f"file://{tmp_path}/in/t.parquet")
-    stream = usage.rate_limited_stream(usage.read_stream(spark, f"file://{tmp_path}/in/t.parquet"), "u", "ts", 4, 600, "2 hours")
-    stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r["u"], r["hit"], r["allowed"]) for r in spark.table("limited").collect()) == sorted((x[0], x[3], x[4]) for x in expected)
 
 
 @pytest.mark.parametrize(("kind", "now", "due"), [("hourly", "2024-03-05 10:30:00", "2024-03-05 11:00:00"), ("daily", "2024-03-05 06:00:00", "2024-03-06 06:00:00"), ("daily", "2024-03-05 05:59:00", "2024-03-05 06:00:00"), ("weekly", "2024-03-04 05:00:00", "2024-03-04 06:00:00"), ("weekly", "2024-03-05 05:00:00", "2024-03-11 06:00:00"), ("manual", "2024-03-05 05:00:00", None)])
