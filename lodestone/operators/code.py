@@ -1,8 +1,9 @@
-"""Go, TypeScript and JavaScript to nodes and edges, by declarations and braces.
+"""Go, TypeScript and JavaScript to nodes and edges.
 
-No grammar is parsed: comments and strings are blanked out, declarations are found by pattern, and what
-lies between a declaration's braces belongs to it. Calls of nested functions belong to the symbol around them.
-Edges have the form of the Python ones, with targets as they are written; ``graph.canonical_calls`` reads them.
+A file is cut into tokens once, brackets are paired, and declarations are read where they may stand: at the top, in type groups,
+and in the bodies of classes, interfaces and structs. What a function's body declares gives no node, and its calls belong to the
+function; in Go, calls inside function literals belong to nobody. Every step goes over the tokens once, so a file takes time in
+proportion to its length. Edges have the form of the Python ones, with targets as they are written; ``graph.canonical_calls`` reads them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,165 +19,644 @@ from pyspark.sql import DataFrame
 
 from lodestone.operators.extract import EDGE, NODE
 
-_HIDDEN = {
-    "go": re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
-    "typescript": re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
+EXPORT = "file_path string, qualified_name string, is_default boolean"
+
+_TEXT = r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?"
+_SPACE = r"(?P<space>[ \t\r\f\v\ufeff]+|//[^\n]*)|(?P<line>\n)|(?P<block>/\*.*?(?:\*/|\Z))"
+_LEX = {
+    "go": re.compile(_SPACE + rf"|(?P<text>`[^`]*(?:`|\Z)|{_TEXT})|(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<mark>:=|\.\.\.|<-|\+\+|--|.)", re.S),
+    "typescript": re.compile(_SPACE + rf"|(?P<text>{_TEXT})|(?P<name>#?[^\W\d][\w$]*|[$][\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>=>|\?\.(?!\d)|\.\.\.|\+\+|--|&&|\|\||\?\?|.)", re.S),
 }
-_CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*(?:<[\w\s,.\[\]]*>)?\(")
-# Words that stand before a bracket and call nothing.
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
+# Words of the languages that stand before a bracket and call nothing, and after which a slash begins a pattern.
 _NO_CALL = {
-    "go": set("if for switch select func return go defer range case map chan struct interface type var const make new len cap append copy delete panic recover print println close import".split()),
-    "typescript": set("if for while switch catch function return typeof new await super import require constructor else do throw void delete in of instanceof async".split()),
+    "go": {"if", "for", "switch", "select", "func", "return", "go", "defer", "range", "case", "map", "chan", "struct", "interface", "type", "var", "const", "make", "new", "len", "cap", "append", "copy", "delete", "panic", "recover", "print", "println", "close", "import"},
+    "typescript": {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "new", "await", "super", "import", "require", "constructor", "else", "do", "throw", "void", "delete", "in", "of", "instanceof", "async", "with", "yield", "case"},
 }
-_GO_FUNC = re.compile(r"^func\s+(?:\(\s*(?:(\w+)\s+)?\*?\s*(\w+)(?:\[[^\]]*\])?\s*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(", re.M)
-_GO_TYPE = re.compile(r"^(?:type\s+|\t)(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\s*\{", re.M)
-_GO_IMPORT = re.compile(r"^import\s+(?:([\w.]+)\s+)?\"([^\"]+)\"|^import\s*\((.*?)^\)", re.M | re.S)
-_TS_TYPE = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:const\s+)?(class|interface|enum)\s+([A-Za-z_$][\w$]*)([^{;]*)\{", re.M)
-_TS_FUNC = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\(|^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=\n]+)?=>|[A-Za-z_$][\w$]*\s*=>)", re.M)
-_TS_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\(", re.M)
-_TS_BODY = re.compile(r"\s*(?::[^;{=]+)?\{")
-_TS_ALIAS = re.compile(r"^(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\b[^=\n]*=", re.M)
-_TS_FROM = re.compile(r"^(import|export)\s+(?:type\s+)?([^;'\"]*?)\s*from\s*['\"]([^'\"]+)['\"]|^import\s+['\"]([^'\"]+)['\"]|(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*require\(\s*['\"]([^'\"]+)['\"]", re.M)
-
-
-def _blanked(code: str, language: str) -> str:
-    """code with comments and strings as blanks, so that positions and lines stay."""
-    return _HIDDEN[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-
-
-def _closing(code: str, start: int) -> int:
-    """Where the braces that open at or after start are closed again."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(code, start):
-        depth += 1 if m[0] == "{" else -1
-        if depth <= 0:
-            return m.end() if depth == 0 else m.start()
-    return len(code)
+_BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "instanceof", "new", "delete", "void", "throw", "do", "else", "await", "yield"}
+_STARTS = {"import", "export", "class", "interface", "enum", "function", "type", "const", "let", "var", "declare", "abstract", "namespace", "module", "if", "for", "while", "switch", "try", "return", "throw"}
+_MODIFIERS = {"public", "private", "protected", "static", "async", "readonly", "override", "abstract", "declare", "get", "set", "accessor"}
+_GOES_ON = {".", "?.", "(", "[", "+", "-", "*", "/", "%", "=", "=>", "?", ":", "&&", "||", "??", "|", "&", ",", "<", ">", ")", "]", "}", "instanceof", "in", "of", "as", "satisfies", "extends", "implements"}
+_PAIRS = {"(": ")", "[": "]", "{": "}"}
+_AHEAD = 8
+
+
+class _Tokens:
+    """Kinds, texts and places of a code's tokens; ``fresh``: first of its line; ``pair``: the index of the bracket that closes one."""
+
+    def __init__(self, code: str, language: str):
+        self.code = code
+        self.kind: list[str] = []
+        self.text: list[str] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
+        self.fresh: list[bool] = []
+        self.pair: list[int] = []
+        self._read(language)
+        self.size = len(self.kind)
+        for _ in range(_AHEAD):  # so that a look ahead needs no check
+            self._add("end", len(code), len(code), True)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _add(self, kind: str, start: int, end: int, fresh: bool) -> None:
+        self.kind.append(kind), self.text.append(self.code[start:end]), self.start.append(start), self.end.append(end), self.fresh.append(fresh)
+        self.pair.append(len(self.pair))
+
+    def _read(self, language: str) -> None:
+        code, at, fresh, scan = self.code, 0, True, _LEX[language].match
+        script = language == "typescript"
+        opened: list[int] = []
+        templates: list[int] = []  # brackets that were open where a template's code began
+        while at < len(code):
+            c = code[at]
+            if script and c == "`" or templates and c == "}" and len(opened) == templates[-1]:
+                if c == "}":
+                    templates.pop()
+                end = _TEMPLATE.match(code, at + 1).end()
+                self._add("text", at, min(end + 1, len(code)), fresh)
+                fresh = False
+                if code[end : end + 2] == "${":
+                    templates.append(len(opened))
+                    end += 1
+                at = end + 1
+                continue
+            if script and c == "/" and (m := _REGEX.match(code, at)) and self._may_be_pattern():
+                self._add("text", at, m.end(), fresh)
+                at, fresh = m.end(), False
+                continue
+            m = scan(code, at)
+            at, kind = m.end(), m.lastgroup
+            if kind == "line" or kind == "block" and "\n" in m[0]:
+                fresh = True
+            elif kind not in ("space", "block"):
+                self._add(kind, m.start(), at, fresh)
+                fresh = False
+                if c in _PAIRS:
+                    opened.append(len(self.kind) - 1)
+                elif c in ")]}" and opened and _PAIRS[self.text[opened[-1]]] == c:
+                    self.pair[opened.pop()] = len(self.kind) - 1
+                elif c in "]}" and any(_PAIRS[self.text[o]] == c for o in opened[-8:]):  # a bracket that was left open
+                    while _PAIRS[self.text[opened[-1]]] != c:
+                        self.pair[opened.pop()] = len(self.kind) - 1
+                    self.pair[opened.pop()] = len(self.kind) - 1
+        for o in opened:
+            self.pair[o] = len(self.kind)
+
+    def _may_be_pattern(self) -> bool:
+        if not self.kind:
+            return True
+        kind, text = self.kind[-1], self.text[-1]
+        return text in _BEFORE_PATTERN if kind == "name" else kind == "mark" and text not in (")", "]", "}")
+
+    def after(self, i: int) -> int:
+        """The token behind a bracket's partner, or behind a token that is none."""
+        return min(self.pair[i] + 1, len(self)) if self.text[i] in _PAIRS and self.kind[i] == "mark" else i + 1
+
+    def angles(self, i: int) -> int:
+        """Behind the > that closes the < at i, or i itself if that is none."""
+        if self.text[i] != "<":
+            return i
+        depth, k = 0, i
+        while k < len(self) and k < i + 400:
+            t = self.text[k]
+            depth += (t == "<") - (t == ">")
+            if not depth:
+                return k + 1
+            if t == ";":
+                break
+            k = self.after(k)
+        return i
+
+    def is_name(self, i: int) -> bool:
+        return self.kind[i] == "name"
+
+    def line_end(self, i: int, end: int) -> int:
+        """Where a line of Go that begins at i ends: behind its last token."""
+        k = i
+        while k < end:
+            k = self.after(k)
+            if k >= end or self.text[k] == ";" or self.fresh[k] and (self.kind[k - 1] != "mark" or self.text[k - 1] in (")", "]", "}", "++", "--")):
+                return k
+        return end
+
+    def statement_end(self, i: int, end: int) -> int:
+        """Where a statement ends without its semicolon, by the rule that a line's end ends it if nothing goes on."""
+        k = i
+        while k < end:
+            if self.text[k] == ";" and self.kind[k] == "mark":
+                return k
+            if k > i and self.fresh[k] and self.text[k] not in _GOES_ON and (self.kind[k - 1] == "text" or self.text[k - 1] not in _GOES_ON - {")", "]", "}", ">"}):
+                return k
+            k = self.after(k)
+        return end
 
 
 class _File:
     def __init__(self, path: str, code: str, language: str, module: str):
-        self.path, self.code, self.text, self.module, self.language = path, code, _blanked(code, language), module, language
+        self.path, self.code, self.module, self.language = path, code, module, language
+        self.tokens = _Tokens(code, language)
+        self.lines = [m.start() for m in re.finditer("\n", code)]
         self.nodes: list[tuple] = []
         self.edges: list[tuple] = []
-        self.spans: list[tuple[int, int, str]] = []
-        self.heads: set[int] = set()  # where names of declarations stand, which look like calls
-        self.silent: list[tuple[int, int]] = []  # interfaces, which call nothing
-        self.add(module, re.sub(r"#module$", "", module).rpartition(".")[2], "module", None, 0, len(code))
-
-    def add(self, name: str, short: str, kind: str, parent: str | None, start: int, end: int, bases: tuple[str, ...] = ()):
-        body = self.code[start:end]
-        first, last = self.code.count("\n", 0, start) + 1, self.code.count("\n", 0, max(start, end - 1)) + 1
-        signature = None if kind == "module" else " ".join(body.split("{")[0].split())[:400]
-        self.nodes.append((self.path, name, short, kind, parent, first, last, signature, hashlib.sha256(body.encode()).hexdigest(), [], list(bases), None))
+        self.exported: dict[str, bool] = {}  # qualified name -> whether by default
+        self.add(module, re.sub(r"#module$", "", module).rpartition(".")[2], "module", None, 0, len(self.tokens))
+
+    def add(self, name: str, short: str, kind: str, parent: str | None, first: int, end: int, head: int | None = None, bases: tuple[str, ...] = (), decorators: tuple[str, ...] = ()):
+        """A node of the tokens first to end; head: where its signature ends."""
+        t = self.tokens
+        start, stop = (0, len(self.code)) if kind == "module" else (t.start[first], t.end[max(first, end - 1)])
+        body = self.code[start:stop]
+        line = lambda at: bisect_right(self.lines, at - 1) + 1
+        signature = None if kind == "module" else " ".join(self.code[start : t.end[max(first, (end if head is None else head) - 1)]].split())[:400]
+        self.nodes.append((self.path, name, short, kind, parent, line(start), line(max(start, stop - 1)), signature, hashlib.sha256(body.encode("utf-8", "replace")).hexdigest(), list(decorators), list(bases), None))
         if parent:
             self.edges.append((self.path, parent, "declares", name))
         self.edges += [(self.path, name, "inherits", b) for b in bases]
-        if kind in ("function", "method", "module"):
-            self.spans.append((start, end, name))
-        if kind == "interface":
-            self.silent.append((start, end))
 
     def imports(self, *targets: str):
         self.edges += [(self.path, self.module, "imports", t) for t in targets]
 
-    def calls(self):
-        """Each call goes to the innermost function or method around it."""
-        spans = sorted(self.spans, key=lambda s: s[1] - s[0])
-        for m in _CALL.finditer(self.text):
-            if m.start() in self.heads or m[1] in _NO_CALL[self.language] or any(a <= m.start() < b for a, b in self.silent):
+    def calls(self, owner: str, first: int, end: int):
+        """Edges for the calls among tokens: a chain of names, type arguments perhaps, and a bracket."""
+        t, k, script = self.tokens, first, self.language == "typescript"
+        while k < end:
+            if not script and t.text[k] == "func" and (body := self._literal(k, end)):
+                k = t.after(body)
+                continue
+            if not t.is_name(k):
+                k += 1
+                continue
+            before, begin = (t.text[k - 1] if k else ""), k
+            while k + 2 < end and t.text[k + 1] in (".", "?.") and t.is_name(k + 2):
+                k += 2
+            after, last = k + 1, k
+            k += 1
+            if before in (".", "?.", "function") or t.text[begin - 1 : begin] == ["*"] and t.text[begin - 2 : begin - 1] == ["function"]:
+                continue
+            if script and t.text[after] == "<":
+                after = t.angles(after)
+            elif not script and t.text[after] == "[" and self._type_arguments(after):
+                after = t.after(after)
+            made = script and before == "new"
+            if not made and (after >= end or t.text[after] != "(" or t.kind[after] != "mark"):
+                continue
+            name = "".join(t.text[begin : last + 1])
+            if name in _NO_CALL[self.language]:
+                continue
+            behind = t.after(after) if t.text[after] == "(" else after
+            if script and begin == last and not made and behind < end and t.text[behind] in ("{", "=>") and not t.fresh[behind]:
+                continue  # a method of an object, or the parameters of a function
+            self.edges.append((self.path, owner, "calls", name.replace("?.", ".")))
+
+    def _literal(self, k: int, end: int) -> int:
+        """The bracket that opens the body of the function literal of Go at k, 0 for a type."""
+        t, k = self.tokens, k + 1
+        if t.text[k] != "(":
+            return 0
+        k = t.after(k)
+        while k < end and not t.fresh[k] and t.text[k] not in (")", ",", ";", "=", ":="):
+            if t.text[k] in ("struct", "interface") and t.text[k + 1] == "{":
+                k = t.after(k + 1)
                 continue
-            owner = next(name for start, end, name in spans if start <= m.start() < end)
-            self.edges.append((self.path, owner, "calls", m[1]))
+            if t.text[k] == "{":
+                return k
+            k = t.after(k)
+        return 0
 
+    def _type_arguments(self, k: int) -> bool:
+        """Whether brackets of Go that a call's follow hold types rather than an index."""
+        t = self.tokens
+        inside = range(k + 1, t.pair[k])
+        plain = all(t.is_name(i) or t.text[i] in (".", ",", "*", "[", "]") for i in inside)
+        return plain and len(inside) > 0 and t.text[t.after(k)] == "(" and any(t.text[i] == "," or t.text[i][0].isupper() or t.text[i] in _GO_BASIC for i in inside)
 
-def parse_go(path: str, code: str) -> tuple[list[tuple], list[tuple]]:
-    """Symbols hang under their package (its folder, or its name at the top), methods under their receiver; ``init`` and ``_``
-    carry their file; embedded types are inherited."""
+    def result(self) -> tuple[list[tuple], list[tuple], list[tuple]]:
+        return self.nodes, list(dict.fromkeys(self.edges)), [(self.path, n, d) for n, d in self.exported.items()]
+
+
+# Go's own types.
+_GO_BASIC = {"bool", "string", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "byte", "rune", "float32", "float64", "complex64", "complex128", "any", "error"}
+
+
+def parse_go(path: str, code: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Symbols hang under their package (its folder, or its name at the top; external tests are a package of their own), methods under
+    their receiver or interface; ``init`` and ``_`` carry their file; embedded types are inherited. Upper-case names are exported."""
     folder, stem = posixpath.dirname(path), posixpath.basename(path).removesuffix(".go")
-    named = re.search(r"^package\s+(\w+)", code, re.M)
-    package = folder.replace("/", ".") or (named[1] if named else "main")
     f = _File(path, code, "go", path.removesuffix(".go").replace("/", ".") + "#module")
-    for m in _GO_IMPORT.finditer(code):
-        pairs = [(m[1], m[2])] if m[2] else re.findall(r"^\s*(?:([\w.]+)\s+)?\"([^\"]+)\"", m[3] or "", re.M)
-        f.imports(*(target.replace("/", ".") + (f" as {alias}" if alias else "") for alias, target in pairs))
-    for m in _GO_TYPE.finditer(f.text):
-        end = _closing(f.text, m.end() - 1)
-        embedded = tuple(re.findall(r"^\s*\*?((?:\w+\.)?[A-Z]\w*)\s*$", f.text[m.end() : end - 1], re.M))
-        f.add(f"{package}.{m[1]}", m[1], m[2], f.module, m.start(), end, embedded)
-    for m in _GO_FUNC.finditer(f.text):
-        end = _closing(f.text, _after_brackets(f.text, m))
-        f.heads.add(m.start(3))
-        if m[2]:
-            f.add(f"{package}.{m[2]}.{m[3]}", m[3], "method", f"{package}.{m[2]}", m.start(), end)
+    t, n = f.tokens, len(f.tokens)
+    named = next((t.text[i + 1] for i in range(n) if t.text[i] == "package" and t.is_name(i + 1)), "main")
+    package = folder.replace("/", ".") + ("_test" if named.endswith("_test") else "") if folder else named
+
+    def add(name: str, short: str, kind: str, parent: str, first: int, end: int, head: int | None = None, bases: tuple[str, ...] = ()):
+        f.add(name, short, kind, parent, first, end, head, bases)
+        if short[0].isupper():
+            f.exported[name] = False
+
+    def lines(opening: int) -> Iterator[tuple[int, int]]:
+        k, end = opening + 1, t.pair[opening]
+        while k < end:
+            if t.text[k] == ";":
+                k += 1
+                continue
+            stop = t.line_end(k, end)
+            yield k, stop
+            k = stop
+
+    def embedded(first: int, end: int) -> str | None:
+        """The type that a line of a struct or an interface embeds."""
+        k = first + (t.text[first] == "*")
+        if not t.is_name(k):
+            return None
+        last = k + 2 if t.text[k + 1] == "." and t.is_name(k + 2) else k
+        behind = t.after(last + 1) if last + 1 < end and t.text[last + 1] == "[" and t.pair[last + 1] == end - 1 else last + 1
+        if behind < end - (t.kind[end - 1] == "text"):
+            return None
+        name = "".join(t.text[k : last + 1])
+        return name if "." in name else f"{package}.{name}"
+
+    def type_spec(first: int, i: int, end: int):
+        """The type named at i; its node begins at first."""
+        name, k = t.text[i], i + 1
+        if t.text[k] == "[" and t.pair[k] > k + 2 and t.is_name(k + 1):
+            k = t.after(k)
+        qualified, kind = f"{package}.{name}", t.text[k]
+        if kind not in ("struct", "interface") or t.text[k + 1] != "{":
+            add(qualified, name, "type_alias", f.module, first, end)
+            return
+        found = [(a, b, embedded(a, b)) for a, b in lines(k + 1)]
+        add(qualified, name, kind, f.module, first, t.after(k + 1), k + 1, tuple(dict.fromkeys(e for _, _, e in found if e)))
+        for a, b, e in found if kind == "interface" else ():
+            if not e and t.is_name(a) and t.text[a + 1] == "(":
+                add(f"{qualified}.{t.text[a]}", t.text[a], "method", qualified, a, b)
+
+    i = 0
+    while i < n:
+        word = t.text[i] if t.is_name(i) and t.fresh[i] else ""
+        if word == "import":
+            group = t.text[i + 1] == "("
+            for a, b in lines(i + 1) if group else [(i + 1, t.line_end(i + 1, n))]:
+                if t.kind[b - 1] == "text":
+                    alias = "".join(t.text[a : b - 1])
+                    f.imports(t.text[b - 1].strip('"`').replace("/", ".") + (f" as {alias}" if alias else ""))
+            i = t.after(i + 1) if group else t.line_end(i + 1, n)
+        elif word == "type" and t.text[i + 1] == "(":
+            for a, b in lines(i + 1):
+                if t.is_name(a):
+                    type_spec(a, a, b)
+            i = t.after(i + 1)
+        elif word == "type" and t.is_name(i + 1):
+            end = t.line_end(i + 1, n)
+            type_spec(i, i + 1, end)
+            i = end
+        elif word == "func":
+            k, owner = i + 1, None
+            if t.text[k] == "(":
+                inside = [x for x in range(k + 1, t.pair[k]) if t.is_name(x)]
+                star = [x for x in range(k + 1, t.pair[k]) if t.text[x] == "["]
+                inside = [x for x in inside if not star or x < star[0]]
+                owner, k = (t.text[inside[-1]] if inside else None), t.after(k)
+            if not t.is_name(k):
+                i += 1
+                continue
+            name, k = t.text[k], k + 1
+            k = t.after(k) if t.text[k] == "[" else k
+            body = f._literal(k - 1, n) if t.text[k] == "(" else 0
+            end = t.after(body) if body else t.line_end(k, n)
+            head = body or end
+            qualified = f"{package}.{owner}.{name}" if owner else f"{package}.{name}" + (f"@{stem}" if name in ("init", "_") else "")
+            add(qualified, name, "method" if owner else "function", f"{package}.{owner}" if owner else f.module, i, end, head)
+            if body:
+                f.calls(qualified, body + 1, t.pair[body])
+            i = end
         else:
-            f.add(f"{package}.{m[3]}" + (f"@{stem}" if m[3] in ("init", "_") else ""), m[3], "function", f.module, m.start(), end)
-    f.calls()
-    return f.nodes, list(dict.fromkeys(f.edges))
+            i = t.after(i)
+    return f.result()
+
+
+_SUFFIX = re.compile(r"\.[cm]?[jt]sx?$")
 
 
 def _specifier(path: str, target: str) -> str:
-    """A relative module of an import as a dotted path, other names as they are."""
+    """A relative module of an import as a dotted path, a folder's index as the folder; other names with points for slashes."""
     if not target.startswith("."):
-        return target
-    return re.sub(r"\.[cm]?[jt]sx?$", "", posixpath.normpath(posixpath.join(posixpath.dirname(path), target))).replace("/", ".")
-
-
-def _imported(clause: str, target: str) -> Iterator[str]:
-    inner = re.search(r"\{([^}]*)\}", clause)
-    rest = re.sub(r"\{[^}]*\}", "", clause)
-    for part in filter(None, (x.strip() for x in rest.split(","))):
-        space = re.fullmatch(r"\*\s*(?:as\s+([\w$]+))?", part)
-        yield (target + (f" as {space[1]}" if space[1] else ".*")) if space else f"{target}.default as {part}"
-    for part in filter(None, (x.strip() for x in inner[1].split(","))) if inner else ():
-        name, _, alias = re.sub(r"^type\s+", "", part).replace(":", " as ").partition(" as ")
-        yield f"{target}.{name.strip()}" + (f" as {alias.strip()}" if alias.strip() else "")
-
-
-def parse_typescript(path: str, code: str) -> tuple[list[tuple], list[tuple]]:
-    """Also JavaScript. Symbols hang under the file's dotted path, methods under their class; re-exports count as imports."""
-    module = re.sub(r"(\.d)?\.[cm]?[jt]sx?$", "", path).replace("/", ".")
-    f = _File(path, code, "typescript", module)
-    for m in _TS_FROM.finditer(code):
-        if m[3]:
-            f.imports(*_imported(m[2], _specifier(path, m[3])))
-        elif m[4]:
-            f.imports(_specifier(path, m[4]))
+        return target.removeprefix("node:").replace("/", ".")
+    full = _SUFFIX.sub("", posixpath.normpath(posixpath.join(posixpath.dirname(path), target)))
+    return full.removesuffix("/index").replace("/", ".") if full != "index" else full
+
+
+class _Script:
+    """Reads the tokens of a TypeScript or JavaScript file."""
+
+    def __init__(self, path: str, code: str):
+        module = _SUFFIX.sub("", path)
+        module = (module.removesuffix("/index") if module != "index" else module).replace("/", ".")
+        self.f = _File(path, code, "typescript", module)
+        self.t, self.module = self.f.tokens, module
+        self.later: dict[str, bool] = {}  # local names that are exported apart from their declaration -> by default
+        self.top()
+        for n in self.f.nodes:
+            if n[4] == module and n[2] in self.later:
+                self.f.exported[n[1]] = self.later[n[2]] or self.f.exported.get(n[1], False)
+
+    def specifier(self, i: int) -> str:
+        return _specifier(self.f.path, self.t.text[i].strip("'\""))
+
+    def bound(self, opening: int) -> Iterator[tuple[str, str]]:
+        """(name, local name) of a list in braces: ``a``, ``a as b``, ``a: b``, ``type a``, ``a = 1``."""
+        t, k, end = self.t, opening + 1, self.t.pair[opening]
+        while k < end:
+            stop = k
+            while stop < end and t.text[stop] != ",":
+                stop = t.after(stop)
+            part = [x for x in t.text[k:stop]]
+            if part[:1] == ["type"] and len(part) > 1 and part[1] not in ("as", ":"):
+                part = part[1:]
+            if part and part[0] != "...":
+                yield part[0].strip("'\""), part[2].strip("'\"") if len(part) > 2 and part[1] in ("as", ":") else part[0]
+            k = stop + 1
+
+    def imported(self, first: int, end: int, target: str):
+        """Edges of what stands between ``import`` or ``export`` and ``from``."""
+        t, k = self.t, first
+        while k < end:
+            if t.text[k] == "*":
+                self.f.imports(f"{target} as {t.text[k + 2]}" if t.text[k + 1] == "as" else f"{target}.*")
+                k += 3 if t.text[k + 1] == "as" else 1
+            elif t.text[k] == "{":
+                self.f.imports(*(f"{target}.{a}" + (f" as {b}" if a != b else "") for a, b in self.bound(k)))
+                k = t.after(k)
+            else:
+                if t.is_name(k) and (t.text[k] != "type" or k + 1 == end or t.text[k + 1] == ","):
+                    self.f.imports(f"{target}.default as {t.text[k]}")
+                k += 1
+
+    def top(self):
+        t, i, n = self.t, 0, len(self.t)
+        while i < n:
+            first, decorators = i, []
+            while t.text[i] == "@" and i < n:
+                k = i + 1
+                while t.is_name(k) and t.text[k + 1] == ".":
+                    k += 2
+                k = t.after(k + 1) if t.text[k + 1] == "(" else k + 1
+                decorators.append(self.f.code[t.start[i] : t.end[k - 1]])
+                i = k
+            export = default = False
+            while t.text[i] in ("export", "default", "declare", "abstract", "async") and t.is_name(i):
+                if t.text[i] == "async" and t.text[i + 1] != "function":
+                    break
+                export, default = export or t.text[i] == "export", default or t.text[i] == "default"
+                i += 1
+                while t.text[i] == "@":
+                    k = t.after(i + 2) if t.text[i + 2] == "(" else i + 2
+                    decorators.append(self.f.code[t.start[i] : t.end[k - 1]])
+                    i = k
+            word = t.text[i] if t.is_name(i) else t.text[i] if export and t.text[i] in ("{", "*", "=") else ""
+            i = max(self.statement(first, i, word, export, default, tuple(decorators)), first + 1)
+
+    def statement(self, first: int, i: int, word: str, export: bool, default: bool, decorators: tuple[str, ...]) -> int:
+        """Read the statement whose word stands at i; gives the place behind it."""
+        t, n = self.t, len(self.t)
+        if word == "const" and t.text[i + 1] == "enum":
+            i, word = i + 1, "enum"
+        if word == "import" and t.text[i + 1] not in ("(", "."):
+            end = t.statement_end(i, n)
+            texts = [k for k in range(i + 1, end) if t.kind[k] == "text"]
+            if t.text[i + 2] == "=" and texts:  # import a = require('b')
+                self.f.imports(f"{self.specifier(texts[0])} as {t.text[i + 1]}")
+            elif texts and texts[0] == i + 1:
+                self.f.imports(self.specifier(texts[0]))
+            elif texts:
+                self.imported(i + 1, texts[0] - 1, self.specifier(texts[0]))
+            return end
+        if export and (word in ("{", "*") or word == "type" and t.text[i + 1] in ("{", "*")):
+            i += word == "type"
+            k = t.after(i) if t.text[i] == "{" else i
+            while k < n and t.text[k] != "from" and not (t.fresh[k] and k > i) and t.text[k] != ";":
+                k += 1
+            if t.text[k] == "from" and t.kind[k + 1] == "text":
+                self.imported(i, k, self.specifier(k + 1))
+                return k + 2
+            if t.text[i] == "{":
+                self.later |= {a: b == "default" for a, b in self.bound(i)}
+            return max(k, t.after(i))
+        if word in ("class", "interface", "enum") and (t.is_name(i + 1) or default):
+            return self.type_body(first, i, word, export, default, decorators)
+        if word == "function":
+            k = i + 1 + (t.text[i + 1] == "*")
+            name, k = (t.text[k], k + 1) if t.is_name(k) else ("default", k)
+            return self.function(first, k, name, export, default, decorators)
+        if word == "type" and t.is_name(i + 1) and not t.fresh[i + 1]:
+            k = t.angles(i + 2)
+            if t.text[k] == "=":
+                end = t.statement_end(k + 1, n)
+                self.own(t.text[i + 1], "type_alias", first, end, None, export, default)
+                return end
+        if word in ("const", "let", "var"):
+            return self.variables(first, i + 1, export)
+        if default and word and t.text[i + 1] in ("", ";") or default and word and t.fresh[i + 1]:
+            self.later[word] = True
+            return i + 1
+        if default and (body := self.arrow(i)):
+            end = self.expression_end(body)
+            self.own("default", "function", first, end, body, True, True)
+            self.f.calls(f"{self.module}.default", body, end)
+            return end
+        end = t.statement_end(i, n)
+        self.assigned(i, end)
+        while end < n and t.text[end] in (";", "}", ")", "]"):
+            end += 1
+        return max(end, i + 1)
+
+    def own(self, name: str, kind: str, first: int, end: int, head: int | None, export: bool, default: bool, bases: tuple[str, ...] = (), decorators: tuple[str, ...] = ()) -> str:
+        qualified = f"{self.module}.{name}"
+        self.f.add(qualified, name, kind, self.module, first, end, head, bases, decorators)
+        if export:
+            self.f.exported[qualified] = default
+        return qualified
+
+    def assigned(self, i: int, end: int):
+        """``module.exports = a``, ``exports.b = a`` and chains of them export a, or the names in an object."""
+        t, k, found = self.t, i, False
+        while True:
+            chain = k
+            while t.is_name(k) and t.text[k + 1] == "." and t.is_name(k + 2):
+                k += 2
+            name = "".join(t.text[chain : k + 1])
+            if not t.is_name(k) or k + 1 >= end or t.text[k + 1] != "=" or t.text[k + 2] == "=":
+                break
+            found = found or name in ("module.exports",) or name.startswith(("module.exports.", "exports."))
+            k += 2
+        if found and t.is_name(k) and k + 1 >= end:
+            self.later.setdefault(t.text[k], False)
+        elif found and t.text[k] == "{":
+            self.later |= {b: False for _, b in self.bound(k) if b not in self.later}
+
+    def variables(self, first: int, i: int, export: bool) -> int:
+        """The declarators from i on."""
+        t, n, begin = self.t, len(self.t), first
+        while i < n:
+            named = t.is_name(i)
+            name, k = t.text[i], t.after(i)
+            while k < n and t.text[k] not in ("=", ",", ";") and not (t.fresh[k] and t.text[k] not in _GOES_ON):
+                k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)  # the type
+            value = k + 1 if t.text[k] == "=" and t.kind[k] == "mark" else 0
+            body = self.arrow(value) if value else 0
+            end = self.expression_end(body or value) if value else k
+            required = t.text[value] == "require" and t.text[value + 1] == "(" and t.kind[value + 2] == "text" if value else False
+            if required:
+                target = self.specifier(value + 2)
+                if named:
+                    self.f.imports(target if name == target else f"{target} as {name}")
+                elif t.text[i] == "{":
+                    self.f.imports(*(f"{target}.{a}" + (f" as {b}" if a != b else "") for a, b in self.bound(i)))
+            elif named and body:
+                self.own(name, "function", begin, end, body - (t.text[body - 1] == "=>"), export, False)
+                self.f.calls(f"{self.module}.{name}", body, end)
+            elif named:
+                self.own(name, "constant" if name.isupper() else "variable", begin, end, None, export, False)
+            if end >= n or t.text[end] != ",":
+                return end
+            i = begin = end + 1
+        return n
+
+    def expression_end(self, i: int) -> int:
+        """Where an expression from i on ends: at a comma or the statement's end."""
+        t, n = self.t, len(self.t)
+        k = t.after(i) if t.text[i] == "{" else i
+        if k > i and t.text[k] not in (".", "(", "[", "?."):
+            return k
+        end = t.statement_end(i, n)
+        k = i
+        while k < end and t.text[k] != ",":
+            k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)
+        return min(k, end)
+
+    def arrow(self, i: int) -> int:
+        """The start of the body if a function expression or an arrow function stands at i, else 0."""
+        t, n = self.t, len(self.t)
+        i += t.text[i] == "async" and t.text[i + 1] != "=>"
+        if t.text[i] == "function":
+            k = i + 1 + (t.text[i + 1] == "*")
+            k = t.angles(k + t.is_name(k))
+            return self.body(t.after(k)) if t.text[k] == "(" else 0
+        k = t.angles(i)
+        if t.text[k] == "(":
+            k = t.after(k)
+            if t.text[k] == ":":
+                while k < n and t.text[k] != "=>" and t.text[k] != ";" and not (t.fresh[k] and t.text[k] not in _GOES_ON):
+                    k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)
+        elif t.is_name(k):
+            k += 1
         else:
-            target = _specifier(path, m[6])
-            f.imports(*(_imported(m[5], target) if m[5].startswith("{") else [f"{target} as {m[5]}"]))
-    for m in _TS_TYPE.finditer(f.text):
-        end = _closing(f.text, m.end() - 1)
-        head = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", m[3]))
-        bases = tuple(b.strip() for part in re.findall(r"(?:extends|implements)\s+([^{]*?)(?=\bextends\b|\bimplements\b|$)", head) for b in part.split(",") if b.strip())
-        own = f"{module}.{m[2]}"
-        f.add(own, m[2], "interface" if m[1] == "interface" else "class", module, m.start(), end, bases)
-        for n in _TS_METHOD.finditer(f.text, m.end(), end) if m[1] == "class" else ():
-            depth = f.text.count("{", m.end(), n.start()) - f.text.count("}", m.end(), n.start())
-            body = _TS_BODY.match(f.text, _after_brackets(f.text, n))
-            if depth == 0 and body and n[1] not in _NO_CALL["typescript"] - {"constructor"}:
-                f.add(f"{own}.{n[1]}", n[1], "method", own, n.start() + len(n[0]) - len(n[0].lstrip()), _closing(f.text, body.end() - 1))
-                f.heads.add(n.start(1))
-    for m in _TS_FUNC.finditer(f.text):
-        f.heads.add(m.start(1))
-        arrow = f.text.find("\n", m.end()) if f.text[m.end() - 2 : m.end()] == "=>" and not re.match(r"\s*\{", f.text[m.end() :]) else -1
-        f.add(f"{module}.{m[1] or m[2]}", m[1] or m[2], "function", module, m.start(), arrow if arrow >= 0 else _closing(f.text, _after_brackets(f.text, m)))
-    for m in _TS_ALIAS.finditer(f.text):
-        f.add(f"{module}.{m[1]}", m[1], "type_alias", module, m.start(), f.text.find("\n", m.end()) + 1 or len(code))
-    f.calls()
-    return f.nodes, list(dict.fromkeys(f.edges))
-
-
-def _after_brackets(text: str, m: re.Match[str]) -> int:
-    """The place after a declaration's parameters, whose types may have braces of their own."""
-    if text[m.end() - 1] != "(":
-        return m.end()
-    depth = 1
-    for n in re.compile(r"[()]").finditer(text, m.end()):
-        depth += 1 if n[0] == "(" else -1
-        if not depth:
-            return n.end()
-    return len(text)
+            return 0
+        return k + 1 if t.text[k] == "=>" else 0
+
+    def body(self, k: int) -> int:
+        """The brace that opens a body behind parameters and perhaps a type; 0 if there is none."""
+        t, n = self.t, len(self.t)
+        if t.text[k] == ":":
+            k += 1
+            while k < n and t.text[k] != ";" and not (t.fresh[k] and t.text[k] not in _GOES_ON and t.text[k - 1] not in _GOES_ON):
+                if t.text[k] == "{" and t.text[k - 1] not in (":", "|", "&", "=>", "is", "<", ","):
+                    return k
+                k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)
+            return 0
+        return k if t.text[k] == "{" else 0
+
+    def function(self, first: int, k: int, name: str, export: bool, default: bool, decorators: tuple[str, ...]) -> int:
+        t, n = self.t, len(self.t)
+        k = t.angles(k)
+        if t.text[k] != "(":
+            return k
+        behind = t.after(k)
+        body = self.body(behind)
+        end = t.after(body) if body else t.statement_end(behind, n)
+        qualified = self.own(name, "function", first, end, body or end, export, default, (), decorators)
+        if body:
+            self.f.calls(qualified, body, end)
+        return end
+
+    def type_body(self, first: int, i: int, word: str, export: bool, default: bool, decorators: tuple[str, ...]) -> int:
+        t, n = self.t, len(self.t)
+        name = t.text[i + 1] if t.is_name(i + 1) and t.text[i + 1] not in ("extends", "implements") else "default"
+        k, bases, reading = i + 1 + (name != "default"), [], False
+        k = t.angles(k)
+        while k < n and t.text[k] != "{":
+            if t.text[k] in ("extends", "implements"):
+                reading = True
+            elif reading and t.is_name(k):
+                chain = [t.text[k]]
+                while t.text[k + 1] == "." and t.is_name(k + 2):
+                    chain.append(t.text[k + 2])
+                    k += 2
+                bases.append(".".join(chain))
+            k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)
+        if k >= n:
+            return n
+        end = t.after(k)
+        own = self.own(name, "interface" if word == "interface" else "class", first, end, k, export, default, tuple(dict.fromkeys(bases)), decorators)
+        if word != "enum":
+            self.members(own, k + 1, t.pair[k], word == "class")
+        return end
+
+    def members(self, owner: str, i: int, end: int, is_class: bool):
+        t = self.t
+        while i < end:
+            if t.text[i] in (";", ","):
+                i += 1
+                continue
+            first, decorators, hidden = i, [], False
+            while t.text[i] == "@" and i < end:
+                k = i + 1
+                while t.text[k + 1] == "." and t.is_name(k + 2):
+                    k += 2
+                k = t.after(k + 1) if t.text[k + 1] == "(" else k + 1
+                decorators.append(self.f.code[t.start[i] : t.end[k - 1]])
+                i = k
+            while t.text[i] in _MODIFIERS and t.is_name(i) and t.text[i + 1] not in ("(", "=", ":", ";", "?", "!", "<", ",") and i + 1 < end and not (t.fresh[i + 1] and t.text[i] in ("get", "set", "static")):
+                hidden = hidden or t.text[i] in ("private", "protected")
+                i += 1
+            if t.text[i] == "{":  # a static block
+                i = t.after(i)
+                continue
+            i += t.text[i] == "*"
+            if not (t.is_name(i) or t.kind[i] in ("text", "number")):
+                i = max(t.statement_end(i, end), i + 1)  # computed names, call and index signatures
+                continue
+            name = t.text[i].strip("'\"")
+            k = i + 1 + (t.text[i + 1] in ("?", "!"))
+            k = t.angles(k)
+            qualified, head = f"{owner}.{name}", None
+            if t.text[k] == "(":
+                behind = t.after(k)
+                body = min(self.body(behind), end)
+                kind, stop = "method", t.after(body) if body else t.statement_end(behind, end)
+                head = body or stop
+            else:
+                while k < end and t.text[k] not in ("=", ";", ",") and not (t.fresh[k] and t.text[k] not in _GOES_ON and t.text[k - 1] not in _GOES_ON - {")", "]", "}", ">"}):
+                    k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)
+                value = k + 1 if is_class and k < end and t.text[k] == "=" else 0
+                body = self.arrow(value) if value else 0
+                kind = "method" if body else "attribute"
+                stop = min(self.expression_end(body or value), end) if value else k
+                head = body - (t.text[body - 1] == "=>") if body else None
+            self.f.add(qualified, name, kind, owner, first, max(stop, first + 1), head, (), tuple(decorators))
+            if owner in self.f.exported and not hidden and not name.startswith("#"):
+                self.f.exported[qualified] = False
+            if is_class and body:
+                self.f.calls(qualified, body, stop)
+            i = max(stop, i + 1)
+
+
+def parse_typescript(path: str, code: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Also JavaScript. Symbols hang under the file's dotted path (an index file's under its folder's), members under their class or
+    interface; fields that hold functions are methods, module variables are constants if in capitals; re-exports count as imports.
+    Namespaces and what runs at the top of a module give nothing. An anonymous default export is named ``default``."""
+    return _Script(path, code).f.result()
 
 
 PARSERS = {"go": parse_go, "typescript": parse_typescript, "javascript": parse_typescript}
@@ -201,6 +682,12 @@ def edges(files: DataFrame) -> DataFrame:
     return _parsed(files, 1, EDGE)
 
 
+def exports(files: DataFrame) -> DataFrame:
+    """(file_path, qualified_name, is_default) of the symbols that a file lets others use: by syntax in TypeScript and JavaScript,
+    CommonJS included, and by their capital letter in Go."""
+    return _parsed(files, 2, EXPORT)
+
+
 # Systems and processors that a Go file's name or constraint can ask for.
 GO_SYSTEMS = ("aix", "android", "darwin", "dragonfly", "freebsd", "illumos", "ios", "js", "linux", "netbsd", "openbsd", "plan9", "solaris", "wasip1", "windows")
 GO_PROCESSORS = ("386", "amd64", "arm", "arm64", "loong64", "mips", "mips64", "mips64le", "mipsle", "ppc64", "ppc64le", "riscv64", "s390x", "wasm")

@@ -134,28 +134,111 @@ def node_roles(spark, sf_dir):
 
 
 _MODULE = "import os\nfrom . import util as u\n\n\nclass Base:\n    pass\n\n\nclass Child(Base):\n    LIMIT = 3\n\n    def run(self, n: int) -> int:\n        return u.double(self.step(n))\n\n    def step(self, n):\n        return os.path.join('a', str(n))\n\n\ndef main():\n    return Child().run(1)\n"
-_GO = 'package store\n\nimport (\n\t"fmt"\n\tlog "example.com/lib/log"\n)\n\ntype Base struct {\n\tio.Reader\n\tName string\n}\n\ntype Store struct {\n\tBase\n\tn int\n}\n\nfunc init() { fmt.Println("func x() {") }\n\nfunc New() *Store {\n\treturn &Store{}\n}\n\nfunc (s *Store) Get(id string) (string, error) {\n\tf := func() { s.load(id) }\n\tf()\n\treturn log.Wrap(id), nil\n}\n\nfunc (s *Store) load(id string) {}\n'
-_TS = "import React, { useState as st } from './react';\nimport * as util from '../lib/util';\nexport { a } from './barrel';\n\nexport class A<T> extends Base<T> implements I {\n  constructor(private x: number) { super(x); this.init(); }\n  async run(n: { a: number }): Promise<void> {\n    const f = () => { util.go(n); };\n    return this.step(n);\n  }\n}\nexport interface I extends K { go(): void; }\nenum E { X = 1 }\ntype Alias = string | number;\nexport const arrow = async (x: number): Promise<void> => {\n  st(x);\n};\nexport default function main(o = {}) {\n  return arrow(3);\n}\n"
+#: ^ stands for the part's brand; as many functions or classes follow as the part's size asks for.
+_GO = """package store
+
+import (
+	"fmt"
+	log "example.com/lib/log"
+)
+
+type (
+	Base struct {
+		io.Reader
+		Name string `json:"x"`
+	}
+	Kind^ int
+	Reader^ interface { Read^(p []byte) (int, error); fmt.Stringer }
+)
+
+type Store struct {
+	*Base
+	n int
+}
+
+const Limit = 3
+
+func init() { fmt.Println("func x() {") }
+
+func New^[T any](m map[string]struct{}) *Store {
+	return &Store{}
+}
+
+func (s *Store) Get(id string) (string, error) {
+	f := func() { s.hidden(id) }
+	f()
+	s.load(id)
+	return log.Wrap^(id), nil
+}
+
+func (s *Store) load(id string) {}
+"""
+_TS = """import React, { useState as st } from './react';
+import * as util from '../lib/util';
+export { a } from './barrel';
+
+export class A^<T> extends Base<T> implements I {
+  private secret = "x";
+  onClick = (e: Event) => { this.audit^(e); };
+  constructor(private x: number) { super(x); this.init(); }
+  async run(n: { a: number }): Promise<void> {
+    const f = () => { util.go(n); };
+    if (/\\{/.test(n) ) { function inner() { deep(`a ${wrap(`b ${n}`)} }`); } }
+    return this.step(n);
+  }
+}
+export interface I extends K { go(): void; name: string }
+enum E { X = 1 }
+type Alias = string | number;
+export const arrow = async (x: number): Promise<void> => {
+  st(x);
+};
+const MAX = 3, dep = require("./dep^");
+namespace N { function q() { w(); } }
+export default function (o = {}) {
+  return arrow(3);
+}
+module.exports = { MAX };
+"""
+_GO_LINES, _TS_LINES = _GO.count("\n"), _TS.count("\n")
 
 
 def _code(spark, sf_dir):
     """A Go, a TypeScript or a Python file for each part."""
     k, i = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
     path = F.when(i == 0, F.concat(F.lit("internal/s"), k, F.lit("/store.go"))).when(i == 1, F.concat(F.lit("src/app"), k, F.lit("/main.ts"))).otherwise(F.concat(F.lit("pkg/m"), k, F.lit(".py")))
-    content = F.when(i == 0, _GO).when(i == 1, _TS).otherwise(_MODULE)
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    more = lambda text: F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda j: F.when(j > 0, F.replace(F.lit(text), F.lit("^"), j.cast("string")))), "")
+    go = F.concat(F.replace(F.lit(_GO), F.lit("^"), brand), more("func Extra^(a int) error { return call^.Do(a) }\n"))
+    ts = F.concat(F.replace(F.lit(_TS), F.lit("^"), brand), more("class More^ extends A { f = () => go^(1) }\n"))
+    content = F.when(i == 0, go).when(i == 1, ts).otherwise(F.replace(F.lit(_MODULE), F.lit("LIMIT"), brand))
     return table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"), F.element_at(F.array(*map(F.lit, ("go", "typescript", "python"))), (i + 1).cast("int")).alias("language"))
 
 
+_BRAND = "replace(p_brand, '#', '')"
+
+
+def _named_sql(column: str, prefix: str) -> str:
+    return f"replace(replace({column}, '~', {prefix} || p_partkey), '^', {_BRAND})"
+
+
 def _rows_sql(remainder: int, prefix: str, columns: str, rows: list[tuple]) -> str:
     values = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
-    return f"SELECT replace(u.n, '~', {prefix} || p_partkey) AS qualified_name, u.* EXCLUDE (n) FROM part, (VALUES {values}) u(n, {columns}) WHERE p_partkey % 3 = {remainder}"
+    return f"SELECT {_named_sql('u.n', prefix)} AS qualified_name, u.* EXCLUDE (n) FROM part, (VALUES {values}) u(n, {columns}) WHERE p_partkey % 3 = {remainder}"
 
 
-_NODES = (
-    _rows_sql(0, "'internal.s'", "node_type, start_line, end_line", [("~.store#module", "module", 1, 29), ("~.Base", "struct", 8, 11), ("~.Store", "struct", 13, 16), ("~.init@store", "function", 18, 18), ("~.New", "function", 20, 22), ("~.Store.Get", "method", 24, 28), ("~.Store.load", "method", 30, 30)]).replace("1, 29)", "1, 30)")
-    + " UNION ALL "
-    + _rows_sql(1, "'src.app'", "node_type, start_line, end_line", [("~.main", "module", 1, 20), ("~.main.A", "class", 5, 11), ("~.main.A.constructor", "method", 6, 6), ("~.main.A.run", "method", 7, 10), ("~.main.I", "interface", 12, 12), ("~.main.E", "class", 13, 13), ("~.main.Alias", "type_alias", 14, 14), ("~.main.arrow", "function", 15, 17), ("~.main.main", "function", 18, 20)])
-)
+def _more_sql(remainder: int, select: str) -> str:
+    return f"SELECT {select} FROM part, range(1, 4) r(j) WHERE p_partkey % 3 = {remainder} AND j <= p_size % 4"
+
+
+_NODES = " UNION ALL ".join([
+    _rows_sql(0, "'internal.s'", "node_type, start_line, end_line", [("~.Base", "struct", 9, 12), ("~.Kind^", "type_alias", 13, 13), ("~.Reader^", "interface", 14, 14), ("~.Reader^.Read^", "method", 14, 14), ("~.Store", "struct", 17, 20), ("~.init@store", "function", 24, 24), ("~.New^", "function", 26, 28), ("~.Store.Get", "method", 30, 35), ("~.Store.load", "method", 37, 37)]),
+    f"SELECT 'internal.s' || p_partkey || '.store#module', 'module', 1, {_GO_LINES} + p_size % 4 FROM part WHERE p_partkey % 3 = 0",
+    _more_sql(0, f"'internal.s' || p_partkey || '.Extra' || j, 'function', {_GO_LINES} + j, {_GO_LINES} + j"),
+    _rows_sql(1, "'src.app'", "node_type, start_line, end_line", [("~.main.A^", "class", 5, 14), ("~.main.A^.secret", "attribute", 6, 6), ("~.main.A^.onClick", "method", 7, 7), ("~.main.A^.constructor", "method", 8, 8), ("~.main.A^.run", "method", 9, 13), ("~.main.I", "interface", 15, 15), ("~.main.I.go", "method", 15, 15), ("~.main.I.name", "attribute", 15, 15), ("~.main.E", "class", 16, 16), ("~.main.Alias", "type_alias", 17, 17), ("~.main.arrow", "function", 18, 20), ("~.main.MAX", "constant", 21, 21), ("~.main.default", "function", 23, 25)]),
+    f"SELECT 'src.app' || p_partkey || '.main', 'module', 1, {_TS_LINES} + p_size % 4 FROM part WHERE p_partkey % 3 = 1",
+    _more_sql(1, f"'src.app' || p_partkey || '.main.More' || j, 'class', {_TS_LINES} + j, {_TS_LINES} + j"), _more_sql(1, f"'src.app' || p_partkey || '.main.More' || j || '.f', 'method', {_TS_LINES} + j, {_TS_LINES} + j"),
+])
 
 
 @query(_NODES)
@@ -165,17 +248,23 @@ def code_nodes(spark, sf_dir):
 
 def _edges_sql(remainder: int, prefix: str, rows: list[tuple[str, str, str]]) -> str:
     values = ", ".join(f"('{a}', '{t}', '{b}')" for a, t, b in rows)
-    return f"SELECT replace(a, '~', {prefix} || p_partkey) AS source, t AS type, replace(b, '~', {prefix} || p_partkey) AS target FROM part, (VALUES {values}) u(a, t, b) WHERE p_partkey % 3 = {remainder}"
+    return f"SELECT {_named_sql('a', prefix)} AS source, t AS type, {_named_sql('b', prefix)} AS target FROM part, (VALUES {values}) u(a, t, b) WHERE p_partkey % 3 = {remainder}"
 
 
 _G, _M = "~.store#module", "~.main"
-_EDGES = _edges_sql(0, "'internal.s'", [
-    (_G, "imports", "fmt"), (_G, "imports", "example.com.lib.log as log"), (_G, "declares", "~.Base"), ("~.Base", "inherits", "io.Reader"), (_G, "declares", "~.Store"), ("~.Store", "inherits", "Base"), (_G, "declares", "~.init@store"), (_G, "declares", "~.New"),
-    ("~.Store", "declares", "~.Store.Get"), ("~.Store", "declares", "~.Store.load"), ("~.init@store", "calls", "fmt.Println"), ("~.Store.Get", "calls", "s.load"), ("~.Store.Get", "calls", "f"), ("~.Store.Get", "calls", "log.Wrap"),
-]) + " UNION ALL " + _edges_sql(1, "'src.app'", [
-    (_M, "imports", "~.react.default as React"), (_M, "imports", "~.react.useState as st"), (_M, "imports", "src.lib.util as util"), (_M, "imports", "~.barrel.a"), (_M, "declares", "~.main.A"), ("~.main.A", "inherits", "Base"), ("~.main.A", "inherits", "I"),
-    ("~.main.A", "declares", "~.main.A.constructor"), ("~.main.A", "declares", "~.main.A.run"), (_M, "declares", "~.main.I"), ("~.main.I", "inherits", "K"), (_M, "declares", "~.main.E"), (_M, "declares", "~.main.Alias"), (_M, "declares", "~.main.arrow"), (_M, "declares", "~.main.main"),
-    ("~.main.A.constructor", "calls", "this.init"), ("~.main.A.run", "calls", "util.go"), ("~.main.A.run", "calls", "this.step"), ("~.main.arrow", "calls", "st"), ("~.main.main", "calls", "arrow"),
+_EDGES = " UNION ALL ".join([
+    _edges_sql(0, "'internal.s'", [
+        (_G, "imports", "fmt"), (_G, "imports", "example.com.lib.log as log"), (_G, "declares", "~.Base"), ("~.Base", "inherits", "io.Reader"), (_G, "declares", "~.Kind^"), (_G, "declares", "~.Reader^"), ("~.Reader^", "inherits", "fmt.Stringer"), ("~.Reader^", "declares", "~.Reader^.Read^"), (_G, "declares", "~.Store"), ("~.Store", "inherits", "~.Base"), (_G, "declares", "~.init@store"), (_G, "declares", "~.New^"),
+        ("~.Store", "declares", "~.Store.Get"), ("~.Store", "declares", "~.Store.load"), ("~.init@store", "calls", "fmt.Println"), ("~.Store.Get", "calls", "s.load"), ("~.Store.Get", "calls", "f"), ("~.Store.Get", "calls", "log.Wrap^"),
+    ]),
+    _more_sql(0, "'internal.s' || p_partkey || '.store#module', 'declares', 'internal.s' || p_partkey || '.Extra' || j"), _more_sql(0, "'internal.s' || p_partkey || '.Extra' || j, 'calls', 'call' || j || '.Do'"),
+    _edges_sql(1, "'src.app'", [
+        (_M, "imports", "~.react.default as React"), (_M, "imports", "~.react.useState as st"), (_M, "imports", "src.lib.util as util"), (_M, "imports", "~.barrel.a"), (_M, "imports", "~.dep^ as dep"), (_M, "declares", "~.main.A^"), ("~.main.A^", "inherits", "Base"), ("~.main.A^", "inherits", "I"),
+        ("~.main.A^", "declares", "~.main.A^.secret"), ("~.main.A^", "declares", "~.main.A^.onClick"), ("~.main.A^.onClick", "calls", "this.audit^"), ("~.main.A^", "declares", "~.main.A^.constructor"), ("~.main.A^", "declares", "~.main.A^.run"), (_M, "declares", "~.main.I"), ("~.main.I", "inherits", "K"), ("~.main.I", "declares", "~.main.I.go"), ("~.main.I", "declares", "~.main.I.name"), (_M, "declares", "~.main.E"), (_M, "declares", "~.main.Alias"), (_M, "declares", "~.main.arrow"), (_M, "declares", "~.main.MAX"), (_M, "declares", "~.main.default"),
+        ("~.main.A^.constructor", "calls", "this.init"), ("~.main.A^.run", "calls", "util.go"), ("~.main.A^.run", "calls", "deep"), ("~.main.A^.run", "calls", "wrap"), ("~.main.A^.run", "calls", "this.step"), ("~.main.arrow", "calls", "st"), ("~.main.default", "calls", "arrow"),
+    ]),
+    _more_sql(1, "'src.app' || p_partkey || '.main', 'declares', 'src.app' || p_partkey || '.main.More' || j"), _more_sql(1, "'src.app' || p_partkey || '.main.More' || j, 'inherits', 'A'"),
+    _more_sql(1, "'src.app' || p_partkey || '.main.More' || j, 'declares', 'src.app' || p_partkey || '.main.More' || j || '.f'"), _more_sql(1, "'src.app' || p_partkey || '.main.More' || j || '.f', 'calls', 'go' || j"),
 ])
 
 
@@ -184,19 +273,33 @@ def code_edges(spark, sf_dir):
     return C.edges(_code(spark, sf_dir)).select("source", "type", "target")
 
 
-@query(_rows_sql(2, "'pkg.m'", "node_type, start_line, end_line, role", [("~", "module", 1, 21, "other"), ("~.Base", "class", 5, 6, "other"), ("~.Child", "class", 9, 16, "other"), ("~.Child.LIMIT", "attribute", 10, 10, "attribute"), ("~.Child.run", "method", 12, 13, "other"), ("~.Child.step", "method", 15, 16, "other"), ("~.main", "function", 19, 20, "other")]))
+@query(_rows_sql(0, "'internal.s'", "is_default", [(n, 0) for n in ("~.Base", "~.Kind^", "~.Reader^", "~.Reader^.Read^", "~.Store", "~.New^", "~.Store.Get")]).replace("u.* EXCLUDE (n)", "u.is_default = 1 AS is_default") + " UNION ALL "
+       + _rows_sql(1, "'src.app'", "is_default", [(n, int(n.endswith("default"))) for n in ("~.main.A^", "~.main.A^.onClick", "~.main.A^.constructor", "~.main.A^.run", "~.main.I", "~.main.I.go", "~.main.I.name", "~.main.arrow", "~.main.MAX", "~.main.default")]).replace("u.* EXCLUDE (n)", "u.is_default = 1")
+       + " UNION ALL " + _more_sql(0, "'internal.s' || p_partkey || '.Extra' || j, false"))
+def code_exports(spark, sf_dir):
+    """What files let others use: capitals in Go, export statements and CommonJS in scripts."""
+    return C.exports(_code(spark, sf_dir)).select("qualified_name", "is_default")
+
+
+@query(_rows_sql(2, "'pkg.m'", "node_type, start_line, end_line, role", [("~", "module", 1, 21, "other"), ("~.Base", "class", 5, 6, "other"), ("~.Child", "class", 9, 16, "other"), ("~.Child.^", "attribute", 10, 10, "attribute"), ("~.Child.run", "method", 12, 13, "other"), ("~.Child.step", "method", 15, 16, "other"), ("~.main", "function", 19, 20, "other")]))
 def python_ast_graph(spark, sf_dir):
     n = X.python_nodes(_code(spark, sf_dir).where("language = 'python'"))
     return n.select("qualified_name", "node_type", "start_line", "end_line", X.role(F.col("node_type"), F.col("name"), F.col("decorators"), F.col("bases")).alias("role"))
 
 
-@query(_edges_sql(2, "'pkg.m'", [("~", "imports", "os"), ("~", "imports", ".util as u"), ("~", "declares", "~.Base"), ("~", "declares", "~.Child"), ("~.Child", "inherits", "Base"), ("~.Child", "declares", "~.Child.LIMIT"), ("~.Child", "declares", "~.Child.run"), ("~.Child.run", "calls", "u.double"), ("~.Child.run", "calls", "self.step"), ("~.Child", "declares", "~.Child.step"), ("~.Child.step", "calls", "os.path.join"), ("~.Child.step", "calls", "str"), ("~", "declares", "~.main"), ("~.main", "calls", "Child")]))
+@query(_edges_sql(2, "'pkg.m'", [("~", "imports", "os"), ("~", "imports", ".util as u"), ("~", "declares", "~.Base"), ("~", "declares", "~.Child"), ("~.Child", "inherits", "Base"), ("~.Child", "declares", "~.Child.^"), ("~.Child", "declares", "~.Child.run"), ("~.Child.run", "calls", "u.double"), ("~.Child.run", "calls", "self.step"), ("~.Child", "declares", "~.Child.step"), ("~.Child.step", "calls", "os.path.join"), ("~.Child.step", "calls", "str"), ("~", "declares", "~.main"), ("~.main", "calls", "Child")]))
 def python_edges(spark, sf_dir):
     return X.python_edges(_code(spark, sf_dir).where("language = 'python'")).select("source", "type", "target")
 
 
-@query("""SELECT replace(a, '~', 'internal.s' || p_partkey) AS source, raw, replace(b, '~', 'internal.s' || p_partkey) AS target FROM part, (VALUES ('~.Store.Get', 's.load', '~.Store.load'), ('~.Store.Get', 'log.Wrap', 'example.com.lib.log.Wrap'), ('~.Store.Get', 'f', '~.f'), ('~.init@store', 'fmt.Println', 'fmt.Println')) u(a, raw, b) WHERE p_partkey % 3 = 0
-    UNION ALL SELECT replace(a, '~', 'src.app' || p_partkey), raw, replace(b, '~', 'src.app' || p_partkey) FROM part, (VALUES ('~.main.A.constructor', 'this.init', '~.main.A.init'), ('~.main.A.run', 'this.step', '~.main.A.step'), ('~.main.A.run', 'util.go', 'src.lib.util.go'), ('~.main.arrow', 'st', '~.react.useState'), ('~.main.main', 'arrow', '~.main.arrow')) u(a, raw, b) WHERE p_partkey % 3 = 1""")
+_RESOLVED = {
+    (0, "'internal.s'"): [("~.Store.Get", "s.load", "~.Store.load"), ("~.Store.Get", "log.Wrap^", "example.com.lib.log.Wrap^"), ("~.Store.Get", "f", "~.f"), ("~.init@store", "fmt.Println", "fmt.Println")],
+    (1, "'src.app'"): [("~.main.A^.onClick", "this.audit^", "~.main.A^.audit^"), ("~.main.A^.constructor", "this.init", "~.main.A^.init"), ("~.main.A^.run", "this.step", "~.main.A^.step"), ("~.main.A^.run", "deep", "~.main.deep"), ("~.main.A^.run", "wrap", "~.main.wrap"), ("~.main.A^.run", "util.go", "src.lib.util.go"), ("~.main.arrow", "st", "~.react.useState"), ("~.main.default", "arrow", "~.main.arrow")],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {_named_sql('a', p)} AS source, {_named_sql('raw', p)} AS raw, {_named_sql('b', p)} AS target FROM part, (VALUES {', '.join(str(r) for r in rows)}) u(a, raw, b) WHERE p_partkey % 3 = {k}" for (k, p), rows in _RESOLVED.items())
+       + " UNION ALL " + _more_sql(0, "'internal.s' || p_partkey || '.Extra' || j, 'call' || j || '.Do', 'call' || j || '.Do'") + " UNION ALL " + _more_sql(1, "'src.app' || p_partkey || '.main.More' || j || '.f', 'go' || j, 'src.app' || p_partkey || '.main.go' || j"))
 def canonical_calls(spark, sf_dir):
     """Calls of Go and TypeScript files by receiver, class, import, package or module."""
     files = _code(spark, sf_dir)
