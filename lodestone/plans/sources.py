@@ -14,6 +14,7 @@ from lodestone.operators import hybrid as H
 from lodestone.operators import incremental as I
 from lodestone.operators import pages as P
 from lodestone.operators import wiki as K
+from lodestone.operators.commands import commands
 from lodestone.plans.tables import table
 from lodestone.sources import files as S
 from lodestone.sources.shared import new_path
@@ -313,6 +314,39 @@ def canonical_calls(spark, sf_dir):
     return G.canonical_calls(calls, own, modules).select(F.col("src").alias("source"), "raw", "target")
 
 
+#: A command for each part, registered under the one before it, in chains of 24; ^ is the part's key and < the key before it.
+_COMMAND = """package main
+
+import "github.com/spf13/cobra"
+
+var cmd^ = &cobra.Command{
+	Use:   "u^",
+	Short: "Use: \\"x\\"", // Use: "no"
+}
+
+func init() {
+	cmd<.AddCommand(cmd^, other)
+	cmd^.Flags().StringP("f^", "f", "", "use")
+	cmd^.PersistentFlags().IntVar(&v, "all", 0, "level")
+	stray.Flags().Bool("lost", false, "")
+}
+"""
+
+
+@query("""SELECT 'u' || p.p_partkey AS name, coalesce((SELECT string_agg('u' || q.p_partkey, '/' ORDER BY q.p_partkey) FROM part q WHERE q.p_partkey < p.p_partkey AND q.p_partkey >= p.p_partkey - p.p_partkey % 24), '') AS parent_path,
+        'all,f' || p.p_partkey AS flags, 'cmd/tool' || p.p_partkey % 7 || '/c' || p.p_partkey || '.go' AS path, 5 AS start_line, 8 AS end_line FROM part p
+    UNION ALL SELECT 'tool' || m, '', string_agg(DISTINCT 'g' || k % 4, ',' ORDER BY 'g' || k % 4), min('cmd/tool' || m || '/d' || k || '.go'), 3, 3 FROM (SELECT p_partkey % 7 AS m, p_partkey AS k FROM part WHERE p_partkey % 10 = 0) GROUP BY m""")
+def cli_commands(spark, sf_dir):
+    """Commands with up to 23 others above them, and programs that only take flags."""
+    k = F.col("p_partkey")
+    before = F.when(k % 24 == 0, "none").otherwise((k - 1).cast("string"))
+    folder = F.concat(F.lit("cmd/tool"), (k % 7).cast("string"))
+    parts = table(spark, sf_dir, "part")
+    files = parts.select(F.concat(folder, F.lit("/c"), k.cast("string"), F.lit(".go")).alias("path"), F.replace(F.replace(F.lit(_COMMAND), F.lit("^"), k.cast("string")), F.lit("<"), before).alias("content"))
+    plain = parts.where(k % 10 == 0).select(F.concat(folder, F.lit("/d"), k.cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit('package main\n\nvar a = flag.Bool("g'), (k % 4).cast("string"), F.lit('", false, "x")\n')).alias("content"))
+    return commands(files.unionByName(plain)).withColumn("flags", F.array_join("flags", ","))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'p.md' ELSE 'Late' END AS title FROM part")
 def document_titles(spark, sf_dir):
     i = F.col("p_partkey") % 3
