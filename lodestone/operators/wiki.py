@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from lodestone.functions import text as T
 from lodestone.functions import values as V
 from lodestone.operators import pages as P
+from lodestone.operators.dictionary import occurring
 
 # Document names and their tiers, path patterns, words that are never linked, page numbers and caps.
 PUBLIC_DOCS = "usage guide tutorial quickstart quick-start getting-started getting_started cli api reference examples architecture overview readme".split()
@@ -55,16 +56,16 @@ def docs_outline(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(key, title, path, score, tier, demoted): topics of first and second headings, once each.
 
     docs(path, content); names(name): symbols and paths. A public heading is demoted if none of its words (four
-    letters or more) occurs in a name. Words and names meet on their first four letters at any place of a name.
+    letters or more) occurs in a name. One automaton of all headings' words reads each name once.
     """
     heads = doc_headings(docs).where("level <= 2")
     key = F.concat(F.lit("docs:"), "path", F.lit("#"), F.regexp_replace(F.regexp_replace(F.lower("heading"), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
     first = P.first_per_group(heads.withColumn("key", key), "key", "path", "line")
     words = F.filter(F.regexp_extract_all(F.lower("heading"), F.lit("[a-z][a-z0-9_-]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(T.ROUTING_STOPWORDS))
-    asked = first.select("key", F.explode(F.array_distinct(words)).alias("word")).withColumn("gram", F.substring("word", 1, 4))
-    low = F.lower("name")
-    grams = names.select(low.alias("low")).distinct().where("length(low) >= 4").select("low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 3), lambda i: F.substring(F.col("low"), i, F.lit(4))))).alias("gram"))
-    known = asked.join(grams, "gram").where(F.col("low").contains(F.col("word"))).select("key").distinct().withColumn("known", F.lit(True))
+    asked = first.select("key", F.explode(F.array_distinct(words)).alias("entry"))
+    low = names.select(F.lit(0).alias("id"), F.lower("name").alias("text")).distinct()
+    held = occurring(low, asked.select("entry")).select("entry").distinct()
+    known = asked.join(held, "entry").select("key").distinct().withColumn("known", F.lit(True))
     out = first.join(known, "key", "left").withColumn("demoted", (F.col("tier") == "public") & F.col("known").isNull())
     tier = F.when(F.col("demoted"), "supporting").otherwise(F.col("tier"))
     return out.select("key", F.col("heading").alias("title"), "path", V.literal_map({k: str(v) for k, v in HEADING_SCORE.items()})[tier].cast("double").alias("score"), tier.alias("tier"), "demoted")
