@@ -110,6 +110,18 @@ def hybrid(stores: dict[str, Store], text: str, vector: list[float] | None, k: i
     return out.orderBy(F.desc("score"), "_place", "id").limit(min(k, MOST)).drop("_place")
 
 
+SNIPPET_CHARS = 1200
+
+
+def with_snippets(hits: DataFrame, rows: DataFrame, id: str, text: str, most: int = SNIPPET_CHARS) -> DataFrame:
+    """hits(id, ...) with ``snippet``: their text up to ``most`` characters, cut with an ellipsis. Hits are few: their ids go into the filter of the scan."""
+    ids = [r[0] for r in hits.select("id").distinct().collect()]  # MOST of each store
+    body = F.coalesce(F.col(text), F.lit(""))
+    cut = F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body)
+    own = rows.where(F.col(id).cast("string").isin([str(i) for i in ids])) if dict(rows.dtypes)[id] not in ("bigint", "int") else rows.where(F.col(id).isin([int(i) for i in ids]))
+    return hits.join(own.select(F.col(id).cast("string").alias("id"), cut.alias("snippet")), "id", "left")
+
+
 def page_bundle(code: Store, docs: Store, edges: DataFrame, nodes: DataFrame, text: str, vector: list[float] | None, k_code: int = 12, k_docs: int = 6, k_pivot: int = 5) -> dict[str, DataFrame]:
     """What a page is written from: the best code and documents, each by itself, and the neighbours of
     the first code hits (none of them with k_pivot of 0, as for one section)."""

@@ -166,6 +166,47 @@ def evidence_pack(evidence: DataFrame, budget: int) -> DataFrame:
     return P.budgeted(first, "page", "pos", "text", budget)
 
 
+# Bounds of a packed ledger.
+PACK_RECORDS, PACK_CHARS, PACK_SNIPPET = 40, 4 * 3000 + 3, 320
+
+
+def ledger(evidence: DataFrame) -> DataFrame:
+    """evidence(page, pos, record_id, source, qn, file_path, start_line, end_line, snippet) without the records that a page
+    has had before: the first of each record_id stays."""
+    return P.first_per_group(evidence.withColumn("_k", F.struct("page", "record_id")), "_k", "pos").drop("_k")
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """(page, kind, target) that the records of a ledger prove: names of code nodes, paths of files and of documents."""
+    kind = F.when(F.col("source") == "code_node", "node").when(F.col("source").isin("file", "doc"), F.col("source"))
+    target = F.when(kind == "node", F.col("qn")).otherwise(F.col("file_path"))
+    return records.select("page", kind.alias("kind"), target.alias("target")).where("kind IS NOT NULL AND target != ''").distinct()
+
+
+def packed(records: DataFrame, most: int = PACK_RECORDS, chars: int = PACK_CHARS) -> DataFrame:
+    """(page, pack, n_earlier, n_cut): each page's last ``most`` records as blocks in their order, while these have ``chars`` characters
+    at most, and how many came before them or didn't fit; both counts are told at the end of the pack."""
+    source, unknown = F.col("source"), F.lit("<unknown>")
+    name = F.when(source == "code_node", F.concat(F.lit("node:"), F.coalesce(F.nullif("qn", F.lit("")), unknown))).otherwise(F.concat(F.when(source == "doc", "doc:").otherwise("file:"), F.coalesce(F.nullif("file_path", F.lit("")), unknown)))
+    place = F.concat(F.lit("\n  file: "), "file_path", F.when(F.col("start_line").isNotNull() & F.col("end_line").isNotNull(), F.concat(F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))).otherwise(""))
+    text = F.regexp_replace(F.coalesce("snippet", F.lit("")), r"^\s+|\s+$", "")
+    text = F.when(F.length(text) > PACK_SNIPPET, F.concat(F.substring(text, 1, PACK_SNIPPET), F.lit("…"))).otherwise(text)
+    text = F.when(text != "", F.concat(F.lit("\n  snippet: "), F.regexp_replace(text, "\r\n|[\n\r]", "\n    "))).otherwise("")
+    block = F.concat(F.lit("["), "record_id", F.lit("] "), name, F.when((source == "code_node") & (F.coalesce("file_path", F.lit("")) != ""), place).otherwise(""), text)
+    last = F.row_number().over(W.partitionBy("page").orderBy(F.desc("pos")))
+    rows = records.withColumns({"last": last, "block": block})
+    kept = rows.where(F.col("last") <= most)
+    used = F.sum(F.length("block").cast("long") + 2).over(W.partitionBy("page").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    fits = kept.withColumn("used", used).where(F.col("used") <= chars)
+    whole = rows.groupBy("page").agg(F.count("*").alias("n"))
+    told = fits.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), "\n\n").alias("body"), F.count("*").alias("n_in"))  # ``most`` blocks
+    n_earlier, n_in = F.greatest(F.col("n") - most, F.lit(0)), F.coalesce("n_in", F.lit(0))
+    n_cut = F.least("n", F.lit(most)) - n_in
+    tail = F.concat_ws("\n", F.when(n_earlier > 0, F.concat(F.lit("... ["), n_earlier.cast("string"), F.lit(" earlier records elided]"))), F.when(n_cut > 0, F.concat(F.lit("... ["), n_cut.cast("string"), F.lit(" more records truncated for budget]"))))
+    pack = F.concat(F.coalesce("body", F.lit("")), F.when(tail != "", F.concat(F.lit("\n\n"), tail)).otherwise(""))
+    return whole.join(told, "page", "left").select("page", pack.alias("pack"), n_earlier.alias("n_earlier"), n_cut.alias("n_cut"))
+
+
 def stripped(docs: DataFrame, verified: DataFrame) -> DataFrame:
     """(page, text, removed) of docs(page, text): placeholders that verified(page, kind, target) lacks are taken out."""
     from lodestone.operators.documents import citations
@@ -200,8 +241,23 @@ def coverage(docs: DataFrame, required: DataFrame, verified: DataFrame) -> DataF
     return docs.select("page").distinct().join(out, "page", "left").select("page", *(F.coalesce(c, none).alias(c) for c in ("answered", "missing", "ungrounded", "extra")))
 
 
-# Second headings that a page must not have.
+# Second headings that a page must not have, the worst first, and how a page with one is called.
 FORBIDDEN = ("open questions", "test strategy", "comparison with alternatives")
+OUTCOMES = ("open_questions_forbidden", "test_strategy_forbidden", "comparison_forbidden")
+
+
+def coverage_outcome(text: Column, missing: Column) -> Column:
+    """What a page's coverage comes to: a forbidden section before all, the worst of several; then partial if questions are
+    missing; else ok."""
+    out = F.when(F.size(missing) > 0, "partial").otherwise("ok")
+    for heading, name in reversed(tuple(zip(FORBIDDEN, OUTCOMES, strict=True))):
+        out = F.when(F.coalesce(text, F.lit("")).rlike(rf"(?im)^## +{re.escape(heading)}[ \t]*$"), name).otherwise(out)
+    return out
+
+
+def without_markers(text: Column, questions: Column) -> Column:
+    """text without the answer markers of these questions; what they stood for stays."""
+    return F.aggregate(questions, text, lambda t, q: F.regexp_replace(t, F.concat(F.lit(r"<!-- answers: \Q"), q, F.lit(r"\E -->")), F.lit("")))
 
 
 def without_sections(text: Column, headings: tuple[str, ...] = FORBIDDEN) -> Column:

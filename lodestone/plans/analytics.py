@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import access as A
+from lodestone.operators import hybrid as H
 from lodestone.operators import incremental as I
 from lodestone.operators import pages as P
 from lodestone.operators import telemetry as M
@@ -128,10 +129,19 @@ def nullable_sum(spark, sf_dir):
     return out.withColumn("cost", F.coalesce("cost", F.lit(-1)))
 
 
-@query("SELECT id FROM logs WHERE created_at <= TIMESTAMP '2024-01-20' AND created_at >= TIMESTAMP '2024-01-10' AND coalesce(cost_micros, 0) > 30")
+@query("""SELECT id, 'both' AS w FROM logs WHERE coalesce(CASE WHEN cost_micros > 30 THEN created_at + INTERVAL 1 DAY END, created_at) BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'
+    UNION ALL SELECT id, 'as_of' FROM logs WHERE coalesce(CASE WHEN cost_micros > 30 THEN created_at + INTERVAL 1 DAY END, created_at) <= TIMESTAMP '2024-01-05' UNION ALL SELECT id, 'open' FROM logs""")
 def temporal_window_asof(spark, sf_dir):
-    at = F.coalesce("created_at", F.lit("2024-01-01").cast("timestamp"))
-    return logs(spark, sf_dir).where((at <= F.lit("2024-01-20").cast("timestamp")) & (at >= F.lit("2024-01-10").cast("timestamp")) & (F.coalesce("cost_micros", F.lit(0)) > 30)).select("id")
+    """Rows last changed in a window, as of a time, and without either; some rows were never changed."""
+    from datetime import datetime
+
+    rows = logs(spark, sf_dir).withColumn("changed_at", F.when(F.col("cost_micros") > 30, F.col("created_at") + F.make_interval(days=F.lit(1))))
+    some = {"both": {"since": datetime(2024, 1, 10), "until": datetime(2024, 1, 20), "as_of": datetime(2024, 1, 25)}, "as_of": {"as_of": datetime(2024, 1, 5)}, "open": {}}
+    out = None
+    for name, window in some.items():
+        part = H.in_window(rows, "changed_at", "created_at", **window).select("id", F.lit(name).alias("w"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT source, doc_id, substring(trim(regexp_replace(text, '[*_`]+', '', 'g')), 1, 280) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -185,9 +195,9 @@ def section_outline_budget(spark, sf_dir):
 #: A document on a part's orders mentions the part by name and its qualified name; nodes are all parts.
 _MENTIONS = """WITH n AS (SELECT p_partkey AS node_id, replace(p_name, ' ', '_') AS name, lower(replace(p_brand, '#', '')) AS package, p_size AS start_line FROM part),
     c AS (SELECT o_orderkey AS chunk_id, n.name AS raw, n.package FROM orders JOIN n ON n.node_id = o_custkey),
-    m AS (SELECT chunk_id, raw, raw AS key, NULL AS qual FROM c UNION SELECT chunk_id, package || '.' || raw, raw, package FROM c),
+    m AS (SELECT chunk_id, raw, raw AS key, NULL AS qual, package AS own FROM c UNION SELECT chunk_id, package || '.' || raw, raw, package, package FROM c),
     s AS (SELECT chunk_id, raw, node_id, start_line, (CASE WHEN n.package || '.' || n.name = raw THEN 120 WHEN ends_with(n.package || '.' || n.name, raw) THEN 90 ELSE 0 END) + 50 + (CASE WHEN qual = n.package THEN 40 ELSE 0 END) + (CASE WHEN qual IS NOT NULL AND contains(n.package || '.' || n.name, qual) THEN 30 ELSE 0 END)
-        + (CASE WHEN qual = n.package THEN 20 ELSE 0 END) AS score FROM m JOIN n ON n.name = m.key)
+        + (CASE WHEN qual = n.package THEN 20 ELSE 0 END) + (CASE WHEN own = n.package THEN 15 + 5 * (1 + (node_id % 2)) ELSE 0 END) AS score FROM m JOIN n ON n.name = m.key)
     SELECT chunk_id, raw, node_id, score FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id, raw ORDER BY score DESC, start_line, node_id) = 1"""
 
 
@@ -196,9 +206,9 @@ def mention_linking_best(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     package = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
     nodes = part.select(F.col("p_partkey").alias("node_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), package.alias("package"), F.col("p_size").cast("long").alias("start_line"))
-    nodes = nodes.select("*", F.concat_ws(".", "package", "name").alias("qualified_name"), F.concat("package", F.lit("/x.py")).alias("file_path"))
+    nodes = nodes.select("*", F.concat_ws(".", "package", "name").alias("qualified_name"), F.concat("package", F.when(F.col("node_id") % 2 == 1, "/guide/x.py").otherwise("/x.py")).alias("file_path"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("node_id")).join(nodes, "node_id")
-    chunks = orders.select("chunk_id", F.lit("notes.md").alias("doc_path"), F.concat(F.lit("See `"), "name", F.lit("` and "), "qualified_name", F.lit(" there")).alias("content"))
+    chunks = orders.select("chunk_id", F.concat("package", F.lit("/guide/notes.md")).alias("doc_path"), F.concat(F.lit("See `"), "name", F.lit("` and "), "qualified_name", F.lit(" there")).alias("content"))
     return P.link_mentions(chunks, nodes)
 
 

@@ -72,10 +72,25 @@ def citation_repair(spark, sf_dir):
     return D.repair(cited, old, live).withColumn("new_id", F.coalesce("new_id", F.lit(-1)))
 
 
-@query("SELECT doc_id, CASE WHEN length(w) <= 120 THEN w ELSE rtrim(regexp_replace(substring(w, 1, 120), '\\s+\\S*$', '')) || '…' END AS lead FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS w FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '[') AND NOT contains(text, '`') AND NOT contains(text, '~'))")
+#: Documents as pages: a title, a fence, a source line, a comment, links, and by the id up to four sections and a second fence around parts of their text.
+_PAGES = """SELECT doc_id, '# Page ' || doc_id || chr(10) || '```py' || chr(10) || 'code ' || lang || chr(10) || '```' || chr(10) || coalesce(text, '') || ' see [the **' || source || '**](http://x/' || doc_id || ').' || chr(10) || '- Sources: a.py, b.py' || chr(10) || '<!-- note' || chr(10) || 'more -->tail'
+    || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '~~~' || chr(10) || '## no' || chr(10) || '~~~' ELSE '' END || array_to_string(list_transform(range(1, doc_id % 5 + 1), lambda k: chr(10) || '## Part ' || k || chr(10) || 'words of ' || k), '') AS text FROM documents"""
+_LEAD = f"""WITH p AS ({_PAGES}), f AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?ms)^\\s*```.*?^\\s*```[^\\n]*$', '', 'g'), '(?ms)^\\s*~~~.*?^\\s*~~~[^\\n]*$', '', 'g') AS t FROM p),
+    s AS (SELECT doc_id, array_to_string(string_split(chr(10) || t, chr(10) || '## ')[1:4], chr(10) || '## ') AS t FROM f),
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#{{1,6}}\\s.*$', '', 'g'), '(?im)^\\W*sources?:.*$', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g') AS t FROM s),
+    w AS (SELECT doc_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS w FROM c)
+    SELECT doc_id, CASE WHEN length(w) <= MOST THEN w ELSE rtrim(regexp_replace(substring(w, 1, MOST), '\\s+\\S*$', '')) || '…' END AS lead FROM w"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_LEAD.replace('MOST', str(n))})" for n in (120, 10_000_000)))
 def lead_prose(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[#\\[`~]"))
-    return rows.select("doc_id", D.lead(F.col("text"), 120).alias("lead"))
+    """Short leads, and whole ones, of pages with titles, fences, comments, links, source lines and several sections."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    parts = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 5), lambda i: F.when(i > 0, F.concat(F.lit("\n## Part "), i.cast("string"), F.lit("\nwords of "), i.cast("string")))), "")
+    page = F.concat(F.lit("# Page "), k.cast("string"), F.lit("\n```py\ncode "), "lang", F.lit("\n```\n"), text, F.lit(" see [the **"), "source", F.lit("**](http://x/"), k.cast("string"), F.lit(").\n- Sources: a.py, b.py\n<!-- note\nmore -->tail"), F.when(k % 3 == 0, "\n~~~\n## no\n~~~").otherwise(""), parts)
+    pages = table(spark, sf_dir, "documents").select("doc_id", page.alias("page"))
+    short, whole = (pages.select("doc_id", D.lead(F.col("page"), n).alias("lead")) for n in (120, 10_000_000))
+    return short.unionByName(whole)
 
 
 #: One project folder for each customer, with a requirements file, a Go module, a Dockerfile and a package file.

@@ -32,6 +32,8 @@ def query(sql: str | None = None):
 _NEAR = """SELECT e.vec_id, e.label, list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))) AS s
     FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) e,
          (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 0) q"""
+#: Words of one stem.
+_LICENSES = ("licens", "license", "licenses", "licensed", "licensing", "licenser", "licensers", "licensable")
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: list_transform(range(1, len(w)::BIGINT + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
@@ -296,7 +298,6 @@ def vector_index_recall(spark, sf_dir):
     return both.agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_wanted"), (F.sum("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
-_LICENSES = "('licens', 'license', 'licenses', 'licensed', 'licensing', 'licenser', 'licensers', 'licensable')"
 
 
 @query(f"SELECT doc_id, round(len(list_filter({_TOKENS}, lambda t: t IN {_LICENSES})) * 0.1, 6)::DOUBLE AS score FROM documents WHERE len(list_filter({_TOKENS}, lambda t: t IN {_LICENSES})) > 0 ORDER BY score DESC, doc_id LIMIT 100")
@@ -343,10 +344,22 @@ def route_sources(spark, sf_dir):
     return routing.route_repositories(_sources(spark, sf_dir), "src1 license Apache und der", 12, readme="body").select("label", F.round("score", 6).alias("score"))
 
 
-@query(_ROUTE.format(", score < 0.3 AS weak", "true"))
+#: The same for collections: headings are the first lines, bodies match by stemmed words.
+_BODIES = _ROUTE.replace("contains(lower(label || chr(10) || substring(body, 1, 2000)), t)", f"contains(lower(label || chr(10) || split_part(body, chr(10), 1)), t) OR list_has_any({_TOKENS.replace('text', 'body')}, CASE t WHEN 'license' THEN {list(_LICENSES)} WHEN 'apache' THEN ['apache', 'apaches'] ELSE [t] END)")
+
+
+def _collections(spark, sf_dir):
+    """(collections, what their documents' words match)."""
+    rows = _sources(spark, sf_dir).select("label", F.split_part("body", F.lit("\n"), F.lit(1)).alias("headings"))
+    of = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("label"))
+    return rows, routing.body_matches(_words(spark, sf_dir, english=True), "src1 license Apache und der", of)
+
+
+@query(_BODIES.format(", score < 0.3 AS weak", "true"))
 def route_collections_always(spark, sf_dir):
-    rows = _sources(spark, sf_dir).select("label", F.substring("body", 1, 2000).alias("headings"), F.lit("").alias("body"))
-    return routing.route_collections(rows, "src1 license Apache und der", 12).select("label", F.round("score", 6).alias("score"), "weak")
+    """Collections by label, headings and the words of their documents, which come from the index of stems."""
+    rows, bodies = _collections(spark, sf_dir)
+    return routing.route_collections(rows, "src1 license Apache und der", 12, bodies=bodies).select("label", F.round("score", 6).alias("score"), "weak")
 
 
 _WHY = _ROUTE.format("", "hit IS NOT NULL").replace("    SELECT label, score  FROM z", "    , b AS (SELECT label, score FROM z") + """)
@@ -359,8 +372,8 @@ def route_explained(spark, sf_dir):
     return routing.explained(routing.route_repositories(_sources(spark, sf_dir), "src1 license Apache und der", 12, readme="body")).select("label", "why")
 
 
-@query("WITH a AS (" + _ROUTE.format("", "hit IS NOT NULL").replace("LIMIT 12", "LIMIT 5") + "), b AS (" + _ROUTE.format("", "true").replace("LIMIT 12", "LIMIT 4") + ") SELECT 'repository' AS pool, label, score FROM a UNION ALL SELECT 'collection', label, score FROM b")
+@query("WITH a AS (" + _ROUTE.format("", "hit IS NOT NULL").replace("LIMIT 12", "LIMIT 5") + "), b AS (" + _BODIES.format("", "true").replace("LIMIT 12", "LIMIT 4") + ") SELECT 'repository' AS pool, label, score FROM a UNION ALL SELECT 'collection', label, score FROM b")
 def route_pools(spark, sf_dir):
     """Repositories and collections are ranked by themselves and stand side by side."""
-    repos, collections = _sources(spark, sf_dir), _sources(spark, sf_dir).select("label", F.substring("body", 1, 2000).alias("headings"), F.lit("").alias("body"))
-    return routing.pools(repos, collections, "src1 license Apache und der", 5, 4, readme="body").select("pool", "label", F.round("score", 6).alias("score"))
+    collections, bodies = _collections(spark, sf_dir)
+    return routing.pools(_sources(spark, sf_dir), collections, "src1 license Apache und der", 5, 4, bodies=bodies, readme="body").select("pool", "label", F.round("score", 6).alias("score"))

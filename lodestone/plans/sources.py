@@ -85,11 +85,17 @@ def blame_lines(spark, sf_dir):
     return S.blame_lines(S.blame_hunks(blames)).select("path", "line", "sha", F.unix_seconds("committed_at").alias("epoch"))
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT *, CASE WHEN l[len(l)] = '' THEN len(l) - 1 ELSE len(l) END AS n FROM t WHERE NOT contains(array_to_string(l, ''), chr(13)))
+#: Documents whose line ends are made carriage returns, both, form feeds or separators by their id.
+_ENDS = ("\n", "\r\n", "\r", "\x0c", " ", "\x85")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_split_to_array(replace(coalesce(text, ''), chr(10), [chr(10), chr(13) || chr(10), chr(13), chr(12), chr(8232), chr(133)][doc_id % 6 + 1]), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents), n AS (SELECT *, CASE WHEN l[len(l)] = '' THEN len(l) - 1 ELSE len(l) END AS n FROM t)
     SELECT doc_id, array_to_string(l[2:least(n, 4)::BIGINT], chr(10)) AS body, least(n, 4)::INT AS last FROM n""")
 def line_ranges(spark, sf_dir):
-    body, last, _ = T.lines(F.coalesce("text", F.lit("")), 2, 4)
-    return table(spark, sf_dir, "documents").where("not coalesce(contains(text, '\r'), false)").select("doc_id", body.alias("body"), last.cast("int").alias("last"))
+    """Lines two to four, whatever ends them."""
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    body, last, _ = T.lines(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), end), 2, 4)
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), last.cast("int").alias("last"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'stored' ELSE substring(p_name, 2, 4) END AS body FROM part")
@@ -384,16 +390,21 @@ def section_bodies(spark, sf_dir):
     return P.section_bodies(docs, "conv_id", "text", "b").select("conv_id", "heading", "body")
 
 
-@query("""WITH q AS (SELECT o_orderkey AS page, o_orderkey % 2 = 0 AS v, o_orderkey % 3 = 0 AS f FROM orders)
-    SELECT page, CASE WHEN v AND f THEN 'how-to-run,what-is' WHEN v THEN 'what-is' WHEN f THEN 'how-to-run' ELSE '' END AS answered, CASE WHEN v AND f THEN 'limits' WHEN v THEN 'how-to-run,limits' WHEN f THEN 'limits,what-is' ELSE 'how-to-run,limits,what-is' END AS missing,
-    CASE WHEN v AND f THEN 'extra' WHEN v THEN 'extra,how-to-run' WHEN f THEN 'extra,what-is' ELSE 'extra,how-to-run,what-is' END AS ungrounded, 'extra' AS extra FROM q""")
+@query("""WITH q AS (SELECT o_orderkey AS page, o_orderkey % 2 = 0 AS v, o_orderkey % 3 = 0 AS f, o_orderkey % 5 = 0 AS all_asked, o_orderkey % 7 AS w FROM orders)
+    SELECT page, CASE WHEN v AND f THEN 'how-to-run,what-is' WHEN v THEN 'what-is' WHEN f THEN 'how-to-run' ELSE '' END AS answered,
+    array_to_string(list_filter(['how-to-run', 'limits', 'what-is'], lambda x: NOT (x = 'what-is' AND v OR x = 'how-to-run' AND f OR x = 'limits' AND all_asked)), ',') AS missing,
+    CASE WHEN v AND f THEN 'extra' WHEN v THEN 'extra,how-to-run' WHEN f THEN 'extra,what-is' ELSE 'extra,how-to-run,what-is' END AS ungrounded, 'extra' AS extra,
+    CASE WHEN w IN (1, 4) THEN 'open_questions_forbidden' WHEN w = 2 THEN 'test_strategy_forbidden' WHEN w = 3 THEN 'comparison_forbidden' WHEN v AND f AND all_asked THEN 'ok' ELSE 'partial' END AS outcome FROM q""")
 def coverage_gate(spark, sf_dir):
+    """Answered, missing and ungrounded questions of pages, and what that comes to; some pages have sections that they mustn't."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
-    text = "# T\n## One\n<!-- answers: what-is -->\nSee [[node:a.b]].\n## Two\n<!-- answers: how-to-run -->\nSource: [main.go](L1)\n## Three\n<!-- answers: extra -->\nnothing\n"
-    required = o.select("page", F.explode(F.array(*map(F.lit, ("what-is", "how-to-run", "limits")))).alias("question"))
+    worse = F.element_at(F.array(*map(F.lit, ("## Other\n", "## Open Questions \n", "## test strategy\n", "## Comparison with alternatives\nx\n", "## Test Strategy\n## open questions\n", "### Open questions\n", "text ## Open questions\n"))), (F.col("page") % 7 + 1).cast("int"))
+    text = F.concat(F.lit("# T\n## One\n<!-- answers: what-is -->\nSee [[node:a.b]].\n## Two\n<!-- answers: how-to-run -->\nSource: [main.go](L1)\n## Three\n<!-- answers: extra -->\nnothing\n"), worse)
+    required = o.select("page", F.explode(F.when(F.col("page") % 5 == 0, F.array(F.lit("what-is"), F.lit("how-to-run"))).otherwise(F.array(*map(F.lit, ("what-is", "how-to-run", "limits"))))).alias("question"))
     one = lambda when, kind, target: o.where(when).select("page", F.lit(kind).alias("kind"), F.lit(target).alias("target"))
-    out = K.coverage(o.withColumn("text", F.lit(text)), required, one("page % 2 = 0", "node", "a.b").union(one("page % 3 = 0", "file", "main.go")))
-    return out.select("page", *(F.array_join(c, ",").alias(c) for c in ("answered", "missing", "ungrounded", "extra")))
+    docs = o.withColumn("text", text)
+    out = K.coverage(docs, required, one("page % 2 = 0", "node", "a.b").union(one("page % 3 = 0", "file", "main.go"))).join(docs, "page")
+    return out.select("page", *(F.array_join(c, ",").alias(c) for c in ("answered", "missing", "ungrounded", "extra")), K.coverage_outcome(F.col("text"), F.col("missing")).alias("outcome"))
 
 
 @query("SELECT o_orderkey AS page, '# T' || chr(10) || '## Keep' || chr(10) || 'a' || chr(10) || '## Last' || chr(10) || o_orderkey AS text FROM orders")
@@ -420,10 +431,17 @@ def steering_pages(spark, sf_dir):
     return out.select("pos", "title", F.when(F.col("parent").isNotNull(), F.upper("parent")).alias("parent"))
 
 
-@query("SELECT 'code' AS mode, 'code' AS stores UNION ALL SELECT 'wiki', 'repo_docs' UNION ALL SELECT 'mixed', 'code,repo_docs'")
+@query("WITH h AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'repo_docs' ELSE 'md_collections' END AS store FROM documents) SELECT mode, doc_id FROM h, (VALUES ('code', ['code']), ('wiki', ['repo_docs']), ('mixed', ['code', 'repo_docs']), ('asked', ['md_collections', 'code'])) m(mode, stores) WHERE list_contains(stores, store)")
 def retrieval_modes(spark, sf_dir):
-    """Which stores each mode of retrieval reads."""
-    return spark.createDataFrame([(m, ",".join(sorted(H.stores_of(H.layers_of(m))))) for m in H.MODES], "mode string, stores string")
+    """The hits of the stores that each mode of retrieval reads, and of stores that are asked for by name."""
+    store = F.element_at(F.array(*map(F.lit, ("code", "repo_docs", "md_collections"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    hits = table(spark, sf_dir, "documents").select("doc_id", store.alias("store"))
+    wanted = {m: H.stores_of(H.layers_of(m)) for m in H.MODES} | {"asked": H.stores_of(H.layers_of("wiki"), ("md_collections", "code"))}
+    out = None
+    for mode, stores in wanted.items():
+        rows = hits.where(F.col("store").isin(sorted(stores))).select(F.lit(mode).alias("mode"), "doc_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("""WITH g AS (SELECT o_custkey AS repo, o_orderkey % 6 AS i FROM orders GROUP BY ALL), r AS (SELECT repo, 'Usage' AS label, 'README.md' AS path, 3::BIGINT AS line, '## Usage' || chr(10) || 'run it' AS snippet, 0 AS part FROM g WHERE i = 0
@@ -448,11 +466,20 @@ def error_types(spark, sf_dir):
     return D.error_types(nodes).select("qualified_name")
 
 
-@query("SELECT doc_id::VARCHAR AS path, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS body, len(string_split(text, chr(10))) > 4 AS truncated FROM documents WHERE octet_length(encode(array_to_string(string_split(text, chr(10))[2:4], chr(10)))) <= 20000 AND NOT contains(text, chr(0))")
+#: Lines two to four of each document, made some 25 kB long by repetition where the id is divisible by 3, up to 20,000 bytes on a character's edge.
+_READS = """WITH d AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'x' || chr(10) || repeat(replace(text, chr(10), ' ') || 'é', (1 + 25000 // greatest(1, octet_length(encode(text))))::INT) ELSE text END AS text FROM documents WHERE NOT contains(text, chr(0))),
+    l AS (SELECT path, string_split(text, chr(10)) AS l FROM d), b AS (SELECT path, l, array_to_string(l[2:4], chr(10)) AS body FROM l), e AS (SELECT *, encode(body) AS raw, octet_length(encode(body)) AS n FROM b),
+    c AS (SELECT *, CASE WHEN n <= 20000 THEN n ELSE 20000 - (CASE WHEN NOT regexp_matches(hex(array_slice(raw, 20001, 20001)), '^[89AB]') THEN 0 WHEN NOT regexp_matches(hex(array_slice(raw, 20000, 20000)), '^[89AB]') THEN 1 WHEN NOT regexp_matches(hex(array_slice(raw, 19999, 19999)), '^[89AB]') THEN 2 ELSE 3 END) END AS z FROM e)
+    SELECT path, decode(array_slice(raw, 1, z)) AS body, n > 20000 OR len(l) > 4 AS truncated FROM c"""
+
+
+@query(_READS)
 def checkout_reads(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    out = D.read_text(docs, 1, 3)
-    return out.where(F.octet_length("body") < D.READ_BYTES - 3)
+    """Reads that end at their lines, and reads that the cap of bytes cuts."""
+    text = F.col("text")
+    long = F.concat(F.lit("x\n"), F.expr("repeat(concat(replace(text, '\n', ' '), 'é'), cast(1 + 25000 div greatest(1, octet_length(text)) as int))"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, long).otherwise(text).alias("content"))
+    return D.read_text(docs, 1, 3)
 
 
 @query("SELECT regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(url, '://[^/?#]*/en/[^?#]*') ORDER BY 1 LIMIT 200")
@@ -523,18 +550,30 @@ def appended_log(spark, sf_dir):
     return spark.read.parquet(f"{path}/rows").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
 
 
-_BUNDLE = """WITH g AS (SELECT p_partkey AS id, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t = 'widget')) AS n FROM part), c AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM g WHERE n > 0 QUALIFY rank <= 300),
-    d AS (SELECT doc_id AS id, row_number() OVER (ORDER BY len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t = 'widget')) DESC, doc_id) AS rank FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'widget'))
-    (SELECT 'code' AS part, id::VARCHAR AS id FROM c ORDER BY round(1.0 / (60 + rank), 12) DESC, id::VARCHAR LIMIT 12) UNION ALL (SELECT 'docs', id::VARCHAR FROM d ORDER BY rank LIMIT 6)
-    UNION ALL (SELECT 'pivot', id::VARCHAR FROM c ORDER BY round(1.0 / (60 + rank), 12) DESC, id::VARCHAR LIMIT 5)"""
+_BUNDLE = """WITH g AS (SELECT p_partkey AS id, p_name AS text, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t = 'widget')) AS n FROM part), c AS (SELECT id, text, row_number() OVER (ORDER BY n DESC, id) AS rank FROM g WHERE n > 0 QUALIFY rank <= 300),
+    d AS (SELECT doc_id AS id, text, row_number() OVER (ORDER BY len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t = 'license')) DESC, doc_id) AS rank FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'license')),
+    u AS ((SELECT 'code' AS part, id, text FROM c ORDER BY round(1.0 / (60 + rank), 12) DESC, id::VARCHAR LIMIT 12) UNION ALL (SELECT 'docs', id, text FROM d ORDER BY rank LIMIT 6)
+    UNION ALL (SELECT 'pivot', id, NULL FROM c ORDER BY round(1.0 / (60 + rank), 12) DESC, id::VARCHAR LIMIT 5) UNION ALL (SELECT 'section docs', id, text FROM d ORDER BY rank LIMIT 4))
+    SELECT part, id::VARCHAR AS id, CASE WHEN length(text) > 1200 THEN substring(text, 1, 1200) || '…' ELSE text END AS snippet FROM u"""
 
 
 @query(_BUNDLE)
 def page_bundle(spark, sf_dir):
+    """What a page and one of its sections are written from, with the texts of the hits up to their cap."""
+    from lodestone.operators import token_index as TI
     from lodestone.plans.tables import calls, parts_as_nodes
 
-    code = H.Store(table(spark, sf_dir, "part"), "p_partkey", {"A": "p_name"})
-    docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "text"})
-    out = H.page_bundle(code, docs, calls(spark, sf_dir), parts_as_nodes(spark, sf_dir), "widget", None)
-    rows = [out[n].select(F.lit(n).alias("part"), F.col("id").cast("string").alias("id")) for n in ("code", "docs", "pivot")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    parts, texts = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents")
+    code = H.Store(parts, "p_partkey", {"A": "p_name"}, tokens=TI.token_index(parts, "p_partkey", {"A": "p_name"}))
+    docs = H.Store(texts, "doc_id", {"D": "text"}, tokens=TI.token_index(texts, "doc_id"))
+    graph = calls(spark, sf_dir), parts_as_nodes(spark, sf_dir)
+    page = H.page_bundle(code, docs, *graph, "widget", None)
+    docs_only = H.page_bundle(code, docs, *graph, "license", None, k_pivot=0)["docs"]
+    section = H.section_bundle(code, docs, *graph, "::", "license", None)["docs"]
+    rows = [H.with_snippets(page["code"], parts, "p_partkey", "p_name").select(F.lit("code").alias("part"), "id", "snippet")]
+    rows += [H.with_snippets(hits, texts, "doc_id", "text").select(F.lit(n).alias("part"), "id", "snippet") for n, hits in (("docs", docs_only), ("section docs", section))]
+    rows.append(page["pivot"].select(F.lit("pivot").alias("part"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("snippet")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

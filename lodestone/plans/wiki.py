@@ -92,6 +92,38 @@ def outline_topics(spark, sf_dir):
     return K.docs_outline(docs, part.where("p_size > 40").select(F.col("p_name").alias("name")))
 
 
+_RECORDS = """SELECT conv_id AS page, turn AS pos, role || (turn % 3) AS record_id, ['code_node', 'file', 'doc'][turn % 3 + 1] AS source, CASE WHEN turn % 3 = 0 THEN 'q.' || role END AS qn, CASE WHEN turn % 6 <> 3 THEN 'f' || turn || '.py' END AS file_path, CASE WHEN turn % 2 = 0 THEN turn END AS start_line, turn + 9 AS end_line, text AS snippet FROM conversations"""
+
+
+@query(rf"""WITH r AS ({_RECORDS}), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page, record_id ORDER BY pos) = 1), v AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos DESC) AS last, count(*) OVER (PARTITION BY page) AS n FROM l),
+    s AS (SELECT *, regexp_replace(coalesce(snippet, ''), '^\s+|\s+$', '', 'g') AS sn FROM v), b AS (SELECT *, '[' || record_id || '] ' || CASE source WHEN 'code_node' THEN 'node:' || coalesce(qn, '<unknown>') WHEN 'doc' THEN 'doc:' || coalesce(file_path, '<unknown>') ELSE 'file:' || coalesce(file_path, '<unknown>') END
+        || CASE WHEN source = 'code_node' AND file_path IS NOT NULL THEN chr(10) || '  file: ' || file_path || CASE WHEN start_line IS NOT NULL THEN ':' || start_line || '-' || end_line ELSE '' END ELSE '' END
+        || CASE WHEN sn <> '' THEN chr(10) || '  snippet: ' || replace(CASE WHEN length(sn) > 320 THEN substring(sn, 1, 320) || '…' ELSE sn END, chr(10), chr(10) || '    ') ELSE '' END AS block FROM s),
+    u AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY page ORDER BY pos) AS used FROM b WHERE last <= 3),
+    g AS (SELECT page, any_value(n) AS n, count(*) FILTER (used <= 700) AS n_in, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY pos) FILTER (used <= 700), '') AS body FROM u GROUP BY page),
+    t AS (SELECT *, greatest(n - 3, 0) AS n_earlier, least(n, 3) - n_in AS n_cut FROM g)
+    SELECT page, body || CASE WHEN n_earlier + n_cut > 0 THEN chr(10) || chr(10) || concat_ws(chr(10), CASE WHEN n_earlier > 0 THEN '... [' || n_earlier || ' earlier records elided]' END, CASE WHEN n_cut > 0 THEN '... [' || n_cut || ' more records truncated for budget]' END) ELSE '' END AS pack, n_earlier, n_cut FROM t""")
+def ledger_packs(spark, sf_dir):
+    """What was looked up for each page, the last three records as text, with what didn't fit told at the end."""
+    return K.packed(K.ledger(_records(spark, sf_dir)), 3, 700)
+
+
+@query(rf"WITH r AS ({_RECORDS}), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page, record_id ORDER BY pos) = 1) SELECT DISTINCT page, CASE source WHEN 'code_node' THEN 'node' ELSE source END AS kind, CASE source WHEN 'code_node' THEN qn ELSE file_path END AS target FROM l WHERE CASE source WHEN 'code_node' THEN qn ELSE file_path END IS NOT NULL")
+def ledger_verified(spark, sf_dir):
+    """What the records of each page prove."""
+    return K.verified(K.ledger(_records(spark, sf_dir)))
+
+
+def _records(spark, sf_dir):
+    """Turns of conversations as evidence records; a page meets some ids again."""
+    t = F.col("turn")
+    source = F.element_at(F.array(*map(F.lit, ("code_node", "file", "doc"))), (t % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("page"), t.alias("pos"), F.concat("role", (t % 3).cast("string")).alias("record_id"), source.alias("source"), F.when(t % 3 == 0, F.concat(F.lit("q."), "role")).alias("qn"),
+        F.when(t % 6 != 3, F.concat(F.lit("f"), t.cast("string"), F.lit(".py"))).alias("file_path"), F.when(t % 2 == 0, t).alias("start_line"), (t + 9).alias("end_line"), F.col("text").alias("snippet"),
+    )
+
+
 @query("""WITH e AS (SELECT l_orderkey AS page, l_linenumber::BIGINT * 10000000000 + l_partkey * 10000 + l_suppkey AS pos, l_returnflag AS kind, l_partkey % 50 AS id, l_returnflag || l_partkey AS text FROM lineitem), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY page, kind, id ORDER BY pos) = 1)
     SELECT page, kind, id, sum(length(text)) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM f QUALIFY used <= 12""")
 def evidence_packs(spark, sf_dir):

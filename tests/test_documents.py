@@ -114,3 +114,47 @@ def test_clusters_are_bounded_by_importance_and_gated(spark, monkeypatch):
     tenants = spark.createDataFrame([(0, 15, False), (1, 3, False)], "tenant int, public_surface int, generated boolean")
     labels = spark.createDataFrame([(r["tenant"], r["id"], r["cluster"]) for r in got], "tenant int, id long, cluster long")
     assert {r["tenant"] for r in clusters.worth_showing(labels, tenants, "tenant").collect()} == {0}
+
+
+def test_ledger_packs_and_what_they_prove(spark):
+    from lodestone.operators import wiki as K
+
+    rows = [(1, k, f"r{k % 5}", ["code_node", "file", "doc"][k % 3], f"q{k}", f"f{k}" if k != 4 else None, k if k % 2 else None, k + 1, " a\nb " if k else "x" * 400) for k in range(8)]
+    df = spark.createDataFrame(rows, "page int, pos int, record_id string, source string, qn string, file_path string, start_line int, end_line int, snippet string")
+    records = K.ledger(df)
+    assert sorted(r["pos"] for r in records.collect()) == [0, 1, 2, 3, 4]
+    assert {(r["kind"], r["target"]) for r in K.verified(records).collect()} == {("node", "q0"), ("file", "f1"), ("doc", "f2"), ("node", "q3")}
+    (whole,) = K.packed(records).collect()
+    first = whole["pack"].split("\n\n")[0]
+    assert first == f"[r0] node:q0\n  file: f0\n  snippet: {'x' * 320}…" and (whole["n_earlier"], whole["n_cut"]) == (0, 0)
+    assert "[r3] node:q3\n  file: f3:3-4\n  snippet: a\n    b" in whole["pack"] and "[r4] file:<unknown>" in whole["pack"]
+    (cut,) = K.packed(records, 3, 60).collect()
+    assert cut["pack"] == "[r2] doc:f2\n  snippet: a\n    b\n\n... [2 earlier records elided]\n... [2 more records truncated for budget]"
+    assert K.packed(records, 3, 1).first()["pack"].strip().startswith("... [2 earlier")
+
+
+def test_outcomes_and_markers(spark):
+    from lodestone.operators import wiki as K
+
+    cases = [("## Open questions\n## Test strategy", [], "open_questions_forbidden"), ("x\n##  TEST STRATEGY \n", ["q"], "test_strategy_forbidden"), ("## comparison with alternatives", [], "comparison_forbidden"), ("### Open questions", ["q"], "partial"), ("## Open questions?", [], "ok"), (None, [], "ok")]
+    df = spark.createDataFrame(cases, "text string, missing array<string>, want string")
+    for r in df.select("want", K.coverage_outcome(F.col("text"), F.col("missing")).alias("got")).collect():
+        assert r["got"] == r["want"]
+    text = "<!-- answers: a.b -->x<!-- answers: axb --><!-- answers: c -->"
+    got = spark.range(1).select(K.without_markers(F.lit(text), F.array(F.lit("a.b"), F.lit("c")))).first()[0]
+    assert got == "x<!-- answers: axb -->"
+
+
+def test_bodies_of_collections_match_by_stem(spark):
+    from lodestone.operators import routing
+    from lodestone.operators import token_index as TI
+
+    docs = spark.createDataFrame([(1, "Licensing the work"), (2, "unlicensed"), (3, None), (4, "apache apaches")], "id long, text string")
+    of = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "a"), (4, "d")], "id long, label string")
+    index = TI.token_index(docs, "id", english=True)
+    bodies = routing.body_matches(index, "the license Apache", of)
+    assert {r["label"]: sorted(r["in_body"]) for r in bodies.collect()} == {"a": ["apache", "license"], "d": ["apache"]}
+    rows = spark.createDataFrame([("a", ""), ("b", "the license"), ("c", ""), ("d", "")], "label string, headings string")
+    got = {r["label"]: sorted(r["matched"]) for r in routing.route_collections(rows, "the license Apache", 9, bodies=bodies).collect()}
+    assert got == {"a": ["apache", "license"], "b": ["license"], "c": [], "d": ["apache"]}
+    assert routing.body_matches(index, "the of", of).count() == 0
