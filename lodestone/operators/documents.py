@@ -88,12 +88,13 @@ MANIFESTS = {
 def manifest_facts(files: DataFrame, most: int = 30) -> DataFrame:
     """(kind, value, path, line): facts of files(path, content), the first place of each, ``most`` of a kind."""
     name = F.element_at(F.split("path", "/"), -1)
-    out = None
-    for file, rules in MANIFESTS.items():
-        for kind, pattern in rules:
-            rows = files.where(name == file).select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-            rows = rows.select(F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("value"), "path", (F.col("pos") + 1).cast("long").alias("line"))
-            out = rows if out is None else out.unionByName(rows)
+    named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    rules = None
+    for file, own in MANIFESTS.items():
+        found = [F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), named(kind)) for kind, pattern in own]
+        rules = (F.when if rules is None else rules.when)(F.col("name") == file, F.concat(*found))
+    lines = files.where(name.isin(*MANIFESTS)).select("path", name.alias("name"), F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    out = lines.select("path", (F.col("pos") + 1).cast("long").alias("line"), F.explode(rules).alias("f")).select("f.kind", "f.value", "path", "line")
     first = out.withColumn("_n", F.row_number().over(W.partitionBy("kind", "value").orderBy("path", "line"))).where("_n = 1").drop("_n")
     return first.withColumn("_n", F.row_number().over(W.partitionBy("kind").orderBy("path", "line", "value"))).where(F.col("_n") <= most).drop("_n")
 

@@ -198,60 +198,99 @@ def neighbours(edges: DataFrame, nodes: DataFrame, id) -> DataFrame:
     return callers.union(callees).distinct().join(nodes.select("id", "name"), "id").select("direction", "id", "name")
 
 
+#: A source of more links than this is a hub: its links are spread over files instead of lying in one bucket.
+HUB_DEGREE = 100_000
+BROADCAST_HUBS = 1_000_000  # more of them, though fewer than links / HUB_DEGREE, are joined by a shuffle
+
+
+class _Links:
+    """links(at, ...) laid out for joins with a table that is bucketed by ``id``: those of usual sources are bucketed alike, so that a
+    join moves neither side; those of hubs lie anywhere, and the few rows for hubs of the other side go to them."""
+
+    def __init__(self, links: DataFrame, name: str, hub_degree: int | None = None):
+        hub_degree = hub_degree or HUB_DEGREE
+        links = stored(links, f"{name}-all")
+        hubs = links.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > hub_degree).select(F.col("at").alias("hub"))
+        self.hubs = stored(hubs, f"{name}-hubs")
+        self.n_hubs = self.hubs.count()
+        self.some = links.columns
+        small = (lambda df: F.broadcast(df)) if self.n_hubs <= BROADCAST_HUBS else (lambda df: df)
+        self.small = small
+        usual = links.join(small(self.hubs), F.col("at") == F.col("hub"), "left_anti") if self.n_hubs else links
+        self.usual = stored_by(usual, f"{name}-links", "at")
+        self.of_hubs = stored(links.join(small(self.hubs), F.col("at") == F.col("hub"), "left_semi"), f"{name}-of-hubs") if self.n_hubs else None
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        """Each link with the row of rows(id, ...) that it leaves."""
+        own = rows.withColumnRenamed("id", "at")
+        out = self.usual.join(own, "at")
+        if self.of_hubs is None:
+            return out
+        few = own.join(self.small(self.hubs), F.col("at") == F.col("hub"), "left_semi")
+        return out.unionByName(self.of_hubs.join(self.small(few), "at"))
+
+
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callees", max_nodes: int | None = None) -> DataFrame:
     """(id, distance) of nodes within ``depth`` hops of roots(id), first distance kept.
 
     With max_nodes, hops add nodes in the order of the position of the node that they are found
-    from, callers before callees, then id, until so many were found besides the roots. Steps are
-    bucketed by where they begin, so a hop moves only its frontier, which is written to the shared folder,
-    as the next ones read it several times.
+    from, callers before callees, then id, until so many were found besides the roots. Steps and frontiers are
+    bucketed by node, hubs apart (_Links), so a hop moves what it finds once, combined by node, and what was
+    found before doesn't move. A frontier is written to the shared folder if another hop follows.
     """
     out = edges.select(F.col("src").alias("at"), F.col("dst").alias("id"), F.lit(1).alias("way"))
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("id"), F.lit(0).alias("way"))
-    steps = stored_by({"callees": out, "callers": back, "both": out.union(back)}[direction].distinct(), "bfs-steps", "at")
-    visited = roots.select("id", F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("position")).distinct()
-    frontier, left = visited, max_nodes
+    steps = _Links({"callees": out, "callers": back, "both": out.union(back)}[direction].distinct().withColumnRenamed("id", "to"), "bfs")
+    first = roots.select("id", F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("position")).distinct()
+    seen, left = [stored_by(first, "bfs-roots", "id")], max_nodes
     for hop in range(1, depth + 1):
-        found = frontier.select(F.col("id").alias("at"), F.col("position").alias("from_position")).join(steps, "at").join(visited.select("id"), "id", "left_anti")
-        first = found.groupBy("id").agg(F.min(F.struct("from_position", "way")).alias("o"))
+        found = steps.joined(seen[-1].select("id", "position"))
+        fresh = found.groupBy(F.col("to").alias("id")).agg(F.min(F.struct("position", "way")).alias("o"))
+        for known in seen:
+            fresh = fresh.join(known.select("id"), "id", "left_anti")
         if left is None:
-            frontier = stored(first.select("id", F.lit(hop).cast("long").alias("distance"), F.lit(0).cast("long").alias("position")), "bfs")
+            frontier = fresh.select("id", F.lit(hop).cast("long").alias("distance"), F.lit(0).cast("long").alias("position"))
         else:
-            kept = first.orderBy("o.from_position", "o.way", "id").limit(left)
-            frontier = kept.select("id", F.lit(hop).cast("long").alias("distance"), F.row_number().over(W.orderBy("o.from_position", "o.way", "id")).cast("long").alias("position"))
-            frontier = stored(frontier, "bfs")
+            kept = fresh.orderBy("o.position", "o.way", "id").limit(left)
+            frontier = kept.select("id", F.lit(hop).cast("long").alias("distance"), F.row_number().over(W.orderBy("o.position", "o.way", "id")).cast("long").alias("position"))
+        if left is not None or hop < depth:
+            frontier = stored_by(frontier, "bfs-frontier", "id")
+        seen.append(frontier)
+        if left is not None:
             left -= frontier.count()
-        visited = visited.unionByName(frontier)
-        if left is not None and left <= 0:
-            break
-    return visited.select("id", "distance")
+            if left <= 0:
+                break
+    out = seen[0]
+    for part in seen[1:]:
+        out = out.unionByName(part)
+    return out.select("id", "distance")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank): dangling mass spread evenly, loops and edges to unknown nodes ignored, sum 1.
 
-    Links are bucketed by their source once, so a round moves the ranks, not the links: one join and one
-    aggregation that combines before its shuffle. Its ranks are written to the shared folder, so plans don't
+    Links are bucketed by their source and ranks alike, hubs apart (_Links), so a round moves neither; it shuffles what the links
+    carry once, combined by target before. Its ranks are written to the shared folder, so plans don't
     grow; their sum, the dangling mass and the movement, the only scalars, are observed on the way. Stops once the ranks move less than ``tolerance`` in all.
     Repeated edges count as often as they occur.
     """
     ids = nodes.select("id").distinct()
     known = edges.where("src != dst").select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     degree = known.groupBy("src").agg(F.count("*").alias("degree"))
-    links = stored_by(known.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "pagerank-links", "src")
-    outs = links.select(F.col("src").alias("id")).distinct().withColumn("dangling", F.lit(False))
-    ids = stored(ids.join(outs, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), "pagerank-nodes")
+    links = _Links(known.join(degree, "src").select(F.col("src").alias("at"), "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "pagerank")
+    outs = degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling"))
+    ids = stored_by(ids.join(outs, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")), "pagerank-nodes", "id")
     n, loose = ids.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
     loose /= n
     ranks, total = ids.select("id", "dangling", F.lit(1.0 / n).alias("rank")), 1.0
     for _ in range(rounds):
-        moved = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
+        moved = links.joined(ranks.select("id", "rank")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         new = ranks.join(moved, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + loose / n)).alias("rank"), F.col("rank").alias("old"))
         seen = Observation()  # sums of the round, taken while it is written
         new = new.observe(seen, F.sum("rank").alias("total"), F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"))
-        ranks = stored(new.drop("old"), "pagerank-ranks")
+        ranks = stored_by(new.drop("old"), "pagerank-ranks", "id")
         total, loose, moved_by = (seen.get[k] for k in ("total", "loose", "moved"))
         if moved_by < tolerance:
             break

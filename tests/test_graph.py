@@ -106,3 +106,21 @@ def test_pagerank_rule_matches_plain_iteration(spark):
         rank = {i: 0.15 / len(ids) + 0.85 * (loose / len(ids) + sum(rank[s] / len(out[s]) for s in ids if i in out[s])) for i in ids}
     got = ranks(spark, pairs)
     assert sum(abs(got[i] - rank[i]) for i in ids) < 1e-5
+
+
+def test_hubs_are_spread_and_change_nothing(spark, monkeypatch):
+    """One source of 100,000 links: several files, and the ranks and distances of a layout without hubs."""
+    edges = spark.range(100_000).selectExpr("cast(0 as long) src", "id + 1 dst", "'calls' type").union(spark.createDataFrame([(1, 200_000, "calls"), (200_000, 0, "calls"), (7, 200_001, "calls")], "src long, dst long, type string"))
+    nodes = spark.range(200_002).where("id <= 100000 or id >= 200000")
+    roots = spark.createDataFrame([(200_000,)], "id long")
+    found = {}
+    for degree in (10**9, 1000):
+        monkeypatch.setattr(G, "HUB_DEGREE", degree)
+        ranks = {r["id"]: round(r["rank"], 12) for r in G.pagerank(edges, nodes, rounds=4).collect()}
+        capped = sorted(map(tuple, G.bfs(edges, roots, 3, "both", 50).collect()))
+        found[degree] = ranks, sorted(map(tuple, G.bfs(edges, roots, 3, "callees").collect())), capped
+    assert found[10**9] == found[1000] and len(found[1000][1]) == 100_003
+    links = G._Links(edges.selectExpr("src at", "dst"), "test")
+    assert links.n_hubs == 1 and len(links.of_hubs.inputFiles()) > 1 and links.of_hubs.count() == 100_000
+    plan = links.joined(roots)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
