@@ -60,45 +60,45 @@ def terms_of(words: Words) -> pa.StringArray:
 
 
 def _combined(parts: list[pa.Table]) -> pa.Table:
-    keys = ["lang", "source", "term"]
+    keys = ["group", "term"]
     return pa.concat_tables(parts).group_by(keys).aggregate([("n_docs", "sum"), ("n", "sum")]).select([*keys, "n_docs_sum", "n_sum"]).rename_columns([*keys, "n_docs", "n"])
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of COUNTS; every group also has a row of the empty term."""
-    schema = pa.schema([("lang", pa.large_string()), ("source", pa.large_string()), ("term", pa.large_string()), ("n_docs", pa.int64()), ("n", pa.int64())])
+    """Rows of COUNTS; every group also has a row of the empty term. A task's groups are numbered while it counts."""
+    schema = pa.schema([("group", pa.int32()), ("term", pa.large_string()), ("n_docs", pa.int64()), ("n", pa.int64())])
+    numbers: dict[tuple[str, str], int] = {}
     held: list[pa.Table] = []
     rows = 0
 
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from table.cast(pa.schema([(f.name, pa.string() if k < 3 else pa.int64()) for k, f in enumerate(schema)])).to_batches(max_chunksize=20_000)
+        lang, source = (pa.array([k[i] for k in numbers], pa.string()) for i in (0, 1))
+        for batch in table.to_batches(max_chunksize=20_000):
+            group = batch.column("group")
+            yield pa.record_batch([lang.take(group), source.take(group), batch.column("term").cast(pa.string()), batch.column("n_docs"), batch.column("n")], names=["lang", "source", "term", "n_docs", "n"])
 
     for part, words in slices(batches, inside=_LETTER):
-        lang, source = (part.column(k).cast(pa.large_string()) for k in (1, 2))
+        names = part.select(["lang", "source"]).to_pylist()
+        group = np.array([numbers.setdefault((r["lang"], r["source"]), len(numbers)) for r in names], np.int64)
         term = terms_of(words).dictionary_encode()
         code, n_terms = np.asarray(term.indices, np.int64), max(1, len(term.dictionary))
-        # Groups of the slice, by the first row of each.
-        names = pa.table({"lang": lang, "source": source, "row": pa.array(np.arange(part.num_rows))})
-        firsts = names.group_by(["lang", "source"]).aggregate([("row", "min")])
-        first = np.asarray(firsts["row_min"], np.int64)
-        number = names.join(firsts.append_column("group", pa.array(np.arange(len(first)))), ["lang", "source"]).sort_by("row")
-        group = np.asarray(number["group"], np.int64)
         row = words.row
         by_doc = np.unique(row * n_terms + code)  # each text's terms once
         docs = group[by_doc // n_terms] * n_terms + by_doc % n_terms
         key, n = np.unique(group[row] * n_terms + code, return_counts=True)
         n_docs = np.bincount(np.searchsorted(key, docs), minlength=len(key)).astype(np.int64)
-        at = first[key // n_terms]
-        held.append(pa.table([lang.take(pa.array(at)), source.take(pa.array(at)), term.dictionary.take(pa.array(key % n_terms)), pa.array(n_docs), pa.array(n.astype(np.int64))], schema=schema))
-        zero = pa.array(np.zeros(len(first), np.int64))
-        held.append(pa.table([lang.take(pa.array(first)), source.take(pa.array(first)), pa.array([""] * len(first), pa.large_string()), zero, zero], schema=schema))
-        rows += len(key) + len(first)
+        held.append(pa.table([pa.array((key // n_terms).astype(np.int32)), term.dictionary.take(pa.array(key % n_terms)), pa.array(n_docs), pa.array(n.astype(np.int64))], schema=schema))
+        own = np.unique(group).astype(np.int32)
+        zero = pa.array(np.zeros(len(own), np.int64))
+        held.append(pa.table([pa.array(own), pa.array([""] * len(own), pa.large_string()), zero, zero], schema=schema))
+        rows += len(key) + len(own)
         if rows > COMBINE_ROWS:
             held = [_combined(held)]
             rows = held[0].num_rows
             if rows > FLUSH_ROWS:
                 yield from out(held[0])
                 held, rows = [], 0
+                numbers.clear()
     if held:
         yield from out(_combined(held))
 
