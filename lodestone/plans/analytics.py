@@ -151,10 +151,10 @@ def first_chunk_excerpt(spark, sf_dir):
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),
     c AS (SELECT doc_id, w, n, unnest(range(0, CASE WHEN n <= 512 THEN 1 ELSE ceil((n - 512) / 448.0)::BIGINT + 1 END)) AS chunk_index FROM n)
-    SELECT doc_id, chunk_index, least(512, n - chunk_index * 448) AS n_words, w[chunk_index * 448 + 1] AS head FROM c""")
+    SELECT c.doc_id, chunk_index, least(512, n - chunk_index * 448) AS n_words, sha256(CASE WHEN n <= 512 THEN trim(text) ELSE array_to_string(w[chunk_index * 448 + 1:chunk_index * 448 + 512], ' ') END) AS hash FROM c JOIN documents d ON d.doc_id = c.doc_id""")
 def word_window_chunks(spark, sf_dir):
     out = P.word_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.select("doc_id", "chunk_index", "n_words", F.regexp_extract("content", r"^(\S+)", 1).alias("head"))
+    return out.select("doc_id", "chunk_index", "n_words", F.sha2("content", 256).alias("hash"))
 
 
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>')) AS raw, generate_subscripts(regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>'), 1) - 1 AS pos FROM pages)

@@ -320,6 +320,39 @@ def canonical_calls(spark, sf_dir):
     return G.canonical_calls(calls, own, modules).select(F.col("src").alias("source"), "raw", "target")
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), e AS (SELECT 'z' || doc_id AS archive, 'src/a' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash, NULL AS error FROM d
+    UNION ALL SELECT 'z' || doc_id, '../b' || doc_id, 4, NULL, 'leaves its folder' FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 'z' || doc_id, 'link', 4, NULL, 'is a link' FROM d WHERE doc_id % 3 = 0
+    UNION ALL SELECT 'z' || doc_id, '.gitignore', 6, sha256('*.log' || chr(10)), NULL FROM d UNION ALL SELECT 'z' || doc_id, 'keep.md', 4, sha256('keep'), NULL FROM d) SELECT * FROM e WHERE archive <> 'z7' UNION ALL SELECT 'z7', '', 0, NULL, 'File is not a zip file' FROM d WHERE doc_id = 7""")
+def zip_archives(spark, sf_dir):
+    """An archive for each document, with entries that leave its folder, links, and files that its own rules leave out; one is no archive."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def packed(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for k, text in zip(b["doc_id"], b["text"], strict=True):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"src/a{k}.txt", text)
+                    if k % 2 == 0:
+                        z.writestr(f"../b{k}", "evil")
+                    if k % 3 == 0:
+                        link = zipfile.ZipInfo("link")
+                        link.external_attr = 0o120777 << 16
+                        z.writestr(link, "away")
+                    z.writestr(".gitignore", "*.log\n"), z.writestr("deep/x.log", "lost"), z.writestr("keep.md", "keep")
+                out.append((f"z{k}", b"no" if k == 7 else raw.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    found = S.unpacked(docs.mapInPandas(packed, "path string, content binary"))
+    return found.select("archive", "path", "size", F.sha2("content", 256).alias("hash"), "error")
+
+
 #: A command for each part, registered under the one before it, in chains of 24; ^ is the part's key and < the key before it.
 _COMMAND = """package main
 

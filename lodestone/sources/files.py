@@ -174,16 +174,20 @@ def zip_entries(raw: bytes) -> Iterator[tuple[str, int, bytes | None, str | None
         yield path, entry.file_size, None if error else archive.read(entry), error
 
 
-def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, size, content, error) of all files in zip archives."""
+def unpacked(archives: DataFrame) -> DataFrame:
+    """(archive, path, size, content, error) of all files in the zip archives(path, content)."""
 
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for archive, raw in zip(b["path"], b["content"], strict=True):
                 yield pd.DataFrame([(archive, *e) for e in zip_entries(raw)], columns=["archive", "path", "size", "content", "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(unpacked, "archive string, path string, size long, content binary, error string")
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, size long, content binary, error string")
+
+
+def read_zips(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, path, size, content, error) of all files in zip archives below a path."""
+    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path))
 
 
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:

@@ -158,3 +158,65 @@ def test_bodies_of_collections_match_by_stem(spark):
     got = {r["label"]: sorted(r["matched"]) for r in routing.route_collections(rows, "the license Apache", 9, bodies=bodies).collect()}
     assert got == {"a": ["apache", "license"], "b": ["license"], "c": [], "d": ["apache"]}
     assert routing.body_matches(index, "the of", of).count() == 0
+
+
+def plain_clusters(x, least):
+    """Sets of rows: components at falling distances, a split into two large parts starts new clusters, and a cluster stays if it has at
+    least the mass of what is chosen below it."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.sqrt(np.maximum(2 - 2 * unit @ unit.T, 0))
+
+    def parts(rows, cut):
+        left, out = set(rows), []
+        while left:
+            todo, own = [left.pop()], set()
+            while todo:
+                a = todo.pop()
+                own.add(a)
+                near = {b for b in left if d[a, b] < cut}
+                left -= near
+                todo += near
+            out.append(frozenset(own))
+        return out
+
+    def longest(rows):
+        """The distance at which these rows, one component below infinity, fall apart."""
+        rows = list(rows)
+        levels = sorted({d[a, b] for k, a in enumerate(rows) for b in rows[k + 1 :]}, reverse=True)
+        return next(level for level in levels if len(parts(rows, level)) > 1)
+
+    def walk(rows, birth, top):
+        """(mass chosen, sets chosen) at and below a cluster."""
+        mass, now = 0.0, frozenset(rows)
+        start = now
+        while True:
+            if len(now) == 1:
+                break
+            level = longest(now)
+            split = parts(now, level)
+            lam = 1 / max(level, 1e-9)
+            large = [p for p in split if len(p) >= least]
+            if len(large) >= 2:
+                mass += len(now) * (lam - birth)
+                below = [walk(p, lam, False) for p in large]
+                total = sum(b[0] for b in below)
+                if not top and mass >= total:
+                    return mass, [start]
+                return total, [s for b in below for s in b[1]]
+            if not large:
+                mass += len(now) * (lam - birth)
+                break
+            mass += (len(now) - len(large[0])) * (lam - birth)
+            now = large[0]
+        return (0.0, []) if top else (mass, [start])
+
+    return {s for s in walk(range(len(x)), 0.0, True)[1]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_density_labels_by_brute_force(seed):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(4, 5)) * 2
+    x = np.concatenate([c + draw.normal(0, 0.3, (draw.integers(3, 9), 5)) for c in centres] + [draw.normal(size=(5, 5))])
+    labels = clusters.density_labels(x)
+    assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist()) - {-1}} == plain_clusters(x, clusters.MIN_SIZE)
