@@ -46,7 +46,7 @@ SAMPLE, SAMPLE_BYTES = 8192, 32 << 20
 PARTS = 64
 PART_ROWS = 64  # sampled vectors of a part at least
 NEAR = 10  # neighbours of a vector in the graph
-AIM = 0.96
+AIM = 0.98
 BLOCK = 16_384
 MARGIN = 2e-5  # of a cosine in single precision
 SHARP = 8.0  # length of vectors that the classifier reads
