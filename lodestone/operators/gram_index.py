@@ -1,10 +1,10 @@
 """Index of trigrams: names that resemble a query, or hold it.
 
-A posting row is one trigram, one number of trigrams, and up to a chunk of the ids of the names that have both. Rows are kept in
-folders by the hash of their trigram. A name shares c trigrams with a query of q, so with n of its own its similarity
+A posting row is one trigram, one class of sizes (numbers of trigrams within a factor of two), and the names of a chunk that have both, each with its own
+number. Rows are kept in folders by the hash of their trigram. A name shares c trigrams with a query of q, so with n of its own its similarity
 is c / (n + q - c): the postings of the query's trigrams give c by counting, and no name is read.
 
-A name of similarity s or more has between s * q and q / s trigrams, so rows of other lengths are skipped where they lie. For a substring, a name must have all
+A name of similarity s or more has between s * q and q / s trigrams, so rows of other sizes are skipped where they lie. For a substring, a name must have all
 trigrams inside the query's words; names found so are confirmed by reading them. Queries without a word of three
 letters read all names, as nothing can be known from trigrams.
 """
@@ -12,8 +12,12 @@ letters read all names, as nothing can be known from trigrams.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +25,13 @@ from lodestone.functions import text as T
 from lodestone.operators import retrieval as R
 from lodestone.sources.indexes import kept
 
-LAYOUT = 1  # of the stored rows: another number makes new indexes
-CHUNK = 65_536  # names of a chunk
+LAYOUT = 3  # of the stored rows: another number makes new indexes
+CHUNK, CHUNKS = 65_536, 64  # names of a chunk, chunks of a folder in one file
 
 
 @dataclass(frozen=True)
 class GramIndex:
-    """postings(folder, gram, n_grams, chunk, ids) and how many folders there are."""
+    """postings(folder, gram, size, chunk, names) and how many folders there are."""
 
     postings: DataFrame
     folders: int
@@ -41,6 +45,27 @@ def _folder(gram: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(folders)).cast("int")
 
 
+def _size(n: Column) -> Column:
+    """The class of a number of trigrams, 1 or more: the place of its highest bit."""
+    return F.floor(F.log2(n)).cast("int")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (folder, gram, size, chunk, id, n) to rows with lists of names; a list ends with its batch at the latest."""
+    keys = ["folder", "gram", "size", "chunk"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = batch.column(k)
+            new[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)))
+        at = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, batch.num_rows).astype(np.int32)), pa.StructArray.from_arrays([batch.column("id"), batch.column("n")], ["id", "n"]))
+        yield pa.record_batch([*(batch.column(k).take(pa.array(at)) for k in keys), lists], names=[*keys, "names"])
+
+
 def gram_index(names: DataFrame, id: str, name: str) -> GramIndex:
     """The index of names(id, name), built once for the files that they come from."""
     n = names.count()
@@ -48,11 +73,13 @@ def gram_index(names: DataFrame, id: str, name: str) -> GramIndex:
 
     def build() -> DataFrame:
         grams = names.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), T.trigrams(F.col(name)).alias("g"))
-        each = grams.select("id", F.size("g").alias("n_grams"), F.explode("g").alias("gram"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-        rows = each.groupBy("gram", "n_grams", "chunk").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        return rows.select(_folder(F.col("gram"), folders).alias("folder"), "gram", "n_grams", "chunk", "ids").repartition("folder")
+        each = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
+        each = each.select(_folder(F.col("gram"), folders).alias("folder"), F.floor(F.col("chunk") / CHUNKS).cast("int").alias("file"), "gram", _size(F.col("n")).alias("size"), "chunk", "id", "n")
+        kind = dict(names.dtypes)[id]
+        dealt = each.repartition("folder", "file").sortWithinPartitions("folder", "gram", "size", "chunk", "id").drop("file")
+        return dealt.mapInArrow(_listed, f"folder int, gram string, size int, chunk int, names array<struct<id:{kind},n:int>>")
 
-    return GramIndex(kept(names, "grams", build, by=("folder",), sort=("gram", "n_grams"), id=id, name=name, chunks=chunks, folders=folders, layout=LAYOUT), folders)
+    return GramIndex(kept(names, "grams", build, by=("folder",), sort=("gram", "size"), id=id, name=name, chunks=chunks, folders=folders, layout=LAYOUT), folders)
 
 
 def grams_of(query: str) -> list[str]:
@@ -66,9 +93,11 @@ def similar(index: GramIndex, query: str, k: int | None, least: float = R.SIMILA
     if least <= 0:
         raise ValueError("least must be positive")
     q = len(grams)
-    near = (index.rows(grams) if grams else index.postings.where(F.lit(False))).where((F.col("n_grams") >= int(least * q)) & (F.col("n_grams") <= int(q / least) + 1))
-    common = near.select(F.explode("ids").alias("id"), "n_grams").groupBy("id", "n_grams").agg(F.count("*").alias("c"))
-    scored = common.select("id", (F.col("c") / (F.col("n_grams") + q - F.col("c"))).alias("score"))
+    low, high = max(1, int(least * q)), int(q / least) + 1
+    near = index.rows(grams) if grams else index.postings.where(F.lit(False))
+    near = near.where(F.col("size").between(_size(F.lit(low)), _size(F.lit(high)))).select(F.explode("names").alias("x")).select("x.id", "x.n")
+    common = near.where(F.col("n").between(low, high)).groupBy("id", "n").agg(F.count("*").alias("c"))
+    scored = common.select("id", (F.col("c") / (F.col("n") + q - F.col("c"))).alias("score"))
     return R.top(scored.where(F.col("score") >= least), k)
 
 
@@ -77,7 +106,7 @@ def may_hold(index: GramIndex, query: str) -> DataFrame | None:
     grams = list(dict.fromkeys(w[i : i + 3] for w in re.findall("[a-z0-9]+", query.lower()) for i in range(len(w) - 2)))
     if not grams:
         return None
-    each = index.rows(grams).select(F.explode("ids").alias("id"))
+    each = index.rows(grams).select(F.explode("names.id").alias("id"))
     return each.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") == len(grams)).select("id")
 
 
