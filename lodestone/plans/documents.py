@@ -170,3 +170,13 @@ def hdbscan_clusters(spark, sf_dir):
     price = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("importance"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("tenant", F.col("vec_id") % 2).join(price, "vec_id", "left")
     return clusters.clustered(vectors.withColumn("importance", F.coalesce("importance", F.lit(0.0))), "tenant", "vec_id", "embedding", "importance")
+
+
+@query("SELECT vec_id % 3 AS tenant, min(vec_id) AS first, count(*) AS size FROM embeddings GROUP BY vec_id % 3, label")
+def planted_clusters(spark, sf_dir):
+    """The first member and the size of each density cluster where the vectors of a label point the same way, whatever their length."""
+    k = F.col("vec_id")
+    way = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 1.0 + k % 5).otherwise(0.0))
+    vectors = table(spark, sf_dir, "embeddings").select((k % 3).alias("tenant"), "vec_id", way.alias("v"))
+    labels = clusters.clustered(vectors, "tenant", "vec_id", "v")
+    return labels.groupBy("tenant", "cluster").agg(F.min("vec_id").alias("first"), F.count("*").alias("size")).drop("cluster")
