@@ -104,3 +104,29 @@ def test_short_items_and_empty_tables(spark, documents):
         assert decontam.judge(docs, bench, limit).count() == 4
     assert not decontam.judge(documents([(1, "a b c d e f")]), spark.createDataFrame([], ITEMS)).first()["contaminated"]
     assert decontam.judge(documents([]), bench).count() == 0
+
+
+def test_verdicts_are_those_of_all_pairs(spark, documents):
+    """Every text with every item, tiled by trying all positions, in both forms."""
+    draw = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(9)]
+    items = [(k % 7 if k % 5 else None, " ".join(draw.choice(vocabulary) for _ in range(draw.choice([0, 2, 4, 6, 9, 14])))) for k in range(14)]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 26))) for _ in range(25)] + [None, items[3][1] or "w1", f"{items[4][1]} {items[6][1]}"]
+    want = []
+    for d, text in enumerate(texts):
+        words, found = (text or "").split(), []
+        for item, passage in set(items):
+            own = passage.split()
+            least = min(decontam.SEED, len(own))
+            seeds = {tuple(own[i : i + least]) for i in range(len(own) - least + 1)} if own else set()
+            if any(tuple(words[t : t + least]) in seeds for t in range(len(words) - least + 1)):
+                tiles = brute_tiles(words, own, least)
+                found.append((sum(n for _, _, n in tiles) / len(own), item is not None, -(item or 0), len(tiles), item))
+        best = max(found, key=lambda x: x[:4]) if found else (0.0, None, None, 0, None)
+        n = sum(x[0] >= decontam.COVERAGE for x in found)
+        want.append((d, n > 0, best[4], round(best[0], 9), best[3], n))
+    bench = spark.createDataFrame(items, ITEMS)
+    for limit in (decontam.BROADCAST_WORDS, 0):
+        got = sorted((r["doc_id"], r["contaminated"], r["item_id"], round(r["coverage"], 9), r["n_tiles"], r["n_items"]) for r in decontam.judge(documents(texts), bench, limit).collect())
+        assert got == want, limit
+    assert any(w[1] for w in want) and not all(w[1] for w in want)

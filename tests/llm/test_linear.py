@@ -122,3 +122,44 @@ def test_a_null_id_is_not_held_out(spark, documents):
     for module in (toxicity, quality):
         got = module.judge(documents(rows + [(None, "abcd")]), spark.createDataFrame(labels, LABELS)).where("doc_id is null").collect()
         assert [r["held_out"] for r in got] == [False]
+
+
+def test_scores_are_plain_sums_of_the_features_weights(documents):
+    """Words, cut words, pairs and skipped pairs counted in plain Python, with a model of random weights."""
+    import re
+
+    import pyarrow as pa
+
+    from lodestone.llm.words import Words
+
+    full = 2**64 - 1
+
+    def whole(piece: bytes) -> int:
+        """The hash of bytes, as of a range of some text."""
+        words = Words(pa.array(["x" * len(piece)]))
+        words.data = np.frombuffer(piece, np.uint8)
+        return int(words.span_hashes(np.array([0]), np.array([len(piece)]), True)[0])
+
+    def mixed(h: int) -> int:
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    draw = np.random.default_rng(8)
+    bits = toxicity.BITS
+    bucket = np.sort(draw.choice(1 << bits, 1 << 18, replace=False)).astype(np.int32)
+    model = linear.Model(bucket, draw.normal(0, 1, len(bucket)), -0.25, bits)
+    dense = model.dense()
+    texts = ["Vile words, VILE words; and vile-words again", "äöü straße äöü", "", None, "one", "a b a b a b a b", "x" * 300 + " y"]
+    for r in toxicity.score(documents(texts), model).collect():
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (texts[r["doc_id"]] or "").encode())
+        words = [w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for w in words]
+        h = [whole(w) for w in words]
+        kinds = [h, *([whole(w[:k]) for w in words] for k in toxicity.STEMS)] + [[(a * 31 + b) & full for a, b in zip(h, h[gap:])] for gap in (1, 2)]
+        counts = {}
+        for kind, values in enumerate(kinds):
+            for v in values:
+                b = mixed((v + kind) & full) >> 64 - bits
+                counts[b] = counts.get(b, 0) + 1
+        total = sum(dense[b] * math.log1p(n) for b, n in counts.items()) + model.bias
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
