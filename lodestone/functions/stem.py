@@ -121,4 +121,4 @@ def stems(tokens: pd.Series) -> pd.Series:
 
 def english_stems(text: Column) -> Column:
     """Stems of a text's tokens without function words."""
-    return stems(F.filter(T.tokens(text), lambda t: ~t.isin(T.ENGLISH_STOPWORDS)))
+    return stems(F.filter(T.tokens(text), lambda t: ~t.isin(*T.ENGLISH_STOPWORDS)))

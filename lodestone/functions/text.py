@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 # Words that carry no weight in routing and in search terms.
 ROUTING_STOPWORDS = (
-    "the and for with this that from what where which how when is in on to of a an are do does can could would"
-).split()
-TERM_STOPWORDS = "a an and are does for how in is of or the to what where which who why".split()
+    "the", "and", "for", "with", "this", "that", "from", "what", "where", "which", "how", "when", "is", "in", "on", "to", "of", "a", "an", "are",
+    "do", "does", "can", "could", "would",
+)
+TERM_STOPWORDS = (
+    "a", "an", "and", "are", "does", "for", "how", "in", "is", "of", "or", "the", "to", "what", "where", "which", "who", "why",
+)
 
 #: What ends a line for file reads: line feed, carriage return, vertical tab, form feed, FS, GS, RS, NEL, LS, PS.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -21,12 +24,15 @@ def tokens(text: Column) -> Column:
 
 
 # The commonest English function words.
-ENGLISH_STOPWORDS = "a about an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
+ENGLISH_STOPWORDS = (
+    "a", "about", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the",
+    "this", "to", "was", "were", "will", "with",
+)
 
 
 def routing_tokens(text: Column) -> Column:
     """Distinct tokens of 2 to 64 characters that are no stopwords, in order."""
-    keep = lambda t: (F.length(t) >= 2) & (F.length(t) <= 64) & ~t.isin(ROUTING_STOPWORDS)
+    keep = lambda t: (F.length(t) >= 2) & (F.length(t) <= 64) & ~t.isin(*ROUTING_STOPWORDS)
     return F.array_distinct(F.filter(tokens(text), keep))
 
 
@@ -35,7 +41,7 @@ def query_terms(text: Column, most: int = 8) -> Column:
     characters at least, no stopwords, the first ``most`` distinct ones in order."""
     raw = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./:-]+"), F.lit(0))
     clean = F.transform(raw, lambda t: F.regexp_replace(F.lower(t), "^[._:/-]+|[._:/-]+$", ""))
-    kept = F.filter(clean, lambda t: (F.length(t) >= 2) & ~t.isin(TERM_STOPWORDS))
+    kept = F.filter(clean, lambda t: (F.length(t) >= 2) & ~t.isin(*TERM_STOPWORDS))
     return F.slice(F.array_distinct(kept), 1, most)
 
 

@@ -20,9 +20,14 @@ from lodestone.sources.shared import stored
 
 # Types of command literals with the field that names them, and calls that define flags.
 LITERALS = {"cobra.Command": "Use", "cli.Command": "Name", "cli.App": "Name"}
-_TYPES = ("String", "Int", "Bool", "Float64", "Duration")
-COBRA_FLAGS = {t + end for t in (*_TYPES, "StringSlice") for end in ("", "P", "Var", "VarP")} | {"Var", "VarP"}
-GO_FLAGS = {t + end for t in (*_TYPES, "Int64") for end in ("", "Var")} | {"Var"}
+COBRA_FLAGS = (
+    "String", "StringP", "StringVar", "StringVarP", "Int", "IntP", "IntVar", "IntVarP", "Bool", "BoolP", "BoolVar", "BoolVarP", "Float64",
+    "Float64P", "Float64Var", "Float64VarP", "Duration", "DurationP", "DurationVar", "DurationVarP", "StringSlice", "StringSliceP", "StringSliceVar",
+    "StringSliceVarP", "Var", "VarP",
+)
+GO_FLAGS = (
+    "String", "StringVar", "Int", "IntVar", "Int64", "Int64Var", "Bool", "BoolVar", "Float64", "Float64Var", "Duration", "DurationVar", "Var",
+)
 
 FACTS = "path string, place int, kind string, var string, name string, start_line int, end_line int"
 

@@ -153,7 +153,7 @@ def _weighted(fields: Column) -> Column:
 
 
 def token_index(docs: DataFrame, id: str, fields: dict[str, str] | None = None, english: bool = False) -> TokenIndex:
-    """The index of docs, built once for the files that docs reads."""
+    """The index of docs, built once for the files that docs reads. Counts them, and builds the index if it isn't there yet."""
     fields = fields or {"D": "text"}
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
     folders = max(8, min(4096, blocks // 8))

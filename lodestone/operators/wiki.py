@@ -16,8 +16,14 @@ from lodestone.operators import pages as P
 from lodestone.operators.dictionary import occurring
 
 # Document names and their tiers, path patterns, words that are never linked, page numbers and caps.
-PUBLIC_DOCS = "usage guide tutorial quickstart quick-start getting-started getting_started cli api reference examples architecture overview readme".split()
-NO_TOPIC_DOCS = "contributing development developing release releases changelog license code_of_conduct code-of-conduct security testing ci".split()
+PUBLIC_DOCS = (
+    "usage", "guide", "tutorial", "quickstart", "quick-start", "getting-started", "getting_started", "cli", "api", "reference", "examples",
+    "architecture", "overview", "readme",
+)
+NO_TOPIC_DOCS = (
+    "contributing", "development", "developing", "release", "releases", "changelog", "license", "code_of_conduct", "code-of-conduct", "security",
+    "testing", "ci",
+)
 DOC_PATH = r"(?i)^(?:README(?:\.[a-zA-Z]+)?|docs?/.+\.(?:md|rst|markdown))$"
 ROOT_DOC = r"(?i)^README(\.[a-zA-Z]+)?$"
 TEST_PATH = r"(?i)(?:^|/)(?:[^/]+_test\.go|test_[^/]+\.py|[^/]+_test\.py|[^/]+\.test\.[jt]sx?|[^/]+\.spec\.[jt]sx?|[^/]+_spec\.rb)$|(?:^|/)(?:tests?|__tests__|testdata|fixtures?|golden|snapshots?|__snapshots__|mocks?|stubs)(?:/|$)"
@@ -31,7 +37,10 @@ EXAMPLE_FOLDERS = ("examples", "example", "sample", "samples")
 HEADING_SCORE = {"public": 0.85, "supporting": 0.45}
 BASE_PAGES, PUBLIC_RATIO, SUPPORTING_RATIO, LEAST_PAGES, MOST_PAGES, CLUSTER_CAP = 6, 1.3, 0.4, 5, 30, 4
 PLAN_MOST, LOW_CONFIDENCE, AUTO_LINKS = 25, 0.05, 30
-NEVER_LINKED = set("any Array bool Boolean byte Dict Error Exception False float32 float64 int int32 int64 List Map nil None Number Object rune Set String string true True uint uint32 uint64".split())
+NEVER_LINKED = (
+    "any", "Array", "bool", "Boolean", "byte", "Dict", "Error", "Exception", "False", "float32", "float64", "int", "int32", "int64", "List", "Map",
+    "nil", "None", "Number", "Object", "rune", "Set", "String", "string", "true", "True", "uint", "uint32", "uint64",
+)
 UNTOUCHED = r"```[a-zA-Z0-9_+-]*\n.*?\n```|\[\[(?:node|doc):[^\]]+\]\]|\[[^\]]*?\]\([^)\n]+\)"
 BACKTICKED, DOTTED = r"`([^`\n]+?)`", r"(?<![\w.])[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+(?!\w|\.\w)"
 MARKDOWN_LINK, SIBLING = r"\[([^\]\n]+?)\]\(([^)\s]+)\)", r"\./([a-z0-9][a-z0-9-]*)"
@@ -61,7 +70,7 @@ def docs_outline(docs: DataFrame, names: DataFrame) -> DataFrame:
     heads = doc_headings(docs).where("level <= 2")
     key = F.concat(F.lit("docs:"), "path", F.lit("#"), F.regexp_replace(F.regexp_replace(F.lower("heading"), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
     first = P.first_per_group(heads.withColumn("key", key), "key", "path", "line")
-    words = F.filter(F.regexp_extract_all(F.lower("heading"), F.lit("[a-z][a-z0-9_-]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(T.ROUTING_STOPWORDS))
+    words = F.filter(F.regexp_extract_all(F.lower("heading"), F.lit("[a-z][a-z0-9_-]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(*T.ROUTING_STOPWORDS))
     asked = first.select("key", F.explode(F.array_distinct(words)).alias("entry"))
     low = names.select(F.lit(0).alias("id"), F.lower("name").alias("text")).distinct()
     held = occurring(low, asked.select("entry")).select("entry").distinct()

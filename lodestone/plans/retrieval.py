@@ -324,6 +324,16 @@ def hybrid_stores(spark, sf_dir):
     return H.hybrid({"code": parts, "repo_docs": docs}, "widget", _probe(spark, sf_dir), 20).withColumn("score", F.round("score", 9))
 
 
+@query(f"""WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_NEAR}) QUALIFY rank <= 300), y AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS rank FROM (SELECT p_partkey AS id, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t = 'widget')) AS n FROM part) WHERE n > 0 QUALIFY rank <= 300)
+    SELECT store, id::VARCHAR AS id, round(1.0 / (60 + rank), 9)::DOUBLE AS score FROM (SELECT 'code' AS store, 0 AS place, id, rank FROM y UNION ALL SELECT 'repo_docs', 1, id, rank FROM v) ORDER BY score DESC, place, id::VARCHAR LIMIT 25""")
+def hybrid_degraded(spark, sf_dir):
+    """Streams that can't be planned are left out: documents lack the searched field, parts lack vectors of that name."""
+    parts, vectors = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings")
+    docs = H.Store(table(spark, sf_dir, "documents"), "doc_id", {"D": "no_such_column"}, vectors, "vec_id")
+    code = H.Store(parts, "p_partkey", {"A": "p_name"}, parts, "p_partkey", "no_such_vector", tokens=TI.token_index(parts, "p_partkey", {"A": "p_name"}))
+    return H.hybrid({"code": code, "repo_docs": docs}, "widget", _probe(spark, sf_dir), 25).withColumn("score", F.round("score", 9))
+
+
 #: Each document is a source: its label source/lang/id, its readme the text.
 _ROUTE = """WITH s AS (SELECT source || '/' || lang || '/' || doc_id AS label, coalesce(text, '') AS body FROM documents),
     q AS (SELECT unnest(['src1', 'license', 'apache', 'und', 'der']) AS t), N AS (SELECT count(*) AS n FROM s),

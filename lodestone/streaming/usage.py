@@ -15,7 +15,7 @@ from lodestone.streaming.ordered import in_order
 
 
 def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A growing Parquet table, or one file, as a stream."""
+    """A growing Parquet table, or one file, as a stream. Its files are listed once to read their schema."""
     table = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(table.schema).options(**options)
