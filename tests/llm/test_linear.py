@@ -163,3 +163,48 @@ def test_scores_are_plain_sums_of_the_features_weights(documents):
                 counts[b] = counts.get(b, 0) + 1
         total = sum(dense[b] * math.log1p(n) for b, n in counts.items()) + model.bias
         assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_quality_counts_are_plain_counts(documents):
+    """Words, their ends, shapes, pairs and repeats of a quality model of random weights, in plain Python."""
+    import re
+
+    import pyarrow as pa
+
+    from lodestone.llm.words import Words
+
+    full = 2**64 - 1
+
+    def whole(piece: bytes) -> int:
+        words = Words(pa.array(["x" * len(piece)]))
+        words.data = np.frombuffer(piece, np.uint8)
+        return int(words.span_hashes(np.array([0]), np.array([len(piece)]), True)[0])
+
+    def mixed(h: int) -> int:
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    draw = np.random.default_rng(9)
+    bits = quality.BITS
+    bucket = np.sort(draw.choice(1 << bits, 1 << 18, replace=False)).astype(np.int32)
+    model = linear.Model(bucket, draw.normal(0, 1, len(bucket)), 0.5, bits)
+    dense = model.dense()
+    texts = ["Good GOOD good, #tags## and: (more)", "é é É\tx\u000by", "", None, "ab " * 5]
+    scored = linear.score(documents(texts), model, quality.features)
+    for r in scored.collect():
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (texts[r["doc_id"]] or "").encode())
+        low = [w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for w in words]
+        h = [whole(w) for w in low]
+        upper = [sum(65 <= c <= 90 for c in w) for w in words]
+        symbol = [sum(33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in w) for w in words]
+        shape = [(min(u, 3) * 64 + min(s, 3) * 16 + min(len(w) // 3, 15) + 1) * 0x9E3779B97F4A7C15 & full for u, s, w in zip(upper, symbol, words)]
+        pairs = lambda x: [(a * 31 + b) & full for a, b in zip(x, x[1:])]
+        kinds = [h, [whole(w[-3:]) for w in low], shape, pairs(h), pairs(shape), [1] * sum(a == b for a, b in zip(h, h[1:]))]
+        counts = {}
+        for kind, values in enumerate(kinds):
+            for v in values:
+                b = mixed((v + kind) & full) >> 64 - bits
+                counts[b] = counts.get(b, 0) + 1
+        total = sum(dense[b] * math.log1p(n) for b, n in counts.items()) + model.bias
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
