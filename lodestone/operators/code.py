@@ -142,16 +142,18 @@ class _Tokens:
                 return k
         return end
 
+    def ends(self, k: int, first: int) -> bool:
+        """Whether a statement that began at first ends before k: at a semicolon, or at a line's end if nothing goes on."""
+        if self.text[k] == ";" and self.kind[k] == "mark":
+            return True
+        return k > first and self.fresh[k] and self.text[k] not in _GOES_ON and (self.kind[k - 1] == "text" or self.text[k - 1] not in _GOES_ON - {")", "]", "}", ">"})
+
     def statement_end(self, i: int, end: int) -> int:
-        """Where a statement ends without its semicolon, by the rule that a line's end ends it if nothing goes on."""
+        """Where a statement ends without its semicolon."""
         k = i
-        while k < end:
-            if self.text[k] == ";" and self.kind[k] == "mark":
-                return k
-            if k > i and self.fresh[k] and self.text[k] not in _GOES_ON and (self.kind[k - 1] == "text" or self.text[k - 1] not in _GOES_ON - {")", "]", "}", ">"}):
-                return k
+        while k < end and not self.ends(k, i):
             k = self.after(k)
-        return end
+        return min(k, end)
 
 
 class _File:
@@ -529,11 +531,9 @@ class _Script:
         k = t.after(i) if t.text[i] == "{" else i
         if k > i and t.text[k] not in (".", "(", "[", "?."):
             return k
-        end = t.statement_end(i, n)
-        k = i
-        while k < end and t.text[k] != ",":
+        while k < n and t.text[k] != "," and not t.ends(k, i):
             k = t.angles(k) if t.text[k] == "<" and t.angles(k) > k else t.after(k)
-        return min(k, end)
+        return min(k, n)
 
     def arrow(self, i: int) -> int:
         """The start of the body if a function expression or an arrow function stands at i, else 0."""
