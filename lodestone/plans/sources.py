@@ -15,7 +15,7 @@ from lodestone.operators import incremental as I
 from lodestone.operators import pages as P
 from lodestone.operators import wiki as K
 from lodestone.operators.commands import commands
-from lodestone.plans.tables import table
+from lodestone.plans.tables import spread, table
 from lodestone.sources import files as S
 from lodestone.sources.shared import new_path
 
@@ -219,7 +219,8 @@ def _code(spark, sf_dir):
     go = F.concat(F.replace(F.lit(_GO), F.lit("^"), brand), more("func Extra^(a int) error { return call^.Do(a) }\n"))
     ts = F.concat(F.replace(F.lit(_TS), F.lit("^"), brand), more("class More^ extends A { f = () => go^(1) }\n"))
     content = F.when(i == 0, go).when(i == 1, ts).otherwise(F.replace(F.lit(_MODULE), F.lit("LIMIT"), brand))
-    return table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"), F.element_at(F.array(*map(F.lit, ("go", "typescript", "python"))), (i + 1).cast("int")).alias("language"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
+    return parts.select(path.alias("path"), content.alias("content"), F.element_at(F.array(*map(F.lit, ("go", "typescript", "python"))), (i + 1).cast("int")).alias("language"))
 
 
 _BRAND = "replace(p_brand, '#', '')"

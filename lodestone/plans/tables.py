@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt anew by key over all partitions of a shuffle. For work that is dear for each row: a table of many short rows is a
+    small file, which is read in one or two tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def parts_as_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as code nodes: type by size, file by brand."""
     kind = F.element_at(F.array(*map(F.lit, ("module", "class", "function", "method", "interface"))), (F.col("p_size") % 5 + 1).cast("int"))
