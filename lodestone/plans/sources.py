@@ -17,7 +17,7 @@ from lodestone.operators import wiki as K
 from lodestone.operators.commands import commands
 from lodestone.plans.tables import spread, table
 from lodestone.sources import files as S
-from lodestone.sources.shared import new_path
+from lodestone.sources.shared import new_path, stored
 
 QUERIES, SQL = {}, {}
 
@@ -311,7 +311,9 @@ _RESOLVED = {
 def canonical_calls(spark, sf_dir):
     """Calls of Go and TypeScript files by receiver, class, import, package or module."""
     files = _code(spark, sf_dir)
-    nodes, edges = C.nodes(files), C.edges(files)
+    # Stored, so that each is parsed once and joins know how large it is: what Spark guesses from the small table of parts, it would broadcast.
+    nodes = stored(C.nodes(files).select("qualified_name", "file_path", "node_type", "parent", "signature"), "calls-nodes")
+    edges = stored(C.edges(files).where("type IN ('imports', 'calls')"), "calls-edges")
     language = F.when(F.col("file_path").endswith(".go"), "go").otherwise("typescript")
     receiver = F.nullif(F.regexp_extract("signature", r"^func \((\w+) ", 1), F.lit(""))
     own = nodes.select(F.col("qualified_name").alias("id"), "qualified_name", "file_path", language.alias("language"), "node_type", F.col("parent").alias("parent_id"), F.coalesce(receiver, F.lit("?")).alias("receiver"))

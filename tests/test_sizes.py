@@ -10,3 +10,11 @@ def test_files_of_a_small_table_are_dealt_over_tasks(spark):
     files = sources._code(spark, DATA)
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spread(spark.range(10), "id").count() == 10
+
+
+def test_calls_broadcast_no_parsed_nodes(spark, monkeypatch):
+    """Nodes are stored, so that their size is known before they are joined."""
+    names = []
+    monkeypatch.setattr(sources, "stored", lambda df, name: names.append(name) or df)
+    sources.canonical_calls(spark, DATA)
+    assert names == ["calls-nodes", "calls-edges"]
