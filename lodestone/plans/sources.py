@@ -383,7 +383,7 @@ def cli_commands(spark, sf_dir):
     k = F.col("p_partkey")
     before = F.when(k % 24 == 0, "none").otherwise((k - 1).cast("string"))
     folder = F.concat(F.lit("cmd/tool"), (k % 7).cast("string"))
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     files = parts.select(F.concat(folder, F.lit("/c"), k.cast("string"), F.lit(".go")).alias("path"), F.replace(F.replace(F.lit(_COMMAND), F.lit("^"), k.cast("string")), F.lit("<"), before).alias("content"))
     plain = parts.where(k % 10 == 0).select(F.concat(folder, F.lit("/d"), k.cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit('package main\n\nvar a = flag.Bool("g'), (k % 4).cast("string"), F.lit('", false, "x")\n')).alias("content"))
     return commands(files.unionByName(plain)).withColumn("flags", F.array_join("flags", ","))

@@ -2,6 +2,7 @@
 
 from lodestone.plans import sources
 from lodestone.plans.tables import spread
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,3 +19,10 @@ def test_calls_broadcast_no_parsed_nodes(spark, monkeypatch):
     monkeypatch.setattr(sources, "stored", lambda df, name: names.append(name) or df)
     sources.canonical_calls(spark, DATA)
     assert names == ["calls-nodes", "calls-edges"]
+
+
+def test_commands_are_dealt_over_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sources, "commands", lambda files: seen.append(files.rdd.getNumPartitions()) or files.withColumn("flags", F.array(F.lit("x"))))
+    sources.cli_commands(spark, DATA)
+    assert seen[0] > 4
