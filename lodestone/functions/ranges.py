@@ -30,3 +30,21 @@ def above(found: Column) -> Column:
     """The cells that the given ones lie inside, without these, each once."""
     up = lambda c: F.transform(F.filter(F.sequence(F.lit(1), F.lit(TOP)), lambda k: k > c["level"]), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", c["index"], k - c["level"]).alias("index")))
     return F.array_distinct(F.flatten(F.transform(found, up)))
+
+
+BITS = 7  # a bucket holds 128 numbers
+
+
+def edges(start: Column, end: Column) -> Column:
+    """Array of (bucket, low, high): what start to end, both included, take of the first and the last bucket that they touch."""
+    low, high = start.cast("long"), end.cast("long")
+    at = lambda x: F.call_function("shiftright", x, F.lit(BITS))
+    inner, last = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"), F.lit((1 << BITS) - 1)
+    edge = lambda bucket, a, b: F.struct(bucket.alias("bucket"), a.alias("low"), b.alias("high"))
+    return F.when(at(low) == at(high), F.array(edge(at(low), inner(low), inner(high)))).otherwise(F.array(edge(at(low), inner(low), last), edge(at(high), F.lit(0), inner(high))))
+
+
+def between(start: Column, end: Column) -> Column:
+    """The cells of the buckets that lie between the first and the last of a range."""
+    at = lambda x: F.call_function("shiftright", x.cast("long"), F.lit(BITS))
+    return cells(at(start) + 1, at(end) - 1)

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.ranges import above, cells
+from lodestone.functions.ranges import above, between, edges
+from lodestone.sources.shared import stored
 
 NODE = "file_path string, qualified_name string, name string, node_type string, parent string, start_line long, end_line long, signature string, content_hash string, decorators array<string>, bases array<string>, error string"
 EDGE = "file_path string, source string, type string, target string"
@@ -158,18 +159,30 @@ def attribution(nodes: DataFrame, hunks: DataFrame) -> DataFrame:
     """(id, first_sha, first_at, last_sha, last_at) of nodes(id, path, start_line, end_line): the oldest and newest commit that a
     line of each comes from, by hunks(path, first, count, sha, committed_at); nodes that no hunk touches are left out.
 
-    Ranges are cut into dyadic cells. What lies in a cell, and what covers it, is summed up once for a path, so
-    nodes and hunks meet in rows that grow with their numbers, neither with lines nor with nodes x hunks.
+    Ranges are cut into buckets of 128 lines. In the first and the last bucket of a range, hunks of the same lines count once (128
+    lines have 8,256 ranges) and meet nodes by their lines. The whole buckets between are dyadic cells; what lies in a cell, and what covers it, is
+    summed up once for a path, on the levels that the other side has. Rows grow with the numbers of nodes and hunks, not with lines.
     """
     commit = F.struct("committed_at", "sha")
-    own = hunks.where("count > 0").select("path", commit.alias("c"), cells(F.col("first"), F.col("first") + F.col("count") - 1).alias("cells"))
-    part = lambda rows, role, found, *more: rows.select("path", F.explode(found).alias("cell"), F.lit(role).alias("role"), *more)
-    inside = part(own, "inside", F.concat("cells", above(F.col("cells"))), "c")  # whose cell holds a hunk's
-    covers = part(own, "covers", F.col("cells"), "c")  # whose cell is a hunk's or lies in one
-    sums = inside.union(covers).groupBy("path", "cell", "role").agg(F.min("c").alias("a"), F.max("c").alias("b"))
-    asked = nodes.where("end_line >= start_line").select("id", "path", cells(F.col("start_line"), F.col("end_line")).alias("cells"))
-    asked = part(asked, "inside", F.col("cells"), "id").union(part(asked, "covers", above(F.col("cells")), "id"))
-    out = asked.join(sums, ["path", "cell", "role"]).groupBy("id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    first, last = F.col("first"), F.col("first") + F.col("count") - 1
+    own = stored(hunks.where("count > 0").select("path", commit.alias("c"), edges(first, last).alias("edges"), between(first, last).alias("cells")), "blame-hunks")
+    start, end = F.col("start_line"), F.col("end_line")
+    asked = nodes.where("end_line >= start_line").select("id", "path", edges(start, end).alias("edges"), between(start, end).alias("cells"))
+    edge = lambda rows, *more: rows.select("path", F.explode("edges").alias("e"), *more).select("path", "e.*", *more)
+    lines = edge(own, "c").groupBy("path", "bucket", "low", "high").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+    mine = edge(asked, "id").withColumnsRenamed({"low": "from", "high": "to"})
+    out = mine.join(lines, ["path", "bucket"]).where("low <= to AND `from` <= high").select("id", "a", "b")
+    for whole, parts, role in ((asked, own, "inside"), (own, asked, "covers")):
+        levels = [r[0] for r in whole.where(F.size("cells") > 0).select(F.explode("cells.level")).distinct().collect()]  # 15 at most
+        if not levels:
+            continue
+        every = F.concat("cells", F.transform("edges", lambda e: F.struct(F.lit(0).alias("level"), e["bucket"].alias("index"))))
+        under = F.filter(F.concat(every, above(every)), lambda c: c["level"].isin(levels))
+        side = lambda rows, found: rows.select("path", F.explode(found).alias("cell"), "c" if rows is own else "id")
+        held, asks = (side(parts, under), side(whole, F.col("cells"))) if role == "inside" else (side(whole, F.col("cells")), side(parts, under))
+        sums = held.groupBy("path", "cell").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+        out = out.union(asks.join(sums, ["path", "cell"]).select("id", "a", "b"))
+    out = out.groupBy("id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return out.select("id", F.col("a.sha").alias("first_sha"), F.col("a.committed_at").alias("first_at"), F.col("b.sha").alias("last_sha"), F.col("b.committed_at").alias("last_at"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+from lodestone.operators import extract
 from lodestone.operators import pages as P
 from lodestone.plans import sources
 from lodestone.plans.tables import spread
@@ -50,3 +51,18 @@ def test_no_frequent_token_joins_its_pages(spark, monkeypatch):
     out = P.overlapping_pairs(rows, "id", "t", "v", 0.5, -1.0)
     made, want = out.count(), sum(sum((i - j) % p == 0 for p in (5, 7, 11)) >= 2 for i in range(2000) for j in range(i))
     assert made == want
+
+
+def test_attribution_of_long_and_short_ranges(spark):
+    """Ranges inside a bucket, over several, and over very many."""
+    rng = random.Random(3)
+    length = lambda: rng.choice([rng.randint(0, 40), rng.randint(0, 500), rng.randint(0, 300_000)])
+    hunks = [(f"p{k % 3}", rng.randint(0, 60_000), length(), f"s{rng.randint(0, 50)}", rng.randint(0, 30)) for k in range(150)]
+    nodes = [(k, f"p{k % 4}", a := rng.randint(0, 60_000), a + length() - 1) for k in range(200)]
+    want = {}
+    for i, path, start, end in nodes:
+        met = [(at, sha) for p, first, n, sha, at in hunks if p == path and n > 0 and first <= end and start <= first + n - 1 and start <= end]
+        if met:
+            want[i] = (min(met)[1], max(met)[1])
+    got = extract.attribution(spark.createDataFrame(nodes, "id int, path string, start_line int, end_line int"), spark.createDataFrame(hunks, "path string, first int, count int, sha string, committed_at int"))
+    assert {r["id"]: (r["first_sha"], r["last_sha"]) for r in got.collect()} == want
