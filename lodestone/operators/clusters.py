@@ -1,4 +1,4 @@
-"""Density clusters of embeddings, for each tenant a bounded number of vectors."""
+"""Density clusters of embeddings."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ MOST_VECTORS, MIN_SIZE = 1500, 3
 LEAST_SURFACE, LEAST_CLUSTERS = 15, 4
 
 
-def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
+def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE, counts: np.ndarray | None = None) -> np.ndarray:
     """Labels from 0, noise -1: the spanning tree of unit vectors is cut from its longest edge down, and
-    of the groups of ``min_size`` or more those of most excess of mass stay."""
+    of the groups of ``min_size`` or more those of most excess of mass stay. counts: how many copies a vector stands for."""
     n = len(vectors)
+    counts = np.ones(n, int) if counts is None else counts
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = vectors / np.where(norms == 0, 1, norms)
     # Prim's tree on distances that are worked out row by row.
@@ -31,7 +32,7 @@ def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
     edges.sort(key=lambda e: e[0])
     # Single linkage, kept as a binary tree of merges.
     parent, node_of = list(range(n)), list(range(n))
-    size, left, right, height = [1] * n, [-1] * n, [-1] * n, [0.0] * n
+    size, left, right, height = counts.tolist(), [-1] * n, [-1] * n, [0.0] * n
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -49,7 +50,7 @@ def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
         height.append(float(d))
 
     labels = np.full(n, -1)
-    if n < min_size:
+    if counts.sum() < min_size:
         return labels
 
     def leaves(x: int) -> list[int]:
@@ -81,6 +82,8 @@ def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
                 break
             mass += size[small] * (level - birth)
             x = big
+        if left[x] < 0 and size[x] > 1:  # copies: a tree whose edges are all 0 long
+            mass += size[x] * (lam(0.0) - birth)
         found[mine][2] = mass
     children: dict[int, list[int]] = {}
     for k, (_, above, _) in enumerate(found):
@@ -105,22 +108,29 @@ def density_labels(vectors: np.ndarray, min_size: int = MIN_SIZE) -> np.ndarray:
     return labels
 
 
-def clustered(vectors: DataFrame, tenant: str, id: str, vector: str, importance: str | None = None) -> DataFrame:
+def clustered(vectors: DataFrame, tenant: str, id: str, vector: str, importance: str | None = None, whole: bool = False) -> DataFrame:
     """(tenant, id, cluster) of every vector; noise is -1.
 
-    Only the MOST_VECTORS most important of a tenant are clustered, which bounds a tenant's task; the others
-    have a null cluster. Without importance the smallest ids count as most important.
+    Only the MOST_VECTORS most important of a tenant are clustered, as its product does; the others
+    have a null cluster. Without importance the smallest ids count as most important. With ``whole`` all vectors are clustered. Vectors that point
+    the same way are one, with their number, so a tenant's task holds the distinct directions and takes time with their square.
     """
     order = ([F.desc(importance)] if importance else []) + [F.col(id)]
-    kept = vectors.withColumn("_n", F.row_number().over(W.partitionBy(tenant).orderBy(*order))).where(F.col("_n") <= MOST_VECTORS)
+    kept = vectors if whole else vectors.withColumn("_n", F.row_number().over(W.partitionBy(tenant).orderBy(*order))).where(F.col("_n") <= MOST_VECTORS)
+    v = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    points = kept.select(tenant, id, F.transform(v, lambda x: x / F.when(length == 0, 1.0).otherwise(length)).alias("_way"))
+    ways = points.groupBy(tenant, "_way").agg(F.min(id).alias("_first"), F.count("*").alias("_copies"))
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id)
-        return pd.DataFrame({tenant: pdf[tenant], id: pdf[id], "cluster": density_labels(np.stack(pdf[vector].to_list()).astype(float)).astype("int64")})
+        pdf = pdf.sort_values("_first")
+        found = density_labels(np.stack(pdf["_way"].to_list()).astype(float), counts=pdf["_copies"].to_numpy())
+        return pd.DataFrame({tenant: pdf[tenant], "_way": pdf["_way"], "cluster": found.astype("int64")})
 
     kind = dict(vectors.dtypes)
-    labels = kept.select(tenant, id, vector).groupBy(tenant).applyInPandas(label, f"{tenant} {kind[tenant]}, {id} {kind[id]}, cluster long")
-    return vectors.select(tenant, id).join(labels, [tenant, id], "left")
+    labels = ways.groupBy(tenant).applyInPandas(label, f"{tenant} {kind[tenant]}, _way array<double>, cluster long")
+    labels = points.join(labels, [tenant, "_way"]).select(tenant, id, "cluster")
+    return labels if whole else vectors.select(tenant, id).join(labels, [tenant, id], "left")
 
 
 def worth_showing(labels: DataFrame, tenants: DataFrame, tenant: str) -> DataFrame:

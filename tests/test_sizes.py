@@ -2,7 +2,9 @@
 
 import random
 
-from lodestone.operators import extract
+import numpy as np
+
+from lodestone.operators import clusters, extract
 from lodestone.operators import pages as P
 from lodestone.plans import sources
 from lodestone.plans.tables import spread
@@ -66,3 +68,19 @@ def test_attribution_of_long_and_short_ranges(spark):
             want[i] = (min(met)[1], max(met)[1])
     got = extract.attribution(spark.createDataFrame(nodes, "id int, path string, start_line int, end_line int"), spark.createDataFrame(hunks, "path string, first int, count int, sha string, committed_at int"))
     assert {r["id"]: (r["first_sha"], r["last_sha"]) for r in got.collect()} == want
+
+
+def test_clusters_of_more_vectors_than_the_product_takes(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MOST_VECTORS", 10)
+    df = spark.range(90).select((F.col("id") % 2).alias("t"), "id", F.array(*(F.when(F.col("id") % 3 == k, 1.0 + F.col("id") % 5).otherwise(0.0) for k in range(3))).alias("v"))
+    got = clusters.clustered(df, "t", "id", "v", whole=True).groupBy("t", "cluster").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    assert sorted((r["t"], r["first"], r["n"]) for r in got) == sorted((k % 2, k, 15) for k in range(6)) and all(r["cluster"] >= 0 for r in got)
+
+
+def test_copies_count_as_so_many_vectors():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(6, 4)) for c in 3 * np.eye(4)])
+    n = rng.integers(1, 6, len(x))
+    one, all_ = clusters.density_labels(x, counts=n), clusters.density_labels(np.repeat(x, n, axis=0))
+    pairs = set(zip(np.repeat(one, n).tolist(), all_.tolist(), strict=True))
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
