@@ -5,9 +5,10 @@ after its centre is quantised to a byte for each dimension. ``probes``, how many
 which a held-out quarter of the sample would find a share of AIM of its own nearest. Every vector is stored in
 the list of its nearest centre, in folders by list.
 
-A search reads the codes of the probed lists only, keeps the SHORT * k best by their codes, and scores these by the stored
-vectors. With all lists probed and codes that tell the k best from the others it gives the exact rows. Lists are split
-into blocks of BLOCK vectors when many queries are searched at once. Null vectors, those of another width and those without a direction
+A search for one query reads the codes of the probed lists only, keeps the SHORT * k best by their codes, and scores these by the stored
+vectors. With all lists probed and codes that tell the k best from the others it gives the exact rows. When many queries are searched at
+once, lists are split into blocks of BLOCK vectors, and every vector of a block is scored that can be among the k best by its code
+and by how far this is from the vector: with all lists probed the rows are exact, whatever the number of copies. Null vectors, those of another width and those without a direction
 aren't found; ties go to the smaller id.
 """
 
@@ -175,14 +176,19 @@ def search_all(index: VectorIndex, queries: DataFrame, k: int, probes: int | Non
         if rows.num_rows and asked.num_rows:
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
             ids, vectors = rows["id"].to_pylist(), _matrix(rows["vector"].combine_chunks())
-            near = codec.decode(codes, np.full(len(codes), key[0].as_py())).astype(np.float32)
+            near = codec.decode(codes, np.full(len(codes), key[0].as_py()))
+            off = np.sqrt(((_units(vectors) - near) ** 2).sum(axis=1)) + 1e-5  # no guess is further from its score
+            near = near.astype(np.float32)
             names, wanted = asked["query"].to_pylist(), _matrix(asked["vector"].combine_chunks())
             for low in range(0, len(wanted), 256):
                 s = _units(wanted[low : low + 256]).astype(np.float32) @ near.T
-                n = min(SHORT * k, s.shape[1])
-                for r, short in enumerate(np.argpartition(-s, n - 1, axis=1)[:, :n]):
-                    score = _exact(np.broadcast_to(wanted[low + r], (n, wanted.shape[1])), vectors[short])
-                    best = sorted(((-x, ids[j]) for x, j in zip(score.tolist(), short.tolist(), strict=True) if ids[j] != names[low + r]))[:k]
+                n = min(k + 1, s.shape[1])  # one may be the query's own row
+                sure = -np.partition(off - s, n - 1, axis=1)[:, n - 1]  # so near are k others at least
+                for r in range(len(s)):
+                    short = np.flatnonzero(s[r] + off >= sure[r])
+                    score = _exact(np.broadcast_to(wanted[low + r], (len(short), wanted.shape[1])), vectors[short])
+                    top = score >= -np.partition(-score, n - 1)[n - 1]
+                    best = sorted(((-x, ids[j]) for x, j in zip(score[top].tolist(), short[top].tolist(), strict=True) if ids[j] != names[low + r]))[:k]
                     out += [(names[low + r], i, -x) for x, i in best]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         types = (asked.schema.field("query").type, rows.schema.field("id").type, pa.float64())

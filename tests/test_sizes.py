@@ -6,6 +6,7 @@ import numpy as np
 
 from lodestone.operators import clusters, extract
 from lodestone.operators import pages as P
+from lodestone.operators import vector_index as VI
 from lodestone.plans import sources
 from lodestone.plans.tables import spread
 from pyspark.sql import functions as F
@@ -84,3 +85,18 @@ def test_copies_count_as_so_many_vectors():
     one, all_ = clusters.density_labels(x, counts=n), clusters.density_labels(np.repeat(x, n, axis=0))
     pairs = set(zip(np.repeat(one, n).tolist(), all_.tolist(), strict=True))
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_nearest_among_many_copies(spark):
+    """More copies of near vectors than codes were kept of: ties go to the smaller ids."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 8)).astype(np.float32)
+    rows = [(k, base[k % 12].tolist()) for k in range(12 * 40)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    asked = df.where("id < 6").select(F.col("id").alias("query"), F.col("v").alias("vector"))
+    got = VI.search_all(VI.vector_index(df, "id", "v"), asked, 50, 999).collect()
+    x = np.array([v for _, v in rows], np.float64)
+    for q in range(6):
+        s = VI._exact(np.broadcast_to(x[q], x.shape), x)
+        want = sorted(((-a, k) for k, a in enumerate(s.tolist()) if k != q))[:50]
+        assert [r["id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [k for _, k in want]
