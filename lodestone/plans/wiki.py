@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import values as V
 from lodestone.operators import pages as P
 from lodestone.operators import wiki as K
-from lodestone.plans.tables import table
+from lodestone.plans.tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -168,7 +168,7 @@ def page_types(spark, sf_dir):
     UNION ALL SELECT repo, 'doc', row_number() OVER (PARTITION BY repo ORDER BY path) AS place, path FROM f WHERE id % 3 = 0 QUALIFY place <= 30 UNION ALL SELECT c_custkey, 'readme', 1, substring(repeat(c_name, 500), 1, 8000) FROM customer""")
 def repo_snapshot(spark, sf_dir):
     f = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderpriority").alias("summary"), F.col("o_totalprice").alias("importance"), F.col("o_orderkey").alias("id"))
-    readmes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.repeat("c_name", F.lit(500)).alias("readme"))
+    readmes = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.col("c_custkey").alias("repo"), F.repeat("c_name", F.lit(500)).alias("readme"))
     return K.snapshot(f, f, f.where("id % 3 = 0"), readmes)
 
 

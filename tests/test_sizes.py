@@ -7,7 +7,7 @@ import numpy as np
 from lodestone.operators import clusters, extract
 from lodestone.operators import pages as P
 from lodestone.operators import vector_index as VI
-from lodestone.plans import sources
+from lodestone.plans import sources, wiki
 from lodestone.plans.tables import spread
 from pyspark.sql import functions as F
 
@@ -100,3 +100,10 @@ def test_nearest_among_many_copies(spark):
         s = VI._exact(np.broadcast_to(x[q], x.shape), x)
         want = sorted(((-a, k) for k, a in enumerate(s.tolist()) if k != q))[:50]
         assert [r["id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [k for _, k in want]
+
+
+def test_readmes_are_dealt_over_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(wiki.K, "snapshot", lambda f, s, d, readmes: seen.append(readmes.rdd.getNumPartitions()))
+    wiki.repo_snapshot(spark, DATA)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
