@@ -95,7 +95,8 @@ def manifest_facts(files: DataFrame, most: int = 30) -> DataFrame:
         rules = (F.when if rules is None else rules.when)(F.col("name") == file, F.concat(*found))
     lines = files.where(name.isin(*MANIFESTS)).select("path", name.alias("name"), F.posexplode(F.split("content", "\n")).alias("pos", "text"))
     out = lines.select("path", (F.col("pos") + 1).cast("long").alias("line"), F.explode(rules).alias("f")).select("f.kind", "f.value", "path", "line")
-    first = out.withColumn("_n", F.row_number().over(W.partitionBy("kind", "value").orderBy("path", "line"))).where("_n = 1").drop("_n")
+    # A value of very many files is summed up before it is shuffled; a window would sort all of its places in one task.
+    first = out.groupBy("kind", "value").agg(F.min(F.struct("path", "line")).alias("at")).select("kind", "value", "at.path", "at.line")
     return first.withColumn("_n", F.row_number().over(W.partitionBy("kind").orderBy("path", "line", "value"))).where(F.col("_n") <= most).drop("_n")
 
 

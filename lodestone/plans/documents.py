@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.operators import clusters
 from lodestone.operators import documents as D
-from lodestone.plans.tables import EDGES_SQL, NODES_SQL, calls, parts_as_nodes, table
+from lodestone.plans.tables import EDGES_SQL, NODES_SQL, calls, parts_as_nodes, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -114,7 +114,7 @@ def manifest_facts(spark, sf_dir):
         file("Dockerfile", F.concat(F.lit("FROM python:3."), n(14), F.lit("\nENV PORT_"), k, F.lit(" 80\nCMD run me\n"))),
         file("package.json", F.lit('{"dependencies": {"left-pad": "^1.0.0"}, "engines": {"node": ">=18"}}')),
     )
-    tree = table(spark, sf_dir, "customer").select(folder.alias("folder"), F.explode(files).alias("f"))
+    tree = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(folder.alias("folder"), F.explode(files).alias("f"))
     return D.manifest_facts(tree.select(F.concat("folder", "f.name").alias("path"), "f.content"))
 
 

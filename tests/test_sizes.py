@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from lodestone.operators import clusters, extract
+from lodestone.operators import documents as D
 from lodestone.operators import pages as P
 from lodestone.operators import vector_index as VI
 from lodestone.plans import sources, wiki
@@ -102,6 +103,14 @@ def test_nearest_among_many_copies(spark):
         assert [r["id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [k for _, k in want]
 
 
+def test_first_place_of_a_fact_in_very_many_files(spark):
+    files = spark.range(2000).select(F.format_string("p%04d/requirements.txt", 1999 - F.col("id")).alias("path"), F.concat(F.lit("lib\npandas\nx"), F.col("id").cast("string")).alias("content"))
+    out = D.manifest_facts(files)
+    assert out._jdf.queryExecution().executedPlan().toString().count("+- Window [") <= 1
+    got = {r["value"]: (r["path"], r["line"]) for r in out.collect()}
+    assert got["pandas"] == ("p0000/requirements.txt", 2) and got["lib"] == ("p0000/requirements.txt", 1) and len(got) == 30
+
+
 def test_readmes_are_dealt_over_tasks(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(wiki.K, "snapshot", lambda f, s, d, readmes: seen.append(readmes.rdd.getNumPartitions()))
