@@ -81,10 +81,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def dedupe_overloads(nodes: DataFrame, key: str, order: str, signature: str) -> DataFrame:
-    """The last node of each key, with the signatures of the earlier ones in order."""
-    w = W.partitionBy(key)
-    earlier = F.collect_list(signature).over(w.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return nodes.withColumn("overloads", earlier).withColumn("_last", F.row_number().over(w.orderBy(F.desc(order)))).where("_last = 1").drop("_last")
+    """The last node of each key, with the signatures of the earlier ones in order. Each list is made once, for its last node."""
+    last = F.max(F.struct(F.col(order).alias("_order"), F.struct(*nodes.columns).alias("_node")))
+    every = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(signature).alias("s"))))
+    found = nodes.groupBy(F.col(key).alias("_key")).agg(last.alias("_last"), every.alias("_all"))
+    earlier = F.filter(F.transform(F.slice("_all", F.lit(1), F.size("_all") - 1), lambda x: x["s"]), lambda s: s.isNotNull())
+    return found.select("_last._node.*", earlier.alias("overloads"))
 
 
 def reparented(nodes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 
 from lodestone.operators import clusters, extract
 from lodestone.operators import documents as D
+from lodestone.operators import graph as G
 from lodestone.operators import pages as P
 from lodestone.operators import vector_index as VI
 from lodestone.plans import sources, wiki
@@ -103,6 +104,14 @@ def test_nearest_among_many_copies(spark):
         assert [r["id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [k for _, k in want]
 
 
+def test_overloads_are_listed_once(spark):
+    nodes = spark.range(3000).select("id", F.when(F.col("id") < 2990, "same").otherwise(F.col("id").cast("string")).alias("q"), F.col("id").cast("string").alias("s"))
+    out = G.dedupe_overloads(nodes, "q", "id", "s")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["q"]: (r["id"], r["overloads"]) for r in out.collect()}
+    assert got["same"] == (2989, [str(k) for k in range(2989)]) and got["2995"] == (2995, []) and len(got) == 11
+
+
 def test_first_place_of_a_fact_in_very_many_files(spark):
     files = spark.range(2000).select(F.format_string("p%04d/requirements.txt", 1999 - F.col("id")).alias("path"), F.concat(F.lit("lib\npandas\nx"), F.col("id").cast("string")).alias("content"))
     out = D.manifest_facts(files)
