@@ -1,7 +1,8 @@
 """Inverted index of words: which documents hold a token, and where.
 
-A posting row is one token in one block of documents: the documents' ids, and for each of its fields the weight and the
-token's positions as differences. Blocks are the same for all tokens, BLOCK_DOCS documents each by the hash of their id, so
+A posting row is one token in one block of documents: the documents' ids, for each of them the occurrences in each field, and
+the token's positions as differences, packed in one to five bytes each. Rows are flat, as a row of nested arrays takes several times the memory to
+shuffle and sort. Blocks are the same for all tokens, BLOCK_DOCS documents each by the hash of their id, so
 the tokens of a query meet block by block and nothing larger than a block is ever gathered. Rows are kept in folders by the hash of their
 token: a query reads the folders of its own tokens and no text. ``most`` is the highest score of a block, so the k best for one
 token come from the blocks that can still hold one of them.
@@ -29,18 +30,20 @@ from lodestone.functions.stem import stem
 from lodestone.operators import retrieval as R
 from lodestone.sources.indexes import kept
 
-LAYOUT = 2  # of the stored rows: another number makes new indexes
+LAYOUT = 3  # of the stored rows: another number makes new indexes
 BLOCK_DOCS = 1024
 FILES = 256  # blocks of a token that lie in one file
+TASK_BLOCKS = 8  # blocks' worth of rows in a task that builds, so that its sort fits into memory
 
 
 @dataclass(frozen=True)
 class TokenIndex:
-    """postings(folder, token, block, n_docs, most, docs); hidden: ids that a newer part replaces."""
+    """postings(folder, token, block, n_docs, n, most, ids, counts, steps); weights: of the fields; hidden: ids that a newer part replaces."""
 
     postings: DataFrame
     folders: int
     blocks: int
+    weights: tuple[float, ...]
     english: bool = False
     hidden: DataFrame | None = None
     newer: TokenIndex | None = None
@@ -53,18 +56,14 @@ class TokenIndex:
         return list(dict.fromkeys(stem(w) for w in found if w not in T.ENGLISH_STOPWORDS)) if self.english else found
 
     def rows(self, words: list[str]) -> DataFrame:
-        """The posting rows of these tokens, without hidden documents."""
+        """The posting rows of these tokens, hidden documents included."""
         # Folders are constants to the optimizer: the reader opens no others.
         folders = [_folder(F.lit(w), self.folders) for w in words]
-        rows = self.postings.where(F.col("folder").isin(folders) & F.col("token").isin(words))
-        return self.visible(rows)
+        return self.postings.where(F.col("folder").isin(folders) & F.col("token").isin(words))
 
     def visible(self, rows: DataFrame) -> DataFrame:
-        if self.hidden is None:
-            return rows
-        alive = rows.withColumn("d", F.explode("docs")).join(self.hidden.select(F.col("id").alias("hidden_id")), F.col("d.id") == F.col("hidden_id"), "left_anti")
-        again = alive.groupBy("folder", "token", "block").agg(F.collect_list("d").alias("docs"), F.first("most").alias("most"))
-        return again.select("folder", "token", "block", F.size("docs").alias("n_docs"), "most", "docs")
+        """Of rows(id, ...), those of documents that aren't hidden."""
+        return rows if self.hidden is None else rows.join(self.hidden.select("id"), "id", "left_anti")
 
 
 def _folder(token: Column, folders: int) -> Column:
@@ -93,63 +92,117 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(at, start, "right") - 1, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bound), pa.py_buffer(text[inside]))
 
 
-def _block(fields: dict[str, str], english: bool):
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each value begins and the last ends) of numbers from 0: seven bits a byte, low ones first, the last byte below 128."""
+    size = 1 + sum((values >= 1 << 7 * b).astype(np.int64) for b in range(1, 5))
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(at[-1], np.uint8)
+    for b in range(int(size.max(initial=0))):
+        some = size > b
+        out[at[:-1][some] + b] = (values[some] >> 7 * b & 127) | (size[some] > b + 1) << 7
+    return out, at
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(raw < 128) + 1
+    at = np.concatenate([[0], end[:-1]])
+    out = np.zeros(len(end), np.int64)
+    for b in range(int((end - at).max(initial=0))):
+        some = end - at > b
+        out[some] |= (raw[at[some] + b].astype(np.int64) & 127) << 7 * b
+    return out
+
+
+def _stems(names: pa.Array) -> pa.Array:
+    """The stem of each token, null for function words. What ends in a digit is its own stem."""
+    word = pc.match_substring_regex(names, "[a-z]$").to_numpy(zero_copy_only=False)
+    by_rule = [None if t in T.ENGLISH_STOPWORDS else stem(t) for t in names.filter(pa.array(word)).to_pylist()]
+    return pc.replace_with_mask(names, pa.array(word), pa.array(by_rule, names.type))
+
+
+def _block(weights: list[float], english: bool):
     """The rows (id, f0, f1, ...) of a block to its posting rows, by sorting all of its tokens once."""
-    weights = np.array([R.WEIGHTS[w] for w in fields])
+    n_fields = len(weights)
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["id"])).combine_chunks()
+        number = table["block"][0].as_py()
         rows, kinds, found = [], [], []
-        for k in range(len(fields)):
+        for k in range(n_fields):
             row, token = _tokens(table[f"f{k}"].combine_chunks())
             rows.append(row), kinds.append(np.full(len(row), k)), found.append(token)
-        row, field = np.concatenate(rows), np.concatenate(kinds)
+        slot = np.concatenate(rows) * n_fields + np.concatenate(kinds)  # a field of a document
         coded = pa.concat_arrays(found).dictionary_encode()
         code, names = np.asarray(coded.indices, np.int64), coded.dictionary
         if english:
-            each = names.to_pylist()
-            stems = pa.array([None if t in T.ENGLISH_STOPWORDS else stem(t) for t in each], pa.large_string()).dictionary_encode()
+            stems = _stems(names).dictionary_encode()
             code = np.asarray(stems.indices.fill_null(-1), np.int64)[code]
             names, keep = stems.dictionary, code >= 0
-            row, field, code = row[keep], field[keep], code[keep]
-        by_doc = np.lexsort((field, row)) if len(fields) > 1 else np.arange(len(row))  # stable: tokens keep their order
-        row, field, code = row[by_doc], field[by_doc], code[by_doc]
+            slot, code = slot[keep], code[keep]
+        if n_fields > 1:
+            by_doc = np.argsort(slot, kind="stable")  # tokens keep their order
+            slot, code = slot[by_doc], code[by_doc]
+        row = slot // n_fields
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        id_rank = np.empty(table.num_rows, np.int64)
-        id_rank[np.asarray(pc.sort_indices(table["id"]))] = np.arange(table.num_rows)
-        order = np.lexsort((place, field, id_rank[row], code))
-        row, field, code, place = row[order], field[order], code[order], place[order]
+        order = np.argsort(code, kind="stable")  # each token's places are in the order of ids and fields
+        slot, code, place, row = slot[order], code[order], place[order], row[order]
         new = lambda *c: np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in c], axis=0)])) if len(row) else np.zeros(0, np.int64)
-        of_field, of_doc, of_token = new(code, row, field), new(code, row), new(code)
+        of_field, of_doc, of_token = new(code, slot), new(code, row), new(code)
         steps = np.diff(place, prepend=0)
         steps[of_field] = place[of_field]
-        inner = lambda outer, cuts, n: pa.array(np.append(np.searchsorted(cuts, outer), n).astype(np.int32))
-        counts = np.diff(np.append(of_field, len(row)))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(of_field, len(row)).astype(np.int32)), pa.array(steps.astype(np.int32)))
-        f = pa.StructArray.from_arrays([pa.array(field[of_field].astype(np.int32)), pa.array(weights[field[of_field]]), lists], ["field", "weight", "steps"])
-        d = pa.StructArray.from_arrays([table["id"].combine_chunks().take(pa.array(row[of_doc])), pa.ListArray.from_arrays(inner(of_doc, of_field, len(of_field)), f)], ["id", "fields"])
-        docs = pa.ListArray.from_arrays(inner(of_token, of_doc, len(of_doc)), d)
-        score = np.add.reduceat(counts * weights[field[of_field]], np.searchsorted(of_field, of_doc)) if len(row) else np.zeros(0)
-        most = np.maximum.reduceat(score, np.searchsorted(of_doc, of_token)) if len(row) else np.zeros(0)
-        n_docs = np.diff(np.append(np.searchsorted(of_doc, of_token), len(of_doc))).astype(np.int32)
-        block = pa.array(np.full(len(of_token), table["block"][0].as_py(), np.int32))
-        return pa.table({"token": names.take(pa.array(code[of_token])).cast(pa.string()), "block": block, "n_docs": pa.array(n_docs), "most": pa.array(most), "docs": docs})
+        data, at = _packed(steps)
+        n = len(of_doc)
+        counts = np.zeros((n, n_fields), np.int32)
+        counts[np.searchsorted(of_doc, of_field, "right") - 1, slot[of_field] % n_fields] = np.diff(np.append(of_field, len(row)))
+        score = np.zeros(n)
+        for k in range(n_fields):
+            score += counts[:, k] * weights[k]
+        cuts = np.append(np.searchsorted(of_doc, of_token), n)
+        ids = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), table["id"].combine_chunks().take(pa.array(row[of_doc])))
+        lists = pa.ListArray.from_arrays(pa.array((cuts * n_fields).astype(np.int32)), pa.array(counts.ravel()))
+        ends = at[np.append(of_token, len(row))]
+        packed = pa.Array.from_buffers(pa.binary(), len(of_token), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        return pa.table({
+            "token": names.take(pa.array(code[of_token])).cast(pa.string()), "block": pa.array(np.full(len(of_token), number, np.int32)),
+            "most": pa.array(np.maximum.reduceat(score, cuts[:-1]) if n else score), "ids": ids, "counts": lists, "steps": packed,
+        })
 
     return run
 
 
+def _dealt(rows: DataFrame, blocks: int, *keys) -> DataFrame:
+    """rows dealt by keys over a session's partitions, or over more, so that none has many more than TASK_BLOCKS blocks' worth."""
+    wanted = blocks // TASK_BLOCKS
+    return rows.repartition(wanted, *keys) if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
+def _weights(fields: dict[str, str]) -> tuple[float, ...]:
+    return tuple(R.WEIGHTS[w] for w in fields)
+
+
 def postings(docs: DataFrame, id: str, fields: dict[str, str], blocks: int, folders: int, english: bool = False) -> DataFrame:
-    """(folder, token, block, n_docs, most, docs) of docs; fields: weight letter -> column, as for a lexical stream."""
+    """(folder, token, block, n_docs, n, most, ids, counts, steps) of docs; fields: weight letter -> column, as for a lexical stream."""
     low = (F.lower(F.col(c).cast("string")).alias(f"f{k}") for k, c in enumerate(fields.values()))
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("block"), *low)
     kind = dict(rows.dtypes)["id"]
-    schema = f"token string, block int, n_docs int, most double, docs array<struct<id:{kind},fields:array<struct<field:int,weight:double,steps:array<int>>>>>"
-    out = rows.groupBy("block").applyInArrow(_block(fields, english), schema)
-    return out.select(_folder(F.col("token"), folders).alias("folder"), "*").repartition("folder", F.floor(F.col("block") / FILES))
+    schema = f"token string, block int, most double, ids array<{kind}>, counts array<int>, steps binary"
+    out = _dealt(rows, blocks, "block").groupBy("block").applyInArrow(_block(list(_weights(fields)), english), schema)
+    dealt = _dealt(out, blocks, _folder(F.col("token"), folders), F.floor(F.col("block") / FILES))
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
+    return dealt.select(_folder(F.col("token"), folders).alias("folder"), "token", "block", F.size("ids").alias("n_docs"), n.alias("n"), "most", "ids", "counts", "steps")
 
 
-def _weighted(fields: Column) -> Column:
-    """Occurrences by the weights of their fields, added in the order of the fields."""
-    return F.aggregate(fields, F.lit(0.0), lambda s, f: s + F.size(f["steps"]).cast("long") * f["weight"])
+def _scored(weights: tuple[float, ...]) -> Column:
+    """(id, score) of each document of a posting row: occurrences by the weights of their fields, added in the order of the fields."""
+
+    def one(id: Column, k: Column) -> Column:
+        total = F.lit(0.0)
+        for f, w in enumerate(weights):
+            total = total + F.get("counts", k * len(weights) + f).cast("long") * F.lit(w)
+        return F.struct(id.alias("id"), total.alias("score"))
+
+    return F.transform("ids", one)
 
 
 def token_index(docs: DataFrame, id: str, fields: dict[str, str] | None = None, english: bool = False) -> TokenIndex:
@@ -158,15 +211,16 @@ def token_index(docs: DataFrame, id: str, fields: dict[str, str] | None = None,
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
     folders = max(8, min(4096, blocks // 8))
     table = kept(docs, "stems" if english else "tokens", lambda: postings(docs, id, fields, blocks, folders, english), by=("folder",), sort=("token", "block"), id=id, fields=fields, blocks=blocks, folders=folders, layout=LAYOUT)
-    return TokenIndex(table, folders, blocks, english)
+    return TokenIndex(table, folders, blocks, _weights(fields), english)
 
 
 def with_changes(index: TokenIndex, docs: DataFrame, id: str, fields: dict[str, str] | None = None, removed: DataFrame | None = None) -> TokenIndex:
     """index after docs were added or replaced and the ids of removed(id) deleted."""
     ids = docs.select(F.col(id).alias("id"))
     gone = ids.unionByName(removed.select("id")) if removed is not None else ids
-    part = postings(docs, id, fields or {"D": "text"}, index.blocks, index.folders, index.english)
-    return _hide(index, gone.distinct(), TokenIndex(part, index.folders, index.blocks, index.english))
+    fields = fields or {"D": "text"}
+    part = postings(docs, id, fields, index.blocks, index.folders, index.english)
+    return _hide(index, gone.distinct(), TokenIndex(part, index.folders, index.blocks, _weights(fields), index.english))
 
 
 def _hide(index: TokenIndex, ids: DataFrame, newer: TokenIndex) -> TokenIndex:
@@ -176,16 +230,20 @@ def _hide(index: TokenIndex, ids: DataFrame, newer: TokenIndex) -> TokenIndex:
 
 def lexicon(index: TokenIndex) -> DataFrame:
     """(token, n_docs, n) of every token: documents that hold it, and its occurrences."""
-    n = F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + F.aggregate(d["fields"], F.lit(0).cast("long"), lambda a, f: a + F.size(f["steps"])))
     every = None
     for part in index.parts():
-        rows = part.visible(part.postings).select("token", F.col("n_docs").cast("long").alias("n_docs"), n.alias("n"))
+        if part.hidden is None:
+            rows = part.postings.select("token", F.col("n_docs").cast("long").alias("n_docs"), "n")
+        else:
+            k = len(part.weights)
+            each = F.transform("ids", lambda id, i: F.struct(id.alias("id"), F.aggregate(F.slice("counts", i * k + 1, k), F.lit(0).cast("long"), lambda s, c: s + c).alias("n")))
+            rows = part.visible(part.postings.select("token", F.inline(each))).select("token", F.lit(1).cast("long").alias("n_docs"), "n")
         every = rows if every is None else every.unionByName(rows)
     return every.groupBy("token").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
 
 
 def _no_rows(index: TokenIndex) -> DataFrame:
-    kind = index.postings.schema["docs"].dataType.elementType["id"].dataType
+    kind = index.postings.schema["ids"].dataType.elementType
     return index.postings.sparkSession.createDataFrame([], StructType([StructField("id", kind), StructField("score", DoubleType())]))
 
 
@@ -195,14 +253,14 @@ def _single(part: TokenIndex, word: str, k: int | None) -> DataFrame:
         # The k-th highest block maximum is reached by k documents: blocks below it hold none of the k best.
         best = [r[0] for r in rows.select("most").orderBy(F.desc("most")).limit(k).collect()]
         rows = rows.where(F.col("most") >= best[-1] * (1 - 1e-12)) if len(best) == k else rows
-    return rows.select(F.explode("docs").alias("d")).select("d.id", _weighted(F.col("d.fields")).alias("score"))
+    return part.visible(rows.select(F.inline(_scored(part.weights))))
 
 
 def _merged(part: TokenIndex, words: list[str], value: str) -> DataFrame:
     """(id, score) of the documents of a part that hold all words; value: ``cover`` (density) or ``count`` (occurrences)."""
-    rows = part.rows(words).select("block", F.col("token"), F.transform("docs", lambda d: d["id"]).alias("ids"), F.transform("docs", lambda d: d["fields"]).alias("fields"))
-    kind = part.postings.schema["docs"].dataType.elementType["id"].dataType
-    place = {w: k for k, w in enumerate(words)}
+    rows = part.rows(words).select("block", "token", "ids", "counts", "steps")
+    kind = part.postings.schema["ids"].dataType.elementType
+    place, weights = {w: k for k, w in enumerate(words)}, part.weights
 
     def scored(table: pa.Table) -> pa.Table:
         """The rows of a block, one for each word that occurs in it."""
@@ -211,18 +269,21 @@ def _merged(part: TokenIndex, words: list[str], value: str) -> DataFrame:
             return pa.table({"id": pa.array([], name), "score": pa.array([], pa.float64())})
         lists = [r.as_py() for r in table["ids"]]
         common = sorted(set(lists[0]).intersection(*lists[1:]))
-        tokens, fields = table["token"].to_pylist(), table["fields"]
+        tokens = table["token"].to_pylist()
         where = [dict(zip(x, range(len(x)), strict=True)) for x in lists]
+        ends = [np.concatenate([[0], np.cumsum(c.values.to_numpy())]) for c in table["counts"]]
+        steps = [_unpacked(x.as_py()) for x in table["steps"]]
         score = []
         for i in common:
             found = []
             for r, token in enumerate(tokens):
-                for f in fields[r][where[r][i]].as_py():
-                    found += [(int(p), place[token], f["weight"]) for p in np.cumsum(f["steps"])]
+                slot = where[r][i] * len(weights)
+                for f, w in enumerate(weights):
+                    found += [(int(p), place[token], w) for p in np.cumsum(steps[r][ends[r][slot + f] : ends[r][slot + f + 1]])]
             score.append(float(len(found)) if value == "count" else R._cover_score(sorted(found), len(words)))
         return pa.table({"id": pa.array(common, name), "score": pa.array(score, pa.float64())})
 
-    return rows.groupBy("block").applyInArrow(scored, StructType([StructField("id", kind), StructField("score", DoubleType())]))
+    return part.visible(rows.groupBy("block").applyInArrow(scored, StructType([StructField("id", kind), StructField("score", DoubleType())])))
 
 
 def search(index: TokenIndex, query: str, k: int | None) -> DataFrame:
@@ -251,7 +312,7 @@ def _with_part_of_word(index: TokenIndex, piece: str) -> DataFrame:
     """Distinct ids of the documents with a token that holds a piece."""
     out = None
     for part in index.parts():
-        rows = part.visible(part.postings.where(F.col("token").contains(piece))).select(F.explode("docs").alias("d")).select("d.id")
+        rows = part.visible(part.postings.where(F.col("token").contains(piece)).select(F.explode("ids").alias("id")))
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
 

@@ -49,7 +49,7 @@ def kept(source: DataFrame, name: str, build: Callable[[], DataFrame], /, by: tu
         beside = f"{place}-{uuid.uuid4().hex}"
         table = build()
         table = table.sortWithinPartitions(*by, *sort) if by or sort else table
-        (table.write.partitionBy(*by) if by else table.write).parquet(beside)
+        (table.write.partitionBy(*by) if by else table.write).option("compression", "zstd").parquet(beside)
         if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), at) or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place, beside.rsplit("/", 1)[1])):
             remove(spark, f"{place}/{beside.rsplit('/', 1)[1]}")  # another session was first: what came to lie inside its table goes
             remove(spark, beside)

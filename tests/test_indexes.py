@@ -140,3 +140,19 @@ def test_vectors(spark, tmp_path):
     assert one == [(r["id"], round(r["score"], 9)) for r in near]
     with pytest.raises(ValueError):
         VI.vector_index(table.where("vec_id = 9001"))
+
+
+def test_postings_are_flat_and_short(spark):
+    """A posting takes an id, a count and its packed places; nested arrays took some 110 bytes of a row that is shuffled and sorted."""
+    texts = [(k, " ".join(f"w{(k + j) % 40}" for j in range(60))) for k in range(64)]
+    rows = TI.postings(spark.createDataFrame(texts, "id long, text string"), "id", {"D": "text"}, 1, 8)
+    assert not any("struct" in t for _, t in rows.dtypes)
+    n_docs, n, taken = rows.agg(F.sum("n_docs"), F.sum("n"), F.sum(8 * F.size("ids") + 4 * F.size("counts") + F.octet_length("steps"))).first()
+    assert n == 64 * 60 and taken <= 16 * n_docs
+
+
+def test_places_are_packed_without_loss():
+    values = np.array([0, 1, 127, 128, 16_383, 16_384, 2_097_151, 2_097_152, 268_435_455, 268_435_456, 2**31 - 1])
+    data, at = TI._packed(values)
+    assert TI._unpacked(data.tobytes()).tolist() == values.tolist() and np.diff(at).tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert len(TI._packed(values[:0])[0]) == 0 and len(TI._unpacked(b"")) == 0
