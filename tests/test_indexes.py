@@ -156,3 +156,13 @@ def test_places_are_packed_without_loss():
     data, at = TI._packed(values)
     assert TI._unpacked(data.tobytes()).tolist() == values.tolist() and np.diff(at).tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert len(TI._packed(values[:0])[0]) == 0 and len(TI._unpacked(b"")) == 0
+
+
+def test_stems_of_a_block_are_those_of_each_word():
+    """Only what ends in a letter goes through the rules; the rest are their own stems."""
+    import pyarrow as pa
+
+    from lodestone.functions.stem import stem
+
+    words = ["licensing", "the", "1st", "x1", "42", "running7", "yyy", "y1y", "s", "ponies", "a1", "ties"]
+    assert TI._stems(pa.array(words, pa.large_string())).to_pylist() == [None if w == "the" else stem(w) for w in words]
