@@ -39,11 +39,15 @@ def page_tree(pages: DataFrame, slug: str, parent: str) -> DataFrame:
     return joined.withColumn(parent, F.when(F.col("_known") & (F.col(parent) != F.col(slug)), F.col(parent))).drop("_known").select(*pages.columns)
 
 
-def citations(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, kind, target): ``[[node:name]]`` and ``[[doc:path#heading]]``, each once."""
+def cited(text: Column) -> Column:
+    """Array of (kind, target): ``[[node:name]]`` and ``[[doc:path#heading]]``, each once."""
     raw = F.regexp_extract_all(text, F.lit(r"\[\[((?:node|doc):[^\]]+)\]\]"), F.lit(1))
-    rows = docs.select(id, F.explode(F.array_distinct(raw)).alias("raw"))
-    return rows.select(id, F.regexp_extract("raw", "^(node|doc):", 1).alias("kind"), F.trim(F.regexp_replace("raw", "^(node|doc):", "")).alias("target"))
+    return F.transform(F.array_distinct(raw), lambda x: F.struct(F.regexp_extract(x, "^(node|doc):", 1).alias("kind"), F.trim(F.regexp_replace(x, "^(node|doc):", "")).alias("target")))
+
+
+def citations(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, kind, target) of ``cited``."""
+    return docs.select(id, F.inline(cited(F.col(text))))
 
 
 def resolve_citations(cited: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -231,23 +231,28 @@ def coverage(docs: DataFrame, required: DataFrame, verified: DataFrame) -> DataF
 
     A comment ``<!-- answers: question -->`` stands for the text from it to the next second heading; it is grounded if that text
     has a placeholder, or a ``Source:`` line with a file, that verified(page, kind, target) has. required(page, question).
+    Texts are read once, where they lie. All that is shuffled goes by page: the marks of its texts with what they cite, what was verified of
+    it, and its questions.
     """
-    from lodestone.operators.documents import citations
-
-    part = docs.select("page", F.posexplode(F.split("text", r"(?m)^(?=## )")).alias("s", "part"))
-    pieces = part.select("page", "s", F.split("part", r"(?=<!-- answers: )").alias("p"))
-    marked = pieces.select("page", "s", F.posexplode(F.transform("p", lambda x, k: F.struct(F.regexp_extract(x, r"^<!-- answers: ([\w-]+) -->", 1).alias("question"), F.array_join(F.slice("p", k + 1, F.size("p")), "").alias("text")))).alias("k", "m"))
-    marked = marked.where("m.question != ''").select(F.struct("page", "s", "k", "m.question").alias("m"), "m.text")
-    files = marked.select("m", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^Source: \[?([^\s\]():]+)"), F.lit(1))).alias("target")).select("m", F.lit("file").alias("kind"), "target")
-    told = citations(marked, "m", "text").unionByName(files).select("m", F.col("m.page").alias("page"), "kind", "target")
-    good = told.join(verified.select("page", "kind", "target").distinct(), ["page", "kind", "target"], "left_semi").select("m").distinct().withColumn("good", F.lit(True))
-    each = marked.select("m").distinct().join(good, "m", "left").groupBy(F.col("m.page").alias("page"), F.col("m.question").alias("question")).agg(F.coalesce(F.bool_or("good"), F.lit(False)).alias("good"), F.bool_and(F.coalesce("good", F.lit(False))).alias("always"))
-    every = each.join(required.select("page", "question").distinct().withColumn("asked", F.lit(True)), ["page", "question"], "full")
-    good, asked, here = F.coalesce("good", F.lit(False)), F.coalesce("asked", F.lit(False)), F.col("good").isNotNull()
-    names = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("question"))))
-    out = every.groupBy("page").agg(names(good & asked).alias("answered"), names(asked & ~good).alias("missing"), names(here & ~F.col("always")).alias("ungrounded"), names(here & ~asked).alias("extra"))
-    none = F.array().cast("array<string>")
-    return docs.select("page").distinct().join(out, "page", "left").select("page", *(F.coalesce(c, none).alias(c) for c in ("answered", "missing", "ungrounded", "extra")))
+    from lodestone.operators.documents import cited
+
+    parts = F.split("text", r"(?m)^(?=## )")
+    begun = lambda p, s: F.transform(p, lambda x, k: F.struct(s.alias("s"), k.alias("k"), F.regexp_extract(x, r"^<!-- answers: ([\w-]+) -->", 1).alias("question"), F.array_join(F.slice(p, k + 1, F.size(p)), "").alias("text")))
+    pieces = F.transform(parts, lambda part: F.split(part, r"(?=<!-- answers: )"))  # by itself, so that each part is split once
+    begun_in = F.flatten(F.transform(pieces, begun))
+    told = lambda m: F.array_union(cited(m["text"]), F.transform(F.regexp_extract_all(m["text"], F.lit(r"(?m)^Source: \[?([^\s\]():]+)"), F.lit(1)), lambda t: F.struct(F.lit("file").alias("kind"), t.alias("target"))))
+    marks = docs.select("page", F.when(F.col("page").isNotNull(), F.filter(begun_in, lambda m: m["question"] != "")).alias("begun"))
+    marks = marks.select("page", F.transform("begun", lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["question"].alias("question"), told(m).alias("told"))).alias("marks"))
+    known = verified.groupBy("page").agg(F.collect_set(F.struct("kind", "target")).alias("known"))
+    asked = required.groupBy("page").agg(F.collect_set("question").alias("asked"))
+    found = F.transform("marks", lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["question"].alias("question"), F.coalesce(F.arrays_overlap(m["told"], F.col("known")), F.lit(False)).alias("good")))
+    each = marks.join(known, "page", "left").select("page", F.inline_outer(found))
+    each = each.groupBy("page", "s", "k", "question").agg(F.bool_or("good").alias("good")).groupBy("page", "question").agg(F.bool_or("good").alias("good"), F.bool_and("good").alias("always"))
+    names = lambda c: F.collect_set(F.when(c, F.col("question")))
+    out = each.groupBy("page").agg(F.collect_set("question").alias("here"), names(F.col("good")).alias("good"), names(~F.col("always")).alias("ungrounded")).join(asked, "page", "left")
+    asked = F.coalesce("asked", F.array().cast("array<string>"))
+    sets = {"answered": F.array_intersect("good", asked), "missing": F.array_except(asked, F.col("good")), "ungrounded": F.col("ungrounded"), "extra": F.array_except(F.col("here"), asked)}
+    return out.select("page", *(F.array_sort(c).alias(n) for n, c in sets.items()))
 
 
 # Second headings that a page must not have, the worst first, and how a page with one is called.

@@ -433,14 +433,17 @@ def section_bodies(spark, sf_dir):
     CASE WHEN w IN (1, 4) THEN 'open_questions_forbidden' WHEN w = 2 THEN 'test_strategy_forbidden' WHEN w = 3 THEN 'comparison_forbidden' WHEN v AND f AND all_asked THEN 'ok' ELSE 'partial' END AS outcome FROM q""")
 def coverage_gate(spark, sf_dir):
     """Answered, missing and ungrounded questions of pages, and what that comes to; some pages have sections that they mustn't."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")), "page")  # everything below goes by page
     worse = F.element_at(F.array(*map(F.lit, ("## Other\n", "## Open Questions \n", "## test strategy\n", "## Comparison with alternatives\nx\n", "## Test Strategy\n## open questions\n", "### Open questions\n", "text ## Open questions\n"))), (F.col("page") % 7 + 1).cast("int"))
     text = F.concat(F.lit("# T\n## One\n<!-- answers: what-is -->\nSee [[node:a.b]].\n## Two\n<!-- answers: how-to-run -->\nSource: [main.go](L1)\n## Three\n<!-- answers: extra -->\nnothing\n"), worse)
     required = o.select("page", F.explode(F.when(F.col("page") % 5 == 0, F.array(F.lit("what-is"), F.lit("how-to-run"))).otherwise(F.array(*map(F.lit, ("what-is", "how-to-run", "limits"))))).alias("question"))
     one = lambda when, kind, target: o.where(when).select("page", F.lit(kind).alias("kind"), F.lit(target).alias("target"))
     docs = o.withColumn("text", text)
-    out = K.coverage(docs, required, one("page % 2 = 0", "node", "a.b").union(one("page % 3 = 0", "file", "main.go"))).join(docs, "page")
-    return out.select("page", *(F.array_join(c, ",").alias(c) for c in ("answered", "missing", "ungrounded", "extra")), K.coverage_outcome(F.col("text"), F.col("missing")).alias("outcome"))
+    # A forbidden section is found before the join, so that no text is shuffled.
+    worst = docs.select("page", K.coverage_outcome(F.col("text"), F.array()).alias("worst"))
+    out = K.coverage(docs, required, one("page % 2 = 0", "node", "a.b").union(one("page % 3 = 0", "file", "main.go"))).join(worst, "page")
+    outcome = F.when((F.col("worst") == "ok") & (F.size("missing") > 0), "partial").otherwise(F.col("worst"))
+    return out.select("page", *(F.array_join(c, ",").alias(c) for c in ("answered", "missing", "ungrounded", "extra")), outcome.alias("outcome"))
 
 
 @query("SELECT o_orderkey AS page, '# T' || chr(10) || '## Keep' || chr(10) || 'a' || chr(10) || '## Last' || chr(10) || o_orderkey AS text FROM orders")

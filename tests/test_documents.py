@@ -220,3 +220,21 @@ def test_density_labels_by_brute_force(seed):
     x = np.concatenate([c + draw.normal(0, 0.3, (draw.integers(3, 9), 5)) for c in centres] + [draw.normal(size=(5, 5))])
     labels = clusters.density_labels(x)
     assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist()) - {-1}} == plain_clusters(x, clusters.MIN_SIZE)
+
+
+def test_coverage_of_odd_pages_shuffles_by_page_only(spark):
+    from lodestone.operators import wiki as K
+
+    mark = lambda q, body: f"<!-- answers: {q} -->\n{body}\n"
+    texts = [
+        (1, "## A\n" + mark("x", "[[node:a]]") + mark("x", "none") + mark("y", "Source: [m.go](L1)") + "## B\n" + mark("z", "see")),
+        (2, "## A\n" + mark("x", "see") + mark("y", "[[doc:d.md#h]]")), (2, "## A\n" + mark("x", "[[node:a]]") + mark("w", "")), (3, None), (4, "no marks"), (None, mark("x", "[[node:a]]")),
+    ]
+    docs = spark.createDataFrame(texts, "page long, text string")
+    required = spark.createDataFrame([(1, "x"), (1, "z"), (1, "v"), (1, None), (2, "x"), (3, "x"), (9, "x"), (None, "x")], "page long, question string")
+    verified = spark.createDataFrame([(1, "node", "a"), (1, "file", "m.go"), (2, "node", "a"), (2, "doc", "d.md#h"), (2, "doc", None), (None, "node", "a")], "page long, kind string, target string")
+    out = K.coverage(docs, required, verified)
+    want = {1: (["x"], ["v", "z"], ["z"], ["y"]), 2: (["x"], [], ["w"], ["w", "y"]), 3: ([], ["x"], [], []), 4: ([], [], [], []), None: ([], [], [], [])}
+    assert {r["page"]: tuple(r[1:]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange ") <= 4
