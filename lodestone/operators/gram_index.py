@@ -27,6 +27,7 @@ from lodestone.sources.indexes import kept
 
 LAYOUT = 3  # of the stored rows: another number makes new indexes
 CHUNK, CHUNKS = 65_536, 64  # names of a chunk, chunks of a folder in one file
+TASK_BYTES = 4 << 20  # of names, of which a task that builds sorts the trigrams
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,8 @@ def _size(n: Column) -> Column:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (folder, gram, size, chunk, id, n) to rows with lists of names; a list ends with its batch at the latest."""
-    keys = ["folder", "gram", "size", "chunk"]
+    """Sorted rows (gram, size, chunk, id, n) to rows with lists of names; a list ends with its batch at the latest."""
+    keys = ["gram", "size", "chunk"]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,12 +73,18 @@ def gram_index(names: DataFrame, id: str, name: str) -> GramIndex:
     chunks, folders = max(1, -(-n // CHUNK)), max(8, min(1024, n // 100_000))
 
     def build() -> DataFrame:
-        grams = names.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), T.trigrams(F.col(name)).alias("g"))
-        each = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-        each = each.select(_folder(F.col("gram"), folders).alias("folder"), F.floor(F.col("chunk") / CHUNKS).cast("int").alias("file"), "gram", _size(F.col("n")).alias("size"), "chunk", "id", "n")
         kind = dict(names.dtypes)[id]
-        dealt = each.repartition("folder", "file").sortWithinPartitions("folder", "gram", "size", "chunk", "id").drop("file")
-        return dealt.mapInArrow(_listed, f"folder int, gram string, size int, chunk int, names array<struct<id:{kind},n:int>>")
+        chunk = F.pmod(F.xxhash64(id), F.lit(chunks)).cast("int")
+        rows = names.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(name).alias("name"), chunk.alias("chunk"))
+        size = names.agg(F.sum(F.octet_length(F.col(name).cast("string")))).first()[0] or 0
+        default = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(-(-size // TASK_BYTES), min(default, -(-16 * size // TASK_BYTES)), 1)
+        dealt = rows.repartition(tasks, "chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(-(-tasks // chunks))))
+        grams = dealt.select("id", "chunk", T.trigrams(F.col("name")).alias("g"))
+        each = grams.select(F.explode("g").alias("gram"), _size(F.size("g")).alias("size"), "chunk", "id", F.size("g").alias("n"))
+        # Tasks of bounded size sort the trigrams of their own names; only lists are dealt by folder.
+        own = each.sortWithinPartitions("gram", "size", "chunk", "id").mapInArrow(_listed, f"gram string, size int, chunk int, names array<struct<id:{kind},n:int>>")
+        return own.select(_folder(F.col("gram"), folders).alias("folder"), "*").repartition("folder", F.floor(F.col("chunk") / CHUNKS))
 
     return GramIndex(kept(names, "grams", build, by=("folder",), sort=("gram", "size"), id=id, name=name, chunks=chunks, folders=folders, layout=LAYOUT), folders)
 

@@ -166,3 +166,16 @@ def test_stems_of_a_block_are_those_of_each_word():
 
     words = ["licensing", "the", "1st", "x1", "42", "running7", "yyy", "y1y", "s", "ponies", "a1", "ties"]
     assert TI._stems(pa.array(words, pa.large_string())).to_pylist() == [None if w == "the" else stem(w) for w in words]
+
+
+def test_trigrams_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    """All trigrams of a folder were sorted in one task, so that its memory grew with the names."""
+    monkeypatch.setattr(GI, "TASK_BYTES", 64)
+    path, tasks = str(tmp_path / "names"), []
+    spark.createDataFrame([(k, f"red widget {k % 7} of {k}" if k % 5 else None) for k in range(60)], "id long, name string").write.parquet(path)
+    names = spark.read.parquet(path)
+    monkeypatch.setattr(GI, "kept", lambda source, name, build, /, **_: tasks.append(build()) or tasks[-1])
+    index = GI.gram_index(names, "id", "name")
+    plan = tasks[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")  # lists are dealt, not trigrams
+    assert rows(GI.similar(index, "red widget", None)) == rows(R.symbol_stream(names.where("name is not null"), "red widget", None, "id", "name"))
