@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import incremental as I
-from lodestone.streaming import changes, usage
+from lodestone.streaming import changes, ordered, usage
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -70,6 +71,91 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert sorted(seconds(r["ts"]) for r in got) == [0, 46_500, 50_000, 50_100]
 
 
+class Kept:
+    """A list state in memory that counts the questions it is asked."""
+
+    def __init__(self):
+        self.rows, self.asked = [], 0
+
+    def exists(self):
+        self.asked += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.asked += 1
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.asked, self.rows = self.asked + 1, list(rows)
+
+    def appendList(self, rows):
+        self.asked += 1
+        self.rows += rows
+
+    def clear(self):
+        self.asked, self.rows = self.asked + 1, []
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+        self.listTimers, self.deleteTimer, self.registerTimer = lambda: iter(self.timers), self.timers.discard, self.timers.add
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+
+class Values:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = lambda: watermark
+
+
+@pytest.mark.parametrize("chunk", [3, 100_000])
+def test_keys_of_a_bucket_are_folded_in_one_visit(monkeypatch, chunk):
+    """Rows of many keys, given out and kept in pieces; a visit asks the store as often for many keys as for one; all is forgotten in the end."""
+    monkeypatch.setattr(ordered, "CHUNK", chunk)
+    fold = lambda state, t: ((t, 1), (t, t, 1)) if state is None or t >= state[0] + 50_000 else ((state[0], state[1] + 1), (t, state[0], state[1] + 1))
+    asked = {}
+    for n_keys in (1, 40):
+        draw, handle = random.Random(6), Handle()
+        bucket = ordered._Ordered(["t", "s", "hit"], fold, lambda state: state[0] + 50_000)
+        bucket.init(handle)
+        rows = [(f"k{draw.randrange(n_keys)}", draw.randrange(900_000)) for _ in range(400)]
+        got = []
+        for k, watermark in enumerate((0, 200, 400, 650)):
+            some = [r for r in rows if k == min(3, r[1] // 220_000)]
+            out = list(bucket.handleInputRows((7,), iter([pd.DataFrame(some[::2], columns=["key", "t"]), pd.DataFrame(some[1::2], columns=["key", "t"])]), Values(watermark)))
+            got += out
+            assert all(len(b) <= chunk for b in out) and all(len(e[0]) <= chunk for s in handle.states.values() for e in s.rows) and len(handle.timers) == 1 and min(handle.timers) > watermark
+        asked[n_keys] = sum(s.asked for s in handle.states.values())
+        got += [b for watermark in (900, 1000) for b in bucket.handleExpiredTimer((7,), Values(watermark), None)]
+        assert sorted(tuple(r) for b in got for r in b.to_numpy().tolist()) == [r[:4] for r in sorted(plain(rows, 50_000, 2))] and not any(s.rows for s in handle.states.values())
+    assert asked[1] == asked[40] <= 4 * 8
+
+
+def test_timers_do_not_grow_with_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 3)
+    path = f"file://{tmp_path}"
+    rows = spark.range(200).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"))
+    rows.coalesce(1).write.parquet(f"{path}/in")
+    stream = usage.rate_limited_stream(usage.read_stream(spark, f"{path}/in"), "id", "ts", 2, 60, "10 seconds")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    timers = [o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert 0 < max(timers) <= 3 and spark.read.parquet(f"{path}/out").count() == 190
+
+
+def test_keys_of_odd_kinds_keep_their_values(spark, tmp_path):
+    """Nulls, quotes, microseconds, and numbers that no double holds; zeros of both signs are one key."""
+    path = f"file://{tmp_path}"
+    at = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    kinds = [(None, None, None, None), ('a"\\\n', 2**60 + 1, at, 0.0), ('a"\\\n', 2**60 + 1, at, -0.0), ("", 2**60 + 3, at + dt.timedelta(microseconds=1), float("inf")), ("ä€", -1, dt.datetime(1969, 12, 31, 23, 59, 59, 999999), 0.1)]
+    rows = [(*k, BASE + dt.timedelta(seconds=n)) for n, k in enumerate(kinds)] + [("end", 0, at, 1.0, BASE + dt.timedelta(days=9))]
+    spark.createDataFrame(rows, "s string, n long, w timestamp, d double, ts timestamp").coalesce(1).write.parquet(f"{path}/in")
+    got = played(spark, usage.first_seen(usage.read_stream(spark, f"{path}/in"), "ts", ["s", "n", "w", "d"], "1 hour", "1 hour"), path).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[-1]) == [r for n, r in enumerate(rows[:5]) if n != 2]
+
+
 def random_feed(seed, n=200):
     draw, feed = random.Random(seed), []
     for k in range(n):
