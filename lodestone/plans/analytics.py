@@ -476,16 +476,27 @@ def dedup_ttl(spark, sf_dir):
 _PASSED = "epoch_ms({0}) <= epoch_ms((SELECT max(ts) FROM events)) - 3 * 86400000"
 
 
+PART_ROWS = 1_000_000
+
+
 def _disordered(spark, sf_dir):
-    """The events as a stream of six files, a file at a time, each with rows up to two days older than those before it."""
+    """The events as a stream of six parts, a part at a time, each with rows up to two days older than those before it.
+
+    A part is one file for each PART_ROWS rows of the table, begun. Files are written and read by tasks of their own; a row without a time, which
+    streams leave out, stands in each, so that none is missing and a micro-batch is always one whole part.
+    """
     source = new_path(spark, "events-in")
     shifted = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
-    events = table(spark, sf_dir, "events").withColumn("s", shifted)
-    low, high = events.agg(F.min("s"), F.max("s")).first()
-    part = F.least(F.lit(5), F.floor((F.col("s") - low) * 6 / (high - low + 1))).cast("int")
-    for k in range(6):  # one after the other, so that the files are read in this order
-        events.where(part == k).drop("s").coalesce(1).write.mode("append").parquet(source)
-    return U.read_stream(spark, source, maxFilesPerTrigger=1)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("s", shifted)
+    low, high, n = events.agg(F.min("s"), F.max("s"), F.count("*")).first()
+    files = n // PART_ROWS + 1
+    part = F.least(F.lit(5), F.floor((F.col("s") - (low or 0)) * 6 / ((high or 0) - (low or 0) + 1))).cast("int")
+    dealt = events.withColumn("file", F.pmod(F.hash("event_id"), F.lit(files)).cast("int"))
+    blank = spark.range(files).select(F.col("id").cast("int").alias("file"))
+    for k in range(6):  # one after the other, so that the parts are read in this order
+        rows = dealt.where(part == k).unionByName(blank, allowMissingColumns=True)
+        rows.repartitionById(files, "file").select("event_id", "user_id", "ts").write.mode("append").parquet(source)
+    return U.read_stream(spark, source, maxFilesPerTrigger=files)
 
 
 @query(_RATE.split("SELECT user_id, count(*) AS hits")[0] + f"SELECT user_id, s AS ts FROM r WHERE {_PASSED.format('s')} GROUP BY user_id, s")

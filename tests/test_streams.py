@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import incremental as I
+from lodestone.plans import analytics
+from lodestone.plans.tables import table
 from lodestone.streaming import changes, ordered, usage
 
 BASE = dt.datetime(2024, 1, 1)
@@ -156,6 +158,27 @@ def test_keys_of_odd_kinds_keep_their_values(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[-1]) == [r for n, r in enumerate(rows[:5]) if n != 2]
 
 
+def test_parts_of_a_stream_are_many_files_each(spark, monkeypatch):
+    """A part's files come in one micro-batch, even if a part has fewer rows than files; the rows are those of the batch form."""
+    monkeypatch.setattr(analytics, "PART_ROWS", 40)
+    sf_dir, seen = "/root/testdata/sf0.001", []
+    read = usage.read_stream
+    monkeypatch.setattr(analytics.U, "read_stream", lambda s, path, **o: seen.append((path, o)) or read(s, path, **o))
+    got = analytics.stream_dedup_ttl(spark, sf_dir)
+    ((path, options),) = seen
+    events = table(spark, sf_dir, "events")
+    n = events.count() // 40 + 1
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime").collect()
+    assert n > 20 and options == {"maxFilesPerTrigger": n} and len(files) == 6 * n
+    by_time = [f["path"] for f in sorted(files, key=lambda f: f["modificationTime"])]
+    shifted = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86400))
+    spans = [spark.read.parquet(*by_time[k * n : (k + 1) * n]).agg(F.min(shifted), F.max(shifted)).first() for k in range(6)]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    passed = F.lit(events.agg(F.max("ts")).first()[0] - dt.timedelta(days=3))
+    want = usage.first_seen(events, "ts", ["user_id"], "6 hours").where(F.col("ts") <= passed)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.count() > 100
+
+
 def random_feed(seed, n=200):
     draw, feed = random.Random(seed), []
     for k in range(n):
