@@ -10,13 +10,16 @@ token come from the blocks that can still hold one of them.
 Building is one shuffle of the documents by block, and one of the finished postings by folder; a token of every document
 is as many rows as there are blocks. Changes make a small index of their own (``with_changes``): the ids they replace are
 hidden in the older part. Ids are unique; rows without one aren't found. Scores, ranks and ties are those of
-``retrieval.lexical_stream``, and of its English form for an index of stems.
+``retrieval.lexical_stream``. The English form reads the same postings: a stem's tokens are looked up among all tokens of
+the index, each of which is stemmed once, and function words only move the places of the words behind them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,16 @@ class TokenIndex:
         found = R.lexemes(query)
         return list(dict.fromkeys(stem(w) for w in found if w not in T.ENGLISH_STOPWORDS)) if self.english else found
 
+    def forms(self, words: list[str]) -> dict[str, str]:
+        """Token -> the one of these stems that it has. A stem keeps a word's beginning, so other tokens aren't read, and has no more
+        tokens than there are endings."""
+        if not self.english:
+            return {w: w for w in words}
+        # The first two letters (but for dying, lying, tying), as in retrieval.lexical_stream_english.
+        near = reduce(Column.__or__, (F.col("token").startswith(w[:1] if w in ("die", "lie", "tie") else w[:2]) for w in words))
+        tokens = self.postings.where(near).select("token").distinct()
+        return {r["token"]: r["stem"] for r in tokens.mapInArrow(_with_stems, "token string, stem string").where(F.col("stem").isin(words)).collect()}
+
     def rows(self, words: list[str]) -> DataFrame:
         """The posting rows of these tokens, hidden documents included."""
         # Folders are constants to the optimizer: the reader opens no others.
@@ -121,7 +134,12 @@ def _stems(names: pa.Array) -> pa.Array:
     return pc.replace_with_mask(names, pa.array(word), pa.array(by_rule, names.type))
 
 
-def _block(weights: list[float], english: bool):
+def _with_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["token"], _stems(b["token"])], ["token", "stem"])
+
+
+def _block(weights: list[float]):
     """The rows (id, f0, f1, ...) of a block to its posting rows, by sorting all of its tokens once."""
     n_fields = len(weights)
 
@@ -135,11 +153,6 @@ def _block(weights: list[float], english: bool):
         slot = np.concatenate(rows) * n_fields + np.concatenate(kinds)  # a field of a document
         coded = pa.concat_arrays(found).dictionary_encode()
         code, names = np.asarray(coded.indices, np.int64), coded.dictionary
-        if english:
-            stems = _stems(names).dictionary_encode()
-            code = np.asarray(stems.indices.fill_null(-1), np.int64)[code]
-            names, keep = stems.dictionary, code >= 0
-            slot, code = slot[keep], code[keep]
         if n_fields > 1:
             by_doc = np.argsort(slot, kind="stable")  # tokens keep their order
             slot, code = slot[by_doc], code[by_doc]
@@ -181,13 +194,13 @@ def _weights(fields: dict[str, str]) -> tuple[float, ...]:
     return tuple(R.WEIGHTS[w] for w in fields)
 
 
-def postings(docs: DataFrame, id: str, fields: dict[str, str], blocks: int, folders: int, english: bool = False) -> DataFrame:
+def postings(docs: DataFrame, id: str, fields: dict[str, str], blocks: int, folders: int) -> DataFrame:
     """(folder, token, block, n_docs, n, most, ids, counts, steps) of docs; fields: weight letter -> column, as for a lexical stream."""
     low = (F.lower(F.col(c).cast("string")).alias(f"f{k}") for k, c in enumerate(fields.values()))
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("block"), *low)
     kind = dict(rows.dtypes)["id"]
     schema = f"token string, block int, most double, ids array<{kind}>, counts array<int>, steps binary"
-    out = _dealt(rows, blocks, "block").groupBy("block").applyInArrow(_block(list(_weights(fields)), english), schema)
+    out = _dealt(rows, blocks, "block").groupBy("block").applyInArrow(_block(list(_weights(fields))), schema)
     dealt = _dealt(out, blocks, _folder(F.col("token"), folders), F.floor(F.col("block") / FILES))
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
     return dealt.select(_folder(F.col("token"), folders).alias("folder"), "token", "block", F.size("ids").alias("n_docs"), n.alias("n"), "most", "ids", "counts", "steps")
@@ -206,11 +219,12 @@ def _scored(weights: tuple[float, ...]) -> Column:
 
 
 def token_index(docs: DataFrame, id: str, fields: dict[str, str] | None = None, english: bool = False) -> TokenIndex:
-    """The index of docs, built once for the files that docs reads. Counts them, and builds the index if it isn't there yet."""
+    """The index of docs, built once for the files that docs reads. Counts them, and builds the index if it isn't there yet.
+    english: the same index, searched by stems."""
     fields = fields or {"D": "text"}
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
     folders = max(8, min(4096, blocks // 8))
-    table = kept(docs, "stems" if english else "tokens", lambda: postings(docs, id, fields, blocks, folders, english), by=("folder",), sort=("token", "block"), id=id, fields=fields, blocks=blocks, folders=folders, layout=LAYOUT)
+    table = kept(docs, "tokens", lambda: postings(docs, id, fields, blocks, folders), by=("folder",), sort=("token", "block"), id=id, fields=fields, blocks=blocks, folders=folders, layout=LAYOUT)
     return TokenIndex(table, folders, blocks, _weights(fields), english)
 
 
@@ -219,7 +233,7 @@ def with_changes(index: TokenIndex, docs: DataFrame, id: str, fields: dict[str,
     ids = docs.select(F.col(id).alias("id"))
     gone = ids.unionByName(removed.select("id")) if removed is not None else ids
     fields = fields or {"D": "text"}
-    part = postings(docs, id, fields, index.blocks, index.folders, index.english)
+    part = postings(docs, id, fields, index.blocks, index.folders)
     return _hide(index, gone.distinct(), TokenIndex(part, index.folders, index.blocks, _weights(fields), index.english))
 
 
@@ -256,30 +270,47 @@ def _single(part: TokenIndex, word: str, k: int | None) -> DataFrame:
     return part.visible(rows.select(F.inline(_scored(part.weights))))
 
 
+def _any_form(part: TokenIndex, word: str) -> DataFrame:
+    """(id, n0, n1, ...): the occurrences of all tokens of a stem in each field of the documents of a part that hold one."""
+    k = len(part.weights)
+    each = F.transform("ids", lambda id, i: F.struct(id.alias("id"), *(F.get("counts", i * k + f).cast("long").alias(f"n{f}") for f in range(k))))
+    rows = part.visible(part.rows(list(part.forms([word]))).select(F.inline(each)))
+    return rows.groupBy("id").agg(*(F.sum(f"n{f}").alias(f"n{f}") for f in range(k)))
+
+
 def _merged(part: TokenIndex, words: list[str], value: str) -> DataFrame:
     """(id, score) of the documents of a part that hold all words; value: ``cover`` (density) or ``count`` (occurrences)."""
-    rows = part.rows(words).select("block", "token", "ids", "counts", "steps")
+    forms = part.forms(words)
+    passed = [w for w in T.ENGLISH_STOPWORDS if part.english and value == "cover"]  # they take no place
+    rows = part.rows([*forms, *passed]).select("block", "token", "ids", "counts", "steps")
     kind = part.postings.schema["ids"].dataType.elementType
-    place, weights = {w: k for k, w in enumerate(words)}, part.weights
+    place, weights = {t: words.index(w) for t, w in forms.items()}, part.weights
 
     def scored(table: pa.Table) -> pa.Table:
-        """The rows of a block, one for each word that occurs in it."""
+        """The rows of a block, one for each token that occurs in it."""
         name = table.schema.field("ids").type.value_type
-        if table.num_rows < len(words):
-            return pa.table({"id": pa.array([], name), "score": pa.array([], pa.float64())})
-        lists = [r.as_py() for r in table["ids"]]
-        common = sorted(set(lists[0]).intersection(*lists[1:]))
         tokens = table["token"].to_pylist()
-        where = [dict(zip(x, range(len(x)), strict=True)) for x in lists]
-        ends = [np.concatenate([[0], np.cumsum(c.values.to_numpy())]) for c in table["counts"]]
-        steps = [_unpacked(x.as_py()) for x in table["steps"]]
+        lists = [r.as_py() for r in table["ids"]]
+        holding = [set().union(*(x for x, t in zip(lists, tokens, strict=True) if place.get(t) == k)) for k in range(len(words))]
+        common = sorted(set.intersection(*holding))
+        where = [dict(zip(x, range(len(x)), strict=True)) for x in lists] if common else []
+        ends = [np.concatenate([[0], np.cumsum(c.values.to_numpy())]) for c in table["counts"]] if common else []
+        steps = [_unpacked(x.as_py()) for x in table["steps"]] if common else []
         score = []
         for i in common:
-            found = []
+            found, less = [], [np.zeros(0, np.int64)]
             for r, token in enumerate(tokens):
+                if i not in where[r]:
+                    continue
                 slot = where[r][i] * len(weights)
                 for f, w in enumerate(weights):
-                    found += [(int(p), place[token], w) for p in np.cumsum(steps[r][ends[r][slot + f] : ends[r][slot + f + 1]])]
+                    at = np.cumsum(steps[r][ends[r][slot + f] : ends[r][slot + f + 1]])
+                    if token in place:
+                        found += [(int(p), place[token], w) for p in at]
+                    else:
+                        less.append(at)
+            less = np.sort(np.concatenate(less))
+            found = [(p - int(np.searchsorted(less, p)), k, w) for p, k, w in found] if len(less) else found
             score.append(float(len(found)) if value == "count" else R._cover_score(sorted(found), len(words)))
         return pa.table({"id": pa.array(common, name), "score": pa.array(score, pa.float64())})
 
@@ -287,12 +318,18 @@ def _merged(part: TokenIndex, words: list[str], value: str) -> DataFrame:
 
 
 def search(index: TokenIndex, query: str, k: int | None) -> DataFrame:
-    """(id, score) of the k best documents that hold every word of the query, as retrieval.lexical_stream (lexical_stream_english for stems) gives them."""
+    """(id, score) of the k best documents that hold every word of the query, as retrieval.lexical_stream (lexical_stream_english by stems) gives them."""
     words, out = index.words(query), None
     if not words:
         return _no_rows(index)
     for part in index.parts():
-        rows = _single(part, words[0], k) if len(words) == 1 else _merged(part, words, "cover")
+        if len(words) > 1:
+            rows = _merged(part, words, "cover")
+        elif part.english:
+            score = sum((F.col(f"n{f}") * F.lit(w) for f, w in enumerate(part.weights)), F.lit(0.0))
+            rows = _any_form(part, words[0]).select("id", score.alias("score"))
+        else:
+            rows = _single(part, words[0], k)
         out = rows if out is None else out.unionByName(rows)
     return R.top(out, k)
 
@@ -303,9 +340,12 @@ def holding(index: TokenIndex, query: str) -> DataFrame:
     if not words:
         return _no_rows(index).select("id", F.col("score").cast("long").alias("n"))
     for part in index.parts():
-        rows = _merged(part, words, "count")
+        if part.english and len(words) == 1:
+            rows = _any_form(part, words[0]).select("id", sum((F.col(f"n{f}") for f in range(len(part.weights))), F.lit(0).cast("long")).alias("n"))
+        else:
+            rows = _merged(part, words, "count").select("id", F.col("score").cast("long").alias("n"))
         out = rows if out is None else out.unionByName(rows)
-    return out.select("id", F.col("score").cast("long").alias("n"))
+    return out
 
 
 def _with_part_of_word(index: TokenIndex, piece: str) -> DataFrame:

@@ -367,7 +367,7 @@ def _collections(spark, sf_dir):
 
 @query(_BODIES.format(", score < 0.3 AS weak", "true"))
 def route_collections_always(spark, sf_dir):
-    """Collections by label, headings and the words of their documents, which come from the index of stems."""
+    """Collections by label, headings and the words of their documents, whose forms are looked up in the index."""
     rows, bodies = _collections(spark, sf_dir)
     return routing.route_collections(rows, "src1 license Apache und der", 12, bodies=bodies).select("label", F.round("score", 6).alias("score"), "weak")
 

@@ -48,6 +48,27 @@ def test_words_as_by_scan(docs):
         assert rows(TI.with_substring_fallback(index, docs, q, 12, "id")) == rows(R.with_substring_fallback(known, q, 12, "id")), q
 
 
+def test_stems_are_searched_in_the_index_of_words(docs, monkeypatch):
+    """No second index is built; forms of a stem count together, in all fields and after changes, and function words take no place."""
+    spark, fields = docs.sparkSession, {"A": "title", "D": "text"}
+    TI.token_index(docs, "id"), TI.token_index(docs, "id", fields)
+    monkeypatch.setattr(TI, "postings", None)
+    stems, both = TI.token_index(docs, "id", english=True), TI.token_index(docs, "id", fields, english=True)
+    assert stems.forms(["licens", "run"]) == {"license": "licens", "licenses": "licens", "licensing": "licens", "running": "run"}
+    monkeypatch.undo()
+    known = docs.where("id is not null")
+    for q in ["licensing", "a zebra running", "license of the zebras x1", "runs licensed", "ran the Zebra", "licensing absently", "the a of"]:
+        assert rows(TI.search(stems, q, None)) == rows(R.lexical_stream_english(known, q, None, "id")), q
+    n = lambda c: F.size(F.filter(TI.T.tokens(F.coalesce(F.col(c), F.lit(""))), lambda t: t.isin("license", "licenses", "licensing")))
+    want = known.select("id", n("title").alias("a"), n("text").alias("d")).where("a + d > 0")
+    assert rows(TI.search(both, "licensed", None)) == rows(want.select("id", F.col("a") * 1.0 + F.col("d") * 0.1)) and rows(TI.holding(both, "licensed")) == rows(want.selectExpr("id", "a + d"))
+    new = spark.createDataFrame([(5, "a licensing zebra"), (9000, "licensed of the zebra")], "id long, text string")
+    changed = TI.with_changes(stems, new, "id", removed=spark.createDataFrame([(1002,)], "id long"))
+    now = known.select("id", "text").where("id not in (5, 1002)").union(new)
+    for q in ["licensing", "zebra license"]:
+        assert rows(TI.search(changed, q, None)) == rows(R.lexical_stream_english(now, q, None, "id")), q
+
+
 def test_a_query_reads_its_tokens_folders_and_no_text(docs):
     index = TI.token_index(docs, "id")
     plan = TI.search(index, "the license", 5)._jdf.queryExecution().executedPlan().toString()
